@@ -4,8 +4,10 @@ Each distinct shingle set gets MinHash samples. Bands of samples deal sets into
 parity bitmap (an odd sketch) give the likeness of a pair from the population count of an XOR. Pairs of a bucket
 whose sketches are too far apart are dropped, and those left are confirmed on the full sets.
 
-Copies meet as one set first. A bucket is not paired up: everyone is compared with one member, those linked become one
-component, and only pairs that lie in different components are compared further, first with two more members.
+Copies meet as one set first. A bucket is not paired up: everyone is compared with one member, the set with the most
+copies, then with two more, and those linked become one component. What is left of a bucket that still holds several
+components is compared in blocks of bounded size, by longer sketches, and a block gives only those pairs of different
+components that the sketches do not rule out.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PERCENT = 75
 #: 36 bands of 4: a pair at 0.75 meets in no band with a chance of about 1e-6.
 BANDS, ROWS = 36, 4
 SKETCH_WORDS = 8
+#: Samples and 64-bit words of the longer sketches, and the members of a block.
+LONG_SAMPLES, LONG_WORDS, BLOCK = 768, 48, 1500
 #: How many standard deviations under the threshold a sketch's estimate may lie.
 SLACK = 5
 BROADCAST_IDS = 2_000_000
@@ -122,12 +126,17 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _most_bits(bits: int, percent: int, samples: int) -> float:
+    """Bits that the XOR of two odd sketches may have if the sets can have the likeness asked for."""
+    j = percent / 100
+    low = max(0.0, j - SLACK * ((j * (1 - j) / samples) ** 0.5))
+    # it has as many as 2 * samples * (1 - likeness) odd ones out leave set, and some for chance
+    return bits * (1 - (1 - 2 / bits) ** (2 * samples * (1 - low))) / 2 + SLACK * bits**0.5 / 4
+
+
 def _close(a: str, b: str, percent: int, samples: int) -> Column:
     """Whether two odd sketches, and the sizes of the sets, leave a chance of the likeness asked for."""
-    bits, j = SKETCH_WORDS * 64, percent / 100
-    low = max(0.0, j - SLACK * ((j * (1 - j) / samples) ** 0.5))
-    # the XOR has as many bits as 2 * samples * (1 - likeness) odd ones out leave set, and some for chance
-    most = bits * (1 - (1 - 2 / bits) ** (2 * samples * (1 - low))) / 2 + SLACK * bits**0.5 / 4
+    most = _most_bits(SKETCH_WORDS * 64, percent, samples)
     count = sum((F.bit_count(F.col(f"{a}_odd")[k].bitwiseXOR(F.col(f"{b}_odd")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
     sizes = (100 * F.col(f"{a}_n") >= percent * F.col(f"{b}_n")) & (100 * F.col(f"{b}_n") >= percent * F.col(f"{a}_n"))
     return sizes & (count <= most)
@@ -149,7 +158,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         d = d.groupBy("id").agg(F.min("text").alias("text"))
     sig = materialize(d.mapInArrow(_signatures(shingle, bands, rows), SIGNATURE), "minhash-signatures")
     full, key = sig.where("n > 0"), ["set_a", "set_b", "n"]
-    reps = materialize(full.groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "minhash-sets")
+    reps = materialize(full.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "minhash-sets")
     copies = full.select("id", *key).join(reps.select(F.col("id").alias("a"), *key), key).where("a <> id").select("a", F.col("id").alias("b"))
     links = materialize(copies.union(_links(d, reps, shingle, percent, bands * rows)), "minhash-links")
     comp = components(links)
@@ -159,24 +168,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def _links(d: DataFrame, reps: DataFrame, shingle: int, percent: int, samples: int) -> DataFrame:
     """Links between different sets: all that join components, found bucket by bucket."""
-    buckets = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    buckets = reps.select("id", "copies", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q")
-    met = materialize(buckets.select("id", "bucket").join(shared.select("bucket"), "bucket").distinct(), "minhash-buckets")
+    met = materialize(buckets.join(shared.select("bucket"), "bucket").distinct(), "minhash-buckets")
     ids = materialize(met.select("id").distinct(), "minhash-met")
-    look = _only(reps, ids).select("id", "n", "odd")
-    texts = _only(d, ids)
+    look, texts = _only(reps, ids).select("id", "n", "odd"), _only(d, ids)
     found, comp = None, None
-    for pivot in (F.min("id"), F.max("id"), F.max_by("id", F.xxhash64("id")), None):
-        pairs = _pairs(met, comp, pivot)
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = materialize(_confirmed(pairs, look, texts, shingle, percent, samples), "minhash-pairs")
+    for turn in range(3):
+        pivot = F.max_by("id", F.struct("copies", -F.col("id"))) if turn == 0 else F.max_by("id", F.xxhash64(F.lit(turn), "id"))
+        pairs = _pairs(met, comp, pivot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = pairs.join(_side(look, "a"), "a").join(_side(look, "b"), "b").where(_close("a", "b", percent, samples)).select("a", "b")
+        new = materialize(_confirmed(near, texts, shingle, percent), "minhash-pairs")
         found = new if found is None else found.union(new)
-        if pivot is None:
-            break
         comp = components(found)
         if _mixed(met, comp).isEmpty():
-            break
-    return found
+            return found
+    near = materialize(_block_pairs(d, reps, met, comp, shingle, percent), "minhash-left")
+    return found.union(materialize(_confirmed(near, texts, shingle, percent), "minhash-pairs"))
 
 
 def _with_component(met: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -190,24 +198,79 @@ def _mixed(met: DataFrame, comp: DataFrame | None) -> DataFrame:
     return _with_component(met, comp).groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
 
 
-def _pairs(met: DataFrame, comp: DataFrame | None, pivot: Column | None) -> DataFrame:
-    """Members of a bucket in different components: each with the bucket's pivot, or all of those left."""
+def _pairs(met: DataFrame, comp: DataFrame | None, pivot: Column) -> DataFrame:
+    """The pivot of each bucket with its members in other components."""
     now = _with_component(met, comp)
     if comp is not None:
-        now = materialize(now.join(_mixed(met, comp), "bucket", "left_semi"), "minhash-open")
-    if pivot is None:
-        other = now.select("bucket", F.col("id").alias("b"), F.col("component").alias("component_b"))
-        return now.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and component <> component_b").select("a", "b")
+        now = now.join(_mixed(met, comp), "bucket", "left_semi")
     chosen = now.groupBy("bucket").agg(pivot.alias("a"))
-    of = chosen.join(now.select("bucket", F.col("id").alias("a"), F.col("component").alias("component_a")), ["bucket", "a"])
-    return now.withColumnRenamed("id", "b").join(of, "bucket").where("component <> component_a").select("a", "b")
+    of = chosen if comp is None else chosen.join(comp.select(F.col("id").alias("a"), F.col("component").alias("component_a")), "a", "left")
+    component_a = F.col("a") if comp is None else F.coalesce("component_a", "a")
+    return now.withColumnRenamed("id", "b").join(of, "bucket").where(F.col("component") != component_a).select("a", "b")
+
+
+def _long_sketches(size: int, seed: int = 11):
+    rng = np.random.default_rng(seed)
+    flips = rng.integers(0, 1 << 63, LONG_SAMPLES, dtype=np.uint64)
+    times = rng.integers(0, 1 << 63, LONG_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, bits = WordHashes(), LONG_WORDS * 64
+        for rows in blocks(batches):
+            out = []
+            for s in _sets(rows, cache, size):
+                least = np.array([((s ^ f) * t).min() for f, t in zip(flips, times, strict=True)], dtype=np.uint64) if len(s) else flips
+                odd = np.bincount((mixed(least ^ flips) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(out, pa.binary())], names=["id", "sketch"])
+
+    return run
+
+
+def _alike(percent: int):
+    """Of two blocks of a bucket, the pairs in different components that the long sketches do not rule out.
+
+    A pair that meets in several buckets is given by the first of them only.
+    """
+    most = _most_bits(LONG_WORDS * 64, percent, LONG_SAMPLES)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+        bucket = table.column("bucket")[0].as_py()
+        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), LONG_WORDS)
+        lo, hi = block.min(), block.max()
+        left, right, out = np.flatnonzero(block == lo), np.flatnonzero(block == hi), []
+        for i in left.tolist():
+            other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi)) & (100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])]
+            other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= most]
+            if len(other):
+                first = np.argmax(bands[other] == bands[i], axis=1)
+                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[other[bands[i][first] == bucket]].tolist()]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def _block_pairs(d: DataFrame, reps: DataFrame, met: DataFrame, comp: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components left in buckets, from blocks of bounded size."""
+    now = materialize(_with_component(met, comp).join(_mixed(met, comp), "bucket", "left_semi").select("bucket", "id", "component"), "minhash-open")
+    ids = materialize(now.select("id").distinct(), "minhash-open-ids")
+    sketches = materialize(_only(d, ids).mapInArrow(_long_sketches(shingle), "id long, sketch binary"), "minhash-long")
+    counts = now.groupBy("bucket").agg(F.expr(f"int(ceil(count(*) / {BLOCK}.0))").alias("parts"))
+    rows = now.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # a block goes to its meetings with every block of the bucket, itself included
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", "id", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    full = rows.join(_only(reps, ids).select("id", "n", "bands"), "id").join(sketches, "id")
+    return full.groupBy("bucket", "low", "high").applyInArrow(_alike(percent), "a long, b long").distinct()
+
 
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "id"])
 
-def _confirmed(pairs: DataFrame, look: DataFrame, texts: DataFrame, shingle: int, percent: int, samples: int) -> DataFrame:
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "id"])
 
-    near = pairs.join(side(look, "a"), "a").join(side(look, "b"), "b").where(_close("a", "b", percent, samples)).select("a", "b")
+def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     full = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long")
 
