@@ -1,5 +1,240 @@
+"""Surrogates for personal data.
+
+Entities found in a text are replaced by made-up ones of the same type and format: digits by digits, letters by
+letters of the same case, a given name by one of the same gender and script, a card number that passes the check-digit
+test by one that passes it. A surrogate is a keyed hash of the entity's canonical form, so an entity has the same one
+everywhere, however it is written. All distinct entities are checked together: two that would get the same surrogate,
+or one that would get a real entity of the corpus, are hashed again until all differ. Only these few exceptions are
+carried to the texts; everything else is computed where the text is.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from mapwright.storage import materialize
+
+from .words import blocks, inner_id, outer_id
+
+KEY = "mapwright"
+#: So many exceptions are broadcast; with more, they are joined to the documents that mention them.
+BROADCAST_EXCEPTIONS = 500_000
+
+# Given names by script and gender.
+GIVEN = {
+    ("latin", "f"): ("Anna", "Carmen", "Claire", "Elena", "Emma", "Greta", "Hannah", "Isabel", "Julia", "Laura", "Lucia", "Maria", "Monika", "Nadia", "Olivia", "Petra", "Sarah", "Sofia", "Ursula", "Yvonne"),
+    ("latin", "m"): ("Adrian", "Andreas", "Carlos", "Daniel", "David", "Diego", "Felix", "Georg", "Henri", "Jakob", "James", "Javier", "Jonas", "Karl", "Louis", "Martin", "Michael", "Pablo", "Pierre", "Stefan"),
+    ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Светлана"),
+    ("cyrillic", "m"): ("Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Николай", "Павел", "Сергей"),
+}
+CLASS_OF = {name: kind for kind, names in GIVEN.items() for name in names}
+
+#: By kind, in order of precedence where finds overlap.
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])"),
+    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
+    ("phone", r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
+    ("card", r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|(?<![\d.])\d{13,19}(?!\d)"),
+)
+_FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
+#: Only lines with one of these can hold an entity of the patterns.
+_SIGN = re.compile(r"[0-9@]|AKIA|ASIA")
+_GIVEN = re.compile("(?:" + "|".join(sorted(CLASS_OF, key=lambda n: (-len(n), n))) + r")(?!\w)")
+_FAMILY = re.compile(r" (?:[^\W\d_]\. )?([^\W\d_]{3,})(?!\w)")
+
+
+class Stream:
+    """Numbers drawn from a keyed hash."""
+
+    def __init__(self, key: str, *parts: object) -> None:
+        self.seed, self.n, self.left = repr((key, *parts)).encode(), 0, b""
+
+    def below(self, most: int) -> int:
+        if len(self.left) < 8:
+            self.left += hashlib.blake2b(self.seed + str(self.n).encode(), digest_size=64).digest()
+            self.n += 1
+        out, self.left = int.from_bytes(self.left[:8], "big") % most, self.left[8:]
+        return out
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def canonical(kind: str, value: str) -> str:
+    """The form that all spellings of an entity share."""
+    if kind in ("phone", "card"):
+        return re.sub(r"\D", "", value)
+    return value.lower() if kind in ("email", "secret", "family") else value
+
+
+def _letters(r: Stream, like: str) -> str:
+    """Letters for letters of the script, digits for digits, the rest as it is; vowels and consonants take turns."""
+    out = []
+    for k, c in enumerate(like):
+        if c.isdigit():
+            out.append(str(r.below(10)))
+        elif c.isalpha():
+            cyrillic = "Ѐ" <= c <= "ӿ"
+            pool = ("аеиоу" if k % 2 else "бвгдклмнпрст") if cyrillic else ("aeiou" if k % 2 else "bcdfghklmnprstvw")
+            out.append(pool[r.below(len(pool))])
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def surrogate(kind: str, canon: str, key: str = KEY, attempt: int = 0) -> str:
+    """The canonical form of the entity that stands for ``canon``."""
+    r = Stream(key, kind, canon, attempt)
+    if kind == "email":
+        local, domain = canon.split("@", 1)
+        names = domain.split(".")
+        d = Stream(key, "domain", domain)  # one domain stays one domain
+        return _letters(r, local) + "@" + ".".join([*(_letters(d, n) for n in names[:-1]), names[-1]])
+    if kind == "secret":
+        return "".join("0123456789abcdef"[r.below(16)] for _ in canon)
+    if kind == "ip":
+        return ".".join(str(1 + r.below(254)) for _ in range(4))
+    if kind == "phone":
+        keep = max(0, len(canon) - 10)  # the country's code
+        return canon[:keep] + "".join(str(r.below(10)) for _ in canon[keep:])
+    if kind == "card":
+        body = "".join(str(r.below(10)) for _ in canon[:-1])
+        right = [d for d in "0123456789" if luhn(body + d) == luhn(canon)]
+        return body + right[r.below(len(right))]
+    if kind == "family":
+        return _letters(r, canon + "aeiou"[: attempt // 8])  # should a length be used up, longer names follow
+    raise ValueError(kind)
+
+
+def given_name(name: str, key: str = KEY) -> str:
+    """A name of the same script and gender: the next one in a keyed order, so different names stay different."""
+    names = sorted(GIVEN[CLASS_OF[name]], key=lambda x: Stream(key, "given", x).below(1 << 62))
+    return names[(names.index(name) + 1) % len(names)]
+
+
+def _as_written(kind: str, canon: str, found: str) -> str:
+    """The surrogate in the format of what it replaces."""
+    if kind in ("phone", "card"):
+        digits = iter(canon)
+        return "".join(next(digits) if c.isdigit() else c for c in found)
+    if kind == "secret":
+        return canon.upper() if found.upper() == found and found.lower() != found else canon
+    if kind == "family":
+        return canon.upper() if found.isupper() else canon[:1].upper() + canon[1:] if found[:1].isupper() else canon
+    return canon
+
+
+def entities(text: str | None) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, value) of the entities of a text in order; a person's given and family name are one each."""
+    text, out, at = text or "", [], 0
+    while m := _SIGN.search(text, at):
+        start = text.rfind("\n", 0, m.start()) + 1
+        at = text.find("\n", m.start())
+        at = len(text) if at < 0 else at
+        out += [(f.start(), f.end(), f.lastgroup, f.group()) for f in _FIND.finditer(text, start, at)]
+    taken = len(out)
+    for m in _GIVEN.finditer(text):
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
+        if any(s < m.end() and m.start() < e for s, e, _, _ in out[:taken]):
+            continue
+        out.append((m.start(), m.end(), "given", m.group()))
+        if (f := _FAMILY.match(text, m.end())) and f.group(1)[0].isupper():
+            out.append((f.start(1), f.end(1), "family", f.group(1)))
+    if len(out) > taken:  # a given name that was taken for a family name, as in "Anna Maria", stays a given name
+        given = {s for s, _, kind, _ in out if kind == "given"}
+        out = sorted(x for x in out if x[2] != "family" or x[0] not in given)
+    return out
+
+
+def replace(text: str | None, exceptions: dict, key: str = KEY, known: dict | None = None) -> tuple[str | None, int]:
+    """The text with surrogates, and the number of entities; exceptions: attempt by (kind, canonical form)."""
+    known = {} if known is None else known
+    out, at, n = [], 0, 0
+    for start, end, kind, value in entities(text):
+        canon = canonical(kind, value)
+        got = known.get((kind, canon))
+        if got is None:
+            if len(known) >= 100_000:
+                known.clear()
+            got = known[kind, canon] = given_name(value, key) if kind == "given" else surrogate(kind, canon, key, exceptions.get((kind, canon), 0))
+        out += [text[at:start], _as_written(kind, got, value)]
+        at, n = end, n + 1
+    return ("".join([*out, text[at:]]) if n else text), n
+
+
+def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in blocks(batches):
+        found = {(one, kind, canonical(kind, value)) for one, text in zip(rows["id"], rows["text"], strict=True) for _, _, kind, value in entities(text) if kind != "given"}
+        cols = list(zip(*sorted(found), strict=True)) if found else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "kind", "canon"])
+
+
+def _tried(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [surrogate(k, c, key, a) for k, c, a in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.string())], names=["kind", "canon", "attempt", "made"])
+
+    return run
+
+
+def _exceptions(distinct: DataFrame, key: str) -> DataFrame:
+    """``kind, canon, attempt`` of the entities whose first surrogate is another's, or a real entity of the corpus."""
+    shape = "kind string, canon string, attempt int, made string"
+    real = distinct.select("kind", F.col("canon").alias("made"))
+    tried = materialize(distinct.withColumn("attempt", F.lit(0)).mapInArrow(_tried(key), shape), "pii-tried")
+    while True:
+        order = F.row_number().over(W.partitionBy("kind", "made").orderBy("attempt", "canon"))
+        apart = tried.groupBy("kind", "made").count().where("count > 1").select("kind", "made")
+        later = tried.join(apart, ["kind", "made"], "left_semi").withColumn("k", order).where("k > 1").drop("k")
+        bad = materialize(later.union(tried.join(real, ["kind", "made"], "left_semi").select(tried.columns)).select("kind", "canon", "attempt").distinct(), "pii-bad")
+        if bad.isEmpty():
+            return tried.where("attempt > 0").select("kind", "canon", "attempt")
+        again = bad.withColumn("attempt", F.col("attempt") + 1).mapInArrow(_tried(key), shape)
+        tried = materialize(tried.join(bad, ["kind", "canon"], "left_anti").select(tried.columns).union(again), "pii-tried")
+
+
+def _replaced(key: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for rows in blocks(batches):
+            if shared is not None:
+                out = [replace(t, shared.value, key, known) for t in rows["text"]]
+            else:
+                out = [replace(t, {(x["kind"], x["canon"]): x["attempt"] for x in own or ()}, key) for t, own in zip(rows["text"], rows["own"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["id", "text", "n_entities"])
+
+    return run
+
 
+def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, text`` with surrogates, ``n_entities`` replaced.
 
-def surrogates(docs: DataFrame) -> DataFrame:
-    raise NotImplementedError
+    A null text stays null, an empty one empty, both with no entity. Equal rows give equal results; a null ``doc_id``
+    stays null. Different entities of one kind never get the same surrogate, and no surrogate is a real entity of the
+    corpus (given names, which are exchanged among a fixed list, aside). An empty table gives no row. Other columns
+    are not looked at.
+    """
+    d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    mentions = materialize(d.mapInArrow(_mentions, "id long, kind string, canon string"), "pii-mentions")
+    odd = materialize(_exceptions(mentions.select("kind", "canon").distinct(), key), "pii-exceptions")
+    few = odd.limit(broadcast_exceptions + 1).collect() if broadcast_exceptions > 0 else None
+    shape = "id long, text string, n_entities long"
+    if few is not None and len(few) <= broadcast_exceptions:
+        shared = d.sparkSession.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in few})
+        out = d.mapInArrow(_replaced(key, shared), shape)
+    else:
+        own = mentions.join(odd, ["kind", "canon"]).groupBy("id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("own"))
+        out = d.join(own, "id", "left").mapInArrow(_replaced(key, None), shape)
+    return out.select(outer_id("id").alias("doc_id"), "text", "n_entities")
