@@ -2,15 +2,17 @@
 
 A line is cut into ``edits + 1`` segments. If two lines are within ``edits`` edits, some segment of the shorter occurs
 in the longer at a place that their lengths allow. So each line files its segments by (length, number, content) and
-probes the entries of its own length and of up to ``edits`` less with the few substrings that can match. Keys that only
-one line has are dropped by counting before any line travels; the pairs left are verified by a banded edit automaton
-whose states, one bit for each diagonal and number of edits, fit one 64-bit integer.
+probes the entries of its own length and of up to ``edits`` less with the few substrings that can match. Only hashes
+travel, and only the first place of a line probes. Lines that share a key are paired if their letter counts allow it;
+these pairs are verified by a banded edit automaton whose states, one bit for each diagonal and number of edits, fit one
+64-bit integer.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
@@ -22,6 +24,8 @@ MIN_CHARS = 12
 #: So many keys or lines are broadcast at most; with more, they meet in a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
+#: Letters whose counts are compared before a pair is verified: one edit changes them by two in all at most.
+_LETTERS = "etanoirshldu"
 #: Steps by which a common prefix or suffix is found.
 _STEPS = "array(" + ",".join(str(1 << k) for k in range(13, -1, -1)) + ")"
 
@@ -110,22 +114,40 @@ def _meet(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
-def line_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Links between different lines within ``edits`` edits, and the lines that have one.
+def _repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``h1, h2, first``: the first place of each line that has several."""
+    places = lines_of(docs, id_col, text_col).select("id", "tag", "at", "h1", "h2")
+    again = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
+    return materialize(again.where("times > 1").drop("times"), "lines-repeated")
+
+
+def _bag(line: str) -> Column:
+    return F.array(*[F.char_length(line) - F.char_length(F.replace(F.col(line), F.lit(c), F.lit(""))) for c in _LETTERS])
+
+
+def line_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, repeated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links between different lines within ``edits`` edits, and the lines that may have one.
 
-    ``links``: ``a1, a2, b1, b2`` (hashes; each pair once). ``found``: ``h1, h2, line, id, tag, at``, the line's first
-    place. Copies of a line are one line here.
+    ``links``: ``a1, a2, b1, b2`` (hashes; each pair once). ``found``: ``h1, h2, line, first`` (its first place: id,
+    tag, at). Copies of a line are one line here.
     """
-    lines = lines_of(docs, id_col, text_col)
-    keyed = _keyed(lines, edits, min_chars)
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("filed").alias("filed")).where("low <> high and filed = 1").select("key")
-    shared = materialize(shared, "lines-keys")
-    cand = materialize(_meet(keyed, shared, ["key"]).distinct(), "lines-candidates")
+    repeated = _repeated(docs, id_col, text_col) if repeated is None else repeated
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    lines = lines_of(docs, id_col, text_col).withColumn("place", F.struct("id", "tag", "at"))
+    firsts = lines.join(F.broadcast(repeated) if few else repeated, ["h1", "h2"], "left").where("first is null or first = place")
+    keyed = _keyed(firsts, edits, min_chars)
+    by_key = W.partitionBy("key")
+    met = keyed.select("*", F.min("h1").over(by_key).alias("low"), F.max("h1").over(by_key).alias("high"), F.max("filed").over(by_key).alias("entry"))
+    cand = materialize(met.where("low <> high and entry = 1").select("key", "h1", "h2", "filed"), "lines-candidates")
     ids = cand.select("h1", "h2").distinct()
-    found = materialize(_meet(lines, ids, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.first("line").alias("line")).select("h1", "h2", "line", "first.*"), "lines-found")
-    short = cand.where("filed = 1").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    other = cand.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    pairs = short.join(other, "key").where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2").distinct()
+    # rows with equal id, text and place are alike
+    found = materialize(_meet(firsts, ids, ["h1", "h2"]).select("h1", "h2", "line", F.col("place").alias("first")).dropDuplicates(["h1", "h2"]).withColumn("bag", _bag("line")).withColumn("n", F.char_length("line")), "lines-found")
+    bagged = cand.join(found.select("h1", "h2", "bag", "n"), ["h1", "h2"])
+    short = bagged.where("filed = 1").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bag").alias("x_bag"), F.col("n").alias("x_n"))
+    other = bagged.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bag").alias("y_bag"), F.col("n").alias("y_n"))
+    apart = sum((F.abs(F.col("x_bag")[k] - F.col("y_bag")[k]) for k in range(len(_LETTERS))), F.lit(0))
+    near = (short["key"] == other["key"]) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & (apart <= 2 * edits) & (F.abs(F.col("x_n") - F.col("y_n")) <= edits)
+    pairs = short.join(other, near).select("a1", "a2", "b1", "b2").distinct()
     text_a = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x"))
     text_b = found.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y"))
     both = pairs.join(text_a, ["a1", "a2"]).join(text_b, ["b1", "b2"])
@@ -136,9 +158,10 @@ def line_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """``id, tag, gone (line numbers), n_near, n_links`` for the texts that have a line to remove or a linked one."""
-    links, found = line_links(docs, id_col=id_col, text_col=text_col, edits=edits, min_chars=min_chars)
+    repeated = _repeated(docs, id_col, text_col)
+    links, found = line_links(docs, id_col=id_col, text_col=text_col, edits=edits, min_chars=min_chars, repeated=repeated)
     both = links.union(links.select("b1", "b2", "a1", "a2")).toDF("h1", "h2", "o1", "o2")
-    place = found.select("h1", "h2", F.struct("id", "tag", "at").alias("first"))
+    place = found.select("h1", "h2", "first")
     near = (
         both.join(place, ["h1", "h2"])
         .join(place.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other")), ["o1", "o2"])
@@ -146,8 +169,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars:
         .agg(F.count("*").alias("links"), F.max((F.col("other") < F.col("first")).cast("int")).alias("near"))
     )
     places = lines_of(docs, id_col, text_col).select("id", "tag", "at", "h1", "h2")
-    again = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    marked = materialize(again.select("h1", "h2", "first").join(near, ["h1", "h2"], "full"), "lines-marked")
+    marked = materialize(repeated.join(near, ["h1", "h2"], "full"), "lines-marked")
     few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hit = places.join(F.broadcast(marked) if few else marked, ["h1", "h2"])
     copy = F.coalesce(F.struct("id", "tag", "at") != F.col("first"), F.lit(False))
