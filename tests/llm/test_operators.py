@@ -1,0 +1,432 @@
+"""Operators against plain versions on small tables, and the edge cases that every operator defines."""
+
+import hashlib
+import random
+import unicodedata
+import zlib
+from array import array
+
+import pytest
+from pyspark.sql import functions as F
+
+from mapwright.llm import decontam, fingerprint, linededup, minhash, packing, pii, quality, substring, toxicity, warc
+
+RNG = random.Random(5)
+VOCAB = [f"w{k}" for k in range(60)]
+
+
+def words(n):
+    return " ".join(RNG.choice(VOCAB) for _ in range(n))
+
+
+def corpus():
+    base = [words(RNG.randint(1, 90)) for _ in range(40)]
+    near = []
+    for t in base[:15]:
+        w = t.split()
+        w[RNG.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    texts = base + near + base[:6] + [base[0] + "\n" + base[1], None, "", "   ", "x", "Ünï ΣΊΣ\t ok"] + ["hot copy of a text that is there many times over and over again, is it not so my friend"] * 30
+    return list(enumerate(texts))
+
+
+DOCS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "src", len(t or "")) for i, t in DOCS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Clashing names, null ids, repeated rows."""
+    rows = [(1, "a b c d e f", 9, "x", 0), (1, "a b c d e f", 9, "x", 0), (None, "a b c d e f", 9, "y", 1), (2, None, None, None, None), (3, "", 1, "", 2)]
+    return spark.createDataFrame(rows, "doc_id long, text string, id long, n_words string, score long")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def by_id(df):
+    return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+
+def split(t, lower=False):
+    raw = (t or "").encode()
+    return [w.decode() for w in (raw.lower() if lower else raw).split()]
+
+
+# --- decontamination ---------------------------------------------------------------------------------------------
+
+
+def plain_hits(text, items, window=13):
+    import re
+
+    def of(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+
+    w, covered, found = of(text), set(), set()
+    for item, t in items:
+        v = of(t)
+        size = min(window, len(v))
+        wins = {tuple(v[k : k + size]) for k in range(len(v) - size + 1)} if v else set()
+        for k in range(len(w) - size + 1):
+            if tuple(w[k : k + size]) in wins:
+                covered |= set(range(k, k + size))
+                found.add(str(item))
+    return len(w), len(covered), sorted(found)
+
+
+ITEMS = [(7, " ".join(DOCS[3][1].split()[:20])), (11, " ".join(DOCS[5][1].split()[2:30])), (12, "w1 w2"), (13, None), (14, ""), (100, DOCS[0][1].upper()), (15, "x")]
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_decontaminate_is_the_plain_result(spark, docs, bound):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = by_id(decontam.decontaminate(docs, bench, broadcast_windows=bound))
+    for i, t in DOCS:
+        n, hit, found = plain_hits(t, ITEMS)
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (n, hit, found), t
+        assert got[i]["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+        assert got[i]["contaminated"] == (hit > 0 and 20 * hit >= n)
+    clean = {r["doc_id"] for r in decontam.keep_clean(docs, bench, broadcast_windows=bound).collect()}
+    assert clean == {i for i, r in got.items() if not r["contaminated"]}
+
+
+# --- substring dedup ---------------------------------------------------------------------------------------------
+
+
+def plain_repeats(rows, size=20):
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        w = split(t)
+        gone = set()
+        for k in range(len(w) - size + 1):
+            key = tuple(w[k : k + size])
+            if key in seen:
+                gone |= set(range(k, k + size))
+            else:
+                seen[key] = (i, k)
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    return out
+
+
+def test_remove_repeats_is_the_plain_result(spark, docs):
+    got = by_id(substring.remove_repeats(docs, with_text=True))
+    want = plain_repeats(DOCS)
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want
+    inside = spark.createDataFrame([(5, "a b c d e f " * 9), (6, "a b c d e f " * 3)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["text"]) for r in inside.collect()]
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(substring.remove_repeats(inside)).items()} == plain_repeats(rows)
+
+
+# --- MinHash -----------------------------------------------------------------------------------------------------
+
+
+def plain_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = split(t, lower=True)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def chain(n):
+    """Near copies of one text with different words changed: some linked directly, some through others, some not."""
+    rng, base, out = random.Random(3), [f"c{k}" for k in range(60)], []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"d{rng.randrange(9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_are_the_plain_components(spark, docs, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rows = DOCS + [(1000 + k, t) for k, t in enumerate(chain(80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(minhash.near_duplicates(df))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain_components(rows)
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+    kept = sorted(r["doc_id"] for r in minhash.keep_one(docs).collect())
+    assert kept == sorted(i for i, (_, c) in plain_components(DOCS).items() if i == c)
+
+
+# --- lines -------------------------------------------------------------------------------------------------------
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_banded_automaton_is_the_edit_distance(spark, edits):
+    rng, pairs = random.Random(edits), []
+    for _ in range(150):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "b", "é"])
+        a, b = sorted((a, "".join(b)), key=len)
+        pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within("a", "b", edits).alias("w")).collect()
+    assert all(r["w"] == (edit(r["a"], r["b"]) <= edits) for r in got)
+
+
+def plain_lines(rows, edits=2, least=12):
+    first, order = {}, []
+    for i, t in sorted(rows):
+        for at, line in enumerate((t or "").split("\n")):
+            if line.strip(" ") and line not in first:
+                first[line] = (i, at)
+                order.append(line)
+    near = set()
+    for k, a in enumerate(order):
+        for b in order[:k]:
+            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and edit(a, b) <= edits:
+                near.add(a)
+                break
+    out = {}
+    for i, t in rows:
+        if t is None:
+            out[i] = None
+            continue
+        out[i] = "\n".join(line for at, line in enumerate(t.split("\n")) if not line.strip(" ") or (first[line] == (i, at) and line not in near))
+    return out
+
+
+def test_dedup_lines_is_the_plain_result(spark):
+    rng, lines = random.Random(8), []
+    for _ in range(25):
+        line = "".join(rng.choice("abcd ") for _ in range(rng.randint(5, 40)))
+        lines.append(line)
+        for _ in range(3):
+            b = list(line)
+            for _ in range(rng.randint(0, 3)):
+                b[rng.randrange(len(b))] = rng.choice(["", "z", "yy"])
+            lines.append("".join(b))
+    rows = [(k, "\n".join(rng.choice([*lines, "", "the hot line that all of them have"]) for _ in range(rng.randint(0, 6)))) for k in range(60)] + [(90, None), (91, "")]
+    df = spark.createDataFrame([(i, t, len(t or ""), "z") for i, t in rows], "doc_id long, text string, n_chars long, line string")
+    out = linededup.dedup_lines(df, chars_col="n_chars")
+    assert out.columns == df.columns
+    want = plain_lines(rows)
+    got = by_id(out)
+    assert {i: r["text"] for i, r in got.items()} == want
+    report = by_id(linededup.line_report(df))
+    assert all(report[i]["kept_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in want.items())
+
+
+# --- fingerprints ------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints_and_edited_texts(docs):
+    got = by_id(fingerprint.edited_report(docs))
+    ids = sorted(got)
+    texts = {i: t or "" for i, t in DOCS}
+    by_print = {}
+    for k, i in enumerate(ids):
+        nxt, n = texts[ids[(k + 1) % len(ids)]], len(texts[i])
+        edited = texts[i][: n - n // 4] + nxt[: n // 4]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        for t, f in ((texts[i], got[i]["fingerprint"]), (edited, got[i]["edited_fingerprint"])):
+            form = " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+            assert by_print.setdefault(form, f) == f
+        assert got[i]["near_edited"] == (got[i]["fingerprint"] == got[i]["edited_fingerprint"])
+        assert got[i]["near_next"] == (got[i]["fingerprint"] == got[ids[(k + 1) % len(ids)]]["fingerprint"])
+    assert len(set(by_print.values())) == len(by_print)
+
+
+def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "_hashes", lambda form: [F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2")])
+    df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c"), (4, "d")], "doc_id long, text string")
+    got = {i: r["fingerprint"] for i, r in by_id(fingerprint.fingerprints(df)).items()}
+    assert got[1] == got[2] and len(set(got.values())) == 3
+
+
+# --- packing -----------------------------------------------------------------------------------------------------
+
+
+def test_packing_is_an_exact_round_trip(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in DOCS}
+    rows = packing.pack(docs, tokens=64).collect()
+    seqs, got = {}, {}
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and zlib.crc32(array("I", part).tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    assert {i: sum(n for _, n in p) for i, p in got.items()} == {i: len(v) for i, v in ids.items()}
+    assert sorted(seqs) == list(range(len(seqs)))
+    for parts in seqs.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 64
+
+
+def test_plan_uses_every_piece_and_pads_little():
+    rng = random.Random(1)
+    histogram = {}
+    for _ in range(20_000):
+        n = min(2048, max(1, int(rng.lognormvariate(6, 1))))
+        histogram[n] = histogram.get(n, 0) + 1
+    planned, back = packing.plan(histogram), {}
+    for lengths, n in planned:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            back[x] = back.get(x, 0) + n
+    assert back == histogram
+    assert sum(k * v for k, v in histogram.items()) > 0.98 * 2048 * sum(n for _, n in planned)
+
+
+# --- classifiers -------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_labels(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.score_quality(d).join(labels, "doc_id").collect()
+    poor = [r for r in rows if r["quality"] == 0]
+    good = [r for r in rows if r["quality"] == 1]
+    assert sum(not r["kept"] for r in poor) >= 0.9 * len(poor)
+    assert sum(r["kept"] for r in good) >= 0.99 * len(good)
+    assert quality.keep_good(d).columns == d.columns
+
+
+def test_em_finds_a_bad_labeller():
+    rng, patterns = random.Random(2), {}
+    for _ in range(4000):
+        y = rng.random() < 0.2
+        votes = [rng.random() < (0.8 if y else 0.02), rng.random() < (0.7 if y else 0.02), rng.random() < 0.15]
+        p = sum(v << k for k, v in enumerate(votes))
+        patterns[p] = patterns.get(p, 0) + 1
+    prior, poor, good = quality.fit_labellers(sorted(patterns.items()), 3)
+    assert poor[0] > 0.6 and good[0] < 0.1 and abs(poor[2] - good[2]) < 0.2 and prior < 0.4
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.score_toxicity(d, labels, learn="crc32(cast(id as string)) % 4 <> 2").join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hit >= 0.85 * sum(r["toxic"] for r in rows) and hit >= 0.85 * sum(r["predicted"] for r in rows)
+
+
+# --- personal data -----------------------------------------------------------------------------------------------
+
+
+def test_surrogates_keep_format_and_coreference(spark):
+    rows = [(1, "Anna Schmidt wrote to a.schmidt@mail7.example.com, +1 (017) 555-7713"), (2, "A.Schmidt@mail7.example.com and 1-(017)-555-7713 and 4111-1111-1111-1111"), (3, "ip 10.1.2.3, Иван, key 64be24439e3e49cf46b2d7c90f3602a3d0b907ff"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(pii.surrogates(df))
+    real = [v for _, t in rows for _, _, k, v in pii.entities(t)]
+    assert not any(v in (r["text"] or "") for r in got.values() for v in real)
+    mail = [next(v for _, _, k, v in pii.entities(got[i]["text"]) if k == "email") for i in (1, 2)]
+    assert mail[0] == mail[1]
+    card = next(v for _, _, k, v in pii.entities(got[2]["text"]) if k == "card")
+    assert pii.luhn(pii.canonical("card", card)) and card[4] == "-"
+    assert got[1]["text"].split()[0] in pii.GIVEN["latin", "f"] and pii.CLASS_OF[got[3]["text"].split(", ")[1]] == ("cyrillic", "m")
+    assert got[4] == {"doc_id": 4, "text": None, "n_entities": 0} and got[5]["text"] == ""
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, canon, key="k", attempt=0: real(kind, canon if attempt else "10.0.0.0", key, attempt) if kind == "ip" else real(kind, canon, key, attempt))
+    import cloudpickle
+
+    cloudpickle.register_pickle_by_value(pii)
+    try:
+        df = spark.createDataFrame([(k, f"at 10.0.0.{k} now") for k in range(1, 9)], "doc_id long, text string")
+        out = [by_id(pii.surrogates(df, broadcast_exceptions=b)) for b in (10, 0)]
+    finally:
+        cloudpickle.unregister_pickle_by_value(pii)
+    assert out[0] == out[1] and len({r["text"] for r in out[0].values()}) == 8
+
+
+# --- fixity ------------------------------------------------------------------------------------------------------
+
+
+def test_audit_finds_what_differs(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}" * (k % 5)) for k in range(2300)] + [(None, None, None), (-5, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a = warc.records(pages)
+    t = warc.tree(a)
+    assert warc.audit(t, t).isEmpty()
+    assert warc.root_of(t) == warc.root_of(warc.tree(warc.records(pages.repartition(5))))
+    bad = a.withColumn("record", F.when(F.col("id").isin(7, 1500), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
+    found = {(r["archive"], r["position"]) for r in warc.audit(t, warc.tree(bad)).collect()}
+    assert found == {(r["archive"], r["position"]) for r in a.where("id in (7, 1500)").collect()}
+    assert warc.root_of(t) != warc.root_of(warc.tree(bad))
+    assert warc.audit(t, warc.tree(a.where("archive < 2"))).count() == a.where("archive >= 2").count()
+
+
+def test_archives_hold_the_records_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "line\nline" * k) for k in range(5)], "page_id long, url string, html string")
+    recs = warc.records(pages)
+    warc.write_archives(recs, str(tmp_path / "w"))
+    got = b"".join(p.read_bytes() for p in sorted((tmp_path / "w" / "archive=0").glob("part-*")))
+    assert got.decode() == "".join(r["record"] for r in recs.orderBy("start").collect())
+
+
+# --- edge cases of all -------------------------------------------------------------------------------------------
+
+RUNS = {
+    "quality": lambda d, b: quality.score_quality(d),
+    "lines": lambda d, b: linededup.line_report(d),
+    "pii": lambda d, b: pii.surrogates(d),
+    "decontam": lambda d, b: decontam.decontaminate(d, b),
+    "fingerprints": lambda d, b: fingerprint.fingerprints(d),
+    "edited": lambda d, b: fingerprint.edited_report(d),
+    "toxicity": lambda d, b: toxicity.score_toxicity(d, d.sparkSession.createDataFrame([(1, 1, 0)], "doc_id long, toxic int, quality int")),
+    "packing": lambda d, b: packing.pack(d),
+    "substring": lambda d, b: substring.remove_repeats(d),
+    "minhash": lambda d, b: minhash.near_duplicates(d),
+}
+ONE_BY_ID = ("edited", "minhash")
+
+
+@pytest.mark.parametrize("name", list(RUNS))
+def test_edge_cases(spark, odd, empty, name):
+    bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    assert RUNS[name](empty, bench).collect() == []
+    rows = RUNS[name](odd, bench).collect()
+    ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows)
+    assert ids == [(False, 0), (True, 1)] + ([] if name in ONE_BY_ID else [(True, 1)]) + [(True, 2), (True, 3)]
+    assert RUNS[name](odd, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
+
+
+def test_warc_edge_cases(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.audit_pages(none).count() == 0
+    odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "", "x")], "page_id long, url string, html string, record string")
+    assert warc.audit_pages(odd).count() == 3
