@@ -1,5 +1,186 @@
-"""DuckDB SQL for the registered queries."""
+"""DuckDB SQL for the registered queries, written independently of the Spark plans."""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .adapters import PHRASES, RUN_TS, SQL_ARTICLES, SQL_EDGES, SQL_JOBS, SQL_LINES, SQL_MENTIONS, sql_norm, sql_relation, sql_slug
+
+_PHRASES = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
+_GENERIC = r"^(the |a |an |this |that )?(new|old|legacy|current|existing|updated|original|previous)\b.*\b(service|microservice|api|system|gateway|layer|app|application|component|database|db|pipeline|engine|cluster|worker|endpoint|module|tool)\b"
+
+#: mentions with the first spelling of their normalised name
+_RESOLVED = (
+    SQL_MENTIONS
+    + rf""",
+norms as (select *, {sql_norm("raw_name")} norm from mentions),
+known as (select company_name, norm, raw_name known_name, extracted_at k_at, article_id k_id
+  from (select *, row_number() over (partition by company_name, norm order by extracted_at, article_id, item) r from norms) where r = 1),
+resolved as (
+  select norms.*, known_name as "name", case when (k_at, k_id) < (extracted_at, article_id) then 'exact' end "method",
+    {sql_slug("company_name")} || '--' || {sql_slug("known_name")} "key"
+  from norms join known using (company_name, norm))"""
+)
+
+_ENTITIES = (
+    _RESOLVED
+    + r""",
+firsts as (select * from (select *, row_number() over (partition by company_name, "key" order by extracted_at, article_id, item) r from resolved) where r = 1),
+descs as (select company_name, "key", description from (
+  select *, row_number() over (partition by company_name, "key" order by extracted_at, article_id, item) r from resolved where description <> '') where r = 1),
+sizes as (select company_name, "key", count(*) n_mentions from resolved group by all),
+entities as (
+  select f.company_name, f."key", f."name", f.kind, f."domain", f.article_id first_seen_article_id, d.description, n_mentions
+  from firsts f left join descs d using (company_name, "key") join sizes using (company_name, "key"))"""
+)
+
+
+def _fold(edges: str) -> str:
+    """CTEs that fold ``edges`` (with "key", source_key): folded, with first_at and first_id."""
+    return rf"""
+last_of as (select * from (select *, row_number() over (partition by company_name, "key" order by extracted_at desc, article_id desc, item desc) r from {edges}) where r = 1),
+first_of as (select * from (select company_name, "key", extracted_at first_at, article_id first_id, row_number() over (partition by company_name, "key" order by extracted_at, article_id, item) r from {edges}) where r = 1),
+ids as (select company_name, "key", string_agg(article_id::varchar, ',' order by a, article_id) article_ids
+  from (select company_name, "key", article_id, min(extracted_at) a from {edges} group by all) group by all),
+folded as (
+  select l.company_name, l."key", l.source_key, l.source, l.target, l.relation, l.relation_phrase, l.as_of, article_ids, first_at, first_id
+  from last_of l join first_of using (company_name, "key") join ids using (company_name, "key"))"""
+
+
+def _close(edges: str) -> str:
+    return rf"""
+closes as (select company_name, source_key, extracted_at c_at, article_id c_id, item c_item, coalesce(nullif(as_of, ''), '{RUN_TS}') closed_at from {edges} where relation = 'replaced_by'),
+closed as (
+  select f.*, case when relation <> 'replaced_by' then closed_at end invalid_at
+  from folded f left join (
+    select company_name, "key", closed_at from (
+      select f.company_name, f."key", closed_at, row_number() over (partition by f.company_name, f."key" order by c_at, c_id, c_item) r
+      from folded f join closes c on f.company_name = c.company_name and f.source_key = c.source_key and (c_at, c_id) >= (first_at, first_id)) where r = 1
+  ) using (company_name, "key"))"""
+
+
+#: the graph with ends named as their entities
+_GRAPH = (
+    _ENTITIES
+    + ",\n"
+    + SQL_EDGES.removeprefix(SQL_MENTIONS).lstrip(",\n")
+    + rf""",
+named as (
+  select e.company_name, e.article_id, e.extracted_at, e.item, coalesce(s.known_name, e.source) source, coalesce(t.known_name, e.target) target, e.relation, e.relation_phrase, e.as_of
+  from edges e left join known s on s.company_name = e.company_name and s.norm = {sql_norm("e.source")} left join known t on t.company_name = e.company_name and t.norm = {sql_norm("e.target")}),
+stated as (select *, {sql_slug("company_name")} || '--' || {sql_slug("source")} || '--' || {sql_slug("relation")} || '--' || {sql_slug("target")} as "key",
+  {sql_slug("company_name")} || '--' || {sql_slug("source")} source_key from named),
+{_fold("stated")},
+{_close("stated")},
+nodes as (select company_name, {sql_slug('"name"')} id, "name" as "label", kind, "domain" from entities where kind is distinct from 'team'),
+shown as (select company_name, "name" from entities where kind is distinct from 'team'),
+gedges as (
+  select c.company_name, c."key", {sql_slug("c.source")} source, {sql_slug("c.target")} target, replace(relation, '_', ' ') || case when as_of <> '' then ' (' || as_of || ')' else '' end "label", relation
+  from closed c where coalesce(invalid_at, '') = ''
+    and exists (select 1 from shown s where s.company_name = c.company_name and s."name" = c.source) and exists (select 1 from shown s where s.company_name = c.company_name and s."name" = c.target))"""
+)
+
+_STORED = (
+    SQL_LINES
+    + rf""",
+raw as (select company_name, article_id, extracted_at, line item, supplier_name source, p_type target, raw_relation relation, null::varchar relation_phrase, as_of,
+  {sql_slug("company_name")} || '--' || {sql_slug("supplier_name")} || '--' || {sql_slug("raw_relation")} || '--' || {sql_slug("p_type")} as "key", {sql_slug("company_name")} || '--' || {sql_slug("supplier_name")} source_key from lines),
+{_fold("raw")},
+stored as (select *, case when length("key") % 3 = 0 then '{RUN_TS}' end invalid_at from folded),
+canon as (select relation old, {sql_relation("relation")} new_relation from (select distinct relation from stored)),
+moved as (
+  select s.*, new_relation, relation <> new_relation changed,
+    case when relation <> new_relation then {sql_slug("company_name")} || '--' || {sql_slug("source")} || '--' || {sql_slug("new_relation")} || '--' || {sql_slug("target")} else "key" end new_key
+  from stored s join canon on relation = old)"""
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "q01_url_key": f'with {SQL_ARTICLES} select page_id, "key" from articles',
+    "q02_slug": f"select page_id, {sql_slug('url')} slug from pages",
+    "q03_entity_key": f"with {SQL_MENTIONS} select distinct company_name, raw_name, {sql_slug('company_name')} || '--' || {sql_slug('raw_name')} \"key\" from mentions",
+    "q04_relationship_key": f'with {SQL_EDGES} select distinct "key", relation from keyed',
+    "q05_normalized_names": f"select p_partkey, {sql_norm("p_name || '/' || p_brand")} norm from part",
+    "q06_is_generic": rf"""select p_partkey, "name", regexp_matches(trim("name"), '{_GENERIC}', 'i') "generic" from (
+      select p_partkey, (['The new ', 'legacy ', 'New', '', 'a previous '])[p_partkey % 5 + 1] || p_name || ([' service', ' Relic', ' database cluster', '', ' APIs', ' tool set'])[p_partkey % 6 + 1] as "name" from part)""",
+    "q07_labels": "select p_partkey, p_name || ' ' || lower(p_type) || ' x' as \"label\" from part",
+    "q08_canonical_relation": f"""select p_partkey, raw, relation, case when trim(raw) <> relation then trim(raw) end phrase from (
+      select p_partkey, raw, {sql_relation("raw")} relation from (select p_partkey, ({_PHRASES})[p_partkey % {len(PHRASES)} + 1] || case when p_partkey % 2 = 0 then ' ' || p_name else '' end raw from part))""",
+    "q09_fallback_rate": f"""select relation, count(*) n, count(*) filter (raw in ('userland thing', 'frobnicates')) n_fallback from (
+      select raw, {sql_relation("raw")} relation from (select ({_PHRASES})[(l_linenumber + l_suppkey) % {len(PHRASES)} + 1] raw from lineitem)) group by relation""",
+    "q12_stage_filter": "select case page_id % 4 when 0 then 'clean' else 'extract' end stage, page_id from pages where page_id % 4 in (0, 1)",
+    "q13_summaries": f'with {SQL_ARTICLES} select "key", source_url, company_name, scraped_at, stage, case when state >= 2 then page_id % 7 + 1 end entity_count from articles',
+    "q15_page": f"""with {SQL_ARTICLES}, en as (select *, row_number() over (order by scraped_at desc, "key") r, least(2, greatest(1, ceil(count(*) over () / 20.0))) p from articles where company_name = 'en')
+      select "key", page_id, scraped_at from en where r > (p - 1) * 20 and r <= p * 20""",
+    "q16_page_count": f"with {SQL_ARTICLES} select company_name, count(*) total, greatest(1, (count(*) + 19) // 20)::bigint n_pages from articles group by company_name",
+    "q17_article_count": "select count(*) n from pages",
+    "q18_pending_companies": f"with {SQL_ARTICLES} select distinct company_name from articles where state = 2",
+    "q19_company_union": f"with {SQL_ARTICLES} select company_name from articles where company_name <> '' union select n_name from nation",
+    "q20_recent_jobs": f"with {SQL_JOBS} select event_id, job_id, status, created_at from jobs order by created_at desc, job_id limit 25",
+    "q21_article_urls": """select page_id, url from (select page_id, url || (['', '/tag/x', '', '/about-us', ''])[page_id % 5 + 1] url from pages)
+      where regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) not in ('', '/') and not regexp_matches(url, '/tagged/|/tag/|/category/|/categories/|/author/|/about')""",
+    "q22_batch_dedup": f'with {SQL_ARTICLES} select "key", min(page_id) page_id from articles group by "key"',
+    "q23_new_rows": f'with {SQL_ARTICLES} select "key", min(page_id) page_id from articles where "key" not in (select "key" from articles where page_id % 3 = 0) group by "key"',
+    "q24_challenges": "select page_id, url from pages where page_id % 9 <> 0 and not regexp_matches(html, 'Attention Required! \\| Cloudflare|Just a moment\\.\\.\\.|cf-chl')",
+    "q25_chunk_entities": f"""with {SQL_MENTIONS} select article_id, name_key, "name", kind, "domain", description from (
+      select article_id, lower(trim(raw_name)) name_key, raw_name "name", kind, "domain", description, row_number() over (partition by article_id, lower(trim(raw_name)) order by item % 3, item) r from mentions) where r = 1""",
+    "q26_chunk_edges": f"""with {SQL_EDGES} select article_id, source_lc, target_lc, relation, source, target, relation_phrase, as_of from (
+      select *, lower(source) source_lc, lower(target) target_lc, row_number() over (partition by article_id, lower(source), lower(target), relation order by item % 3, item) r from edges) where r = 1""",
+    "q27_entity_fold": f"with {_ENTITIES} select * from entities",
+    "q28_aliases": f"""with {_RESOLVED}, latest as (select * from (
+      select *, row_number() over (partition by company_name, "key", raw_name order by extracted_at desc, article_id desc, item desc) r from resolved where raw_name <> "name") where r = 1)
+      select company_name, "key", string_agg(raw_name || '=' || coalesce("method", '-'), ';' order by raw_name) aliases from latest group by all""",
+    "q29_edge_fold": f'with {SQL_EDGES}, {_fold("keyed")} select company_name, "key", source, target, relation, relation_phrase, as_of, article_ids from folded',
+    "q30_close_windows": f'with {SQL_EDGES}, {_fold("keyed")}, {_close("keyed")} select company_name, "key", invalid_at from closed',
+    "q31_merge_counters": f"""with {_RESOLVED}, per as (select company_name, article_id, extracted_at, "key", min(item) item from resolved group by all),
+      flagged as (select *, row_number() over (partition by company_name, "key" order by extracted_at, article_id, item) = 1 is_new from per),
+      rels as (select company_name, article_id, count(*) relationship_count from lines group by all)
+      select company_name, article_id, count(*) filter (is_new) new_count, count(*) filter (not is_new) matched_count, coalesce(any_value(relationship_count), 0) relationship_count
+      from flagged left join rels using (company_name, article_id) group by all""",
+    "q32_exact_tier": f'with {_RESOLVED} select company_name, article_id, item, raw_name, "name", "method" from resolved',
+    "q33_name_scores": rf"""with pairs as (select distinct p_brand || ' ' || p_name a, split_part(p_name, ' ', -1) || '-' || p_brand || 's' b from part),
+      s as (select a, b, list_aggregate(list_sort(list_filter(string_split({sql_norm("a")}, ' '), lambda w: w <> '')), 'string_agg', ' ') x,
+        list_aggregate(list_sort(list_filter(string_split({sql_norm("b")}, ' '), lambda w: w <> '')), 'string_agg', ' ') y from pairs),
+      m as (select *, (1::hugeint << length(x)) - 1 full_ from s),
+      run as (select *, list_reduce(list_concat([full_], list_transform(string_split(y, ''), lambda c:
+          list_sum(list_transform(range(1, length(x) + 1), lambda i: case when substring(x, i::int, 1) = c then (1::hugeint << (i - 1)::int) else 0::hugeint end))::hugeint)),
+          lambda st, k: ((st + (st & k)) | (st & (full_ - k))) & full_) st from m)
+      select a, b, round(case when x = y then 100.0 else 200.0 * (length(x) - bit_count(st)) / (length(x) + length(y)) end, 6)::double score from run""",
+    "q37_graph_nodes": f"with {_GRAPH} select * from nodes",
+    "q38_graph_edges": f"with {_GRAPH} select * from gedges",
+    "q39_graph_bundles": f"""with {_GRAPH},
+      own as (select company_name, id, "domain" from (select *, row_number() over (partition by company_name, id order by "label" desc, "domain" desc) r from nodes) where r = 1),
+      par as (select company_name, target id, source parent from (select *, row_number() over (partition by company_name, target order by "key" desc, source desc) r from gedges where relation = 'composes') where r = 1),
+      at_ as (select o.company_name, o.id, case when o."domain" in ('D1', 'D2') then '__domain__' || o."domain" when parent is not null and coalesce(p."domain", '') not in ('D1', 'D2') then parent else o.id end as "at"
+        from own o left join par using (company_name, id) left join own p on p.company_name = o.company_name and p.id = par.parent),
+      moved as (select e.company_name, e."key", e."label", s."at" source, t."at" target from gedges e join at_ s on s.company_name = e.company_name and s.id = e.source join at_ t on t.company_name = e.company_name and t.id = e.target)
+      select company_name, source, target, count(*) n, (list("label" order by "key"))[1] || case when count(*) > 1 then ' (+' || (count(*) - 1) || ' more)' else '' end as "label" from moved where source <> target group by all""",
+    "q40_backfill": f"""with {_STORED},
+      l as (select * from (select *, row_number() over (partition by company_name, new_key order by changed desc, "key" desc) r from moved) where r = 1),
+      ex as (select company_name, new_key, changed, "key" k, unnest(string_split(article_ids, ',')) id, generate_subscripts(string_split(article_ids, ','), 1) pos from moved),
+      ranked as (select *, row_number() over (partition by company_name, new_key order by changed, k, pos) o from ex),
+      uni as (select company_name, new_key, id, min(o) o from ranked group by all),
+      ids2 as (select company_name, new_key, string_agg(id, ',' order by o) article_ids from uni group by all),
+      inv as (select company_name, new_key, max(invalid_at) filter (new_key = "key") invalid_at from moved group by all)
+      select l.company_name, l.new_key as "key", source, target, new_relation relation, case when changed then relation else relation_phrase end relation_phrase, as_of, inv.invalid_at, ids2.article_ids
+      from l join ids2 using (company_name, new_key) join inv using (company_name, new_key)""",
+    "q40_backfill_counters": f"""with {_STORED}, w as (
+      select *, row_number() over (partition by company_name, new_key order by changed, "key") > 1 later, exists (select 1 from stored s where s.company_name = moved.company_name and s."key" = moved.new_key) and new_key <> "key" taken from moved)
+      select company_name, count(*) examined, count(*) filter (changed) rewritten, count(*) filter (changed and (taken or later)) collapsed from w group by company_name""",
+    "q41_chunk_count": r"""select doc_id, n_tokens, case when n_tokens <= 200 then 1 else 1 + ((n_tokens - 200 + 179) // 180) end::bigint n_chunks from (
+      select doc_id, len(regexp_extract_all(text, '\s*\S+|\s+'))::int n_tokens from documents)""",
+    "q42_chunks": r"""select doc_id, chunk, chunk * 180 first_token, len(t[chunk * 180 + 1 : chunk * 180 + 200])::int n_tokens, length(array_to_string(t[chunk * 180 + 1 : chunk * 180 + 200], ''))::int n_chars from (
+      select doc_id, t, unnest(range(0, case when len(t) <= 200 then 1 else 1 + ((len(t) - 200 + 179) // 180) end)) chunk from (select doc_id, regexp_extract_all(text, '\s*\S+|\s+') t from documents))""",
+    "q44_reachable": f"""with {SQL_EDGES}, e as (select distinct company_name, {sql_slug("source")} s, {sql_slug("target")} t from edges where relation in ('replaced_by', 'composes') and company_name in ('NATION_1', 'NATION_2')),
+      one as (select company_name, s "start", t id, 1 hops from e), two as (select distinct one.company_name, "start", t id, 2 hops from one join e on one.company_name = e.company_name and id = s),
+      three as (select distinct two.company_name, "start", t id, 3 hops from two join e on two.company_name = e.company_name and id = s)
+      select company_name, "start", id, min(hops) hops from (select * from one union all select * from two union all select * from three) group by all""",
+    "q45_listing": f"""with {_GRAPH} select company_name, 0 part, '[' || kind || '] ' || "name" || ' (' || "domain" || ')' line from entities
+      union all select company_name, 1, source || ' --' || relation || '--> ' || target || case when as_of <> '' then ' (as_of=' || as_of || ')' else '' end from closed""",
+    "q46_job_recovery": f"""with {SQL_JOBS}, l as (select * from (select *, row_number() over (partition by job_id order by created_at desc, status desc) r from jobs) where r = 1)
+      select job_id, case when status in ('done', 'error') then status else 'error' end status, case when status not in ('done', 'error') then 'interrupted' end "error", created_at from l""",
+    "q47_job_retention": f"""with {SQL_JOBS}, l as (select * from (select *, row_number() over (partition by job_id order by created_at desc, status desc) r from jobs) where r = 1),
+      f as (select job_id, row_number() over (order by created_at, job_id) k from l where status in ('done', 'error'))
+      select job_id, status, created_at from l where job_id not in (select job_id from f where k <= (select count(*) - 30 from l))""",
+    "q48_components": f"with {_GRAPH} select company_name, source id, count(*) components from gedges where relation = 'composes' group by all",
+    "q49_domain_groups": f"""with {_GRAPH} select company_name, "domain", count(*) members from nodes where "domain" in ('D1', 'D3') group by all""",
+    "q50_reply_checks": f"""with {SQL_MENTIONS} select article_id, ok as "valid", case when ok then n end n_entities from (
+      select article_id, count(*) n, not (article_id % 3 <> 0 and article_id % 7 = 0) and count(*) filter (item % 97 = 0) = 0 ok from mentions group by article_id)""",
+}

@@ -1,9 +1,334 @@
-"""Registered queries over the test tables."""
+"""Registered queries over the test tables, one or more for each operator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mapwright.functions.keys import entity_key, normalized, relationship_key, slug, url_key
+from mapwright.functions.similarity import score, sorted_words
+from mapwright.functions.vocab import canonical_relation, humanized, is_generic, kept_phrase, label, matched_relation
+from mapwright.operators import articles as art
+from mapwright.operators import backfill, chunk, clean, extract, jobs, merge, resolve, views
+from mapwright.storage import read_table
+
+from . import adapters
+from .adapters import RUN_TS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def q01_url_key(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", url_key(F.col("url")).alias("key"))
+
+
+@query
+def q02_slug(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", slug(F.col("url")).alias("slug"))
+
+
+@query
+def q03_entity_key(spark, sf):
+    m = adapters.mentions(spark, sf)
+    return m.select("company_name", "raw_name", entity_key(F.col("company_name"), F.col("raw_name")).alias("key")).distinct()
+
+
+@query
+def q04_relationship_key(spark, sf):
+    e = adapters.edges(spark, sf)
+    return e.select(relationship_key(F.col("company_name"), F.col("source"), F.col("relation"), F.col("target")).alias("key"), "relation").distinct()
+
+
+@query
+def q05_normalized_names(spark, sf):
+    return read_table(spark, sf, "part").select("p_partkey", normalized(F.concat_ws("/", "p_name", "p_brand")).alias("norm"))
+
+
+@query
+def q06_is_generic(spark, sf):
+    words = F.element_at(F.array(*[F.lit(w) for w in ("The new ", "legacy ", "New", "", "a previous ")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    noun = F.element_at(F.array(*[F.lit(w) for w in (" service", " Relic", " database cluster", "", " APIs", " tool set")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    name = F.concat(words, F.col("p_name"), noun)
+    return read_table(spark, sf, "part").select("p_partkey", name.alias("name"), is_generic(name).alias("generic"))
+
+
+@query
+def q07_labels(spark, sf):
+    raw = F.concat(F.lit("  "), "p_name", F.lit("\n\t"), F.lower("p_type"), F.lit("_x "))
+    return read_table(spark, sf, "part").select("p_partkey", label(humanized(raw)).alias("label"))
+
+
+@query
+def q08_canonical_relation(spark, sf):
+    p = read_table(spark, sf, "part")
+    raw = F.concat(F.element_at(F.array(*[F.lit(x) for x in adapters.PHRASES]), (F.col("p_partkey") % len(adapters.PHRASES) + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.lit("")))
+    return p.select("p_partkey", raw.alias("raw"), canonical_relation(raw).alias("relation"), kept_phrase(raw, F.lit(None).cast("string")).alias("phrase"))
+
+
+@query
+def q09_fallback_rate(spark, sf):
+    p = read_table(spark, sf, "lineitem").select(F.element_at(F.array(*[F.lit(x) for x in adapters.PHRASES]), ((F.col("l_linenumber") + F.col("l_suppkey")) % len(adapters.PHRASES) + 1).cast("int")).alias("raw"))
+    return p.groupBy(canonical_relation(F.col("raw")).alias("relation")).agg(F.count("*").alias("n"), F.count_if(matched_relation(F.col("raw")).isNull()).alias("n_fallback"))
+
+
+@query
+def q12_stage_filter(spark, sf):
+    a = adapters.articles(spark, sf)
+    return art.pending(a, "clean").select(F.lit("clean").alias("stage"), "page_id").union(art.pending(a, "extract").select(F.lit("extract"), "page_id"))
+
+
+@query
+def q13_summaries(spark, sf):
+    return art.summaries(adapters.articles(spark, sf)).select("key", "source_url", "company_name", "scraped_at", "stage", F.col("entity_count").cast("long").alias("entity_count"))
+
+
+@query
+def q15_page(spark, sf):
+    return art.page(adapters.articles(spark, sf).where("company_name = 'en'"), 2, 20).select("key", "page_id", "scraped_at")
+
+
+@query
+def q16_page_count(spark, sf):
+    return art.pages_of(adapters.articles(spark, sf), 20)
+
+
+@query
+def q17_article_count(spark, sf):
+    return adapters.articles(spark, sf).agg(F.count("*").alias("n"))
+
+
+@query
+def q18_pending_companies(spark, sf):
+    return art.pending_merge(adapters.articles(spark, sf)).select("company_name").distinct().orderBy("company_name")
+
+
+@query
+def q19_company_union(spark, sf):
+    return art.companies(adapters.articles(spark, sf), read_table(spark, sf, "nation").select(F.col("n_name").alias("company_name")))
+
+
+@query
+def q20_recent_jobs(spark, sf):
+    return jobs.recent(adapters.jobs(spark, sf), 25).select("event_id", "job_id", "status", "created_at")
+
+
+@query
+def q21_article_urls(spark, sf):
+    p = read_table(spark, sf, "pages")
+    url = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in ("", "/tag/x", "", "/about-us", "")]), (F.col("page_id") % 5 + 1).cast("int")))
+    return p.select("page_id", url.alias("url")).where(art.is_article_url(F.col("url")))
+
+
+@query
+def q22_batch_dedup(spark, sf):
+    return art.first_by_key(adapters.articles(spark, sf), ["page_id"]).select("key", "page_id")
+
+
+@query
+def q23_new_rows(spark, sf):
+    a = adapters.articles(spark, sf)
+    return art.new_rows(a, a.where("page_id % 3 = 0"), ["page_id"]).select("key", "page_id")
+
+
+@query
+def q24_challenges(spark, sf):
+    p = read_table(spark, sf, "pages")
+    html = F.when(F.col("page_id") % 9 == 0, F.concat("html", F.lit("Just a moment..."))).otherwise(F.col("html"))
+    return p.where(~art.is_challenge(html)).select("page_id", "url")
+
+
+def _items(spark, sf):
+    return adapters.mentions(spark, sf).select("article_id", (F.col("item") % 3).alias("chunk"), "item", F.col("raw_name").alias("name"), "kind", "domain", "description")
+
+
+@query
+def q25_chunk_entities(spark, sf):
+    return merge.merge_chunks_entities(_items(spark, sf)).select("article_id", "name_key", "name", "kind", "domain", "description")
+
+
+@query
+def q26_chunk_edges(spark, sf):
+    e = adapters.edges(spark, sf).select("article_id", (F.col("item") % 3).alias("chunk"), "item", "source", "target", "relation", "relation_phrase", "as_of")
+    return merge.merge_chunks_edges(e).select("article_id", "source_lc", "target_lc", "relation", "source", "target", "relation_phrase", "as_of")
+
+
+def _resolved(spark, sf):
+    return resolve.resolve_exact(adapters.mentions(spark, sf))
+
+
+@query
+def q27_entity_fold(spark, sf):
+    return merge.fold_entities(_resolved(spark, sf))
+
+
+@query
+def q28_aliases(spark, sf):
+    a = merge.fold_aliases(_resolved(spark, sf))
+    return a.select("company_name", "key", F.array_join(F.transform("aliases", lambda x: F.concat(x["name"], F.lit("="), F.coalesce(x["method"], F.lit("-")))), ";").alias("aliases"))
+
+
+def _folded(spark, sf):
+    return merge.fold_edges(adapters.edges(spark, sf))
+
+
+@query
+def q29_edge_fold(spark, sf):
+    f = _folded(spark, sf)
+    return f.select("company_name", "key", "source", "target", "relation", "relation_phrase", "as_of", F.array_join(F.transform("source_article_ids", lambda x: x.cast("string")), ",").alias("article_ids"))
+
+
+def _closed(spark, sf):
+    return merge.close_windows(_folded(spark, sf), adapters.edges(spark, sf), RUN_TS)
+
+
+@query
+def q30_close_windows(spark, sf):
+    return _closed(spark, sf).select("company_name", "key", "invalid_at")
+
+
+@query
+def q31_merge_counters(spark, sf):
+    return merge.merge_counters(_resolved(spark, sf), adapters.edges(spark, sf))
+
+
+@query
+def q32_exact_tier(spark, sf):
+    return _resolved(spark, sf).select("company_name", "article_id", "item", "raw_name", "name", "method")
+
+
+@query
+def q33_name_scores(spark, sf):
+    a = F.concat_ws(" ", "p_brand", "p_name")
+    names = read_table(spark, sf, "part").select(a.alias("a")).distinct()
+    pairs = names.select("a", F.concat(F.substring_index("a", " ", -1), F.lit("-"), F.substring_index("a", " ", 1), F.lit("s")).alias("b"))
+    pairs = pairs.withColumn("x", sorted_words(F.col("a"))).withColumn("y", sorted_words(F.col("b")))
+    return pairs.select("a", "b", F.round(score("x", "y"), 6).alias("score"))
+
+
+@query
+def q34_resolve(spark, sf):
+    return resolve.resolve(adapters.mentions(spark, sf)).select("company_name", "article_id", "item", "raw_name", "name", "method")
+
+
+@query
+def q35_candidates(spark, sf):
+    m = adapters.mentions(spark, sf).where("kind <> 'external_system' and company_name in ('NATION_1', 'NATION_2')")
+    known = resolve.known_names(m).select("company_name", F.col("known_name").alias("name"))
+    asked = known.where(F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(40)) == 0)
+    return resolve.candidate_names(asked.withColumnRenamed("name", "raw_name"), known)
+
+
+@query
+def q36_tier_counts(spark, sf):
+    r = resolve.resolve(adapters.mentions(spark, sf))
+    return r.groupBy("company_name").agg(F.count_if(F.col("method").isNull()).alias("n_new"), F.count_if(F.col("method") == "exact").alias("n_exact"), F.count_if(F.col("method").startswith("fuzzy")).alias("n_fuzzy"))
+
+
+def _graph(spark, sf):
+    e = merge.fold_entities(_resolved(spark, sf))
+    known = resolve.known_names(adapters.mentions(spark, sf)).select("company_name", "norm", "known_name")
+    edges = adapters.edges(spark, sf)
+    for end in ("source", "target"):
+        edges = edges.withColumn("norm", normalized(F.col(end))).join(known, ["company_name", "norm"], "left").withColumn(end, F.coalesce("known_name", end)).drop("norm", "known_name")
+    return e, merge.close_windows(merge.fold_edges(edges), edges, RUN_TS)
+
+
+@query
+def q37_graph_nodes(spark, sf):
+    return views.nodes(_graph(spark, sf)[0])
+
+
+@query
+def q38_graph_edges(spark, sf):
+    e, r = _graph(spark, sf)
+    return views.edges(e, r)
+
+
+@query
+def q39_graph_bundles(spark, sf):
+    e, r = _graph(spark, sf)
+    return views.bundles(views.nodes(e), views.edges(e, r), collapsed=("D1", "D2"))
+
+
+@query
+def q40_backfill(spark, sf):
+    b = backfill.canonicalize(_stored(spark, sf))
+    return b.select("company_name", "key", "source", "target", "relation", "relation_phrase", "as_of", "invalid_at", F.array_join(F.transform("source_article_ids", lambda x: x.cast("string")), ",").alias("article_ids"))
+
+
+def _stored(spark, sf):
+    """Edges stored under their raw wording, as before there was a vocabulary."""
+    rows = adapters._lines(spark, sf).select("company_name", "article_id", "extracted_at", F.col("line").alias("item"), F.col("supplier_name").alias("source"), F.col("p_type").alias("target"), F.col("raw_relation").alias("relation"), F.lit(None).cast("string").alias("relation_phrase"), "as_of")
+    return merge.fold_edges(rows).withColumn("invalid_at", F.when(F.length("key") % 3 == 0, F.lit(RUN_TS)))
+
+
+@query
+def q40_backfill_counters(spark, sf):
+    return backfill.counters(_stored(spark, sf))
+
+
+@query
+def q41_chunk_count(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.size(chunk.tokens(F.col("text"))).alias("n_tokens"))
+    return d.select("doc_id", "n_tokens", chunk.n_chunks(F.col("n_tokens"), 200, 20).alias("n_chunks"))
+
+
+@query
+def q42_chunks(spark, sf):
+    c = chunk.chunk(read_table(spark, sf, "documents"), "doc_id", "text", 200, 20)
+    return c.select("doc_id", "chunk", "first_token", "n_tokens", F.length("text").alias("n_chars"))
+
+
+@query
+def q43_cleaned_pages(spark, sf):
+    return clean.clean(read_table(spark, sf, "pages"), "page_id", "html")
+
+
+@query
+def q44_reachable(spark, sf):
+    e = adapters.edges(spark, sf).where("relation in ('replaced_by', 'composes') and company_name in ('NATION_1', 'NATION_2')")
+    return views.reachable(e.select("company_name", slug(F.col("source")).alias("source"), slug(F.col("target")).alias("target")), 3)
+
+
+@query
+def q45_listing(spark, sf):
+    e, r = _graph(spark, sf)
+    return views.listing(e, r)
+
+
+@query
+def q46_job_recovery(spark, sf):
+    return jobs.recover(jobs.latest(adapters.jobs(spark, sf), order="created_at")).select("job_id", "status", "error", "created_at")
+
+
+@query
+def q47_job_retention(spark, sf):
+    return jobs.retain(jobs.latest(adapters.jobs(spark, sf)), 30).select("job_id", "status", "created_at")
+
+
+@query
+def q48_components(spark, sf):
+    e, r = _graph(spark, sf)
+    return views.component_counts(views.edges(e, r))
+
+
+@query
+def q49_domain_groups(spark, sf):
+    return views.groups(views.nodes(_graph(spark, sf)[0]), ("D1", "D3"))
+
+
+@query
+def q50_reply_checks(spark, sf):
+    rows = adapters.mentions(spark, sf).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("item", F.col("raw_name").alias("name"), F.when(F.col("item") % 97 == 0, "robot").otherwise(F.col("kind")).alias("kind"), "domain", "description"))).alias("e"))
+    reply = F.to_json(F.struct(F.transform("e", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), x["domain"].alias("domain"), x["description"].alias("description"))).alias("entities"), F.array().cast("array<struct<source:string>>").alias("relationships")))
+    fenced = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(F.col("article_id") % 7 == 0, F.lit("sorry")).otherwise(reply)
+    parsed = extract.parse(rows.select("article_id", fenced.alias("reply")))
+    return parsed.select("article_id", "valid", F.when(F.col("valid"), F.size("graph.entities")).cast("long").alias("n_entities"))
