@@ -5,18 +5,22 @@ from __future__ import annotations
 import gzip
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mapwright.operators.articles import is_article_url
 
 MAX_DEPTH = 5
 
 
-@F.pandas_udf("string")
-def xml_text(content: pd.Series) -> pd.Series:
+def xml_text(content: str) -> Column:
     """The XML of a file, which may be gzip-compressed whatever its name."""
-    return content.map(lambda b: (gzip.decompress(bytes(b)) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
+
+    def text(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: (gzip.decompress(bytes(b)) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
+
+    return F.pandas_udf(text, StringType())(content)
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
