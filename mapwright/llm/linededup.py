@@ -146,13 +146,14 @@ def line_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     short = bagged.where("filed = 1").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bag").alias("x_bag"), F.col("n").alias("x_n"))
     other = bagged.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bag").alias("y_bag"), F.col("n").alias("y_n"))
     apart = sum((F.abs(F.col("x_bag")[k] - F.col("y_bag")[k]) for k in range(len(_LETTERS))), F.lit(0))
-    near = (short["key"] == other["key"]) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & (apart <= 2 * edits) & (F.abs(F.col("x_n") - F.col("y_n")) <= edits)
+    # the entries are the shorter line's; of two lines of one length, those of the one with the lesser hash
+    turn = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & ((F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))))
+    near = (short["key"] == other["key"]) & turn & (apart <= 2 * edits) & (F.col("y_n") - F.col("x_n") <= edits)
     pairs = short.join(other, near).select("a1", "a2", "b1", "b2").distinct()
     text_a = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x"))
     text_b = found.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y"))
     both = pairs.join(text_a, ["a1", "a2"]).join(text_b, ["b1", "b2"])
-    ordered = both.where("char_length(x) < char_length(y) or char_length(x) = char_length(y) and x < y")
-    links = ordered.where(within("x", "y", edits)).select("a1", "a2", "b1", "b2")
+    links = both.where(within("x", "y", edits)).select("a1", "a2", "b1", "b2")
     return materialize(links, "lines-links"), found
 
 
