@@ -5,7 +5,7 @@ parity bitmap (an odd sketch) give the likeness of a pair from the population co
 whose sketches are too far apart are dropped, and those left are confirmed on the full sets.
 
 Copies meet as one set first. A bucket is not paired up: everyone is compared with one member, the set with the most
-copies, then with two more, and those linked become one component. What is left of a bucket that still holds several
+copies, then with the least id, and those linked become one component. What is left of a bucket that still holds several
 components is compared in blocks of bounded size, by longer sketches, and a block gives only those pairs of different
 components that the sketches do not rule out.
 """
@@ -33,8 +33,8 @@ PERCENT = 75
 BANDS, ROWS = 36, 4
 SKETCH_WORDS = 8
 #: Samples and 64-bit words of the longer sketches, and the members of a block.
-LONG_SAMPLES, LONG_WORDS, BLOCK = 768, 48, 1500
-#: How many standard deviations under the threshold a sketch's estimate may lie.
+LONG_SAMPLES, LONG_WORDS, BLOCK = 1536, 96, 1500
+#: How many standard deviations from what the threshold gives a sketch may lie.
 SLACK = 5
 BROADCAST_IDS = 2_000_000
 
@@ -127,11 +127,16 @@ def _confirm(size: int, percent: int):
 
 
 def _most_bits(bits: int, percent: int, samples: int) -> float:
-    """Bits that the XOR of two odd sketches may have if the sets can have the likeness asked for."""
+    """Bits that the XOR of two odd sketches may have if the sets can have the likeness asked for.
+
+    Samples that differ leave two odd ones each, binomially many; those that meet in a bit cancel, about Poisson many.
+    """
     j = percent / 100
-    low = max(0.0, j - SLACK * ((j * (1 - j) / samples) ** 0.5))
-    # it has as many as 2 * samples * (1 - likeness) odd ones out leave set, and some for chance
-    return bits * (1 - (1 - 2 / bits) ** (2 * samples * (1 - low))) / 2 + SLACK * bits**0.5 / 4
+    odd, stay = 2 * samples * (1 - j), 1 - 2 / bits
+    mean = bits * (1 - stay**odd) / 2
+    drawn = 2 * (samples * j * (1 - j)) ** 0.5 * stay**odd
+    met = 2 * (odd * odd / (2 * bits)) ** 0.5
+    return mean + SLACK * (drawn**2 + met**2) ** 0.5
 
 
 def _close(a: str, b: str, percent: int, samples: int) -> Column:
@@ -174,8 +179,7 @@ def _links(d: DataFrame, reps: DataFrame, shingle: int, percent: int, samples: i
     ids = materialize(met.select("id").distinct(), "minhash-met")
     look, texts = _only(reps, ids).select("id", "n", "odd"), _only(d, ids)
     found, comp = None, None
-    for turn in range(3):
-        pivot = F.max_by("id", F.struct("copies", -F.col("id"))) if turn == 0 else F.max_by("id", F.xxhash64(F.lit(turn), "id"))
+    for pivot in (F.max_by("id", F.struct("copies", -F.col("id"))), F.min("id")):
         pairs = _pairs(met, comp, pivot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = pairs.join(_side(look, "a"), "a").join(_side(look, "b"), "b").where(_close("a", "b", percent, samples)).select("a", "b")
         new = materialize(_confirmed(near, texts, shingle, percent), "minhash-pairs")
