@@ -64,14 +64,21 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     similar lengths and share a run of letters; runs of that length deal them out.
     """
     long = names.where(F.char_length("norm") >= MIN_FUZZY).select("company_name", "norm", sorted_words(F.col("norm")).alias("s")).withColumn("n", F.char_length("s"))
-    size = _run_length(threshold)
+    size, loss = _run_length(threshold), 1 - threshold / 100
     grams = long.select("company_name", "norm", "s", "n", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, n - {size - 1})), i -> substring(s, i, {size}))"))).alias("gram"))
+    # d changes spoil at most size * d runs, so of each name's size * d + 1 rarest ones two such names share one
+    often = grams.groupBy("company_name", "gram").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(W.partitionBy("company_name", "norm").orderBy("times", "gram"))
+    changes = F.expr(f"int(floor((n + floor(n * {(200 - threshold) / threshold})) * {loss} + 1e-9))")
+    grams = grams.join(often, ["company_name", "gram"]).withColumn("rank", rank).where(F.col("rank") <= size * changes + 1)
     left, right = grams.select("company_name", F.col("norm").alias("a"), F.col("s").alias("x"), F.col("n").alias("n_a"), "gram"), grams.select("company_name", F.col("norm").alias("b"), F.col("s").alias("y"), F.col("n").alias("n_b"), "gram")
     near = left.join(right, ["company_name", "gram"]).where((F.col("a") < F.col("b")) & (200 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
-    pairs = near.select("company_name", "a", "b", "x", "y").distinct()
     # insertions and deletions number at least the edit distance, which has a fast banded form
-    pairs = pairs.where(F.expr(f"levenshtein(x, y, int(floor((char_length(x) + char_length(y)) * {1 - threshold / 100}))) >= 0"))
-    return pairs.withColumn("score", score("x", "y")).where(F.col("score") >= threshold).select("company_name", "a", "b", "score")
+    close = near.where(F.expr(f"levenshtein(x, y, int(floor((n_a + n_b) * {loss} + 1e-9))) >= 0"))
+    pairs = close.select("company_name", "a", "b", "x", "y").distinct()
+    # most pairs left are alike, so the score is taken in Arrow batches, with integers of any length
+    scored = pairs.mapInPandas(long_scores, "company_name string, a string, b string, x string, y string, score double")
+    return scored.where(F.col("score") >= threshold).select("company_name", "a", "b", "score")
 
 
 def _leaders(rows: pd.DataFrame) -> pd.DataFrame:

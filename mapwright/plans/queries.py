@@ -213,9 +213,15 @@ def q33_name_scores(spark, sf):
     return pairs.select("a", "b", F.round(score("x", "y"), 6).alias("score"))
 
 
+def _by_part(spark, sf):
+    """All mentions of parts, by the part's name without its brand: few names, in many spellings."""
+    m = adapters.mentions(spark, sf).where("kind <> 'external_system'")
+    return m.withColumn("raw_name", F.regexp_replace("raw_name", "(?i)[ /-]brand[#-]?[0-9]+", ""))
+
+
 @query
 def q34_resolve(spark, sf):
-    return resolve.resolve(adapters.mentions(spark, sf)).select("company_name", "article_id", "item", "raw_name", "name", "method")
+    return resolve.resolve(_by_part(spark, sf)).select("company_name", "article_id", "item", "raw_name", "name", "method")
 
 
 @query
@@ -228,7 +234,7 @@ def q35_candidates(spark, sf):
 
 @query
 def q36_tier_counts(spark, sf):
-    r = resolve.resolve(adapters.mentions(spark, sf))
+    r = resolve.resolve(_by_part(spark, sf))
     return r.groupBy("company_name").agg(F.count_if(F.col("method").isNull()).alias("n_new"), F.count_if(F.col("method") == "exact").alias("n_exact"), F.count_if(F.col("method").startswith("fuzzy")).alias("n_fuzzy"))
 
 
