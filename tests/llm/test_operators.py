@@ -362,7 +362,7 @@ def test_surrogates_keep_format_and_coreference(spark):
 def test_surrogates_stay_distinct(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda kind, canon, key="k", attempt=0: real(kind, canon if attempt else "10.0.0.0", key, attempt) if kind == "ip" else real(kind, canon, key, attempt))
-    import cloudpickle
+    from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(pii)
     try:
