@@ -110,7 +110,7 @@ def audit(a: DataFrame, b: DataFrame, *, fanout: int = FANOUT) -> DataFrame:
     are compared at the leaves. Two empty trees do not differ.
     """
     tops = [t.agg(F.max("level").alias("l")).first()["l"] for t in (a, b)]
-    level, open_nodes = (tops[0], None) if tops[0] == tops[1] else (0, None)
+    level, open_nodes = (tops[0], None) if tops[0] == tops[1] and tops[0] is not None else (0, None)
     while level >= 0:
         sides = [t.where(F.col("level") == level) for t in (a, b)]
         if open_nodes is not None:
