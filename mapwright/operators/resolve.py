@@ -2,7 +2,7 @@
 
 Exact matches do not depend on order. Similar ones do: a spelling becomes a known name only if no earlier article has a
 name like it. Candidate pairs are found by an equi-join (blocked on a shared run of letters and on length); only names that
-have a candidate pass through an ordered step, one company at a time.
+have a candidate pass through an ordered step, in rounds over all names at once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from mapwright.functions.keys import normalized
 from mapwright.functions.similarity import long_score, method_text, score, sorted_words
 from mapwright.functions.vocab import is_generic
+from mapwright.storage import materialize
 
 THRESHOLD = 92.0
 MIN_FUZZY = 5
@@ -81,17 +82,24 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.where(F.col("score") >= threshold).select("company_name", "a", "b", "score")
 
 
-def _leaders(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which names of a company stay names of their own: no earlier leader is like them."""
-    names = rows[["norm", "seq"]].drop_duplicates("norm").sort_values(["seq", "norm"])
-    like: dict[str, list[tuple[str, str]]] = {}
-    for a, seq_a, b, seq_b in rows[["norm", "seq", "other", "other_seq"]].itertuples(index=False):
-        like.setdefault(a, []).append((b, seq_b))
-    leaders: dict[str, str] = {}
-    for norm, seq in names.itertuples(index=False):
-        if not any(b in leaders and leaders[b] < seq for b, _ in like.get(norm, ())):
-            leaders[norm] = seq
-    return pd.DataFrame({"company_name": rows["company_name"].iloc[0], "norm": list(names["norm"]), "leader": [n in leaders for n in names["norm"]]})
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``company_name, norm, leader``: which names stay names of their own, as no earlier leader is like them.
+
+    ``rows``: company_name, norm, seq, other, other_seq, both directions of each pair. In each round a name follows if
+    one of its earlier names leads, and leads if all of them are decided and none does. A round decides at least the
+    earliest open name of each company; there are as many rounds as the longest run of names that wait for each other.
+    """
+    key = ["company_name", "norm"]
+    links = materialize(rows.where("other_seq < seq").select(*key, "other").distinct(), "resolve-links")
+    new = materialize(rows.select(*key).distinct().join(links.select(*key).distinct(), key, "left_anti").withColumn("leader", F.lit(True)), "resolve-decided")
+    decided = new
+    while not links.isEmpty():
+        met = links.join(new.select("company_name", F.col("norm").alias("other"), "leader"), ["company_name", "other"], "left")
+        state = met.groupBy(*key).agg(F.max("leader").alias("led"), F.count_if(F.col("leader").isNull()).alias("waiting"))
+        new = materialize(state.where("led or waiting = 0").select(*key, (~F.coalesce("led", F.lit(False))).alias("leader")), "resolve-decided")
+        decided = decided.union(new)
+        links = materialize(met.where("leader is null").select(*key, "other").join(new.select(*key), key, "left_anti"), "resolve-links")
+    return decided
 
 
 def resolve(mentions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,9 +112,9 @@ def resolve(mentions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = similar_pairs(known, threshold)
     both = pairs.union(pairs.select("company_name", "b", "a", "score")).toDF("company_name", "norm", "other", "score")
     at = known.select("company_name", "norm", "at", "known_name")
-    timed = both.join(at.drop("known_name"), ["company_name", "norm"]).join(at.select("company_name", F.col("norm").alias("other"), F.col("at").alias("other_at"), F.col("known_name").alias("other_name")), ["company_name", "other"])
+    timed = materialize(both.join(at.drop("known_name"), ["company_name", "norm"]).join(at.select("company_name", F.col("norm").alias("other"), F.col("at").alias("other_at"), F.col("known_name").alias("other_name")), ["company_name", "other"]), "resolve-pairs")
     rows = timed.select("company_name", "norm", F.col("at").alias("seq"), "other", F.col("other_at").alias("other_seq"))
-    led = rows.groupBy("company_name").applyInPandas(_leaders, "company_name string, norm string, leader boolean")
+    led = _leaders(rows)
     m = mentions.withColumn("norm", normalized(F.col("raw_name"))).withColumn("generic", is_generic(F.col("raw_name")))
     m = m.withColumn("here", F.concat_ws("|", F.date_format("extracted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("article_id").cast("string"), 20, "0")))
     m = m.join(at.select("company_name", "norm", F.col("at").alias("first_at"), "known_name"), ["company_name", "norm"], "left").join(led, ["company_name", "norm"], "left")

@@ -133,6 +133,30 @@ def test_resolve_is_the_loop_over_articles(spark):
     assert {i: (w[0].lower(), w[1]) for i, w in got.items()} == {i: (w[0].lower(), w[1]) for i, w in want.items()}
 
 
+def test_resolve_queries_take_all_mentions(spark):
+    from mapwright.plans import adapters
+    from mapwright.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["q34_resolve"](spark, sf).select("company_name", "article_id", "item", "raw_name")
+    want = adapters.mentions(spark, sf).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_leaders_are_the_loop_and_spread_by_name(spark):
+    rng, n = random.Random(5), 60
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(150)} | {(k, k + 1) for k in range(20)}
+    seq = {k: f"{k // 2:03d}" for k in range(n)}
+    data = [("c", f"n{a}", seq[a], f"n{b}", seq[b]) for x, y in pairs for a, b in ((x, y), (y, x))]
+    led: set = set()
+    for k in range(n):
+        if not any(b in led and seq[b] < seq[k] for x, y in pairs for a, b in ((x, y), (y, x)) if a == k):
+            led.add(k)
+    df = resolve._leaders(spark.createDataFrame(data, "company_name string, norm string, seq string, other string, other_seq string"))
+    met = {k for p in pairs for k in p}
+    assert {(r["norm"], r["leader"]) for r in df.collect()} == {(f"n{k}", k in led) for k in met} and df.count() == len(met)
+
+
 def test_candidates_are_capped(spark):
     known = spark.createDataFrame([("c", f"svc number {k}") for k in range(200)] + [("c", "payments gateway")], "company_name string, name string")
     got = {r["candidate"] for r in resolve.candidate_names(spark.createDataFrame([("c", "payment gateway")], "company_name string, raw_name string"), known, 10).collect()}
