@@ -70,8 +70,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 4 == 0, F.lit(None).cast("string")).when(F.col("l_partkey") % 4 == 1, "").otherwise(F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("description"),
         F.element_at(F.array(*[F.lit(x) for x in PHRASES]), ((F.col("l_linenumber") + F.col("l_suppkey")) % len(PHRASES) + 1).cast("int")).alias("raw_relation"),
         F.when(F.col("l_quantity") > 25, F.year("l_shipdate").cast("string")).when(F.col("l_linenumber") == 3, "").alias("as_of"),
-        F.col("l_quantity").alias("quantity"),
-    ).where("quantity < 48")
+    )
 
 
 SQL_LINES = rf"""
