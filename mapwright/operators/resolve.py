@@ -7,6 +7,7 @@ have a candidate pass through an ordered step, in rounds over all names at once.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mapwright.functions.keys import normalized
-from mapwright.functions.similarity import long_score, method_text, score, sorted_words
+from mapwright.functions.similarity import long_score, method_text, sorted_words
 from mapwright.functions.vocab import is_generic
 from mapwright.storage import materialize
 
 THRESHOLD = 92.0
 MIN_FUZZY = 5
 CANDIDATES = 40
+#: Names in a block of the exact comparison.
+BLOCK = 2000
 
 
 def known_names(mentions: DataFrame) -> DataFrame:
@@ -58,9 +61,11 @@ def _run_length(threshold: float) -> int:
     return least
 
 
-def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, asked: DataFrame | None = None) -> DataFrame:
     """``company_name, a, b, score`` for pairs of different normalised names at or over ``threshold``.
 
+    Each pair once, with a < b; with ``asked`` (company_name, norm), each pair with its ``a`` among these.
+
     ``names``: company_name, norm. Two such names differ by few insertions and deletions, so their sorted words have
     similar lengths and share a run of letters; runs of that length deal them out.
     """
@@ -73,7 +78,10 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     changes = F.expr(f"int(floor((n + floor(n * {(200 - threshold) / threshold})) * {loss} + 1e-9))")
     grams = grams.join(often, ["company_name", "gram"]).withColumn("rank", rank).where(F.col("rank") <= size * changes + 1)
     left, right = grams.select("company_name", F.col("norm").alias("a"), F.col("s").alias("x"), F.col("n").alias("n_a"), "gram"), grams.select("company_name", F.col("norm").alias("b"), F.col("s").alias("y"), F.col("n").alias("n_b"), "gram")
-    near = left.join(right, ["company_name", "gram"]).where((F.col("a") < F.col("b")) & (200 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
+    if asked is not None:
+        left = left.join(asked.select("company_name", F.col("norm").alias("a")).distinct(), ["company_name", "a"], "left_semi")
+    different = F.col("a") < F.col("b") if asked is None else F.col("a") != F.col("b")
+    near = left.join(right, ["company_name", "gram"]).where(different & (200 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
     # insertions and deletions number at least the edit distance, which has a fast banded form
     close = near.where(F.expr(f"levenshtein(x, y, int(floor((n_a + n_b) * {loss} + 1e-9))) >= 0"))
     pairs = close.select("company_name", "a", "b", "x", "y").distinct()
@@ -145,14 +153,57 @@ def candidate_names(unresolved: DataFrame, known: DataFrame, limit: int = CANDID
     All of them where there are at most ``limit``; else, for each unresolved name, its likest ``max(1, limit // n)``.
     ``unresolved``: company_name, raw_name; ``known``: company_name, name. The known names of one company are compared
     with its own unresolved ones only.
+
+    Names with the same words come first, then those at or over THRESHOLD, from shared runs of letters. Both are whole,
+    so a name that has enough of them is done; only the others are compared with all known names, block by block.
     """
     u = unresolved.select("company_name", "raw_name").distinct().withColumn("n_u", F.count("*").over(W.partitionBy("company_name")))
-    k = known.select("company_name", "name").distinct().withColumn("n_k", F.count("*").over(W.partitionBy("company_name")))
+    k = known.select("company_name", "name").distinct()
+    n_k = k.groupBy("company_name").agg(F.count("*").alias("n_k"))
+    k = k.join(n_k, "company_name")
     few = k.where(F.col("n_k") <= limit).join(u.select("company_name").distinct(), "company_name", "left_semi").select("company_name", F.col("name").alias("candidate"))
-    pairs = u.join(k.where(F.col("n_k") > limit), "company_name").withColumn("x", sorted_words(F.col("raw_name"))).withColumn("y", sorted_words(F.col("name")))
-    top = F.row_number().over(W.partitionBy("company_name", "raw_name").orderBy(F.desc(score("x", "y")), "name"))
-    each = F.greatest(F.lit(1), F.expr(f"{limit} div n_u"))
-    return few.union(pairs.withColumn("r", top).where(F.col("r") <= each).select("company_name", F.col("name").alias("candidate"))).distinct()
+    words = lambda c: F.coalesce(sorted_words(F.col(c)), F.lit(""))
+    norm = lambda c: F.coalesce(normalized(F.col(c)), F.lit(""))
+    u = u.join(n_k.where(F.col("n_k") > limit), "company_name", "left_semi").withColumn("each", F.greatest(F.lit(1), F.expr(f"{limit} div n_u")))
+    u = materialize(u.select("company_name", "raw_name", "each", words("raw_name").alias("x"), norm("raw_name").alias("a")), "candidates-asked")
+    k = materialize(k.where(F.col("n_k") > limit).select("company_name", "name", words("name").alias("y"), norm("name").alias("b")), "candidates-known")
+    ask, row = ["company_name", "raw_name"], ["company_name", "raw_name", "each", "name", "score"]
+    # of names with the same words only the first so many can be shown, and they are the same for all who ask
+    same = W.partitionBy("company_name", "y").orderBy("name")
+    first = k.withColumn("r", F.row_number().over(same)).where(F.col("r") <= limit)
+    found = u.join(first, (u.company_name == first.company_name) & (u.x == first.y) & (F.col("r") <= F.col("each"))).select(u.company_name, "raw_name", "each", "name", F.lit(100.0).alias("score"))
+    found = materialize(found, "candidates-same")
+    short = lambda f: u.join(f.groupBy(*ask).agg(F.count("*").alias("n")), ask, "left").where(F.coalesce("n", F.lit(0)) < F.col("each")).drop("n")
+    rest = materialize(short(found), "candidates-rest")
+    if not rest.isEmpty():
+        names = rest.select("company_name", F.col("a").alias("norm")).union(k.join(rest.select("company_name").distinct(), "company_name", "left_semi").select("company_name", "b")).distinct()
+        pairs = similar_pairs(names, asked=rest.select("company_name", F.col("a").alias("norm")))
+        near = rest.join(pairs, ["company_name", "a"]).join(k, ["company_name", "b"]).where("x <> y").select(*row)
+        found = materialize(found.union(near), "candidates-near")
+        rest = materialize(short(found), "candidates-rest")
+    if not rest.isEmpty():
+        found = found.join(rest.select(*ask), ask, "left_anti").union(_likest(rest, k))
+    top = F.row_number().over(W.partitionBy(*ask).orderBy(F.desc("score"), "name"))
+    return few.union(found.withColumn("r", top).where(F.col("r") <= F.col("each")).select("company_name", F.col("name").alias("candidate"))).distinct()
+
+
+def _likest(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """For each asked name its likest known ones of every block, ``each`` at most: company_name, raw_name, each, name, score."""
+    parts = lambda d: d.groupBy("company_name").agg(F.expr(f"int(ceil(count(*) / {BLOCK}.0))").alias("parts"))
+    n_u, n_k = parts(asked).withColumnRenamed("parts", "n_u"), parts(known).withColumnRenamed("parts", "n_k")
+    u = asked.join(n_u, "company_name").join(n_k, "company_name").withColumn("i", F.pmod(F.xxhash64("raw_name"), F.col("n_u"))).withColumn("j", F.explode(F.expr("sequence(0, n_k - 1)")))
+    k = known.join(n_u, "company_name").join(n_k, "company_name").withColumn("j", F.pmod(F.xxhash64("name"), F.col("n_k")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0L, n_u - 1L)")))
+    u, k = u.select("company_name", "i", "j", "raw_name", "each", "x"), k.select("company_name", "i", "j", "name", "y")
+    return u.groupBy("company_name", "i", "j").cogroup(k.groupBy("company_name", "i", "j")).applyInPandas(_block_likest, "company_name string, raw_name string, each int, name string, score double")
+
+
+def _block_likest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    names = list(zip(known["name"], known["y"], strict=True))
+    for company, raw, each, x in zip(asked["company_name"], asked["raw_name"], asked["each"], asked["x"], strict=True):
+        best = heapq.nsmallest(int(each), ((-long_score(x, y), n) for n, y in names))
+        out += [(company, raw, int(each), n, -s) for s, n in best]
+    return pd.DataFrame(out, columns=["company_name", "raw_name", "each", "name", "score"])
 
 
 def long_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

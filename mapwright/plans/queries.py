@@ -220,10 +220,8 @@ def q34_resolve(spark, sf):
 
 @query
 def q35_candidates(spark, sf):
-    m = adapters.mentions(spark, sf).where("kind <> 'external_system' and company_name in ('NATION_1', 'NATION_2')")
-    known = resolve.known_names(m).select("company_name", F.col("known_name").alias("name"))
-    asked = known.where(F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(40)) == 0)
-    return resolve.candidate_names(asked.withColumnRenamed("name", "raw_name"), known)
+    known = resolve.known_names(adapters.mentions(spark, sf)).select("company_name", F.col("known_name").alias("name"))
+    return resolve.candidate_names(known.withColumnRenamed("name", "raw_name"), known)
 
 
 @query
@@ -294,7 +292,7 @@ def q43_cleaned_pages(spark, sf):
 
 @query
 def q44_reachable(spark, sf):
-    e = adapters.edges(spark, sf).where("relation in ('replaced_by', 'composes') and company_name in ('NATION_1', 'NATION_2')")
+    e = adapters.edges(spark, sf).where("relation in ('replaced_by', 'composes')")
     return views.reachable(e.select("company_name", slug(F.col("source")).alias("source"), slug(F.col("target")).alias("target")), 3)
 
 

@@ -133,6 +133,14 @@ def test_resolve_is_the_loop_over_articles(spark):
     assert {i: (w[0].lower(), w[1]) for i, w in got.items()} == {i: (w[0].lower(), w[1]) for i, w in want.items()}
 
 
+def test_every_order_line_is_mentioned(spark):
+    from mapwright.plans import adapters
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert adapters.mentions(spark, sf).count() == 2 * n and adapters.edges(spark, sf).count() == n
+
+
 def test_resolve_queries_take_all_mentions(spark):
     from mapwright.plans import adapters
     from mapwright.plans.queries import QUERIES
@@ -163,6 +171,31 @@ def test_candidates_are_capped(spark):
     assert len(got) <= 10 and "payments gateway" in got
 
 
+def test_candidates_are_the_likest_of_all(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 20)
+    rng, plain = random.Random(4), lambda n: " ".join(sorted(n.lower().replace("-", " ").split()))
+    known = [f"{rng.choice(['svc', 'job', 'api'])} {rng.choice(['red', 'blue', 'green'])} {k}" for k in range(60)] + ["Payments Gateway", "gateway-payments", "x" * 70 + " a", "x" * 70 + " b", "payments gateways"]
+    asked = ["gateway payments", "payments gatewayss", "x" * 70 + " c", "svc blu 12", "nothing like it", "s3"]
+    df = spark.createDataFrame([("c", n) for n in known] + [("d", "only")], "company_name string, name string")
+    ask = spark.createDataFrame([("c", n) for n in asked] + [("d", "other"), ("e", "none")], "company_name string, raw_name string")
+    for limit in (3, 12, 24):
+        each = max(1, limit // len(asked))
+        want = {("c", n) for a in asked for _, n in sorted((-similarity.long_score(plain(a), plain(n)), n) for n in known)[:each]} | {("d", "only")}
+        got = [(r["company_name"], r["candidate"]) for r in resolve.candidate_names(ask, df, limit).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_queries_take_all_companies(spark):
+    from mapwright.plans import adapters
+    from mapwright.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    stated = adapters.edges(spark, sf).where("relation in ('replaced_by', 'composes')").select("company_name").distinct()
+    assert QUERIES["q44_reachable"](spark, sf).select("company_name").distinct().count() == stated.count() > 2
+    companies = adapters.mentions(spark, sf).select("company_name").distinct().count()
+    assert QUERIES["q35_candidates"](spark, sf).select("company_name").distinct().count() == companies > 2
+
+
 def stated(spark, rows):
     data = [("c", s, r, t, None, a_of, art_, i) for i, (art_, s, r, t, a_of) in enumerate(rows)]
     return spark.createDataFrame(data, "company_name string, source string, relation string, target string, relation_phrase string, as_of string, article_id long, item long").withColumn("extracted_at", F.expr("timestamp_seconds(article_id)"))
