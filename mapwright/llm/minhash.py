@@ -20,12 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
 from .graph import components
-from .words import NULL_ID, Block, WordHashes, blocks, inner_id, mixed, outer_id, space_words, windows
+from .words import NULL_ID, Block, WordHashes, blocks, inner_id, keyed_texts, mixed, outer_id, space_words, text_print, windows, without
 
 SHINGLE = 5
 PERCENT = 75
@@ -287,12 +286,29 @@ def _only(d: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns as they are; of rows that share an id one."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone"))
-    gone = materialize(gone, "minhash-gone")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, inner_id(id_col) == F.col("_gone"), "left_anti")
-    if left.groupBy(id_col).count().where("count > 1").isEmpty():
+    """The rows of ``docs`` whose document stays, with all their columns as they are.
+
+    Rows that share an id, or have none, are documents of their own if their texts differ; of a component the row with
+    the least id stays, then with the least digest of its text. Of rows equal in id and text one stays.
+    """
+    if docs.select(inner_id(id_col).alias("id")).groupBy("id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone"))
+        gone = materialize(gone, "minhash-gone")
+        return docs.join(_small(gone), inner_id(id_col) == F.col("_gone"), "left_anti")
+    rows = keyed_texts(docs, id_col, text_col, "minhash-rows")
+    comp = near_duplicates(rows, id_col="key", **options).select(F.col("doc_id").alias("key"), "component_id")
+    placed = materialize(rows.select("key", "own", "print").join(comp, "key"), "minhash-placed")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("own", "print")).alias("first")).select("first.*")
+    gone = materialize(placed.select("own", "print").join(stays, ["own", "print"], "left_anti"), "minhash-gone")
+    left = without(docs, _small(gone), id_col, text_col)
+    key = [inner_id(id_col).alias("_own"), text_print(text_col).alias("_print")]
+    if left.groupBy(*key).count().where("count > 1").isEmpty():
         return left
-    first = left.withColumn("_row", F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)))
-    return first.where("_row = 1").drop("_row")
+    # partial sums of equal rows meet, not the rows themselves
+    plain = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    one = left.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_row"))
+    return one.select("_row.*")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids

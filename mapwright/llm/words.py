@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mapwright.storage import materialize
+
 #: Stands for a null id inside an operator; null ids sort first.
 NULL_ID = -(1 << 63)
 #: Texts are handled in blocks of about so many bytes.
@@ -36,6 +38,22 @@ def outer_id(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def text_print(name: str) -> Column:
+    """A digest of a text, empty for a null one: with the id it tells apart rows that share an id."""
+    return F.coalesce(F.md5(F.col(name).cast("string")), F.lit(""))
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFrame:
+    """``key, own, print, text``: one row, with a key of its own, for each id and text; written to the shared folder."""
+    rows = docs.select(inner_id(id_col).alias("own"), text_print(text_col).alias("print"), F.col(text_col).cast("string").alias("text"))
+    return materialize(rows.groupBy("own", "print").agg(F.first("text").alias("text")).withColumn("key", F.monotonically_increasing_id()), tag)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not in ``gone`` (own, print)."""
+    return docs.join(gone.toDF("_own", "_print"), (inner_id(id_col) == F.col("_own")) & (text_print(text_col) == F.col("_print")), "left_anti")
+
+
 def space_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of characters other than U+0020 and U+0009 to U+000D; ``lower`` turns A-Z into a-z."""
     raw = (text or "").encode("utf-8", "replace")

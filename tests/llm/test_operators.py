@@ -170,6 +170,16 @@ def test_near_duplicates_are_the_plain_components(spark, docs, monkeypatch):
     assert kept == sorted(i for i, (_, c) in plain_components(DOCS).items() if i == c)
 
 
+def test_keep_one_keeps_texts_that_share_an_id(spark):
+    near = [" ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)) + " z"]
+    rows = [(None, "alpha one two three four five", "a"), (None, near[0], "b"), (7, near[1], "c"), (None, "beta six seven eight nine ten", "d"), (3, "gamma " * 9, "e"), (3, "delta a b c d e f", "f"), (9, near[0], "g"), (4, "x y z", "h"), (4, "x y z", "i"), (None, None, "j"), (None, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = minhash.keep_one(df)
+    assert got.schema == df.schema
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in {(i, t) for i, t, _ in rows if i not in (7, 9)})
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+
+
 # --- lines -------------------------------------------------------------------------------------------------------
 
 
