@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mapwright.storage import materialize
 
-from .words import NULL_ID, Block, WordHashes, blocks, inner_id, letter_words, mixed, outer_id, parts, sliding_min, windows
+from .words import Block, WordHashes, blocks, inner_id, keyed_texts, letter_words, mixed, outer_id, parts, sliding_min, windows, without
 
 WINDOW = 13
 GRAM = 8
@@ -269,6 +269,6 @@ def keep_clean(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     known, value = _item_windows(bench, item_id_col, item_text_col, window, gram, broadcast_windows)
     if value is not None:
         return docs.mapInArrow(_clean_rows(value, window, gram, text_col), docs.schema)
-    d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bad = _joined(d, materialize(known, "decontam-items"), window, gram).where("contaminated").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_bad"), "left_anti")
+    rows = keyed_texts(docs, id_col, text_col, "decontam-rows")  # each judged by its own text, whatever its id
+    bad = _joined(rows.select(F.col("key").alias("id"), "text"), materialize(known, "decontam-items"), window, gram).where("contaminated").select(F.col("id").alias("key"))
+    return without(docs, rows.select("key", "own", "print").join(bad, "key").select("own", "print"), id_col, text_col)

@@ -115,6 +115,15 @@ def plain_repeats(rows, size=20):
     return out
 
 
+def test_keep_clean_judges_rows_by_their_own_text(spark):
+    passage = " ".join(f"q{k}" for k in range(20))
+    df = spark.createDataFrame([(1, passage), (1, "clean words"), (None, passage), (None, "other words"), (None, None), (2, "x"), (2, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    want = [(0, ""), (0, "other words"), (1, "clean words"), (2, "x"), (2, "x")]
+    for bound in (1000, 0):
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontam.keep_clean(df, bench, broadcast_windows=bound).collect()) == want
+
+
 def test_remove_repeats_is_the_plain_result(spark, docs):
     got = by_id(substring.remove_repeats(docs, with_text=True))
     want = plain_repeats(DOCS)
