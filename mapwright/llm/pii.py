@@ -11,6 +11,7 @@ carried to the texts; everything else is computed where the text is.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -36,19 +37,32 @@ GIVEN = {
 }
 CLASS_OF = {name: kind for kind, names in GIVEN.items() for name in names}
 
+#: What a key or token starts with; a surrogate keeps it.
+_PREFIX = r"AKIA|ASIA|gh[pousr]_|github_pat_|sk-(?:proj-|live-|ant-)?|xox[abprs]-|glpat-|AIza"
 #: By kind, in order of precedence where finds overlap.
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])"),
+    ("token", rf"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|(?:{_PREFIX})[0-9A-Za-z_-]{{16,255}}|eyJ[\w-]{{6,}}\.eyJ[\w-]{{6,}}\.[\w-]{{6,}})(?![0-9A-Za-z])"),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("token", r"(?<![0-9A-Za-z+/=_-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?:[0-9A-Fa-f]{32,128}|[0-9A-Za-z+/]{40,512}={0,2})(?![0-9A-Za-z+/=_-])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
-    ("phone", r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
+    ("ipv6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
+    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+-])(?:1[ .-])?\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4}(?![\w-]|\.\d)"),
     ("card", r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|(?<![\d.])\d{13,19}(?!\d)"),
 )
-_FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
+_KINDS = [kind for kind, _ in PATTERNS]
+_FIND = re.compile("|".join(f"(?P<k{n}>{pattern})" for n, (_, pattern) in enumerate(PATTERNS)))
+#: Account numbers are known by their check digits, values by the word before them; both go before the patterns.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_PAIR = re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"',;]*\d)((?:[!#$%&*+./=@^_~-]*[A-Za-z0-9]){8,128}[!#$%&*+/=@^_~-]{0,8})")
 #: Only lines with one of these can hold an entity of the patterns.
-_SIGN = re.compile(r"[0-9@]|AKIA|ASIA")
-_GIVEN = re.compile("(?:" + "|".join(sorted(CLASS_OF, key=lambda n: (-len(n), n))) + r")(?!\w)")
-_FAMILY = re.compile(r" (?:[^\W\d_]\. )?([^\W\d_]{3,})(?!\w)")
+_SIGN = re.compile(rf"[0-9@]|{_PREFIX}|eyJ")
+_UPPER = {name.upper(): name for name in CLASS_OF}
+_GIVEN = re.compile("(?:" + "|".join(sorted({*CLASS_OF, *_UPPER}, key=lambda n: (-len(n), n))) + r")(?!\w)")
+_NAME = r"[^\W\d_]+(?:['’-][^\W\d_]{2,})*"
+_FAMILY = re.compile(rf" (?:[^\W\d_]\. )?({_NAME})(?!\w)")
+_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.? (?:[^\W\d_]\. )?({_NAME})(?!\w)")
 
 
 class Stream:
@@ -72,8 +86,12 @@ def luhn(digits: str) -> bool:
 
 def canonical(kind: str, value: str) -> str:
     """The form that all spellings of an entity share."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         return re.sub(r"\D", "", value)
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     return value.lower() if kind in ("email", "secret", "family") else value
 
 
@@ -92,6 +110,18 @@ def _letters(r: Stream, like: str) -> str:
     return "".join(out)
 
 
+def _like(r: Stream, c: str) -> str:
+    """A digit for a digit, a letter for a letter of its case, the rest as it is."""
+    for kind in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if c in kind:
+            return kind[r.below(len(kind))]
+    return c
+
+
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def surrogate(kind: str, canon: str, key: str = KEY, attempt: int = 0) -> str:
     """The canonical form of the entity that stands for ``canon``."""
     r = Stream(key, kind, canon, attempt)
@@ -102,6 +132,17 @@ def surrogate(kind: str, canon: str, key: str = KEY, attempt: int = 0) -> str:
         return _letters(r, local) + "@" + ".".join([*(_letters(d, n) for n in names[:-1]), names[-1]])
     if kind == "secret":
         return "".join("0123456789abcdef"[r.below(16)] for _ in canon)
+    if kind == "token":
+        start = re.match(_PREFIX + "|eyJ", canon)
+        keep = start.end() if start else 0
+        return canon[:keep] + "".join(_like(r, c) for c in canon[keep:])
+    if kind == "ssn":
+        return "".join(str(r.below(10)) for _ in canon)
+    if kind == "iban":
+        body = "".join(_like(r, c) for c in canon[4:])
+        return canon[:2] + f"{98 - _mod97(canon[:2] + '00' + body):02d}" + body
+    if kind == "ipv6":
+        return ":".join(f"{r.below(1 << 16):04x}" for _ in range(8))
     if kind == "ip":
         return ".".join(str(1 + r.below(254)) for _ in range(4))
     if kind == "phone":
@@ -118,43 +159,87 @@ def surrogate(kind: str, canon: str, key: str = KEY, attempt: int = 0) -> str:
 
 def given_name(name: str, key: str = KEY) -> str:
     """A name of the same script and gender: the next one in a keyed order, so different names stay different."""
+    if name in _UPPER and name not in CLASS_OF:
+        return given_name(_UPPER[name], key).upper()
     names = sorted(GIVEN[CLASS_OF[name]], key=lambda x: Stream(key, "given", x).below(1 << 62))
     return names[(names.index(name) + 1) % len(names)]
 
 
 def _as_written(kind: str, canon: str, found: str) -> str:
     """The surrogate in the format of what it replaces."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         digits = iter(canon)
         return "".join(next(digits) if c.isdigit() else c for c in found)
+    if kind == "iban":
+        signs = iter(canon)
+        return "".join(c if c == " " else next(signs) for c in found)
     if kind == "secret":
         return canon.upper() if found.upper() == found and found.lower() != found else canon
     if kind == "family":
-        return canon.upper() if found.isupper() else canon[:1].upper() + canon[1:] if found[:1].isupper() else canon
+        if found.isupper() and len(found) > 1:
+            return canon.upper()
+        return "".join(c.upper() if found[k : k + 1].isupper() else c for k, c in enumerate(canon))
     return canon
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of the entities of a text in order; a person's given and family name are one each."""
+    """(start, end, kind, value) of the entities of a text in order; a person's given and family name are one each.
+
+    A family name is one after a given name or a title; where it stands elsewhere in the text it is found as well.
+    """
     text, out, at = text or "", [], 0
+    first = [(m.start(), m.end(), "iban", m.group()) for m in _IBAN.finditer(text) if _mod97(m.group().replace(" ", "")) == 1]
+    for m in _PAIR.finditer(text):
+        known = re.match(_FIND, m.group(1))
+        if not (known and known.end() == len(m.group(1))):
+            first.append((m.start(1), m.end(1), "token", m.group(1)))
     while m := _SIGN.search(text, at):
         start = text.rfind("\n", 0, m.start()) + 1
         at = text.find("\n", m.start())
         at = len(text) if at < 0 else at
-        out += [(f.start(), f.end(), f.lastgroup, f.group()) for f in _FIND.finditer(text, start, at)]
-    taken = len(out)
+        for f in _FIND.finditer(text, start, at):
+            kind = next(k for n, k in enumerate(_KINDS) if f.group(f"k{n}") is not None)
+            if kind == "ipv6" and not _is_ipv6(f.group()):
+                continue
+            out.append((f.start(), f.end(), kind, f.group()))
+    if first:
+        alone: list = []
+        for x in sorted(first):
+            if not alone or alone[-1][1] <= x[0]:
+                alone.append(x)
+        out = sorted([x for x in out if not any(s < x[1] and x[0] < e for s, e, _, _ in alone)] + alone)
+    free = bytearray(b"\1") * len(text)
+    for s, e, _, _ in out:
+        free[s:e] = bytes(e - s)
+    people: dict[int, tuple[int, int, str, str]] = {}
     for m in _GIVEN.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
             continue
-        if any(s < m.end() and m.start() < e for s, e, _, _ in out[:taken]):
-            continue
-        out.append((m.start(), m.end(), "given", m.group()))
-        if (f := _FAMILY.match(text, m.end())) and f.group(1)[0].isupper():
-            out.append((f.start(1), f.end(1), "family", f.group(1)))
-    if len(out) > taken:  # a given name that was taken for a family name, as in "Anna Maria", stays a given name
-        given = {s for s, _, kind, _ in out if kind == "given"}
-        out = sorted(x for x in out if x[2] != "family" or x[0] not in given)
-    return out
+        if free.find(0, m.start(), m.end()) < 0:
+            people[m.start()] = (m.start(), m.end(), "given", m.group())
+    # a given name that could be taken for a family name, as in "Anna Maria", stays a given name
+    spots = [f for m in list(people.values()) if (f := _FAMILY.match(text, m[1]))] + list(_TITLED.finditer(text))
+    for f in spots:
+        name = f.group(1)
+        if name[0].isupper() and len(name) > 1 and f.start(1) not in people and free.find(0, f.start(1), f.end(1)) < 0:
+            people[f.start(1)] = (f.start(1), f.end(1), "family", name)
+    names = {x[3] for x in people.values() if x[2] == "family" and len(x[3]) > 2}
+    if names:
+        for s, e, _, _ in people.values():
+            free[s:e] = bytes(e - s)
+        names |= {n.upper() for n in names} | {n.title() for n in names if n.isupper()}
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=lambda n: (-len(n), n))) + r")(?!\w)", text):
+            if free.find(0, m.start(), m.end()) < 0:
+                people[m.start()] = (m.start(), m.end(), "family", m.group())
+    return sorted([*out, *people.values()]) if people else out
+
+
+def _is_ipv6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+        return True
+    except ValueError:
+        return False
 
 
 def replace(text: str | None, exceptions: dict, key: str = KEY, known: dict | None = None) -> tuple[str | None, int]:
@@ -197,7 +282,7 @@ def _exceptions(distinct: DataFrame, key: str) -> DataFrame:
     while True:
         order = F.row_number().over(W.partitionBy("kind", "made").orderBy("attempt", "canon"))
         apart = tried.groupBy("kind", "made").count().where("count > 1").select("kind", "made")
-        later = tried.join(apart, ["kind", "made"], "left_semi").withColumn("k", order).where("k > 1").drop("k")
+        later = tried.join(apart, ["kind", "made"], "left_semi").withColumn("k", order).where("k > 1").select(tried.columns)
         bad = materialize(later.union(tried.join(real, ["kind", "made"], "left_semi").select(tried.columns)).select("kind", "canon", "attempt").distinct(), "pii-bad")
         if bad.isEmpty():
             return tried.where("attempt > 0").select("kind", "canon", "attempt")
