@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mapwright.storage import materialize
 
-from .words import Block, WordHashes, blocks, inner_id, keyed_texts, letter_words, mixed, outer_id, parts, sliding_min, windows, without
+from .words import Block, WordHashes, blocks, inner_id, keyed_texts, letter_words, mapped, mixed, outer_id, parts, sliding_min, windows, without
 
 WINDOW = 13
 GRAM = 8
@@ -235,7 +235,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known, value = _item_windows(bench, item_id_col, item_text_col, window, gram, broadcast_windows)
     if value is not None:
-        out = d.mapInArrow(_by_broadcast(value, window, gram), RESULT.replace("doc_id", "id"))
+        out = mapped(d, _by_broadcast(value, window, gram), RESULT.replace("doc_id", "id"))
     else:
         out = _joined(d, materialize(known, "decontam-items"), window, gram)
     return out.select(outer_id("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
@@ -246,7 +246,7 @@ def _item_windows(bench: DataFrame, id_col: str, text_col: str, window: int, gra
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     items = bench.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    known = items.mapInArrow(_item_rows(window, gram), "key long, size int, print long, item string").distinct()
+    known = mapped(items, _item_rows(window, gram), "key long, size int, print long, item string").distinct()
     head = known.limit(bound + 1).collect() if bound > 0 else []
     small = bound > 0 and len(head) <= bound
     return known, bench.sparkSession.sparkContext.broadcast(_Known(head, window)) if small else None
@@ -254,7 +254,7 @@ def _item_windows(bench: DataFrame, id_col: str, text_col: str, window: int, gra
 
 def _joined(d: DataFrame, known: DataFrame, window: int, gram: int) -> DataFrame:
     short = [r[0] for r in known.where(F.col("size") < window).select("size").distinct().collect()]  # at most window - 1
-    prints = materialize(d.mapInArrow(_doc_prints(window, gram, short), "k long, id long"), "decontam-prints")
+    prints = materialize(mapped(d, _doc_prints(window, gram, short), "k long, id long"), "decontam-prints")
     of_items = known.select(F.when(F.col("size") == window, F.col("print")).otherwise(F.col("key")).alias("k"), (F.col("size") < window).alias("whole")).distinct()
     shared = materialize(prints.join(of_items, "k"), "decontam-shared")
     near = d.join(shared.where("not whole").groupBy("id").agg(F.collect_set("k").alias("shared")), "id").mapInArrow(_near_windows(window, gram), "key long, id long")
@@ -268,7 +268,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     """The rows of ``docs`` that :func:`decontaminate` does not mark, with all their columns as they are."""
     known, value = _item_windows(bench, item_id_col, item_text_col, window, gram, broadcast_windows)
     if value is not None:
-        return docs.mapInArrow(_clean_rows(value, window, gram, text_col), docs.schema)
+        return mapped(docs, _clean_rows(value, window, gram, text_col), docs.schema)
     rows = keyed_texts(docs, id_col, text_col, "decontam-rows")  # each judged by its own text, whatever its id
     bad = _joined(rows.select(F.col("key").alias("id"), "text"), materialize(known, "decontam-items"), window, gram).where("contaminated").select(F.col("id").alias("key"))
     return without(docs, rows.select("key", "own", "print").join(bad, "key").select("own", "print"), id_col, text_col)

@@ -12,7 +12,6 @@ components that the sketches do not rule out.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from mapwright.storage import materialize
 
 from .graph import components
-from .words import NULL_ID, Block, WordHashes, blocks, inner_id, keyed_texts, mixed, outer_id, space_words, text_print, windows, without
+from .words import NULL_ID, Block, WordHashes, blocks, inner_id, keyed_texts, mapped, mixed, outer_id, space_words, text_print, windows, without
 
 SHINGLE = 5
 PERCENT = 75
@@ -35,16 +34,11 @@ SKETCH_WORDS = 8
 LONG_SAMPLES, LONG_WORDS, BLOCK = 1536, 96, 1500
 #: How many standard deviations from what the threshold gives a sketch may lie.
 SLACK = 5
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 SIGNATURE = "id long, n long, set_a long, set_b long, bands array<long>, odd array<long>"
 
 
-def _set_of(words: list[bytes], cache: WordHashes, size: int) -> np.ndarray:
-    h = cache.of(words)
-    return np.unique(windows(h, min(size, len(h)) or 1))
-
-
 def _sets(rows: dict, cache: WordHashes, size: int) -> list[np.ndarray]:
     """The distinct shingles of each text; of a text under ``size`` words, its whole sequence as one."""
     b = Block(rows["id"], rows["text"], [space_words(t, lower=True) for t in rows["text"]], cache)
@@ -54,73 +48,71 @@ def _sets(rows: dict, cache: WordHashes, size: int) -> list[np.ndarray]:
     return out
 
 
-def _signatures(size: int, bands: int, per_band: int, seed: int = 7):
+def _hash_functions(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    flips = rng.integers(0, 1 << 63, bands * per_band, dtype=np.uint64)
-    times = rng.integers(0, 1 << 63, bands * per_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flips = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
+    return flips, rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _least(sets: list[np.ndarray], flips: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """By set (none empty) and hash function, the least hash; in pieces that stay in the processor's cache."""
+    least, at = np.empty((len(sets), len(flips)), dtype=np.uint64), 0
+    while at < len(sets):
+        upto, total = at, 0
+        while upto < len(sets) and (upto == at or total + len(sets[upto]) < 1 << 15):
+            total += len(sets[upto])
+            upto += 1
+        flat = np.concatenate(sets[at:upto])
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[at:upto]])[:-1]])
+        for j in range(len(flips)):
+            least[at:upto, j] = np.minimum.reduceat((flat ^ flips[j]) * times[j], starts)
+        at = upto
+    return least
+
+
+def _odd_bits(least: np.ndarray, flips: np.ndarray, words: int) -> np.ndarray:
+    """The samples folded into parity bitmaps of so many 64-bit words."""
+    bits = words * 64
+    spots = (mixed(least ^ flips[None, :]) % np.uint64(bits)).astype(np.int32)
+    odd = np.empty((len(least), words), dtype=np.int64)
+    for k, own in enumerate(spots):
+        odd[k] = np.packbits((np.bincount(own, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+    return odd
+
+
+def _signatures(size: int, bands: int, per_band: int, seed: int = 7):
+    flips, times = _hash_functions(bands * per_band, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bits = WordHashes(), SKETCH_WORDS * 64
+        cache = WordHashes()
         for rows in blocks(batches):
             sets = _sets(rows, cache, size)
             full = [k for k, s in enumerate(sets) if len(s)]
-            least = np.empty((len(full), bands * per_band), dtype=np.uint64)
-            at = 0
-            while at < len(full):  # pieces that stay in the cache
-                upto, total = at, 0
-                while upto < len(full) and (upto == at or total + len(sets[full[upto]]) < 1 << 15):
-                    total += len(sets[full[upto]])
-                    upto += 1
-                flat = np.concatenate([sets[k] for k in full[at:upto]])
-                starts = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full[at:upto]])[:-1]])
-                for j in range(bands * per_band):
-                    least[at:upto, j] = np.minimum.reduceat((flat ^ flips[j]) * times[j], starts)
-                at = upto
+            least = _least([sets[k] for k in full], flips, times)
             keys = np.zeros((len(full), bands), dtype=np.uint64)
             for j in range(per_band):
                 keys = mixed(keys * np.uint64(31) + least[:, j::per_band][:, :bands])
-            keys = mixed(keys ^ np.arange(bands, dtype=np.uint64)[None, :])
-            spots = (mixed(least ^ flips[None, :]) % np.uint64(bits)).astype(np.int64)
-            odd = np.zeros((len(full), bits), dtype=np.uint8)
-            np.add.at(odd, (np.arange(len(full))[:, None], spots), 1)
-            packed = np.packbits(odd & 1, axis=1).view(np.int64)
-            bands_out, odd_out = [[]] * len(sets), [[]] * len(sets)
-            for r, k in enumerate(full):
-                bands_out[k], odd_out[k] = keys[r].view(np.int64), packed[r]
+            keys, odd = mixed(keys ^ np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64), _odd_bits(least, flips, SKETCH_WORDS)
+            there = np.zeros(len(sets) + 1, dtype=np.int32)
+            there[1:][full] = 1
+            ends = np.cumsum(there, dtype=np.int32)
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             signed = np.array([[d >> 64, d & 0xFFFFFFFFFFFFFFFF] for d in digests], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(bands_out, pa.list_(pa.int64())), pa.array(odd_out, pa.list_(pa.int64()))],
-                names=["id", "n", "set_a", "set_b", "bands", "odd"],
-            )
+            lists = [pa.ListArray.from_arrays(pa.array(ends * v.shape[1]), pa.array(v.ravel())) for v in (keys, odd)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), *lists], names=["id", "n", "set_a", "set_b", "bands", "odd"])
 
     return run
 
 
-def _confirm(size: int, percent: int):
-    """(a, b) for the pairs whose full sets are alike enough. Sets of recent texts are kept, a bounded number of them."""
+def _shingle_rows(size: int):
+    """(id, shingles) by text: its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, kept = WordHashes(), OrderedDict(), 0
-
-        def of(k: int, text: str) -> np.ndarray:
-            nonlocal kept
-            if k not in held:
-                held[k] = _set_of(space_words(text, lower=True), cache, size)
-                kept += len(held[k])
-                while kept > 1 << 21 and len(held) > 1:
-                    kept -= len(held.popitem(last=False)[1])
-            return held[k]
-
-        for rows in blocks(batches, "text_a"):
-            out = []
-            for a, b, x, y in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):
-                s = of(a, x)
-                t = of(b, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        cache = WordHashes()
+        for rows in blocks(batches):
+            sets = _sets(rows, cache, size)
+            ends = np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
 
     return run
 
@@ -160,7 +152,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if not d.groupBy("id").count().where("count > 1").isEmpty():
         d = d.groupBy("id").agg(F.min("text").alias("text"))
-    sig = materialize(d.mapInArrow(_signatures(shingle, bands, rows), SIGNATURE), "minhash-signatures")
+    sig = materialize(mapped(d, _signatures(shingle, bands, rows), SIGNATURE), "minhash-signatures")
     full, key = sig.where("n > 0"), ["set_a", "set_b", "n"]
     reps = materialize(full.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "minhash-sets")
     copies = full.select("id", *key).join(reps.select(F.col("id").alias("a"), *key), key).where("a <> id").select("a", F.col("id").alias("b"))
@@ -176,18 +168,18 @@ def _links(d: DataFrame, reps: DataFrame, shingle: int, percent: int, samples: i
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q")
     met = materialize(buckets.join(shared.select("bucket"), "bucket").distinct(), "minhash-buckets")
     ids = materialize(met.select("id").distinct(), "minhash-met")
-    look, texts = _only(reps, ids).select("id", "n", "odd"), _only(d, ids)
+    look, sets = _only(reps, ids).select("id", "n", "odd"), materialize(mapped(_only(d, ids), _shingle_rows(shingle), "id long, shingles array<long>"), "minhash-shingles")
     found, comp = None, None
     for pivot in (F.max_by("id", F.struct("copies", -F.col("id"))), F.min("id")):
         pairs = _pairs(met, comp, pivot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = pairs.join(_side(look, "a"), "a").join(_side(look, "b"), "b").where(_close("a", "b", percent, samples)).select("a", "b")
-        new = materialize(_confirmed(near, texts, shingle, percent), "minhash-pairs")
+        new = materialize(_confirmed(near, sets, percent), "minhash-pairs")
         found = new if found is None else found.union(new)
         comp = components(found)
         if _mixed(met, comp).isEmpty():
             return found
-    near = materialize(_block_pairs(d, reps, met, comp, shingle, percent), "minhash-left")
-    return found.union(materialize(_confirmed(near, texts, shingle, percent), "minhash-pairs"))
+    near = materialize(_block_pairs(sets, reps, met, comp, shingle, percent), "minhash-left")
+    return found.union(materialize(_confirmed(near, sets, percent), "minhash-pairs"))
 
 
 def _with_component(met: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -212,20 +204,16 @@ def _pairs(met: DataFrame, comp: DataFrame | None, pivot: Column) -> DataFrame:
     return now.withColumnRenamed("id", "b").join(of, "bucket").where(F.col("component") != component_a).select("a", "b")
 
 
-def _long_sketches(size: int, seed: int = 11):
-    rng = np.random.default_rng(seed)
-    flips = rng.integers(0, 1 << 63, LONG_SAMPLES, dtype=np.uint64)
-    times = rng.integers(0, 1 << 63, LONG_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _long_sketches(seed: int = 11):
+    flips, times = _hash_functions(LONG_SAMPLES, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bits = WordHashes(), LONG_WORDS * 64
-        for rows in blocks(batches):
-            out = []
-            for s in _sets(rows, cache, size):
-                least = np.array([((s ^ f) * t).min() for f, t in zip(flips, times, strict=True)], dtype=np.uint64) if len(s) else flips
-                odd = np.bincount((mixed(least ^ flips) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-                out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(out, pa.binary())], names=["id", "sketch"])
+        for batch in batches:
+            ids, sets = batch.column(0), batch.column(1)
+            for at in range(0, len(ids), 256):
+                own = [np.asarray(x).view(np.uint64) for x in sets.slice(at, 256).to_numpy(zero_copy_only=False)]
+                odd = _odd_bits(_least(own, flips, times), flips, LONG_WORDS)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array([x.tobytes() for x in odd], pa.binary())], names=["id", "sketch"])
 
     return run
 
@@ -255,11 +243,11 @@ def _alike(percent: int):
     return run
 
 
-def _block_pairs(d: DataFrame, reps: DataFrame, met: DataFrame, comp: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _block_pairs(sets: DataFrame, reps: DataFrame, met: DataFrame, comp: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components left in buckets, from blocks of bounded size."""
     now = materialize(_with_component(met, comp).join(_mixed(met, comp), "bucket", "left_semi").select("bucket", "id", "component"), "minhash-open")
     ids = materialize(now.select("id").distinct(), "minhash-open-ids")
-    sketches = materialize(_only(d, ids).mapInArrow(_long_sketches(shingle), "id long, sketch binary"), "minhash-long")
+    sketches = materialize(mapped(_only(sets, ids), _long_sketches(), "id long, sketch binary"), "minhash-long")
     counts = now.groupBy("bucket").agg(F.expr(f"int(ceil(count(*) / {BLOCK}.0))").alias("parts"))
     rows = now.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a block goes to its meetings with every block of the bucket, itself included
@@ -273,9 +261,11 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "id"])
 
 
-def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    full = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long")
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
+    full = near.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a")
+    both, total = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long"), (F.size("a_shingles") + F.size("b_shingles")).cast("long")
+    return full.where(100 * both >= percent * (total - both)).select("a", "b")
 
 
 def _only(d: DataFrame, ids: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
-from .words import blocks
+from .words import blocks, mapped
 
 TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
-    pieces = materialize(d.mapInArrow(_pieces(tokenizer_path, tokenizer, tokens, end_id), schema), "packing-pieces")
+    pieces = materialize(mapped(d, _pieces(tokenizer_path, tokenizer, tokens, end_id), schema), "packing-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     bases = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

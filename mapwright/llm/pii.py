@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
-from .words import blocks, inner_id, outer_id
+from .words import blocks, inner_id, mapped, outer_id
 
 KEY = "mapwright"
 #: So many exceptions are broadcast; with more, they are joined to the documents that mention them.
@@ -312,13 +312,13 @@ def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     are not looked at.
     """
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    mentions = materialize(d.mapInArrow(_mentions, "id long, kind string, canon string"), "pii-mentions")
+    mentions = materialize(mapped(d, _mentions, "id long, kind string, canon string"), "pii-mentions")
     odd = materialize(_exceptions(mentions.select("kind", "canon").distinct(), key), "pii-exceptions")
     few = odd.limit(broadcast_exceptions + 1).collect() if broadcast_exceptions > 0 else None
     shape = "id long, text string, n_entities long"
     if few is not None and len(few) <= broadcast_exceptions:
         shared = d.sparkSession.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in few})
-        out = d.mapInArrow(_replaced(key, shared), shape)
+        out = mapped(d, _replaced(key, shared), shape)
     else:
         own = mentions.join(odd, ["kind", "canon"]).groupBy("id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("own"))
         out = d.join(own, "id", "left").mapInArrow(_replaced(key, None), shape)

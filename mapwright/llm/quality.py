@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mapwright.storage import materialize
 
-from .words import Block, WordHashes, blocks, inner_id, outer_id, parts, space_words, windows
+from .words import Block, WordHashes, blocks, inner_id, mapped, outer_id, parts, space_words, windows
 
 #: The scorer is fitted on about so many documents, poor and good in equal number at most.
 SAMPLE_ROWS = 20_000
@@ -183,7 +183,7 @@ class Model:
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = d.mapInArrow(_feature_rows, "id long, pattern long, words long, places array<int>, shares array<float>")
+    rows = mapped(d, _feature_rows, "id long, pattern long, words long, places array<int>, shares array<float>")
     return materialize(rows, "quality-features")
 
 
@@ -241,4 +241,4 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that :func:`score_quality` keeps, with all their columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, sample_rows=sample_rows))
-    return docs.mapInArrow(_good_rows(model, text_col, threshold), docs.schema)
+    return mapped(docs, _good_rows(model, text_col, threshold), docs.schema)

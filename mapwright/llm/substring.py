@@ -24,11 +24,11 @@ from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
-from .words import Block, WordHashes, blocks, inner_id, outer_id, sliding_min, space_words, windows
+from .words import Block, WordHashes, blocks, inner_id, mapped, outer_id, sliding_min, space_words, windows
 
 WINDOW = 20
 #: So many ids are broadcast to keep only matching texts before a join; with more, the texts are joined unfiltered.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 _PLACE_BITS = 26
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     d = docs.select(inner_id(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = d.mapInArrow(_anchor_rows(window), "k long, h long, id long, known boolean, first boolean")
+    rows = mapped(d, _anchor_rows(window), "k long, h long, id long, known boolean, first boolean")
     by_key = W.partitionBy("k")
     again = rows.withColumn("n", F.sum(F.col("first").cast("int")).over(by_key)).where("known or n > 1")
     repeated = materialize(again.groupBy("id").agg(F.collect_set("h").alias("repeated")), "repeats-anchors")

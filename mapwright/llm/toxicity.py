@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHashes, blocks, inner_id, mixed, outer_id, space_words, windows
+from .words import WordHashes, blocks, inner_id, mapped, mixed, outer_id, space_words, windows
 
 #: At most about so many labelled documents are fitted on.
 SAMPLE_ROWS = 6_000
@@ -327,5 +327,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn=learn, sample_rows=sample_rows))
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = d.mapInArrow(_score_rows(model), "id long, score double")
+    out = mapped(d, _score_rows(model), "id long, score double")
     return out.select(outer_id("id").alias("doc_id"), F.round("score", 9).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

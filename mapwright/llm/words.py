@@ -15,20 +15,34 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mapwright.storage import materialize
 
 #: Stands for a null id inside an operator; null ids sort first.
 NULL_ID = -(1 << 63)
-#: Texts are handled in blocks of about so many bytes.
-BLOCK_BYTES = 8 << 20
+#: Texts are handled in blocks of about so many bytes and at most so many rows.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 2_000
+#: An Arrow batch holds about so many bytes (see :func:`mapped`).
+BATCH_BYTES = 4 << 20
 #: A task keeps at most so many words' hashes at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 60_000
 
 _ODD = 0x9E3779B97F4A7C15
 _SHARED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in Arrow batches of a bounded size, unless the session has a bound of its own.
+
+    A batch of the default 10,000 whole texts takes tens of MB in each of a task's processes.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def inner_id(name: str) -> Column:
     """An id as a long without nulls; :func:`outer_id` undoes it."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
@@ -135,19 +149,19 @@ class Block:
 
 
 def parts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into slices of about BLOCK_BYTES of text."""
+    """Arrow batches cut into slices of about BLOCK_BYTES of text and at most BLOCK_ROWS rows."""
     for batch in batches:
         at, col = 0, batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         ends = np.cumsum(sizes)
         while at < len(sizes):
             done = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, side="right")))
+            upto = min(at + BLOCK_ROWS, max(at + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, side="right"))))
             yield batch.slice(at, upto - at)
             at = upto
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[dict[str, list]]:
-    """The rows of Arrow batches as columns of Python lists, in blocks of about BLOCK_BYTES of text."""
+    """The rows of Arrow batches as columns of Python lists, a block at a time (:func:`parts`)."""
     for part in parts(batches, text):
         yield {name: part.column(k).to_pylist() for k, name in enumerate(part.schema.names)}
