@@ -21,8 +21,10 @@ from mapwright.storage import materialize
 
 from .words import Block, WordHashes, blocks, inner_id, mapped, outer_id, parts, space_words, windows
 
-#: The scorer is fitted on about so many documents, poor and good in equal number at most.
+#: The scorer is fitted on about so many documents; poor and good ones weigh the same in all.
 SAMPLE_ROWS = 20_000
+#: A task keeps the features of so many words at a time.
+CACHE_SHAPES = 60_000
 DIMENSIONS = 1 << 12
 THRESHOLD = 0.5
 
@@ -42,7 +44,7 @@ class _Shapes(dict):
     """A word's shape (letters, capitals, digits, signs; runs as one) as a feature's place."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= CACHE_SHAPES:
             self.clear()
         self[word] = place = xxhash.xxh3_64_intdigest(b"shape " + _RUNS.sub(rb"\1", word.translate(_SHAPES))[:24]) % DIMENSIONS
         return place
@@ -95,10 +97,10 @@ class Reader:
         v = np.stack([m[:, 0] > 0.3, m[:, 1] > 0.08, m[:, 2] > 0.5, m[:, 3] > 0.4, m[:, 4] > 0.5, (m[:, 5] > 0.4) & (m[:, 8] >= 20), m[:, 6] > 0.1, m[:, 7] > 0.2], axis=1)
         return v & enough[:, None]
 
-    def features(self, m: np.ndarray, b: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    def features(self, m: np.ndarray, words: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """By text: places and values; the shares of its word shapes, and its measures in steps."""
         out = []
-        for k, ws in enumerate(b.words):
+        for k, ws in enumerate(words):
             places, counts = np.unique(np.fromiter(map(self.shapes.__getitem__, ws), dtype=np.int64, count=len(ws)), return_counts=True)
             steps = [_STEPS[j][min(9, int(10 * m[k, j]))] for j in range(8)]
             out.append((np.concatenate([places, steps]), np.concatenate([counts / max(1, len(ws)), np.ones(8)])))
@@ -151,15 +153,31 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, d
     return w
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = Reader()
-    for rows in blocks(batches):
-        m, b = reader.measures(rows["text"])
-        v = reader.votes(m)
-        f = reader.features(m, b)
-        pattern = (v.astype(np.int64) << np.arange(v.shape[1])).sum(axis=1)
-        cols = [pa.array(rows["id"], pa.int64()), pa.array(pattern), pa.array(m[:, 8].astype(np.int64)), pa.array([p for p, _ in f], pa.list_(pa.int32())), pa.array([x for _, x in f], pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "pattern", "words", "places", "shares"])
+def _vote_rows(rate: float):
+    """(pattern, n, key, places, shares): the vote patterns of a block with their counts, and documents drawn by a hash."""
+    most = np.uint64(min((1 << 64) - 1, int(rate * (1 << 64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for rows in blocks(batches):
+            m, b = reader.measures(rows["text"])
+            v = reader.votes(m)
+            pattern = (v.astype(np.int64) << np.arange(v.shape[1])).sum(axis=1)
+            keys = np.array([xxhash.xxh3_64_intdigest(f"{one} {text}".encode("utf-8", "replace")) for one, text in zip(rows["id"], rows["text"], strict=True)], dtype=np.uint64)
+            drawn = np.flatnonzero((m[:, 8] > 0) & (keys <= most))
+            f = reader.features(m[drawn], [b.words[k] for k in drawn.tolist()])
+            seen, counts = np.unique(pattern[m[:, 8] > 0], return_counts=True)
+            none = [None] * len(seen)
+            cols = [
+                pa.array(np.concatenate([seen, pattern[drawn]])),
+                pa.array(np.concatenate([counts, np.zeros(len(drawn), dtype=np.int64)])),
+                pa.array([*none, *keys[drawn].view(np.int64).tolist()], pa.int64()),
+                pa.array([*none, *(p for p, _ in f)], pa.list_(pa.int32())),
+                pa.array([*none, *(x for _, x in f)], pa.list_(pa.float32())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["pattern", "n", "key", "places", "shares"])
+
+    return run
 
 
 class Model:
@@ -175,43 +193,30 @@ class Model:
 
     def scores(self, reader: Reader, texts: list) -> np.ndarray:
         m, b = reader.measures(texts)
-        return self._chances(reader.features(m, b), m[:, 8])
+        return self._chances(reader.features(m, b.words), m[:, 8])
 
-    def scores_of(self, places: list, shares: list, words: list) -> np.ndarray:
-        return self._chances(list(zip(places, shares, strict=True)), np.array(words))
 
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on ``docs``: labellers on the vote patterns of all documents, the scorer on about ``sample_rows`` of them.
 
-def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    The sample is drawn by a hash of id and text, so equal tables give equal models.
+    """
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = mapped(d, _feature_rows, "id long, pattern long, words long, places array<int>, shares array<float>")
-    return materialize(rows, "quality-features")
-
-
-def _fitted(rows: DataFrame, sample_rows: int) -> Model:
-    full = rows.where("words > 0")
-    patterns = full.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 2**labellers rows
-    prior, poor, good = fit_labellers([(r["pattern"], r["n"]) for r in patterns], len(LABELLERS))
-    # rows are drawn by a hash, at a rate that gives the bound on average
-    rate = min(1.0, sample_rows / max(1, sum(r["n"] for r in patterns)))
-    drawn = full.where(F.pmod(F.xxhash64("id", "places", "words"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
-    sample = drawn.select("pattern", "places", "shares").limit(2 * sample_rows).collect()
-    bits = np.array([[r["pattern"] >> k & 1 for k in range(len(LABELLERS))] for r in sample], dtype=float).reshape(-1, len(LABELLERS))
-    targets = posterior(bits, prior, poor, good) if sample else np.empty(0)
-    return Model(fit_linear([(np.array(r["places"]), np.array(r["shares"])) for r in sample], targets, DIMENSIONS), prior, poor, good)
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on ``docs``: labellers on the vote patterns of all documents, the scorer on about ``sample_rows`` of them."""
-    return _fitted(_measured(docs, id_col, text_col), sample_rows)
+    rate = min(1.0, sample_rows / max(1, docs.count()))
+    rows = materialize(mapped(d, _vote_rows(rate), "pattern long, n long, key long, places array<int>, shares array<float>"), "quality-votes")
+    patterns = rows.groupBy("pattern").agg(F.sum("n").alias("n")).where("n > 0").collect()  # at most 2**labellers rows
+    prior, poor, good = fit_labellers(sorted((r["pattern"], r["n"]) for r in patterns), len(LABELLERS))
+    drawn = rows.where("places is not null").orderBy("key", "pattern").limit(2 * sample_rows).select("pattern", "places", "shares").collect()
+    bits = np.array([[r["pattern"] >> k & 1 for k in range(len(LABELLERS))] for r in drawn], dtype=float).reshape(-1, len(LABELLERS))
+    targets = posterior(bits, prior, poor, good) if drawn else np.empty(0)
+    return Model(fit_linear([(np.array(r["places"]), np.array(r["shares"])) for r in drawn], targets, DIMENSIONS), prior, poor, good)
 
 
 def _score_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            places, shares = ([np.asarray(x) for x in rows[c].to_pylist()] for c in ("places", "shares"))
-            scores = model.value.scores_of(places, shares, rows["words"].to_pylist())
-            yield pa.RecordBatch.from_arrays([rows["id"], pa.array(scores)], names=["id", "score"])
+        reader = Reader()
+        for rows in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(model.value.scores(reader, rows["text"]))], names=["id", "score"])
 
     return run
 
@@ -232,9 +237,9 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A null or empty text, or one of white space, is poor (1.0). Each row is judged by its own text, so repeated rows
     get equal scores. A null ``doc_id`` stays null. An empty table gives no row. Other columns are not looked at.
     """
-    rows = _measured(docs, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(_fitted(rows, sample_rows))
-    out = rows.select("id", "words", "places", "shares").mapInArrow(_score_rows(model), "id long, score double")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, sample_rows=sample_rows))
+    d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = mapped(d, _score_rows(model), "id long, score double")
     return out.select(outer_id("id").alias("doc_id"), F.round("score", 6).alias("poor"), (F.col("score") < threshold).alias("kept"))
 
 
