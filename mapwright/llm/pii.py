@@ -18,23 +18,34 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
 from .words import blocks, inner_id, mapped, outer_id
 
-KEY = "mapwright"
 #: So many exceptions are broadcast; with more, they are joined to the documents that mention them.
-BROADCAST_EXCEPTIONS = 500_000
+BROADCAST_EXCEPTIONS = 100_000
+#: After so many tries a surrogate may be longer than the entity (where its kind has no fixed length), after so many
+#: it may be some real entity of the corpus (numbers of a fixed length), and after so many any number may be longer.
+LONGER, REAL, LONGER_NUMBER = 8, 24, 64
 
 # Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): ("Anna", "Carmen", "Claire", "Elena", "Emma", "Greta", "Hannah", "Isabel", "Julia", "Laura", "Lucia", "Maria", "Monika", "Nadia", "Olivia", "Petra", "Sarah", "Sofia", "Ursula", "Yvonne"),
-    ("latin", "m"): ("Adrian", "Andreas", "Carlos", "Daniel", "David", "Diego", "Felix", "Georg", "Henri", "Jakob", "James", "Javier", "Jonas", "Karl", "Louis", "Martin", "Michael", "Pablo", "Pierre", "Stefan"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Светлана"),
-    ("cyrillic", "m"): ("Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Николай", "Павел", "Сергей"),
-}
+    ("latin", "f"): (
+        "Alice", "Amelia", "Ana", "Andrea", "Anna", "Antonia", "Barbara", "Beatriz", "Carmen", "Caroline", "Catherine", "Charlotte", "Claire", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Florence",
+        "Greta", "Hannah", "Helena", "Ingrid", "Isabel", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Laura", "Linda", "Lucia", "Margaret", "Maria", "Monika", "Nadia", "Nancy", "Olivia", "Patricia",
+        "Petra", "Rebecca", "Sandra", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula", "Victoria", "Yvonne",
+    ),
+    ("latin", "m"): (
+        "Adrian", "Alexander", "Andreas", "Anthony", "Antonio", "Benjamin", "Carlos", "Charles", "Christopher", "Daniel", "David", "Diego", "Edward", "Emilio", "Felix", "Fernando", "Francisco", "Georg",
+        "George", "Henri", "Henry", "Jakob", "James", "Javier", "John", "Jonas", "Joseph", "Karl", "Kenneth", "Klaus", "Louis", "Lukas", "Manuel", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Oliver",
+        "Pablo", "Patrick", "Paul", "Peter", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "William", "Wolfgang",
+    ),
+    ("cyrillic", "f"): ("Александра", "Анастасия", "Анна", "Вера", "Дарья", "Екатерина", "Елена", "Ирина", "Ксения", "Мария", "Наталья", "Ольга", "Полина", "Светлана", "Татьяна", "Юлия"),
+    ("cyrillic", "m"): ("Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Дмитрий", "Иван", "Константин", "Максим", "Михаил", "Николай", "Олег", "Павел", "Сергей", "Юрий"),
+    ("greek", "f"): ("Αικατερίνη", "Άννα", "Βασιλική", "Γεωργία", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία"),
+    ("greek", "m"): ("Αντώνιος", "Βασίλειος", "Γεώργιος", "Δημήτριος", "Ιωάννης", "Κωνσταντίνος", "Νικόλαος", "Παναγιώτης"),
+}
 CLASS_OF = {name: kind for kind, names in GIVEN.items() for name in names}
 
 #: What a key or token starts with; a surrogate keeps it.
@@ -59,7 +70,7 @@ _PAIR = re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?
 #: Only lines with one of these can hold an entity of the patterns.
 _SIGN = re.compile(rf"[0-9@]|{_PREFIX}|eyJ")
 _UPPER = {name.upper(): name for name in CLASS_OF}
-_GIVEN = re.compile("(?:" + "|".join(sorted({*CLASS_OF, *_UPPER}, key=lambda n: (-len(n), n))) + r")(?!\w)")
+_CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÞА-ЯΆ-Ϋ][^\W\d_]+(?!\w)")
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]{2,})*"
 _FAMILY = re.compile(rf" (?:[^\W\d_]\. )?({_NAME})(?!\w)")
 _TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.? (?:[^\W\d_]\. )?({_NAME})(?!\w)")
@@ -95,6 +106,10 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind in ("email", "secret", "family") else value
 
 
+# Consonants and vowels by script.
+_SOUNDS = (("Ѐ", "ӿ", ("бвгдклмнпрст", "аеиоу")), ("Ͱ", "Ͽ", ("βγδκλμνπρτφχ", "αεηιου")), ("\0", "\U0010ffff", ("bcdfghklmnprstvw", "aeiou")))
+
+
 def _letters(r: Stream, like: str) -> str:
     """Letters for letters of the script, digits for digits, the rest as it is; vowels and consonants take turns."""
     out = []
@@ -102,8 +117,7 @@ def _letters(r: Stream, like: str) -> str:
         if c.isdigit():
             out.append(str(r.below(10)))
         elif c.isalpha():
-            cyrillic = "Ѐ" <= c <= "ӿ"
-            pool = ("аеиоу" if k % 2 else "бвгдклмнпрст") if cyrillic else ("aeiou" if k % 2 else "bcdfghklmnprstvw")
+            pool = next((p for low, high, p in _SOUNDS if low <= c <= high), _SOUNDS[-1][2])[k % 2]
             out.append(pool[r.below(len(pool))])
         else:
             out.append(c)
@@ -122,42 +136,44 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def surrogate(kind: str, canon: str, key: str = KEY, attempt: int = 0) -> str:
-    """The canonical form of the entity that stands for ``canon``."""
+def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
+    """The canonical form of the entity that stands for ``canon``; of an e-mail address, the part before the @."""
     r = Stream(key, kind, canon, attempt)
+    more = "ae" * (attempt // LONGER)  # should a length be used up, longer ones follow
+    digits = "0" * max(0, attempt - LONGER_NUMBER)
     if kind == "email":
-        local, domain = canon.split("@", 1)
-        names = domain.split(".")
-        d = Stream(key, "domain", domain)  # one domain stays one domain
-        return _letters(r, local) + "@" + ".".join([*(_letters(d, n) for n in names[:-1]), names[-1]])
+        return _letters(r, canon.split("@", 1)[0] + more)
+    if kind == "domain":
+        names = canon.split(".")
+        return ".".join([*(_letters(r, n) for n in names[:-2]), _letters(r, names[-2] + more), names[-1]])
     if kind == "secret":
         return "".join("0123456789abcdef"[r.below(16)] for _ in canon)
     if kind == "token":
         start = re.match(_PREFIX + "|eyJ", canon)
         keep = start.end() if start else 0
-        return canon[:keep] + "".join(_like(r, c) for c in canon[keep:])
+        return canon[:keep] + "".join(_like(r, c) for c in canon[keep:] + more)
     if kind == "ssn":
-        return "".join(str(r.below(10)) for _ in canon)
+        return "".join(str(r.below(10)) for _ in canon + digits)
     if kind == "iban":
-        body = "".join(_like(r, c) for c in canon[4:])
+        body = "".join(_like(r, c) for c in canon[4:] + digits)
         return canon[:2] + f"{98 - _mod97(canon[:2] + '00' + body):02d}" + body
     if kind == "ipv6":
         return ":".join(f"{r.below(1 << 16):04x}" for _ in range(8))
     if kind == "ip":
-        return ".".join(str(1 + r.below(254)) for _ in range(4))
+        return ".".join(str(1 + r.below(254 if not digits else 10 ** len(digits) * 1000)) for _ in range(4))
     if kind == "phone":
         keep = max(0, len(canon) - 10)  # the country's code
-        return canon[:keep] + "".join(str(r.below(10)) for _ in canon[keep:])
+        return canon[:keep] + "".join(str(r.below(10)) for _ in canon[keep:] + digits)
     if kind == "card":
-        body = "".join(str(r.below(10)) for _ in canon[:-1])
+        body = "".join(str(r.below(10)) for _ in digits + canon[:-1])
         right = [d for d in "0123456789" if luhn(body + d) == luhn(canon)]
         return body + right[r.below(len(right))]
     if kind == "family":
-        return _letters(r, canon + "aeiou"[: attempt // 8])  # should a length be used up, longer names follow
+        return _letters(r, canon + more)
     raise ValueError(kind)
 
 
-def given_name(name: str, key: str = KEY) -> str:
+def given_name(name: str, key: str) -> str:
     """A name of the same script and gender: the next one in a keyed order, so different names stay different."""
     if name in _UPPER and name not in CLASS_OF:
         return given_name(_UPPER[name], key).upper()
@@ -169,10 +185,10 @@ def _as_written(kind: str, canon: str, found: str) -> str:
     """The surrogate in the format of what it replaces."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(canon)
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+        return "".join(next(digits) if c.isdigit() else c for c in found) + "".join(digits)
     if kind == "iban":
         signs = iter(canon)
-        return "".join(c if c == " " else next(signs) for c in found)
+        return "".join(c if c == " " else next(signs) for c in found) + "".join(signs)
     if kind == "secret":
         return canon.upper() if found.upper() == found and found.lower() != found else canon
     if kind == "family":
@@ -212,10 +228,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     for s, e, _, _ in out:
         free[s:e] = bytes(e - s)
     people: dict[int, tuple[int, int, str, str]] = {}
-    for m in _GIVEN.finditer(text):
-        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
-            continue
-        if free.find(0, m.start(), m.end()) < 0:
+    for m in _CAPITAL.finditer(text):
+        if (m.group() in CLASS_OF or m.group() in _UPPER) and free.find(0, m.start(), m.end()) < 0:
             people[m.start()] = (m.start(), m.end(), "given", m.group())
     # a given name that could be taken for a family name, as in "Anna Maria", stays a given name
     spots = [f for m in list(people.values()) if (f := _FAMILY.match(text, m[1]))] + list(_TITLED.finditer(text))
@@ -242,17 +256,25 @@ def _is_ipv6(value: str) -> bool:
         return False
 
 
-def replace(text: str | None, exceptions: dict, key: str = KEY, known: dict | None = None) -> tuple[str | None, int]:
+def replace(text: str | None, exceptions: dict, key: str, known: dict | None = None) -> tuple[str | None, int]:
     """The text with surrogates, and the number of entities; exceptions: attempt by (kind, canonical form)."""
     known = {} if known is None else known
     out, at, n = [], 0, 0
+
+    def made(kind: str, canon: str) -> str:
+        return surrogate(kind, canon, key, exceptions.get((kind, canon), 0))
+
     for start, end, kind, value in entities(text):
         canon = canonical(kind, value)
         got = known.get((kind, canon))
         if got is None:
-            if len(known) >= 100_000:
+            if len(known) >= 50_000:
                 known.clear()
-            got = known[kind, canon] = given_name(value, key) if kind == "given" else surrogate(kind, canon, key, exceptions.get((kind, canon), 0))
+            if kind == "given":
+                got = given_name(value, key)
+            else:
+                got = made(kind, canon) + ("@" + made("domain", canon.split("@", 1)[1]) if kind == "email" else "")
+            known[kind, canon] = got
         out += [text[at:start], _as_written(kind, got, value)]
         at, n = end, n + 1
     return ("".join([*out, text[at:]]) if n else text), n
@@ -261,33 +283,42 @@ def replace(text: str | None, exceptions: dict, key: str = KEY, known: dict | No
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in blocks(batches):
         found = {(one, kind, canonical(kind, value)) for one, text in zip(rows["id"], rows["text"], strict=True) for _, _, kind, value in entities(text) if kind != "given"}
+        found |= {(one, "domain", canon.split("@", 1)[1]) for one, kind, canon in found if kind == "email"}
         cols = list(zip(*sorted(found), strict=True)) if found else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "kind", "canon"])
 
 
 def _tried(key: str):
+    """(kind, canon, attempt, made); made is what has to differ: of an e-mail address, its new local part at the old domain."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [surrogate(k, c, key, a) for k, c, a in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True)]
+            kinds, canons, attempts = (b.column(n).to_pylist() for n in range(3))
+            made = [surrogate(k, c, key, a) + ("@" + c.split("@", 1)[1] if k == "email" else "") for k, c, a in zip(kinds, canons, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.string())], names=["kind", "canon", "attempt", "made"])
 
     return run
 
 
 def _exceptions(distinct: DataFrame, key: str) -> DataFrame:
-    """``kind, canon, attempt`` of the entities whose first surrogate is another's, or a real entity of the corpus."""
-    shape = "kind string, canon string, attempt int, made string"
-    real = distinct.select("kind", F.col("canon").alias("made"))
-    tried = materialize(distinct.withColumn("attempt", F.lit(0)).mapInArrow(_tried(key), shape), "pii-tried")
+    """``kind, canon, attempt`` of the entities whose first surrogate is another's, or a real entity of the corpus.
+
+    Of the entities that meet in a surrogate the one with the most attempts keeps it, then the first by canonical form;
+    the others, and those that meet a real entity, try again, until none is left. New domains are never real ones, so
+    no new address is.
+    """
+    shape, columns = "kind string, canon string, attempt int, made string", ["kind", "canon", "attempt", "made"]
+    real = distinct.where("kind <> 'email'").select("kind", F.col("canon").alias("made"))
+    tried = materialize(mapped(distinct.select("kind", "canon", F.lit(0).alias("attempt")), _tried(key), shape), "pii-tried")
     while True:
-        order = F.row_number().over(W.partitionBy("kind", "made").orderBy("attempt", "canon"))
-        apart = tried.groupBy("kind", "made").count().where("count > 1").select("kind", "made")
-        later = tried.join(apart, ["kind", "made"], "left_semi").withColumn("k", order).where("k > 1").select(tried.columns)
-        bad = materialize(later.union(tried.join(real, ["kind", "made"], "left_semi").select(tried.columns)).select("kind", "canon", "attempt").distinct(), "pii-bad")
+        met = tried.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("attempt")).alias("a"), "canon"))["canon"].alias("keeps")).where("n > 1")
+        later = tried.join(met, ["kind", "made"]).where(F.col("canon") != F.col("keeps")).select(columns)
+        taken = tried.where(F.col("attempt") < REAL).join(real, ["kind", "made"], "left_semi").select(columns)
+        bad = materialize(later.unionByName(taken).select("kind", "canon", "attempt").distinct(), "pii-bad")
         if bad.isEmpty():
             return tried.where("attempt > 0").select("kind", "canon", "attempt")
-        again = bad.withColumn("attempt", F.col("attempt") + 1).mapInArrow(_tried(key), shape)
-        tried = materialize(tried.join(bad, ["kind", "canon"], "left_anti").select(tried.columns).union(again), "pii-tried")
+        again = mapped(bad.select("kind", "canon", (F.col("attempt") + 1).cast("int").alias("attempt")), _tried(key), shape)
+        tried = materialize(tried.join(bad, ["kind", "canon"], "left_anti").select(columns).unionByName(again), "pii-tried")
 
 
 def _replaced(key: str, shared):
@@ -303,13 +334,16 @@ def _replaced(key: str, shared):
     return run
 
 
-def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
+def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text`` with surrogates, ``n_entities`` replaced.
 
+    ``key`` is the caller's secret: equal keys give equal surrogates, and without it they cannot be told.
+
     A null text stays null, an empty one empty, both with no entity. Equal rows give equal results; a null ``doc_id``
     stays null. Different entities of one kind never get the same surrogate, and no surrogate is a real entity of the
-    corpus (given names, which are exchanged among a fixed list, aside). An empty table gives no row. Other columns
-    are not looked at.
+    corpus (given names, which are exchanged among a fixed list, aside; and numbers so many that REAL tries all met a
+    real one). Long texts are read whole, a block of their own each. An empty table gives no row. Other columns are
+    not looked at.
     """
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     mentions = materialize(mapped(d, _mentions, "id long, kind string, canon string"), "pii-mentions")
@@ -321,5 +355,5 @@ def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         out = mapped(d, _replaced(key, shared), shape)
     else:
         own = mentions.join(odd, ["kind", "canon"]).groupBy("id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("own"))
-        out = d.join(own, "id", "left").mapInArrow(_replaced(key, None), shape)
+        out = mapped(d.join(own, "id", "left"), _replaced(key, None), shape)
     return out.select(outer_id("id").alias("doc_id"), "text", "n_entities")

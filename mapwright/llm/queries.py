@@ -24,8 +24,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
-    return pii.surrogates(read_table(spark, sf_dir, "documents"))
+    """Every document with its personal data replaced; the key is the session's, or a public one for test tables."""
+    return pii.surrogates(read_table(spark, sf_dir, "documents"), key=spark.conf.get("spark.mapwright.piiKey", "not a secret"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
