@@ -3,44 +3,74 @@
 from __future__ import annotations
 
 import argparse
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapwright import config
 from mapwright.functions.keys import url_key
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, merge, resolve, views
 from mapwright.sources.store import MergeLock, Snapshots
+from mapwright.storage import materialize
 
-ARTICLES = "key string, source_url string, title string, raw_html string, cleaned_text string, extracted_graph struct<entities:array<struct<name:string,kind:string,domain:string,description:string>>,relationships:array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>>, scraped_at string, extracted_at string, graph_merged_at string, company_name string"
+GRAPH = "struct<entities:array<struct<name:string,kind:string,domain:string,description:string>>,relationships:array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>>"
+ARTICLES = f"key string, source_url string, title string, raw_html string, cleaned_text string, extracted_graph {GRAPH}, scraped_at string, extracted_at string, graph_merged_at string, company_name string"
+ENTITIES = "company_name string, key string, name string, kind string, domain string, first_seen_article_id string, description string, n_mentions long, aliases array<struct<name:string,method:string>>"
+RELATIONSHIPS = "company_name string, key string, source_key string, target_key string, source string, target string, relation string, relation_phrase string, as_of string, source_article_ids array<string>, invalid_at string"
+TABLES = {"articles": ARTICLES, "entities": ENTITIES, "relationships": RELATIONSHIPS}
+
+
+class MergeInProgress(Exception):
+    """Another merge of the company is running."""
+
+
+def _save(store: Snapshots, table: str, rows: DataFrame, company: str | None) -> None:
+    """Replace a table, or what one company has in it."""
+    if company is None:
+        store.write(table, rows)
+    else:
+        store.replace(table, rows, [company])
+
+
+def _of(rows: DataFrame, company: str | None) -> DataFrame:
+    return rows if company is None else rows.where(F.col("company_name") == company)
 
 
 def scrape(store: Snapshots, pages: DataFrame, company: str, run_ts: str, limit: int | None = None) -> int:
     """Store the pages (url, html) that are new; challenge pages are left out."""
-    old = store.read("articles", ARTICLES)
+    store.create(TABLES)
+    old = store.read("articles")
     good = pages.where(~art.is_challenge(F.col("html"))).withColumn("key", url_key(F.col("url")))
-    new = art.new_rows(good, old, ["url"], limit)
+    new = materialize(art.new_rows(good, old, ["url"], limit), "scrape-new")
     columns = {"key": "key", "source_url": "url", "raw_html": "html"}
     rows = new.select(*[(F.col(columns[c]) if c in columns else F.lit({"company_name": company, "scraped_at": run_ts}.get(c))).cast(old.schema[c].dataType).alias(c) for c in old.columns])
-    store.write("articles", old.unionByName(rows))
-    return store.read("articles").count() - old.count()
+    _save(store, "articles", _of(old, company).unionByName(rows), company)
+    return new.count()
 
 
 def clean_stage(store: Snapshots, company: str | None = None, limit: int | None = None) -> None:
-    old = store.read("articles", ARTICLES)
-    done = clean.clean(art.pending(old, "clean", company, limit), "key", "raw_html").where("text is not null")
-    store.write("articles", art.mark_cleaned(old, done))
+    old = _of(store.read("articles"), company)
+    done = materialize(clean.clean(art.pending(old, "clean", None, limit), "key", "raw_html").where("text is not null"), "clean-done")
+    _save(store, "articles", art.mark_cleaned(old, done), company)
 
 
-def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str | None = None, limit: int | None = None) -> None:
-    """Chunk, ask, check and merge the replies; an article with a chunk that nobody answered stays unprocessed."""
-    old = store.read("articles", ARTICLES)
-    chunks = chunk.chunk(art.pending(old, "extract", company, limit), "key", "cleaned_text")
-    parsed = extract.parse(extract.ask(chunks.select("key", "chunk", "text"), extractors)).withColumn("article_id", F.col("key"))
+def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str | None = None, limit: int | None = None, settings: config.Settings | None = None, reviewers: list | None = None) -> int:
+    """Chunk, ask, check and merge the replies; an article with a chunk that nobody answered stays unprocessed.
+
+    Reviewers are asked for the wordings that the vocabulary does not know. Returns how many articles were extracted.
+    """
+    settings = settings or config.Settings()
+    old = _of(store.read("articles"), company)
+    chunks = chunk.chunk(art.pending(old, "extract", None, limit), "key", "cleaned_text", settings.chunk_size, settings.chunk_overlap)
+    asked = materialize(extract.ask(chunks.select("key", "chunk", "text"), extractors, settings.attempts), "extract-replies")  # nobody is asked twice
+    parsed = extract.parse(asked).withColumn("article_id", F.col("key"))
     whole = parsed.groupBy("key").agg(F.min("valid").alias("ok")).where("ok")
     e = merge.merge_chunks_entities(extract.entities_of(parsed, ["article_id", "chunk"]))
     r = merge.merge_chunks_edges(extract.relationships_of(parsed, ["article_id", "chunk"]))
+    r = materialize(extract.review(r, reviewers, settings.attempts), "extract-reviewed") if reviewers else r
     order = ("chunk", "item")
     ents = e.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct(*order, "name", "kind", "domain", "description"))).alias("e"))
     rels = r.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct(*order, "source", "target", "relation", "relation_phrase", "as_of"))).alias("r"))
@@ -49,43 +79,92 @@ def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str
         F.coalesce(F.transform("r", lambda x: F.struct(*[x[c].alias(c) for c in ("source", "target", "relation", "relation_phrase", "as_of")])), F.array().cast("array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>")).alias("relationships"),
     )
     done = whole.join(ents, whole.key == ents.article_id, "left").drop("article_id").join(rels, F.col("key") == rels.article_id, "left").select("key", graph.alias("_graph"))
+    done = materialize(done, "extract-done")
     out = old.join(done, "key", "left").withColumn("extracted_at", F.when(F.col("_graph").isNotNull(), F.lit(run_ts)).otherwise(F.col("extracted_at"))).withColumn("extracted_graph", F.coalesce("_graph", "extracted_graph"))
-    store.write("articles", out.select(old.columns))
-
-
-def graph_of(store: Snapshots, run_ts: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and relationships of all extracted articles; articles without entities give no relationships."""
-    a = art.extracted(store.read("articles", ARTICLES)).where(F.size("extracted_graph.entities") > 0)
-    base = a.select("company_name", F.col("key").alias("article_id"), "extracted_at", "extracted_graph")
-    m = base.select("company_name", "article_id", "extracted_at", F.posexplode("extracted_graph.entities").alias("item", "x")).select("company_name", "article_id", "extracted_at", "item", F.col("x.name").alias("raw_name"), "x.kind", "x.domain", "x.description")
-    m = m.withColumn("extracted_at", F.to_timestamp("extracted_at"))
-    named = resolve.resolve(m)
-    e = base.select("company_name", "article_id", "extracted_at", F.posexplode("extracted_graph.relationships").alias("item", "x")).select("company_name", "article_id", "extracted_at", "item", "x.*").withColumn("extracted_at", F.to_timestamp("extracted_at"))
+    _save(store, "articles", out.select(old.columns), company)
+    return done.count()
+
+
+def _statements(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions and stated edges of articles that name an entity."""
+    base = pending.where(F.size("extracted_graph.entities") > 0).select("company_name", F.col("key").alias("article_id"), F.to_timestamp("extracted_at").alias("extracted_at"), "extracted_graph")
+    at = ["company_name", "article_id", "extracted_at", "item"]
+    m = base.select(*at[:3], F.posexplode("extracted_graph.entities").alias("item", "x")).select(*at, F.col("x.name").alias("raw_name"), "x.kind", "x.domain", "x.description")
+    e = base.select(*at[:3], F.posexplode("extracted_graph.relationships").alias("item", "x")).select(*at, "x.*")
+    return m, e
+
+
+def merge_companies(store: Snapshots, companies: list[str], run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, dict[str, int]]:
+    """Fold what is pending of these companies into their stored graph, in one job; by company the totals after it.
+
+    Stored entities are known to every article, stored edges keep their windows, so a second run changes nothing. The
+    articles are marked last: a run that was cut off is done again.
+    """
+    settings = settings or config.Settings()
+    here = F.col("company_name").isin(companies)
+    articles = store.read("articles").where(here)
+    pending = materialize(art.pending_merge(articles, settings.graph_article_limit), "merge-pending")
+    stored_e, stored_r = store.read("entities").where(here), store.read("relationships").where(here)
+    mentions, edges = _statements(pending)
+    named = materialize(resolve.resolve(mentions, settings.fuzzy_threshold, stored_e), "merge-named")
+    if resolvers:
+        asked = named.where("method is null").select("company_name", "raw_name")
+        known = resolve.known_names(mentions).select("company_name", F.col("known_name").alias("name")).union(stored_e.select("company_name", "name"))
+        candidates = resolve.candidate_names(asked, known, settings.candidate_names)
+        named = materialize(extract.settle(named, candidates, resolvers, settings.attempts), "merge-settled")
     names = named.select("company_name", "article_id", "raw_name", "name").distinct()
     for end in ("source", "target"):
-        e = e.join(names.withColumnRenamed("raw_name", end), ["company_name", "article_id", end], "left").withColumn(end, F.coalesce("name", end)).drop("name")
-    return merge.fold_entities(named), merge.close_windows(merge.fold_edges(e), e, run_ts)
+        edges = edges.join(names.withColumnRenamed("raw_name", end), ["company_name", "article_id", end], "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    edges = materialize(edges, "merge-edges")
+    new = merge.fold_entities(named).join(merge.fold_aliases(named), ["company_name", "key"], "left")
+    entities = materialize(merge.merge_entities(stored_e, new), "merge-entities")
+    relationships = materialize(merge.merge_relationships(stored_r, merge.fold_edges(edges), edges, run_ts), "merge-relationships")
+    store.replace("entities", entities, companies)
+    store.replace("relationships", relationships, companies)
+    store.replace("articles", art.mark(articles, pending.select("key"), "graph_merged_at", run_ts), companies)
+    counts = {}
+    for name, rows in (("articles_merged", pending), ("entities", entities), ("relationships", relationships)):
+        for r in rows.groupBy("company_name").count().collect():  # a row for each company merged
+            counts.setdefault(r["company_name"], {})[name] = r["count"]
+    return {c: {n: counts.get(c, {}).get(n, 0) for n in ("articles_merged", "entities", "relationships")} for c in companies}
+
+
+def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str, company: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, int]:
+    """Merge one company, alone; without an extracted article of it there is an error."""
+    if art.extracted(store.read("articles").where(F.col("company_name") == company)).isEmpty():
+        raise RuntimeError(f"no extracted articles of {company}")
+    if not locks.acquire(company):
+        raise MergeInProgress(company)
+    try:
+        return merge_companies(store, [company], run_ts, settings, resolvers)[company]
+    finally:
+        locks.release(company)
 
 
-def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str) -> bool:
-    """Fold everything extracted into the graph and mark it merged; False if another merge is running."""
-    if not locks.acquire("all"):
-        return False
+def merge_pending(store: Snapshots, locks: MergeLock, run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, dict[str, int] | None]:
+    """Merge every company with an article to merge, all in one job; None for those that somebody else is merging."""
+    waiting = [r["company_name"] for r in art.pending_merge(store.read("articles")).select("company_name").distinct().where("company_name is not null").orderBy("company_name").collect()]
+    mine = [c for c in waiting if locks.acquire(c)]
     try:
-        entities, relationships = graph_of(store, run_ts)
-        store.write("entities", entities)
-        store.write("relationships", relationships)
-        old = store.read("articles", ARTICLES)
-        store.write("articles", art.mark(old, art.pending_merge(old).select("key"), "graph_merged_at", run_ts))
-        return True
+        done = merge_companies(store, mine, run_ts, settings, resolvers) if mine else {}
     finally:
-        locks.release("all")
+        for c in mine:
+            locks.release(c)
+    return {c: done.get(c) for c in waiting}
+
 
+def reset_graph(store: Snapshots, company: str) -> None:
+    """Forget a company's graph, so that the next merge builds it anew: the articles' marks go first, then its
+    relationships, then its entities."""
+    store.replace("articles", art.reset_graph(store.read("articles").where(F.col("company_name") == company), company), [company])
+    store.delete_company("relationships", company)
+    store.delete_company("entities", company)
 
-def canonicalize_stage(store: Snapshots) -> DataFrame:
-    edges = store.read("relationships")
-    counts = backfill.counters(edges)
-    store.write("relationships", backfill.canonicalize(edges))
+
+def canonicalize_stage(store: Snapshots, company: str | None = None) -> DataFrame:
+    edges = _of(store.read("relationships"), company)
+    counts = materialize(backfill.counters(edges), "canonicalize-counts")
+    _save(store, "relationships", backfill.canonicalize(edges), company)
     return counts
 
 
@@ -97,32 +176,69 @@ def lines(store: Snapshots, company: str) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="mapwright", description=__doc__)
     parser.add_argument("--store", required=True)
+    parser.add_argument("--settings", help="YAML file")
     parser.add_argument("--run-ts", default=datetime.now(timezone.utc).isoformat(timespec="seconds"))
     sub = parser.add_subparsers(dest="command", required=True)
     add = sub.add_parser("scrape")
     add.add_argument("--pages", required=True, help="Parquet with url and html")
     add.add_argument("--company", required=True)
     add.add_argument("--limit", type=int)
-    for name in ("clean", "extract", "merge-graph", "canonicalize-relations", "run-all"):
-        sub.add_parser(name)
-    sub.add_parser("graph").add_argument("--company", required=True)
+    for name in ("clean", "extract", "run-all"):
+        part = sub.add_parser(name)
+        part.add_argument("--company")
+        part.add_argument("--limit", type=int)
+        if name != "clean":
+            part.add_argument("--gazetteer", help="JSON file: kind by name")
+            part.add_argument("--replies", help="Parquet with text and reply")
+    sub.add_parser("merge-graph").add_argument("--company", required=True)
+    sub.add_parser("merge-graph-pending")
+    sub.add_parser("canonicalize-relations").add_argument("--company")
+    for name in ("graph", "reset-graph"):
+        sub.add_parser(name).add_argument("--company", required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("mapwright").getOrCreate()
-    store = Snapshots(spark, args.store)
+    store, settings = Snapshots(spark, args.store), config.load(env_file=".env", yaml_file=args.settings)
+    locks = MergeLock(args.store.rstrip("/") + "/locks", settings.lock_ttl_s, spark=spark)
+    store.create(TABLES)
     if args.command == "scrape":
         print(scrape(store, spark.read.parquet(args.pages), args.company, args.run_ts, args.limit))
     if args.command in ("clean", "run-all"):
-        clean_stage(store)
+        clean_stage(store, args.company, args.limit)
     if args.command in ("extract", "run-all"):
-        extract_stage(store, [extract.Gazetteer({})], args.run_ts)
-    if args.command in ("merge-graph", "run-all"):
-        merge_stage(store, MergeLock(args.store + "/locks"), args.run_ts)
+        print("extracted", extract_stage(store, extractors_of(spark, args.gazetteer, args.replies), args.run_ts, args.company, args.limit, settings))
+    if args.command == "merge-graph":
+        print(_said(args.company, merge_stage(store, locks, args.run_ts, args.company, settings)))
+    if args.command in ("merge-graph-pending", "run-all"):
+        for company, totals in merge_pending(store, locks, args.run_ts, settings).items():
+            print(_said(company, totals))
     if args.command == "canonicalize-relations":
-        canonicalize_stage(store).show(truncate=False)
+        canonicalize_stage(store, args.company).show(truncate=False)
+    if args.command == "reset-graph":
+        reset_graph(store, args.company)
     if args.command == "graph":
         for row in lines(store, args.company).toLocalIterator():
             print(row["line"])
 
 
+def extractors_of(spark: SparkSession, gazetteer: str | None, replies: str | None) -> list:
+    """The extractors that files describe: recorded replies first, then names to look for."""
+    found: list = []
+    if replies:
+        found.append(extract.Replay({r["text"]: r["reply"] for r in spark.read.parquet(replies).select("text", "reply").toLocalIterator()}, None))
+    if gazetteer:
+        found.append(extract.Gazetteer(json.loads("".join(r["value"] for r in spark.read.text(gazetteer, wholetext=True).collect()))))
+    if not found:
+        raise SystemExit("name a gazetteer or recorded replies: without them nothing can be found")
+    return found
+
+
+def _said(company: str, totals: dict[str, int] | None) -> str:
+    if totals is None:
+        return f"{company}: merge already in progress, skipped"
+    if not totals["articles_merged"]:
+        return f"{company}: no new articles"
+    return f"{company}: merged {totals['articles_merged']} articles ({totals['entities']} entities, {totals['relationships']} relationships)"
+
+
 if __name__ == "__main__":
     main()

@@ -38,13 +38,22 @@ def pending(articles: DataFrame, stage: str, company: str | None = None, limit:
     return rows.orderBy("key").limit(limit) if limit is not None else rows
 
 
+def for_company(articles: DataFrame, company: str, key: str) -> DataFrame:
+    """The article of that key, if it is this company's: no row or one."""
+    return articles.where((F.col("key") == key) & (F.col("company_name") == company))
+
+
 def extracted(articles: DataFrame) -> DataFrame:
     return articles.where("extracted_at is not null").orderBy("extracted_at", "key")
 
 
 def pending_merge(articles: DataFrame, limit: int | None = None) -> DataFrame:
-    rows = articles.where("extracted_at is not null and graph_merged_at is null").orderBy("extracted_at", "key")
-    return rows.limit(limit) if limit is not None else rows
+    """Articles to merge, in order; of each company the first ``limit``."""
+    rows = articles.where("extracted_at is not null and graph_merged_at is null")
+    if limit is not None:
+        order = W.partitionBy("company_name").orderBy("extracted_at", "key")
+        rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    return rows.orderBy("extracted_at", "key")
 
 
 def stage() -> Column:

@@ -17,13 +17,23 @@ from pyspark.sql import functions as F
 
 from mapwright.functions.vocab import ENTITY_KINDS, RELATION_KINDS, canonical_relation, kept_phrase, matched_relation
 
-REPLY = "entities array<struct<name:string,kind:string,domain:string,description:string>>, relationships array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>"
-
 
 class Extractor(Protocol):
     def __call__(self, text: str) -> str: ...
 
 
+class Resolver(Protocol):
+    """Settles names that no rule could: a request as JSON, a reply ``{"resolved": [{"article_name", "canonical_name"}]}``."""
+
+    def __call__(self, request: str) -> str: ...
+
+
+class Reviewer(Protocol):
+    """Maps wordings to predicates: a JSON list of them, a reply ``{"resolved": [{"phrase", "canonical"}]}``."""
+
+    def __call__(self, phrases: str) -> str: ...
+
+
 class Gazetteer:
     """Finds given names in a text; two names in one sentence are related by the words between them."""
 
@@ -45,26 +55,32 @@ class Gazetteer:
 
 
 class Replay:
-    """Answers with recorded replies, by text."""
+    """Answers with recorded replies, by text; a text without one gets ``default``, or is an error without a default."""
 
-    def __init__(self, replies: dict[str, str], default: str = '{"entities":[],"relationships":[]}') -> None:
+    def __init__(self, replies: dict[str, str], default: str | None = '{"entities":[],"relationships":[]}') -> None:
         self.replies, self.default = replies, default
 
     def __call__(self, text: str) -> str:
+        if text not in self.replies and self.default is None:
+            raise KeyError("no reply recorded")
         return self.replies.get(text, self.default)
 
 
+def _first_answer(models: list, request: str, attempts: int) -> str | None:
+    for model in models:
+        for _ in range(attempts):
+            try:
+                return model(request)
+            except Exception:  # noqa: BLE001  the next attempt or model takes over
+                continue
+    return None
+
+
 def ask(chunks: DataFrame, extractors: list[Extractor], attempts: int = 3) -> DataFrame:
     """``chunks`` with ``reply``: extractors are asked in order, each so often while it fails; null if all fail."""
 
     def one(text: str) -> str | None:
-        for extractor in extractors:
-            for _ in range(attempts):
-                try:
-                    return extractor(text)
-                except Exception:  # noqa: BLE001  the next attempt or extractor takes over
-                    continue
-        return None
+        return _first_answer(extractors, text, attempts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -74,13 +90,49 @@ def ask(chunks: DataFrame, extractors: list[Extractor], attempts: int = 3) -> Da
     return chunks.mapInPandas(run, schema)
 
 
+def _kind(of: str) -> str:
+    """SQL: the JSON type at ``of`` (a variant): null where there is nothing, ``VOID`` for a JSON null."""
+    return f"regexp_extract(schema_of_variant({of}), '^[A-Z]+', 0)"
+
+
+def _texts(item: str, must: tuple[str, ...], may: tuple[str, ...], other: tuple[str, ...] = ()) -> str:
+    """SQL: whether an item is an object with strings at ``must``; strings or nothing at ``other``; or nulls at ``may``."""
+    def at(name: str) -> str:
+        return _kind(f"try_variant_get({item}, '$.{name}', 'variant')")
+    tests = [f"coalesce({_kind(item)}, '') = 'OBJECT'", *(f"coalesce({at(n)}, '') = 'STRING'" for n in must)]
+    tests += [f"coalesce({at(n)}, 'STRING') = 'STRING'" for n in other] + [f"coalesce({at(n)}, 'VOID') in ('STRING', 'VOID')" for n in may]
+    return "(" + " and ".join(tests) + ")"
+
+
+def _text(item: str, name: str) -> str:
+    return f"try_variant_get({item}, '$.{name}', 'string')"
+
+
 def parse(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
-    """``replies`` with ``graph`` and ``valid``. Code fences are dropped; one bad item makes the whole reply invalid."""
-    bare = F.regexp_replace(F.regexp_replace(F.col(reply_col), r"(?s)^\s*```[a-zA-Z]*\s*", ""), r"(?s)\s*```\s*$", "")
-    r = replies.withColumn("graph", F.from_json(bare, REPLY))
-    kinds = F.forall("graph.entities", lambda e: e["name"].isNotNull() & e["kind"].isin(*ENTITY_KINDS))
-    ends = F.forall("graph.relationships", lambda e: e["source"].isNotNull() & e["target"].isNotNull() & e["relation"].isNotNull())
-    return r.withColumn("valid", F.coalesce(kinds & ends, F.lit(False)))
+    """``replies`` with ``graph`` and ``valid``. Code fences and words around the object are dropped, and so are commas
+    before a closing bracket.
+
+    A missing list counts as empty, a missing kind as ``service``, a missing domain as ``Other``. One item with a wrong
+    type or an unknown kind makes the whole reply invalid.
+    """
+    bare = F.regexp_extract(F.col(reply_col), r"(?s)\{.*\}", 0)
+    value = F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_replace(bare, r",(\s*[}\]])", "$1")))
+    r = replies.withColumn("_v", value)
+    for name in ("entities", "relationships"):
+        r = r.withColumn(f"_{name}", F.expr(f"try_variant_get(_v, '$.{name}', 'variant')"))
+        r = r.withColumn(f"_{name}_ok", F.expr(f"coalesce({_kind(f'_{name}')}, 'ARRAY') = 'ARRAY'"))
+        r = r.withColumn(f"_{name}", F.expr(f"if(_{name} is null, array(), try_variant_get(_{name}, '$', 'array<variant>'))"))
+    kinds = ", ".join(f"'{k}'" for k in ENTITY_KINDS)
+    good_entity = _texts("x", ("name",), ("description",), ("kind", "domain")) + f" and coalesce({_text('x', 'kind')}, 'service') in ({kinds})"
+    good_edge = _texts("x", ("source", "target", "relation"), ("relation_phrase", "as_of"))
+    valid = F.expr(
+        f"coalesce({_kind('_v')} = 'OBJECT' and _entities_ok and _relationships_ok and forall(_entities, x -> {good_entity}) and forall(_relationships, x -> {good_edge}), false)"
+    )
+    entity = f"named_struct('name', {_text('x', 'name')}, 'kind', coalesce({_text('x', 'kind')}, 'service'), 'domain', coalesce({_text('x', 'domain')}, 'Other'), 'description', {_text('x', 'description')})"
+    edge = "named_struct(" + ", ".join(f"'{n}', {_text('x', n)}" for n in ("source", "target", "relation", "relation_phrase", "as_of")) + ")"
+    graph = F.expr(f"named_struct('entities', transform(_entities, x -> {entity}), 'relationships', transform(_relationships, x -> {edge}))")
+    r = r.withColumn("valid", valid).withColumn("graph", F.when(F.col("valid"), graph))
+    return r.select(*replies.columns, "graph", "valid")
 
 
 def relationships_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,8 +143,7 @@ def relationships_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def entities_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    rows = parsed.where("valid").select(*keys, F.posexplode("graph.entities").alias("item", "e")).select(*keys, "item", "e.*")
-    return rows.withColumn("domain", F.coalesce("domain", F.lit("Other")))
+    return parsed.where("valid").select(*keys, F.posexplode("graph.entities").alias("item", "e")).select(*keys, "item", "e.*")
 
 
 def apply_relation_reply(edges: DataFrame, reply: DataFrame) -> DataFrame:
@@ -104,3 +155,45 @@ def apply_relation_reply(edges: DataFrame, reply: DataFrame) -> DataFrame:
 
 def unresolved_phrases(edges: DataFrame) -> DataFrame:
     return edges.where("needs_review").select(F.col("relation_phrase").alias("phrase")).distinct().orderBy("phrase")
+
+
+def review(edges: DataFrame, reviewers: list[Reviewer], attempts: int = 3, batch: int = 200) -> DataFrame:
+    """Edges whose predicate was a fallback, after the reviewers were asked for their distinct wordings, ``batch`` at a
+    time over all articles. What they do not know, or answer with a predicate that there is not, keeps the fallback."""
+    phrases = unresolved_phrases(edges)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), batch):
+                own = f["phrase"].iloc[at : at + batch].tolist()
+                yield pd.DataFrame({"reply": [_first_answer(reviewers, json.dumps(own), attempts)]})
+
+    replies = phrases.mapInPandas(run, "reply string")
+    items = replies.select(F.explode(F.from_json("reply", "resolved array<struct<phrase:string,canonical:string>>").resolved).alias("r")).select("r.*")
+    return apply_relation_reply(edges, items).withColumn("needs_review", F.lit(False))
+
+
+def settle(mentions: DataFrame, candidates: DataFrame, resolvers: list[Resolver], attempts: int = 3) -> DataFrame:
+    """Mentions that no rule resolved (``method`` is null), after the resolvers were asked once for each article.
+
+    ``mentions``: company_name, article_id, raw_name, kind, domain, description, name, method. ``candidates``:
+    company_name, candidate. A pair of a reply counts if both its names are more than white space; its mention takes
+    the name, with the method ``llm``. Names that were not asked for, and broken replies, change nothing.
+    """
+    key = ["company_name", "article_id"]
+    asked = mentions.where("method is null").groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(F.col("raw_name").alias("name"), "kind", "domain", "description"))).alias("names"))
+    shown = candidates.groupBy("company_name").agg(F.sort_array(F.collect_set("candidate")).alias("known"))
+    none = F.array().cast("array<string>")
+    requests = asked.join(shown, "company_name", "left").select(*key, F.to_json(F.struct("company_name", "names", F.coalesce("known", none).alias("known"))).alias("request"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[key].assign(reply=[_first_answer(resolvers, r, attempts) for r in f["request"]])
+
+    kinds = dict(mentions.dtypes)
+    replies = requests.mapInPandas(run, f"company_name {kinds['company_name']}, article_id {kinds['article_id']}, reply string")
+    pairs = replies.select(*key, F.explode(F.from_json("reply", "resolved array<struct<article_name:string,canonical_name:string>>").resolved).alias("r"))
+    pairs = pairs.select(*key, F.trim("r.article_name").alias("_asked"), F.trim("r.canonical_name").alias("_to")).where("_asked <> '' and _to <> ''")
+    last = pairs.groupBy(*key, "_asked").agg(F.max("_to").alias("_to"))
+    hit = mentions.withColumn("_asked", F.when(F.col("method").isNull(), F.col("raw_name"))).join(last, [*key, "_asked"], "left")
+    return hit.withColumn("name", F.coalesce("_to", "name")).withColumn("method", F.when(F.col("_to").isNotNull(), "llm").otherwise(F.col("method"))).select(mentions.columns)

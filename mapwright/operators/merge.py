@@ -83,11 +83,68 @@ def close_windows(folded: DataFrame, edges: DataFrame, run_ts: str) -> DataFrame
     return out.withColumn("invalid_at", F.when(F.col("relation") != REPLACED_BY, F.col("invalid_at")))
 
 
-def merge_counters(mentions: DataFrame, edges: DataFrame) -> DataFrame:
-    """By article: entities new to the company, matched ones, and relationships (mentions with ``name`` resolved)."""
-    keyed = mentions.withColumn("key", entity_key(F.col("company_name"), F.col("name"))).groupBy("company_name", "article_id", "extracted_at", "key").agg(F.min("item").alias("item"))
+def merge_entities(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Entities (as of :func:`fold_entities`, with ``aliases``) after a further run: stored fields win, an empty
+    description is filled, mentions add up, and of an alias the later method counts."""
+    s, i = stored.alias("s"), incoming.alias("i")
+    both = s.join(i, ["company_name", "key"], "full_outer")
+    first = [F.coalesce(F.col(f"s.{c}"), F.col(f"i.{c}")).alias(c) for c in ("name", "kind", "domain", "first_seen_article_id")]
+    description = F.coalesce(F.nullif(F.col("s.description"), F.lit("")), F.col("i.description")).alias("description")
+    count = (F.coalesce("s.n_mentions", F.lit(0)) + F.coalesce("i.n_mentions", F.lit(0))).cast("long").alias("n_mentions")
+    none = F.array().cast("array<struct<name:string,method:string>>")
+    old, new = F.coalesce("s.aliases", none), F.coalesce("i.aliases", none)
+    kept = F.filter(old, lambda x: ~F.exists(new, lambda y: y["name"] == x["name"]))
+    return both.select("company_name", "key", *first, description, count, F.array_sort(F.concat(kept, new)).alias("aliases"))
+
+
+def merge_relationships(stored: DataFrame, incoming: DataFrame, edges: DataFrame, run_ts: str) -> DataFrame:
+    """Relationships (as of :func:`fold_edges`, with ``invalid_at``) after a further run that stated ``edges``.
+
+    The later statement's fields win, articles are appended once. A ``replaced_by`` of this run closes what is open;
+    what was closed before stays as it was.
+    """
+    fields = ("source", "target", "relation", "relation_phrase", "as_of")
+    s, i = stored.alias("s"), incoming.alias("i")
+    both = s.join(i, ["company_name", "key", "source_key", "target_key"], "full_outer")
+    is_new, is_old = F.col("i.source_article_ids").isNotNull(), F.col("s.source_article_ids").isNotNull()
+    last = [F.when(is_new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in fields]
+    none = F.array().cast(incoming.schema["source_article_ids"].dataType)
+    ids = F.array_distinct(F.concat(F.coalesce("s.source_article_ids", none), F.coalesce("i.source_article_ids", none))).alias("source_article_ids")
+    # a stored edge is older than any statement of this run
+    before = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema["first_seq"].dataType.fields])
+    seq = F.when(is_old, before).otherwise(F.col("i.first_seq")).alias("first_seq")
+    rows = both.select("company_name", "key", "source_key", "target_key", *last, ids, seq, F.col("s.invalid_at").alias("was_invalid_at"))
+    closed = close_windows(rows, edges, run_ts)
+    return closed.withColumn("invalid_at", F.coalesce("was_invalid_at", "invalid_at")).drop("was_invalid_at", "first_seq")
+
+
+def upsert_edges(stored: DataFrame, items: DataFrame) -> DataFrame:
+    """The sink of single edges: ``items`` (company_name, source, target, relation, relation_phrase, as_of,
+    source_article_ids) are written in order of ``item`` over ``stored``; none of them closes or opens a window."""
+    keyed, order = keyed_edges(items), F.struct("item")
+    fields = ("source", "target", "relation", "relation_phrase", "as_of")
+    last = F.max_by(F.struct(*fields), order)
+    ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("item", "source_article_ids"))), lambda x: x["source_article_ids"])))
+    new = keyed.groupBy("company_name", "key", "source_key", "target_key").agg(last.alias("last"), ids.alias("source_article_ids"))
+    new = new.select("company_name", "key", "source_key", "target_key", "last.*", "source_article_ids", F.lit(None).cast("string").alias("invalid_at"))
+    old = stored.select("key", F.col("source_article_ids").alias("_ids"))
+    joined = new.join(old, "key", "left").withColumn("source_article_ids", F.array_distinct(F.concat(F.coalesce("_ids", F.array().cast(new.schema["source_article_ids"].dataType)), "source_article_ids")))
+    return upsert(stored, joined.select(stored.columns), "key", ["invalid_at"])
+
+
+def merge_counters(mentions: DataFrame, edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """By article: entities new to the company, matched ones, those that a model settled, and relationships.
+
+    ``mentions`` have ``name`` and ``method`` resolved; an entity of ``stored`` (company_name, key) is never new.
+    """
+    keyed = mentions.withColumn("key", entity_key(F.col("company_name"), F.col("name")))
+    keyed = keyed.groupBy("company_name", "article_id", "extracted_at", "key").agg(F.min("item").alias("item"), F.max((F.col("method") == "llm").cast("int")).alias("llm"))
     first = F.row_number().over(W.partitionBy("company_name", "key").orderBy("extracted_at", "article_id", "item")) == 1
-    counts = keyed.withColumn("is_new", first).groupBy("company_name", "article_id").agg(F.count_if("is_new").alias("new_count"), F.count_if(~F.col("is_new")).alias("matched_count"))
+    keyed = keyed.withColumn("is_new", first)
+    if stored is not None:
+        old = stored.select("company_name", "key", F.lit(True).alias("old"))
+        keyed = keyed.join(old, ["company_name", "key"], "left").withColumn("is_new", F.col("is_new") & F.col("old").isNull())
+    counts = keyed.groupBy("company_name", "article_id").agg(F.count_if("is_new").alias("new_count"), F.count_if(~F.col("is_new")).alias("matched_count"), F.count_if(F.col("llm") == 1).alias("llm_count"))
     rels = edges.groupBy("company_name", "article_id").agg(F.count("*").alias("relationship_count"))
     return counts.join(rels, ["company_name", "article_id"], "left").fillna(0, ["relationship_count"])
 

@@ -11,7 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -90,6 +90,13 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, asked: DataFra
     return scored.where(F.col("score") >= threshold).select("company_name", "a", "b", "score")
 
 
+def _moment(mentions: DataFrame, of: str = "") -> Column:
+    """An article's place in the order of arrival as text; numbers are padded, so that their order is kept."""
+    number = mentions.schema["article_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    article = F.col(f"{of}article_id").cast("string")
+    return F.concat_ws("|", F.date_format(f"{of}extracted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(article, 20, "0") if number else article)
+
+
 def _leaders(rows: DataFrame) -> DataFrame:
     """``company_name, norm, leader``: which names stay names of their own, as no earlier leader is like them.
 
@@ -110,21 +117,57 @@ def _leaders(rows: DataFrame) -> DataFrame:
     return decided
 
 
-def resolve(mentions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def stored_names(entities: DataFrame) -> DataFrame:
+    """``company_name, norm, known_name`` of stored entities (company_name, name); of equal names the first counts."""
+    e = entities.select("company_name", "name", normalized(F.col("name")).alias("norm")).where("norm <> ''")
+    return e.groupBy("company_name", "norm").agg(F.min("name").alias("known_name"))
+
+
+def resolve_known(names: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Names (company_name, raw_name) against a fixed table of entities (company_name, name): ``name`` and ``method``.
+
+    The names do not see each other. One without a match, or a generic one, has null in both.
+    """
+    asked = names.select("company_name", "raw_name").distinct()
+    met = materialize(asked.withColumn("norm", normalized(F.col("raw_name"))).withColumn("generic", is_generic(F.col("raw_name"))), "resolve-asked")
+    known = materialize(stored_names(entities).join(asked.select("company_name").distinct(), "company_name", "left_semi"), "resolve-known")
+    every = known.select("company_name", "norm").union(met.where("norm <> '' and not generic").select("company_name", "norm")).distinct()
+    open_ = met.where("norm <> '' and not generic").join(known, ["company_name", "norm"], "left_anti").select("company_name", "norm").distinct()
+    pairs = similar_pairs(every, threshold, asked=open_).join(known.select("company_name", F.col("norm").alias("b"), "known_name"), ["company_name", "b"])
+    best = pairs.groupBy("company_name", F.col("a").alias("norm")).agg(F.min_by(F.struct("known_name", "score"), F.struct((-F.col("score")).alias("s"), "b")).alias("best"))
+    exact = F.col("known_name").isNotNull() & ~F.col("generic")
+    found = met.join(known, ["company_name", "norm"], "left").join(best, ["company_name", "norm"], "left")
+    likest = F.col("best").isNotNull() & ~F.col("generic")
+    return found.select(
+        "company_name",
+        "raw_name",
+        F.when(exact, F.col("known_name")).when(likest, F.col("best.known_name")).alias("name"),
+        F.when(exact, F.lit("exact")).when(likest, method_text(F.col("best.score"))).alias("method"),
+    )
+
+
+def resolve(mentions: DataFrame, threshold: float = THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
     """Mentions with ``name`` and ``method`` (``exact``, ``fuzzy:<score>`` or null for new).
 
+    ``stored`` (company_name, name): entities of earlier runs, all of them known before the first article.
+
     A name matches only names of earlier articles, never others of its own. Of several similar names the likest wins,
     then the earliest, then the first by name. Generic names and names that normalise to nothing are always new.
     """
-    known = known_names(mentions).withColumn("at", F.concat_ws("|", F.date_format("seq.extracted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("seq.article_id").cast("string"), 20, "0")))
-    pairs = similar_pairs(known, threshold)
+    mentions = materialize(mentions, "resolve-mentions")
+    known = known_names(mentions).withColumn("at", _moment(mentions, "seq.")).select("company_name", "norm", "known_name", "at")
+    if stored is not None:
+        old = stored_names(stored.join(mentions.select("company_name").distinct(), "company_name", "left_semi")).withColumn("at", F.lit(""))
+        known = known.join(old, ["company_name", "norm"], "left_anti").unionByName(old)
+    known = materialize(known, "resolve-known")
+    pairs = materialize(similar_pairs(known, threshold), "resolve-scored")
     both = pairs.union(pairs.select("company_name", "b", "a", "score")).toDF("company_name", "norm", "other", "score")
     at = known.select("company_name", "norm", "at", "known_name")
     timed = materialize(both.join(at.drop("known_name"), ["company_name", "norm"]).join(at.select("company_name", F.col("norm").alias("other"), F.col("at").alias("other_at"), F.col("known_name").alias("other_name")), ["company_name", "other"]), "resolve-pairs")
     rows = timed.select("company_name", "norm", F.col("at").alias("seq"), "other", F.col("other_at").alias("other_seq"))
     led = _leaders(rows)
     m = mentions.withColumn("norm", normalized(F.col("raw_name"))).withColumn("generic", is_generic(F.col("raw_name")))
-    m = m.withColumn("here", F.concat_ws("|", F.date_format("extracted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("article_id").cast("string"), 20, "0")))
+    m = m.withColumn("here", _moment(mentions))
     m = m.join(at.select("company_name", "norm", F.col("at").alias("first_at"), "known_name"), ["company_name", "norm"], "left").join(led, ["company_name", "norm"], "left")
     m = m.withColumn("leader", F.coalesce("leader", F.lit(True)))
     # the best leader of an earlier article, for names that are no leaders or not yet known

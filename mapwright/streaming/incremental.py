@@ -52,16 +52,6 @@ def known_names_stream(mentions: DataFrame) -> DataFrame:
     return keyed.groupBy("company_name", "norm").applyInPandasWithState(step, "company_name string, article_id long, raw_name string, name string, method string", "name string", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_entities(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Entities after a further run: stored fields win, an empty description is filled, mentions add up."""
-    s, i = stored.alias("s"), incoming.alias("i")
-    both = s.join(i, ["company_name", "key"], "full_outer")
-    first = [F.coalesce(F.col(f"s.{c}"), F.col(f"i.{c}")).alias(c) for c in ("name", "kind", "domain", "first_seen_article_id")]
-    description = F.coalesce(F.nullif(F.col("s.description"), F.lit("")), F.col("i.description")).alias("description")
-    count = (F.coalesce("s.n_mentions", F.lit(0)) + F.coalesce("i.n_mentions", F.lit(0))).alias("n_mentions")
-    return both.select("company_name", "key", *first, description, count)
-
-
 def status_counts(events: DataFrame, minutes: int = 10) -> DataFrame:
     """Saved job states by window of time, late ones within twice the window included."""
     return events.withWatermark("ts", f"{2 * minutes} minutes").groupBy(F.window("ts", f"{minutes} minutes"), "event_type").agg(F.count("*").alias("n"))

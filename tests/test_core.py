@@ -221,13 +221,12 @@ def test_windows_close_as_in_the_loop(spark):
 
 
 def test_entity_fold_and_incremental_runs_agree(spark):
-    from mapwright.streaming.incremental import merge_entities
-
     rows = [("c", n, "service", "Other", d, a, a, i) for i, (a, n, d) in enumerate([(1, "Kafka", None), (2, "kafka", "a log"), (3, "KAFKA", "other"), (2, "Zuul", ""), (4, "Zuul", "edge")])]
     m = spark.createDataFrame(rows, "company_name string, name string, kind string, domain string, description string, article_id long, s long, item long").withColumn("extracted_at", F.expr("timestamp_seconds(s)"))
     full = {r["key"]: r.asDict() for r in merge.fold_entities(m).collect()}
     assert full["c--kafka"]["name"] == "Kafka" and full["c--kafka"]["description"] == "a log" and full["c--zuul"]["description"] == "edge"
-    two = merge_entities(merge.fold_entities(m.where("s <= 2")), merge.fold_entities(m.where("s > 2")))
+    none = F.lit(None).cast("array<struct<name:string,method:string>>").alias("aliases")
+    two = merge.merge_entities(merge.fold_entities(m.where("s <= 2")).select("*", none), merge.fold_entities(m.where("s > 2")).select("*", none))
     assert {r["key"]: r.asDict() for r in two.select(*merge.fold_entities(m).columns).collect()} == full
 
 
@@ -280,6 +279,22 @@ def test_replies(spark):
     assert extract.relationships_of(extract.parse(asked), ["id"]).first()["relation"] == "calls"
 
 
+@pytest.mark.parametrize(
+    ("reply", "valid"),
+    [
+        ("{}", True), ('{"entities":[{"name":"A"}]}', True), ('{"entities":[{"name":"A","kind":null}]}', False), ('{"entities":[{"name":"A","domain":5}]}', False), ('{"entities":[{"name":"A","domain":null}]}', False),
+        ('{"entities":[{"name":"A","description":null}]}', True), ('{"entities":["A"]}', False), ('{"entities":[{"kind":"service"}]}', False), ('{"entities":null}', False), ("[]", False), ('{"relationships":[]}', True),
+        ('{"relationships":[{"source":"A","target":"B","relation":"uses"}]}', True), ('{"relationships":[{"source":"A","target":"B"}]}', False), ('{"relationships":[{"source":"A","target":"B","relation":"uses","as_of":2020}]}', False),
+        ('Here: {"entities":[{"name":"A",}],} done', True), ('{"entities":[],"more":1}', True),
+    ],
+)
+def test_reply_defaults_and_types(spark, reply, valid):
+    r = extract.parse(spark.createDataFrame([(reply,)], "reply string")).first()
+    assert r["valid"] is valid and (r["graph"] is not None) is valid
+    if valid and r["graph"]["entities"]:
+        assert r["graph"]["entities"][0][:3] == ("A", "service", "Other")
+
+
 def test_sitemaps(spark, tmp_path):
     xml = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://x.com/a-b </loc></url><url><loc>https://x.com/tag/z</loc></url><url><loc>https://x.com/</loc></url></urlset>'
     index = f'<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>{tmp_path}/one</loc></sitemap><sitemap><loc>{tmp_path}/index</loc></sitemap></sitemapindex>'
@@ -341,16 +356,146 @@ def test_streaming_ingest_once(spark, tmp_path):
     assert {(r["raw_name"], r["name"], r["method"]) for r in spark.sql("select * from named").collect()} == {("Kafka", "Kafka", None), ("KAFKA", "Kafka", "exact"), ("Zuul", "Zuul", None)}
 
 
+def scraped(spark, store, pages, run_ts="2024-01-01T00:00:00"):
+    from mapwright import cli
+
+    known = extract.Gazetteer({"Zuul": "service", "Kafka": "queue", "Envoy": "service"})
+    for company, rows in pages.items():
+        cli.scrape(store, spark.createDataFrame([(f"https://{company}.com/{n}", f"<article>{t}</article>") for n, t in rows], "url string, html string"), company, run_ts)
+    cli.clean_stage(store)
+    return cli.extract_stage(store, [known], run_ts)
+
+
+def graph_rows(store, company="c"):
+    r = store.read("relationships").where(F.col("company_name") == company).collect()
+    return {(x["source"], x["relation"], x["target"]): (x["invalid_at"], tuple(x["source_article_ids"])) for x in r}
+
+
 def test_run_end_to_end(spark, tmp_path):
     from mapwright import cli
 
-    store = Snapshots(spark, str(tmp_path / "store"))
+    store, locks = Snapshots(spark, str(tmp_path / "store")), MergeLock(str(tmp_path / "locks"))
     pages = spark.createDataFrame([("https://x.com/a", "<article>Zuul calls Kafka. Zuul replaced by Envoy.</article>"), ("https://x.com/b", "<article>Envoy writes to Kafka.</article>"), ("https://x.com/c", "Just a moment...")], "url string, html string")
     assert cli.scrape(store, pages, "c", "2024-01-01T00:00:00") == 2 and cli.scrape(store, pages, "c", "2024-01-02T00:00:00") == 0
+    with pytest.raises(RuntimeError):
+        cli.merge_stage(store, locks, "2024-01-02T00:00:00", "c")
     cli.clean_stage(store)
-    cli.extract_stage(store, [extract.Gazetteer({"Zuul": "service", "Kafka": "queue", "Envoy": "service"})], "2024-01-03T00:00:00")
-    assert cli.merge_stage(store, MergeLock(str(tmp_path / "locks")), "2024-01-04T00:00:00")
+    assert cli.extract_stage(store, [extract.Gazetteer({"Zuul": "service", "Kafka": "queue", "Envoy": "service"})], "2024-01-03T00:00:00") == 2
+    assert locks.acquire("c")
+    with pytest.raises(cli.MergeInProgress):
+        cli.merge_stage(store, locks, "2024-01-04T00:00:00", "c")
+    assert cli.merge_pending(store, locks, "2024-01-04T00:00:00") == {"c": None}
+    locks.release("c")
+    assert cli.merge_stage(store, locks, "2024-01-04T00:00:00", "c") == {"articles_merged": 2, "entities": 3, "relationships": 3}
     got = [r["line"] for r in cli.lines(store, "c").collect()]
     assert "[queue] Kafka (Other)" in got and "Zuul --replaced_by--> Envoy" in got and "Envoy --writes_to--> Kafka" in got
-    assert store.read("relationships").where("relation = 'calls'").first()["invalid_at"] == "2024-01-04T00:00:00"
+    first = graph_rows(store)
+    assert first["Zuul", "calls", "Kafka"] == ("2024-01-04T00:00:00", ("a",))
     assert art.pending_merge(store.read("articles")).isEmpty()
+    # a second run merges nothing and leaves history as it is
+    assert cli.merge_stage(store, locks, "2024-02-01T00:00:00", "c") == {"articles_merged": 0, "entities": 3, "relationships": 3}
+    assert graph_rows(store) == first
+    cli.reset_graph(store, "c")
+    assert store.read("entities").isEmpty() and store.read("relationships").isEmpty() and art.pending_merge(store.read("articles")).count() == 2
+
+
+def test_incremental_merges_end_where_one_run_does(spark, tmp_path):
+    from mapwright import cli, config
+
+    texts = {"c": [("a", "Zuul calls Kafka."), ("b", "ZUUL writes to Kafka. Zuul replaced by Envoy."), ("d", "Zuul calls Kafka. Zuul calls Envoy."), ("e", "Envoy calls Kafka.")], "d": [("x", "Envoy calls Kafka.")]}
+    stores = [Snapshots(spark, str(tmp_path / n)) for n in ("full", "steps")]
+    locks = MergeLock(str(tmp_path / "locks"))
+    for s in stores:
+        assert scraped(spark, s, texts) == 5
+    assert cli.merge_pending(stores[0], locks, "T")["c"]["articles_merged"] == 4
+    one = config.Settings(graph_article_limit=1)
+    seen = []
+    while done := cli.merge_pending(stores[1], locks, "T", one):
+        seen.append({c: t["articles_merged"] for c, t in done.items()})
+    assert seen == [{"c": 1, "d": 1}, {"c": 1}, {"c": 1}, {"c": 1}]
+    for company in texts:
+        assert graph_rows(stores[0], company) == graph_rows(stores[1], company)
+    assert graph_rows(stores[0])["Zuul", "calls", "Kafka"] == ("T", ("a", "d")) and graph_rows(stores[0])["Zuul", "calls", "Envoy"] == (None, ("d",))
+    tables = [sorted(s.read("entities").drop("n_mentions").collect()) for s in stores]
+    assert tables[0] == tables[1] and len(tables[0]) == 5
+
+
+def test_models_settle_names_and_wordings(spark):
+    import json
+
+    m = spark.createDataFrame([("c", "a", "Kafka", "queue", "Other", None, "Kafka", "exact"), ("c", "a", "the bus", "queue", "Other", None, "the bus", None), ("c", "b", "the bus", "queue", "Other", None, "the bus", None), ("c", "b", "Zuul", "service", "Other", None, "Zuul", None)], "company_name string, article_id string, raw_name string, kind string, domain string, description string, name string, method string")
+    known = spark.createDataFrame([("c", "Kafka")], "company_name string, candidate string")
+
+    def model(request):
+        asked = json.loads(request)
+        assert asked["known"] == ["Kafka"]
+        if len(asked["names"]) > 1:
+            return json.dumps({"resolved": [{"article_name": " the bus ", "canonical_name": "Kafka"}, {"article_name": "Zuul", "canonical_name": " "}, {"article_name": "Kafka", "canonical_name": "X"}]})
+        return "sorry"
+
+    got = {(r["article_id"], r["raw_name"]): (r["name"], r["method"]) for r in extract.settle(m, known, [lambda r: 1 / 0, model]).collect()}
+    assert got == {("a", "Kafka"): ("Kafka", "exact"), ("a", "the bus"): ("the bus", None), ("b", "the bus"): ("Kafka", "llm"), ("b", "Zuul"): ("Zuul", None)}
+    edges = spark.createDataFrame([(1, "depends_on", "zaps", True), (2, "depends_on", "odd", True), (3, "calls", "calls up", False)], "id int, relation string, relation_phrase string, needs_review boolean")
+    reply = json.dumps({"resolved": [{"phrase": "zaps", "canonical": "calls"}, {"phrase": "odd", "canonical": "nonsense"}, {"phrase": "calls up", "canonical": "owns"}]})
+    assert [(r["relation"], r["needs_review"]) for r in extract.review(edges, [lambda p: reply]).orderBy("id").collect()] == [("calls", False), ("depends_on", False), ("calls", False)]
+
+
+def test_resolve_against_a_fixed_table(spark):
+    e = spark.createDataFrame([("c", "User Service"), ("c", "Kafka"), ("d", "Zuul")], "company_name string, name string")
+    n = spark.createDataFrame([("c", x) for x in ("user-service", "User Services", "the new service", "Zuul", "kafka", "", "Payments")], "company_name string, raw_name string")
+    got = {r["raw_name"]: (r["name"], r["method"]) for r in resolve.resolve_known(n, e).collect()}
+    assert got == {"user-service": ("User Service", "exact"), "User Services": ("User Service", "fuzzy:96"), "the new service": (None, None), "Zuul": (None, None), "kafka": ("Kafka", "exact"), "": (None, None), "Payments": (None, None)}
+
+
+def test_upsert_keeps_windows(spark):
+    shape = "company_name string, key string, source_key string, target_key string, source string, target string, relation string, relation_phrase string, as_of string, source_article_ids array<string>, invalid_at string"
+    old = spark.createDataFrame([("c", "c--a--calls--b", "c--a", "c--b", "A", "B", "calls", None, "2019", ["1"], "T")], shape)
+    items = spark.createDataFrame([("c", "a", "b", "calls", None, None, ["2", "1"], 0), ("c", "X", "Y", "owns", "has", None, ["3"], 1)], "company_name string, source string, target string, relation string, relation_phrase string, as_of string, source_article_ids array<string>, item int")
+    got = {r["key"]: r for r in merge.upsert_edges(old, items).collect()}
+    assert len(got) == 2 and got["c--x--owns--y"]["invalid_at"] is None
+    assert (got["c--a--calls--b"]["source"], got["c--a--calls--b"]["as_of"], got["c--a--calls--b"]["source_article_ids"], got["c--a--calls--b"]["invalid_at"]) == ("a", None, ["1", "2"], "T")
+
+
+def test_settings_and_prompts(spark, tmp_path):
+    from mapwright import config
+
+    (tmp_path / "s.yaml").write_text("chunk_size: 10\nattempts: 7\nfuzzy_threshold: 80\nother: 1\n")
+    (tmp_path / ".env").write_text("# note\nexport MAPWRIGHT_ATTEMPTS='8'\nMAPWRIGHT_CHUNK_SIZE=11\n")
+    (tmp_path / "secrets").mkdir()
+    (tmp_path / "secrets" / "api_key").write_text("s3\n")
+    s = config.load(env_file=str(tmp_path / ".env"), yaml_file=str(tmp_path / "s.yaml"), secrets=str(tmp_path / "secrets"), environ={"MAPWRIGHT_CHUNK_SIZE": "12"}, chunk_overlap=5)
+    assert (s.chunk_overlap, s.chunk_size, s.attempts, s.fuzzy_threshold, s.api_key, s.candidate_names) == (5, 12, 8, 80.0, "s3", 40)
+    with pytest.raises(ValueError):
+        config.load(environ={}, nothing=1)
+    for variant in ("zeta", "default", "alpha"):
+        (tmp_path / "p" / "extraction" / variant).mkdir(parents=True)
+    text = tmp_path / "p" / "extraction" / "alpha" / "user.md"
+    text.write_text("Read {title} {{x}}\n")
+    p = config.Prompts(str(tmp_path / "p"))
+    assert p.variants() == ["default", "alpha", "zeta"] and p.variants("merge") == [] and p.filled("alpha", "user", {"title": "T"}) == "Read T {x}"
+    text.write_text("New {title}")
+    import os
+
+    os.utime(text, ns=(1, 1))
+    assert p.filled("alpha", "user", {"title": "T"}) == "New T"
+    with pytest.raises(ValueError):
+        p.checked("nope")
+    assert one(spark, "2024-01-02T03:04:05.678+00:00", config.short_time) == "2024-01-02T03:04:05"
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "s"))
+    s.create({"t": "a long, company_name string"})
+    s.create({"t": "a long, company_name string"})
+    assert s.current("t") == "000000000001"
+    s.write("t", spark.createDataFrame([(1, "1"), (2, "2"), (3, None)], "a long, company_name string"))
+    seen = s.read("t")
+    s.replace("t", spark.createDataFrame([(9, "1"), (8, "other")], "a long, company_name string"), ["1"])
+    assert sorted((r["a"], r["company_name"]) for r in s.read("t").collect()) == [(2, "2"), (3, None), (9, "1")] and seen.count() == 3
+    s.replace("t", s.read("t").limit(0), ["1", "2"])
+    assert [r["a"] for r in s.read("t").collect()] == [3]
+    # of two writers that start from one version the later commits on top of the other's
+    number, manifest = s._manifest("t")
+    assert s._commit("t", number + 1, manifest) and not s._commit("t", number + 1, manifest)
+
+
