@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .keys import normalized
 
-#: Longer names do not fit the 64-bit state and are compared by :func:`long_score`.
+#: So many characters fit the 64-bit state; where both names are longer, :func:`common_length` goes row by row.
 STATE_CHARS = 60
 
 
@@ -17,10 +17,11 @@ def sorted_words(name: Column) -> Column:
 
 
 def common_length(a: str, b: str) -> Column:
-    """Length of the longest common subsequence of two string columns, ``a`` of at most STATE_CHARS characters.
+    """Length of the longest common subsequence of two string columns, ``a`` being the shorter.
 
-    One bit for each character of ``a`` says where the length grows; a step takes one character of ``b``. The masks of
-    a character's places in ``a`` are built once for each pair.
+    Up to STATE_CHARS characters of ``a``, one bit for each of them says where the length grows; a step takes one
+    character of ``b``. The masks of a character's places in ``a`` are built once for each pair. Longer ones, which are
+    rare, go by the plain recurrence, a row for each character of ``b``.
     """
     chars = f"filter(split({a}, ''), c -> c <> '')"
     places = f"map_from_entries(transform(array_distinct(m.x), c -> struct(c, aggregate(sequence(0, size(m.x) - 1), 0L, (s, i) -> s | if(m.x[i] = c, shiftleft(1L, i), 0L)))))"
@@ -28,7 +29,11 @@ def common_length(a: str, b: str) -> Column:
     step = f"aggregate(array(coalesce(try_element_at(q.m, c), 0L)), s, (t, k) -> ((t + (t & k)) | (t & ~k)) & {full})"
     run = f"aggregate(filter(split({b}, ''), c -> c <> ''), {full}, (s, c) -> {step}, s -> int(char_length({a}) - bit_count(s & {full})))"
     inner = f"transform(array(named_struct('x', {chars})), m -> named_struct('m', {places}))"
-    return F.expr(f"if({a} = '' or {b} = '', 0, get(transform({inner}, q -> {run}), 0))")
+    short = f"get(transform({inner}, q -> {run}), 0)"
+    row = "aggregate(sequence(1, size(m.x)), array(0), (new, i) -> array_append(new, if(m.x[i - 1] = c, old[i - 1] + 1, greatest(new[i - 1], old[i]))))"
+    rows = f"aggregate(filter(split({b}, ''), c -> c <> ''), array_repeat(0, size(m.x) + 1), (old, c) -> {row}, old -> element_at(old, -1))"
+    long = f"get(transform(array(named_struct('x', {chars})), m -> {rows}), 0)"
+    return F.expr(f"case when {a} = '' or {b} = '' then 0 when char_length({a}) <= {STATE_CHARS} then {short} else {long} end")
 
 
 def score(a: str, b: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapwright.functions.keys import url_key, url_path
 from mapwright.functions.vocab import canonical_relation, kept_phrase
-from mapwright.storage import read_table
+from mapwright.storage import materialize, read_table
 
 RUN_TS = "2030-01-01T00:00:00+00:00"
 
@@ -28,7 +28,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract(url_path(F.col("url")), "^/([a-z]{2})/", 1).alias("company_name"),
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
         F.when(state == 0, F.col("html")).alias("raw_html"),
-        F.when(state >= 1, F.substring("html", 1, 40)).alias("cleaned_text"),
+        F.when(state >= 1, F.col("html")).alias("cleaned_text"),
         F.when(state >= 2, graph).alias("extracted_graph"),
         ts.alias("scraped_at"),
         F.when(state >= 2, ts).alias("extracted_at"),
@@ -48,7 +48,7 @@ articles as (
   from pages)"""
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders")
     c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
     p, s = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "supplier")
@@ -86,15 +86,17 @@ lines as (
     ({_SQL_PHRASES})[(l_linenumber + l_suppkey) % {len(PHRASES)} + 1] raw_relation,
     case when l_quantity > 25 then year(l_shipdate)::varchar when l_linenumber = 3 then '' end as_of
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-    join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
-  where l_quantity < 48)"""
+    join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey)"""
 
 KINDS = {"ECONOMY": "service", "SMALL": "datastore", "MEDIUM": "queue", "PROMO": "library", "STANDARD": "model", "LARGE": "team"}
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers named by orders: raw_name, kind, domain, description, in order of ``item``."""
-    rows = _lines(spark, sf_dir)
+    return mentions_of(lines(spark, sf_dir))
+
+
+def mentions_of(rows: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for t, k in KINDS.items():
         kind = F.when(F.col("p_type") == t, k).otherwise(kind)
@@ -117,12 +119,18 @@ mentions as (
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated edges with raw names, canonical relation and the wording kept."""
-    rows, raw = _lines(spark, sf_dir), F.col("raw_relation")
-    return rows.select(
+    return edges_of(materialize(lines(spark, sf_dir), "lines"))
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """As :func:`edges`; each distinct wording is looked up in the vocabulary once."""
+    raw = F.col("raw_relation")
+    wordings = rows.select(raw).distinct().select(raw, canonical_relation(raw).alias("relation"), kept_phrase(raw, F.lit(None).cast("string")).alias("relation_phrase"))
+    return rows.join(wordings, "raw_relation").select(
         "company_name", "article_id", "extracted_at", F.col("line").alias("item"),
         F.when(F.col("line") % 3 == 0, F.col("supplier_name")).otherwise(F.col("part_name")).alias("source"),
         F.when(F.col("line") % 3 == 0, F.col("part_name")).otherwise(F.col("supplier_name")).alias("target"),
-        canonical_relation(raw).alias("relation"), kept_phrase(raw, F.lit(None).cast("string")).alias("relation_phrase"), "as_of",
+        "relation", "relation_phrase", "as_of",
     )
 
 

@@ -132,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
     "q31_merge_counters": f"""with {_RESOLVED}, per as (select company_name, article_id, extracted_at, "key", min(item) item from resolved group by all),
       flagged as (select *, row_number() over (partition by company_name, "key" order by extracted_at, article_id, item) = 1 is_new from per),
       rels as (select company_name, article_id, count(*) relationship_count from lines group by all)
-      select company_name, article_id, count(*) filter (is_new) new_count, count(*) filter (not is_new) matched_count, coalesce(any_value(relationship_count), 0) relationship_count
+      select company_name, article_id, count(*) filter (is_new) new_count, count(*) filter (not is_new) matched_count, 0::bigint llm_count, coalesce(any_value(relationship_count), 0) relationship_count
       from flagged left join rels using (company_name, article_id) group by all""",
     "q32_exact_tier": f'with {_RESOLVED} select company_name, article_id, item, raw_name, "name", "method" from resolved',
     "q33_name_scores": rf"""with pairs as (select distinct p_brand || ' ' || p_name a, split_part(p_name, ' ', -1) || '-' || p_brand || 's' b from part),
@@ -168,7 +168,7 @@ ORACLE_SQL: dict[str, str] = {
       select doc_id, len(regexp_extract_all(text, '\s*\S+|\s+'))::int n_tokens from documents)""",
     "q42_chunks": r"""select doc_id, chunk, chunk * 180 first_token, len(t[chunk * 180 + 1 : chunk * 180 + 200])::int n_tokens, length(array_to_string(t[chunk * 180 + 1 : chunk * 180 + 200], ''))::int n_chars from (
       select doc_id, t, unnest(range(0, case when len(t) <= 200 then 1 else 1 + ((len(t) - 200 + 179) // 180) end)) chunk from (select doc_id, regexp_extract_all(text, '\s*\S+|\s+') t from documents))""",
-    "q44_reachable": f"""with {SQL_EDGES}, e as (select distinct company_name, {sql_slug("source")} s, {sql_slug("target")} t from edges where relation in ('replaced_by', 'composes') and company_name in ('NATION_1', 'NATION_2')),
+    "q44_reachable": f"""with {SQL_EDGES}, e as (select distinct company_name, {sql_slug("source")} s, {sql_slug("target")} t from edges where relation in ('replaced_by', 'composes')),
       one as (select company_name, s "start", t id, 1 hops from e), two as (select distinct one.company_name, "start", t id, 2 hops from one join e on one.company_name = e.company_name and id = s),
       three as (select distinct two.company_name, "start", t id, 3 hops from two join e on two.company_name = e.company_name and id = s)
       select company_name, "start", id, min(hops) hops from (select * from one union all select * from two union all select * from three) group by all""",
@@ -181,6 +181,11 @@ ORACLE_SQL: dict[str, str] = {
       select job_id, status, created_at from l where job_id not in (select job_id from f where k <= (select count(*) - 30 from l))""",
     "q48_components": f"with {_GRAPH} select company_name, source id, count(*) components from gedges where relation = 'composes' group by all",
     "q49_domain_groups": f"""with {_GRAPH} select company_name, "domain", count(*) members from nodes where "domain" in ('D1', 'D3') group by all""",
-    "q50_reply_checks": f"""with {SQL_MENTIONS} select article_id, ok as "valid", case when ok then n end n_entities from (
-      select article_id, count(*) n, not (article_id % 3 <> 0 and article_id % 7 = 0) and count(*) filter (item % 97 = 0) = 0 ok from mentions group by article_id)""",
+    "q50_reply_checks": f"""with {SQL_MENTIONS},
+      ents as (select article_id, count(*) n, count(*) filter (item % 97 = 0) robots, count(*) filter (item % 97 <> 0 and kind = 'service') services from mentions group by article_id),
+      rels as (select article_id, count(*) r, count(as_of) dated from lines group by article_id),
+      checked as (select *, not (article_id % 3 <> 0 and article_id % 7 = 0) and (robots = 0 or article_id % 19 = 0) and article_id % 17 <> 0 and not (article_id % 11 = 0 and article_id % 13 <> 0 and dated > 0) ok from ents join rels using (article_id))
+      select article_id, ok as "valid", case when ok then n end n_entities, case when ok then case when article_id % 19 = 0 then n else services end end n_services,
+        case when ok then case when article_id % 13 = 0 then 0 else r end end n_relationships
+      from checked""",
 }

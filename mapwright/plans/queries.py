@@ -12,7 +12,7 @@ from mapwright.functions.similarity import score, sorted_words
 from mapwright.functions.vocab import canonical_relation, humanized, is_generic, kept_phrase, label, matched_relation
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, jobs, merge, resolve, views
-from mapwright.storage import read_table
+from mapwright.storage import materialize, read_table
 
 from . import adapters
 from .adapters import RUN_TS
@@ -160,8 +160,17 @@ def q26_chunk_edges(spark, sf):
     return merge.merge_chunks_edges(e).select("article_id", "source_lc", "target_lc", "relation", "source", "target", "relation_phrase", "as_of")
 
 
+def _mentions(spark, sf):
+    """The mentions, written once for the plans that read them several times."""
+    return materialize(adapters.mentions(spark, sf), "mentions")
+
+
+def _edges(spark, sf):
+    return materialize(adapters.edges(spark, sf), "edges")
+
+
 def _resolved(spark, sf):
-    return resolve.resolve_exact(adapters.mentions(spark, sf))
+    return resolve.resolve_exact(_mentions(spark, sf))
 
 
 @query
@@ -186,7 +195,8 @@ def q29_edge_fold(spark, sf):
 
 
 def _closed(spark, sf):
-    return merge.close_windows(_folded(spark, sf), adapters.edges(spark, sf), RUN_TS)
+    edges = _edges(spark, sf)
+    return merge.close_windows(materialize(merge.fold_edges(edges), "folded"), edges, RUN_TS)
 
 
 @query
@@ -196,7 +206,8 @@ def q30_close_windows(spark, sf):
 
 @query
 def q31_merge_counters(spark, sf):
-    return merge.merge_counters(_resolved(spark, sf), adapters.edges(spark, sf))
+    lines = materialize(adapters.lines(spark, sf), "lines")
+    return merge.merge_counters(resolve.resolve_exact(materialize(adapters.mentions_of(lines), "mentions")), adapters.edges_of(lines))
 
 
 @query
@@ -220,7 +231,7 @@ def q34_resolve(spark, sf):
 
 @query
 def q35_candidates(spark, sf):
-    known = resolve.known_names(adapters.mentions(spark, sf)).select("company_name", F.col("known_name").alias("name"))
+    known = materialize(resolve.known_names(adapters.mentions(spark, sf)).select("company_name", F.col("known_name").alias("name")), "known")
     return resolve.candidate_names(known.withColumnRenamed("name", "raw_name"), known)
 
 
@@ -230,18 +241,27 @@ def q36_tier_counts(spark, sf):
     return r.groupBy("company_name").agg(F.count_if(F.col("method").isNull()).alias("n_new"), F.count_if(F.col("method") == "exact").alias("n_exact"), F.count_if(F.col("method").startswith("fuzzy")).alias("n_fuzzy"))
 
 
-def _graph(spark, sf):
-    e = merge.fold_entities(_resolved(spark, sf))
-    known = resolve.known_names(adapters.mentions(spark, sf)).select("company_name", "norm", "known_name")
-    edges = adapters.edges(spark, sf)
+def _graph(spark, sf, relationships=True):
+    """Entities and relationships, each written once: views read them several times."""
+    lines = materialize(adapters.lines(spark, sf), "lines")
+    mentions = materialize(adapters.mentions_of(lines), "mentions")
+    e = materialize(merge.fold_entities(resolve.resolve_exact(mentions)), "entities")
+    if not relationships:
+        return e, None
+    known = materialize(resolve.known_names(mentions).select("company_name", "norm", "known_name"), "known")
+    # names are few and stated often: each is looked up once
+    edges = adapters.edges_of(lines)
+    names = edges.select("company_name", F.col("source").alias("raw")).union(edges.select("company_name", "target")).distinct()
+    found = materialize(names.withColumn("norm", normalized(F.col("raw"))).join(known, ["company_name", "norm"]).select("company_name", "raw", "known_name"), "named")
     for end in ("source", "target"):
-        edges = edges.withColumn("norm", normalized(F.col(end))).join(known, ["company_name", "norm"], "left").withColumn(end, F.coalesce("known_name", end)).drop("norm", "known_name")
-    return e, merge.close_windows(merge.fold_edges(edges), edges, RUN_TS)
+        edges = edges.join(found.withColumnRenamed("raw", end), ["company_name", end], "left").withColumn(end, F.coalesce("known_name", end)).drop("known_name")
+    edges = materialize(edges, "edges")
+    return e, materialize(merge.close_windows(materialize(merge.fold_edges(edges), "folded"), edges, RUN_TS), "closed")
 
 
 @query
 def q37_graph_nodes(spark, sf):
-    return views.nodes(_graph(spark, sf)[0])
+    return views.nodes(_graph(spark, sf, False)[0])
 
 
 @query
@@ -264,7 +284,7 @@ def q40_backfill(spark, sf):
 
 def _stored(spark, sf):
     """Edges stored under their raw wording, as before there was a vocabulary."""
-    rows = adapters._lines(spark, sf).select("company_name", "article_id", "extracted_at", F.col("line").alias("item"), F.col("supplier_name").alias("source"), F.col("p_type").alias("target"), F.col("raw_relation").alias("relation"), F.lit(None).cast("string").alias("relation_phrase"), "as_of")
+    rows = adapters.lines(spark, sf).select("company_name", "article_id", "extracted_at", F.col("line").alias("item"), F.col("supplier_name").alias("source"), F.col("p_type").alias("target"), F.col("raw_relation").alias("relation"), F.lit(None).cast("string").alias("relation_phrase"), "as_of")
     return merge.fold_edges(rows).withColumn("invalid_at", F.when(F.length("key") % 3 == 0, F.lit(RUN_TS)))
 
 
@@ -320,13 +340,22 @@ def q48_components(spark, sf):
 
 @query
 def q49_domain_groups(spark, sf):
-    return views.groups(views.nodes(_graph(spark, sf)[0]), ("D1", "D3"))
+    return views.groups(views.nodes(_graph(spark, sf, False)[0]), ("D1", "D3"))
 
 
 @query
 def q50_reply_checks(spark, sf):
-    rows = adapters.mentions(spark, sf).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("item", F.col("raw_name").alias("name"), F.when(F.col("item") % 97 == 0, "robot").otherwise(F.col("kind")).alias("kind"), "domain", "description"))).alias("e"))
-    reply = F.to_json(F.struct(F.transform("e", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), x["domain"].alias("domain"), x["description"].alias("description"))).alias("entities"), F.array().cast("array<struct<source:string>>").alias("relationships")))
-    fenced = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(F.col("article_id") % 7 == 0, F.lit("sorry")).otherwise(reply)
-    parsed = extract.parse(rows.select("article_id", fenced.alias("reply")))
-    return parsed.select("article_id", "valid", F.when(F.col("valid"), F.size("graph.entities")).cast("long").alias("n_entities"))
+    """Replies with all kinds of faults: fences, words in place of JSON, missing lists and fields, wrong types."""
+    at, lines = F.col("article_id"), materialize(adapters.lines(spark, sf), "lines")
+    kind = F.when(F.col("item") % 97 == 0, "robot").otherwise(F.col("kind"))
+    ents = adapters.mentions_of(lines).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("item", F.struct(F.col("raw_name").alias("name"), kind.alias("kind"), "domain", "description").alias("x")))).alias("e"))
+    rels = lines.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("line", F.struct(F.col("part_name").alias("source"), F.col("supplier_name").alias("target"), F.col("raw_relation").alias("relation"), "as_of").alias("x")))).alias("r"))
+    reply = F.to_json(F.struct(F.col("e.x").alias("entities"), F.col("r.x").alias("relationships")))
+    reply = F.when(at % 19 == 0, F.regexp_replace(reply, '"kind":"[a-z_]*",', "")).otherwise(reply)
+    reply = F.when(at % 17 == 0, F.regexp_replace(reply, '"domain":"[^"]*"', '"domain":5')).otherwise(reply)
+    reply = F.when(at % 11 == 0, F.regexp_replace(reply, '"as_of":"[^"]*"', '"as_of":2020')).otherwise(reply)
+    reply = F.when(at % 13 == 0, F.replace(reply, F.lit('"relationships":'), F.lit('"other":'))).otherwise(reply)
+    fenced = F.when(at % 3 == 0, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(at % 7 == 0, F.lit("sorry")).otherwise(reply)
+    parsed = extract.parse(ents.join(rels, "article_id").select("article_id", fenced.alias("reply")))
+    services = F.size(F.filter("graph.entities", lambda x: x["kind"] == "service"))
+    return parsed.select("article_id", "valid", *[F.when(F.col("valid"), n).cast("long").alias(name) for name, n in (("n_entities", F.size("graph.entities")), ("n_services", services), ("n_relationships", F.size("graph.relationships")))])

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mapwright.operators.articles import is_article_url
-
-MAX_DEPTH = 5
+from mapwright.storage import materialize
 
 
 def xml_text(content: str) -> Column:
@@ -44,22 +43,34 @@ def article_urls(files: DataFrame) -> DataFrame:
 
 
 def not_sitemaps(files: DataFrame) -> DataFrame:
-    """Files that are no sitemap: a single article, or broken XML; for the caller to handle."""
-    return files.where(~is_sitemap())
+    """Files that are no sitemap, with the ``reason``; for the caller to handle, as a single article or as an error."""
+    page = F.coalesce(F.lower(F.substring("xml", 1, 1000)).rlike(r"<html[\s>]|<!doctype html"), F.lit(False))
+    reason = F.when(F.col("xml").rlike(r"^\s*$"), "empty").when(page, "an HTML page, not a sitemap: a single article, or the wrong address").otherwise("no urlset or sitemapindex, or broken XML")
+    return files.where(~is_sitemap()).withColumn("reason", reason)
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("path", xml_text("content").alias("xml"))
 
 
 def crawl(spark: SparkSession, start: str, path_of) -> DataFrame:
-    """Article URLs of a sitemap and of all that its index points to; ``path_of`` gives the file of a URL.
+    """Article URLs of a sitemap and of all that its index points to, however deep; ``path_of`` gives the file of a URL.
 
-    Each level is one read; a file is read once, so an index that points to itself ends.
+    Each level is one read; a file is read once, so an index that points to itself ends. What is no sitemap gives
+    nothing here (see :func:`not_sitemaps`).
     """
     seen, level, found = set(), [start], None
-    for _ in range(MAX_DEPTH):
-        files = spark.read.format("binaryFile").load(level).select("path", xml_text("content").alias("xml"))
+    while level:
+        files = materialize(_files(spark, level), "sitemap-level")
         seen |= set(level)
         urls = article_urls(files)
         found = urls if found is None else found.union(urls)
         level = sorted({path_of(r["url"]) for r in locations(files, "sitemap").distinct().collect()} - seen)  # sitemap files, not pages
-        if not level:
-            break
     return found.distinct()
+
+
+def resolve_urls(spark: SparkSession, url: str, path_of) -> DataFrame:
+    """``url`` of the articles that an address stands for: those of its sitemap, or itself where it is a single page."""
+    if _files(spark, [path_of(url)]).where(is_sitemap()).isEmpty():
+        return spark.createDataFrame([(url,)], "url string")
+    return crawl(spark, path_of(url), path_of)

@@ -71,6 +71,7 @@ def test_labels(spark):
 def test_scores_are_those_of_the_plain_recurrence(spark):
     rng = random.Random(4)
     pairs = [("".join(rng.choice("abc é") for _ in range(rng.randint(1, 30))), "".join(rng.choice("abc é") for _ in range(rng.randint(1, 50)))) for _ in range(60)]
+    pairs += [("ab" * 30 + "x" * n, "ba" * 30 + "y" * n) for n in (0, 1, 5)] + [("a" * 69, "a" * 68 + "b"), ("é" * 61, "é" * 64), ("", "a" * 70)]
 
     def slow(a, b):
         row = [0] * (len(b) + 1)
@@ -302,6 +303,13 @@ def test_sitemaps(spark, tmp_path):
     (tmp_path / "index").write_text(index)
     (tmp_path / "page").write_text("<html>no</html>")
     assert [r["url"] for r in sitemap.crawl(spark, f"{tmp_path}/index", lambda u: u).collect()] == ["https://x.com/a-b"]
+    for k in range(9):  # indexes of indexes
+        to = f"{tmp_path}/deep{k + 1}" if k < 8 else f"{tmp_path}/one"
+        (tmp_path / f"deep{k}").write_text(index.replace(f"{tmp_path}/one", to))
+    assert [r["url"] for r in sitemap.crawl(spark, f"{tmp_path}/deep0", lambda u: u).collect()] == ["https://x.com/a-b"]
+    assert [r["url"] for r in sitemap.resolve_urls(spark, f"{tmp_path}/one", lambda u: u).collect()] == ["https://x.com/a-b"]
+    assert [r["url"] for r in sitemap.resolve_urls(spark, f"{tmp_path}/page", lambda u: u).collect()] == [f"{tmp_path}/page"]
+    assert "HTML" in sitemap.not_sitemaps(sitemap.read_xml(spark, f"{tmp_path}/page")).first()["reason"]
     assert [r["path"][-4:] for r in sitemap.not_sitemaps(sitemap.read_xml(spark, str(tmp_path))).collect()] == ["page"]
 
 
