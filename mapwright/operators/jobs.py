@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from mapwright.storage import dealt_by_range
+
 FINISHED = ("done", "error")
 
 
@@ -24,10 +26,27 @@ def recover(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("error", F.when(open_, F.lit("interrupted")).otherwise(F.col("error"))).withColumn("status", F.when(open_, F.lit("error")).otherwise(F.col("status")))
 
 
+def save(jobs: DataFrame, incoming: DataFrame, key: str = "job_id") -> DataFrame:
+    """Jobs with the incoming rows in place of those of the same key."""
+    return jobs.join(incoming.select(key).distinct(), key, "left_anti").select(jobs.columns).unionByName(incoming.select(jobs.columns))
+
+
+def delete(jobs: DataFrame, keys: list, key: str = "job_id") -> DataFrame:
+    return jobs.where(~F.col(key).isin(keys))
+
+
 def retain(jobs: DataFrame, cap: int) -> DataFrame:
-    """Without the oldest finished jobs beyond ``cap`` jobs in all; unfinished ones stay."""
-    total = jobs.count()
-    if total <= cap:
+    """Without the oldest finished jobs beyond ``cap`` jobs in all; unfinished ones stay.
+
+    Finished jobs are numbered in order of time inside parts by range; only the parts' sizes are summed up in one place.
+    """
+    over = jobs.count() - cap
+    if over <= 0:
         return jobs
-    gone = jobs.where(F.col("status").isin(*FINISHED)).orderBy("created_at", "job_id").limit(total - cap).select("job_id")
+    order = ["created_at", "job_id"]
+    dealt = dealt_by_range(jobs.where(F.col("status").isin(*FINISHED)).select(*order), order, "jobs-dealt")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each part
+    sizes = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")).where(F.col("base") < over)
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("base")
+    gone = dealt.join(F.broadcast(sizes), "_part").withColumn("n", place).where(F.col("n") <= over).select("job_id")
     return jobs.join(gone, "job_id", "left_anti")

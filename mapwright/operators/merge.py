@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mapwright.functions.keys import entity_key, relationship_key
+from mapwright.storage import dealt_by_range
 
 REPLACED_BY = "replaced_by"
 
@@ -70,16 +71,26 @@ def close_windows(folded: DataFrame, edges: DataFrame, run_ts: str) -> DataFrame
 
     An edge is closed by the earliest such statement in its own or a later article; the time is that statement's
     ``as_of``, or ``run_ts`` where that is null or empty. Edges into the source stay open, and so do edges first stated
-    after it. One pass over each source's statements, latest first.
+    after it. A source's statements are passed over once, latest first, in parts of bounded size; a part hands its
+    first closing of a source on to the parts before it.
     """
-    seq = F.struct("extracted_at", "article_id")
+    seq, of = F.struct("extracted_at", "article_id"), ["company_name", "source_key"]
     closes = keyed_edges(edges.where(F.col("relation") == REPLACED_BY)).select(
-        "company_name", "source_key", seq.alias("seq"), F.lit(1).alias("is_close"), "item", F.coalesce(F.nullif("as_of", F.lit("")), F.lit(run_ts)).alias("closed_at"), F.lit(None).cast("string").alias("key")
+        *of, seq.alias("seq"), F.lit(1).alias("is_close"), "item", F.coalesce(F.nullif("as_of", F.lit("")), F.lit(run_ts)).alias("closed_at"), F.lit(None).cast("string").alias("key")
     )
-    opened = folded.select("company_name", "source_key", F.col("first_seq").alias("seq"), F.lit(0).alias("is_close"), F.lit(0).alias("item"), F.lit(None).cast("string").alias("closed_at"), "key")
-    back = W.partitionBy("company_name", "source_key").orderBy(F.desc("seq"), F.desc("is_close"), F.desc("item")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = closes.unionByName(opened).withColumn("invalid_at", F.last("closed_at", ignorenulls=True).over(back)).where("key is not null")
-    out = folded.join(found.select("company_name", "key", "invalid_at"), ["company_name", "key"])
+    # of one article's statements the first counts
+    closes = closes.groupBy(*of, "seq", "is_close", "key").agg(F.min("item").alias("item"), F.min_by("closed_at", "item").alias("closed_at"))
+    opened = folded.select(*of, F.col("first_seq").alias("seq"), F.lit(0).alias("is_close"), F.lit(0).alias("item"), F.lit(None).cast("string").alias("closed_at"), "key")
+    opened = opened.join(closes.select(*of).distinct(), of, "left_semi")
+    dealt = dealt_by_range(closes.unionByName(opened), [*of, "seq", "is_close", "key"], "close-dealt")
+    back = W.partitionBy("_part", *of).orderBy(F.desc("seq"), F.desc("is_close")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    earliest = dealt.where("is_close = 1").groupBy("_part", *of).agg(F.min_by("closed_at", "seq").alias("first"))
+    # a row for each source and part that holds it
+    held = dealt.groupBy("_part", *of).agg(F.lit(1).alias("n")).join(earliest, ["_part", *of], "left")
+    later = W.partitionBy(*of).orderBy("_part").rowsBetween(1, W.unboundedFollowing)
+    handed = held.withColumn("handed", F.first("first", ignorenulls=True).over(later)).select("_part", *of, "handed")
+    found = dealt.withColumn("own", F.last("closed_at", ignorenulls=True).over(back)).where("key is not null").join(handed, ["_part", *of])
+    out = folded.join(found.select("company_name", "key", F.coalesce("own", "handed").alias("invalid_at")), ["company_name", "key"], "left")
     return out.withColumn("invalid_at", F.when(F.col("relation") != REPLACED_BY, F.col("invalid_at")))
 
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -40,5 +41,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_by_range(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """``rows`` in parts by range of ``order``, written, with ``_part``: each part's rows come before the next one's.
+
+    For running values over groups of any size: a part is worked on alone, and only what it hands on, a row for each
+    part, is gathered.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), tag)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

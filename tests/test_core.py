@@ -207,6 +207,8 @@ def test_windows_close_as_in_the_loop(spark):
     for _ in range(200):
         rows.append((rng.randint(1, 30), rng.choice("ABC"), rng.choice(["calls", "replaced_by", "uses"]), rng.choice("XYZ"), rng.choice([None, "", "2020", "2021"])))
     rows.sort(key=lambda r: r[0])
+    rows += [(a, "H", "calls", f"T{a}", None) for a in range(1, 31)] + [(a, "H", "replaced_by", "Z", f"h{a}") for a in (9, 20)]  # a hot source, in many parts
+    rows.sort(key=lambda r: r[0])
     edges, store = stated(spark, rows), {}
     for a in sorted({r[0] for r in rows}):
         mine = [r for r in rows if r[0] == a]
@@ -317,6 +319,12 @@ def test_jobs(spark):
     rows = [(k, s, k, None) for k, s in enumerate(["done", "pending", "error", "done", "scraping"])]
     j = spark.createDataFrame(rows, "job_id long, status string, created_at long, error string")
     assert sorted(r["job_id"] for r in jobs.retain(j, 3).collect()) == [1, 3, 4]
+    assert sorted(r["job_id"] for r in jobs.retain(j, 2).collect()) == [1, 4] and jobs.retain(j, 9).count() == 5
+    many = spark.range(500).selectExpr("id job_id", "if(id % 10 = 0, 'pending', 'done') status", "id % 7 created_at", "cast(null as string) error")
+    oldest = sorted((k % 7, k) for k in range(500) if k % 10)[:300]
+    assert {r["job_id"] for r in jobs.retain(many, 200).collect()} == set(range(500)) - {k for _, k in oldest}
+    again = jobs.save(j, j.where("job_id = 1").withColumn("status", F.lit("done")))
+    assert again.count() == 5 and again.where("job_id = 1").first()["status"] == "done" and jobs.delete(again, [1, 2]).count() == 3
     assert {r["job_id"]: r["status"] for r in jobs.recover(j).collect()} == {0: "done", 1: "error", 2: "error", 3: "done", 4: "error"}
 
 
