@@ -1,13 +1,17 @@
 """Removal of repeated passages by level-wise doubling.
 
 A window is ``window`` consecutive words; a word goes if it lies in a window that also starts earlier (in a smaller
-document, or earlier in its own). Windows of half that length are looked at first, and of these only anchors: in each
-full window, the half-length window with the least hash, so that equal full windows have equal anchors. Anchors that
-occur once are dropped, and only windows whose anchor occurs again are extended to the full length and compared.
+document, or earlier in its own). Lengths double from a short one up to the window's (5, 10, 20 words; see
+:func:`lengths`). A passage repeated at one length is extended to twice that length, and what occurs once there is
+dropped, until no candidates survive or the window's length is reached, where all windows around a survivor are compared.
 
-Each task first compares the windows of the rows that it has at hand: of a window that many texts share, only the
-earliest occurrence in the block goes to the shuffle, and the others are known to be repeats at once. So a hot passage
-adds one row a block to its key's group. No group is ever gathered; what travels to a document is its own windows.
+Of the shorter lengths only anchors are looked at: in each window, the passage of half its length with the least hash,
+and in an anchor, of each shorter length the least hash of its passages. Equal windows have equal anchors at every
+length, so no repeated window is lost.
+
+Each task first compares the passages of the rows that it has at hand: of one that many texts share, only its first
+occurrences in the task go to the shuffle, and the others are known to be repeats at once. So a hot passage adds a row
+or two for each task to its key's group. No group is ever gathered; what travels to a document is its own windows.
 """
 
 from __future__ import annotations
@@ -24,13 +28,20 @@ from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
-from .words import Block, WordHashes, blocks, inner_id, mapped, outer_id, sliding_min, space_words, windows
+from .words import Block, WordHashes, blocks, inner_id, mapped, mixed, outer_id, sliding_min, space_words, windows
 
 WINDOW = 20
 #: So many ids are broadcast to keep only matching texts before a join; with more, the texts are joined unfiltered.
 BROADCAST_IDS = 1_000_000
 
+#: A task remembers so many passages.
+SEEN = 150_000
+#: The shortest length is under twice this.
+SHORTEST = 4
+
 _PLACE_BITS = 26
+#: Makes a second, independent hash of a window.
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -57,51 +68,117 @@ def _anchors(b: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return anchor, halves
 
 
-def _first_of_each(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by (key, doc), the flag of each key's first row in it, and the count of each row's key."""
-    order = np.lexsort((docs, keys))
-    k = keys[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, dtype=bool)
-    group = np.cumsum(new) - 1
-    counts = np.bincount(group)[group] if len(k) else np.empty(0, dtype=np.int64)
-    return order, new, counts
+def lengths(window: int) -> list[int]:
+    """The lengths under the window's, each half of the next, from the shortest of at least SHORTEST words."""
+    out = [window // 2]
+    while out[0] >= 2 * SHORTEST:
+        out.insert(0, out[0] // 2)
+    return out
+
+
+class _Seen:
+    """Keys (sorted) that a task has met, with a value each, a bounded number: if there are too many, those met once
+    are forgotten, then all. What is forgotten costs rows in the shuffle, never results."""
+
+    def __init__(self, *kinds: type) -> None:
+        self.keys, self.again = np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
+        self.values = [np.empty(0, dtype=k) for k in kinds]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and where."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)), at
+
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        """New keys, sorted."""
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.again = np.insert(self.keys, where, keys), np.insert(self.again, where, False)
+        self.values = [np.insert(v, where, n) for v, n in zip(self.values, values, strict=True)]
+        if len(self.keys) > SEEN:
+            few = self.again if self.again.sum() <= SEEN // 2 else np.zeros(len(self.keys), dtype=bool)
+            self.keys, self.again, self.values = self.keys[few], self.again[few], [v[few] for v in self.values]
+
+
+def _flags(keys: np.ndarray, owner: np.ndarray, seen: _Seen) -> np.ndarray:
+    """For passages with their texts, three bits: 1, it goes to its key's group, as the key's first two texts of the task
+    do with all their rows; 2, it counts there, once a text; 4, its key is known to occur in some other text."""
+    order = np.lexsort((owner, keys))
+    k, o = keys[order], owner[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    other = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+    group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    texts = np.bincount(group, weights=other)
+    met, at = seen.find(k[starts])
+    before = np.where(met, seen.values[0][at] if len(seen.keys) else 0, 0).astype(np.int64)
+    lead = o == o[starts][group]  # the rows of the first text here
+    out = np.zeros(len(keys), dtype=np.int32)
+    out[order] = (lead & (before < 2)[group]).astype(np.int32) | (((before > 0) | (texts > 1))[group].astype(np.int32) << 2)
+    out[order[starts[before < 2]]] |= 2
+    np.add.at(seen.values[0], at[met], 1)
+    seen.again[at[met]] = True
+    seen.add(k[starts][~met], np.ones(int((~met).sum()), dtype=np.int64))
+    return out
 
 
 def _anchor_rows(size: int):
-    """(k, h, id, known): anchors by text. Those repeated inside the block are known; one row for each key is dealt by k."""
+    """(id, flags, h0, h1, ...) for the anchors of each text: of every length the least hash inside it, shortest first;
+    flags: three bits a length (:func:`_flags`)."""
+    steps = lengths(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, seen = WordHashes(), [_Seen(np.int64) for _ in steps]
         for rows in blocks(batches):
             b = Block(rows["id"], rows["text"], [space_words(t) for t in rows["text"]], cache)
             anchor, halves = _anchors(b, size)
             at = np.unique(anchor[anchor >= 0])
             if not len(at):
                 continue
-            keys, owner = halves[at], b.owner()[at]
-            order, first, counts = _first_of_each(keys, owner)
-            keys, owner = keys[order], owner[order]
-            known = counts > 1
-            same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])])
-            keep = first | ~same
-            keys, owner, known, first = keys[keep], owner[keep], known[keep], first[keep]
+            owner = b.owner()[at]
+            # each once a text; one with two places in its text repeats at every length
+            order = np.lexsort((halves[at], owner))
+            own, half = owner[order], halves[at][order]
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (half[1:] != half[:-1])])
+            inside = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
+            at, owner = at[order[new]], own[new]
+            keys = [sliding_min(windows(b.hashes, n), steps[-1] - n + 1)[at] for n in steps[:-1]] + [halves[at]]
+            flags = np.zeros(len(at), dtype=np.int64)
+            for j, k in enumerate(keys):
+                flags |= (_flags(k, owner, seen[j]) | inside.astype(np.int64) << 2).astype(np.int64) << (3 * j)
             ids = np.array(b.ids, dtype=np.int64)[owner]
-            spread = keys ^ (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, keys, spread).view(np.int64)), pa.array(keys.view(np.int64)), pa.array(ids), pa.array(known), pa.array(first)], names=["k", "h", "id", "known", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flags), *(pa.array(k.view(np.int64)) for k in keys)], names=["id", "flags", *(f"h{j}" for j in range(len(steps)))])
 
     return run
 
 
+def _repeated(d: DataFrame, window: int) -> DataFrame:
+    """``id, repeated``: by text the anchors that are repeated at every length up to half the window's."""
+    steps = lengths(window)
+    last = len(steps) - 1
+    rows = mapped(d, _anchor_rows(window), "id long, flags long, " + ", ".join(f"h{j} long" for j in range(len(steps))))
+    for j, words in enumerate(steps):
+        goes, counts, known = (F.expr(f"shiftright(flags, {3 * j + bit}) & 1") for bit in range(3))
+        # rows beyond the first of a task are dealt out by themselves: their key's group need not see them
+        keyed = rows.withColumn("counts", counts).withColumn("k", F.when(goes == 1, F.col(f"h{j}")).otherwise(F.xxhash64(f"h{j}", "id")))
+        again = keyed.withColumn("n", F.sum("counts").over(W.partitionBy("k"))).where((known == 1) | (F.col("n") > 1))
+        rows = again.select("id", "flags", *(f"h{i}" for i in range(min(j + 1, last), last + 1)))
+        if j < last:
+            rows = materialize(rows, f"repeats-{words}-words")
+            if rows.isEmpty():  # no candidates survive
+                break
+    return materialize(rows.groupBy("id").agg(F.collect_set(f"h{last}").alias("repeated")), "repeats-anchors")
+
+
 def _tags(texts: list[str]) -> np.ndarray:
     """Tells texts apart that share an id; under 2**31."""
     return np.array([zlib.crc32(t.encode("utf-8", "replace")) >> 1 for t in texts], dtype=np.int64)
 
 
 def _window_rows(size: int):
-    """(k, id, at, known): full windows whose anchor occurs again, first occurrence by text; at: its tag and start."""
+    """(k, k2, id, at, known): full windows whose anchor occurs again, first occurrence by text; at: its tag and start.
+    k and k2 are independent hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, seen = WordHashes(), _Seen(np.uint64, np.int64)
         for rows in blocks(batches):
             b = Block(rows["id"], rows["text"], [space_words(t) for t in rows["text"]], cache)
             anchor, halves = _anchors(b, size)
@@ -114,22 +191,36 @@ def _window_rows(size: int):
             if not len(starts):
                 continue
             keys, tags = windows(b.hashes, size)[starts], _tags(rows["text"])
-            ids = np.array(b.ids, dtype=np.int64)
-            docs = ids[own[starts]]
-            order = np.lexsort((starts, docs, keys))
-            k, d, s = keys[order], docs[order], starts[order]
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            again = np.concatenate([[False], (k[1:] == k[:-1]) & (d[1:] == d[:-1])])  # later in the same text: found again there
-            least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = d > least
-            keep = ~again
-            k, d, s, known, owner = k[keep], d[keep], s[keep], known[keep], own[s[keep]]
+            second = windows(mixed(b.hashes ^ _SECOND), size)[starts]
+            docs = np.array(b.ids, dtype=np.int64)[own[starts]]
+            order = np.lexsort((starts, docs, second, keys))
+            k, k2, d, s = keys[order], second[order], docs[order], starts[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])
+            again = np.concatenate([[False], ~new[1:] & (d[1:] == d[:-1])])  # later in the same text: found again there
+            heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+            least = _least_seen(seen, k[heads], k2[heads], d[heads])[group]
+            known, keep = d > least, ~again
+            k, k2, d, s, known, owner = k[keep], k2[keep], d[keep], s[keep], known[keep], own[s[keep]]
             spread = k ^ (d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64) + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, k).view(np.int64)), pa.array(d), pa.array((tags[owner] << 32) | (s - b.starts[owner])), pa.array(known)], names=["k", "id", "at", "known"])
+            at = (tags[owner] << 32) | (s - b.starts[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, k).view(np.int64)), pa.array(k2.view(np.int64)), pa.array(d), pa.array(at), pa.array(known)], names=["k", "k2", "id", "at", "known"])
 
     return run
 
 
+def _least_seen(seen: _Seen, k: np.ndarray, k2: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """By window (sorted) the least text that the task has met with it, these texts included."""
+    met, at = seen.find(k)
+    if len(seen.keys):
+        met &= seen.values[0][at] == k2
+        np.minimum.at(seen.values[1], at[met], d[met])
+        seen.again[at[met]] = True
+    least = np.where(met, seen.values[1][at], d) if len(seen.keys) else d.copy()
+    fresh = np.concatenate([[True], k[1:] != k[:-1]]) & ~seen.find(k)[0]
+    seen.add(k[fresh], k2[fresh], d[fresh])
+    return least
+
+
 def _kept(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -179,24 +270,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     d = docs.select(inner_id(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = mapped(d, _anchor_rows(window), "k long, h long, id long, known boolean, first boolean")
-    by_key = W.partitionBy("k")
-    again = rows.withColumn("n", F.sum(F.col("first").cast("int")).over(by_key)).where("known or n > 1")
-    repeated = materialize(again.groupBy("id").agg(F.collect_set("h").alias("repeated")), "repeats-anchors")
+    repeated = _repeated(d, window)
     ids = repeated.select("id")
-    full = _only(d, ids).join(repeated, "id").mapInArrow(_window_rows(window), "k long, id long, at long, known boolean")
-    bad = full.withColumn("least", F.min("id").over(by_key)).where("known or id > least")
+    full = mapped(_only(d, ids).join(repeated, "id"), _window_rows(window), "k long, k2 long, id long, at long, known boolean")
+    bad = full.withColumn("least", F.min("id").over(W.partitionBy("k", "k2"))).where("known or id > least")
     # texts whose only repeats are inside themselves have no such row, but are looked at all the same
     spans = materialize(bad.groupBy("id").agg(F.collect_list("at").alias("at")), "repeats-spans")
     touched = _only(d, ids).join(ids, "id", "left_semi").join(spans, "id", "left")
     norm = F.regexp_replace("text", _SPACE, " ")
     norm = F.trim(norm)
     plain = d.select("id", F.when(norm == "", 0).otherwise(F.size(F.split(norm, " "))).cast("long").alias("n_words"), F.sha2(norm.cast("binary"), 256).alias("whole"))
-    changed = (
-        touched.withColumn("whole", F.sha2(norm.cast("binary"), 256))
-        .mapInArrow(_kept(window), "id long, whole string, n_removed long, kept_sha256 string, kept string")
-        .where("n_removed > 0")
-    )
+    whole = touched.withColumn("whole", F.sha2(norm.cast("binary"), 256))
+    changed = mapped(whole, _kept(window), "id long, whole string, n_removed long, kept_sha256 string, kept string").where("n_removed > 0")
     changed = (changed if with_text else changed.drop("kept")).dropDuplicates(["id", "whole"])
     out = plain.join(changed, ["id", "whole"], "left").select(
         outer_id("id").alias("doc_id"),

@@ -115,6 +115,37 @@ def plain_repeats(rows, size=20):
     return out
 
 
+@pytest.mark.parametrize("window", [2, 6, 20, 40, 160])
+def test_levels_find_passages_of_every_length(spark, window, monkeypatch):
+    """Passages of 19 to 160 words, at odd places, shared by two texts or many, and inside one text; tiny task memory."""
+    monkeypatch.setattr(substring, "SEEN", 50)
+    rng = random.Random(window)
+
+    def word():
+        return f"w{rng.randrange(10**6)}"
+
+    passages = {n: [word() for _ in range(n)] for n in (19, 20, 21, 39, 40, 80, 160)}
+    rows = []
+    for k in range(60):
+        text = [word() for _ in range(rng.randrange(0, 90))]
+        for n in rng.sample(sorted(passages), 2):
+            cut = rng.randrange(0, 3)
+            text += passages[n][cut:] + [word() for _ in range(rng.randrange(0, 5))]
+        if k % 10 == 0:
+            text += ["tick", "tock"] * 30 + text[:45]
+        rows.append((k, " ".join(text)))
+    want = plain_repeats(rows, window)
+    assert any(w[1] for w in want.values())
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=window)
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(got).items()} == want
+    assert substring.lengths(20) == [5, 10] and substring.lengths(160) == [5, 10, 20, 40, 80] and substring.lengths(2) == [1]
+
+
+def test_no_candidates_survive(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"{k}x{j}" for j in range(60))) for k in range(5)], "doc_id long, text string")
+    assert all(r["n_removed"] == 0 and r["n_words"] == 60 for r in by_id(substring.remove_repeats(docs)).values())
+
+
 def test_keep_clean_judges_rows_by_their_own_text(spark):
     passage = " ".join(f"q{k}" for k in range(20))
     df = spark.createDataFrame([(1, passage), (1, "clean words"), (None, passage), (None, "other words"), (None, None), (2, "x"), (2, "x")], "doc_id long, text string")
