@@ -6,6 +6,7 @@ import unicodedata
 import zlib
 from array import array
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,6 +393,56 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit >= 0.85 * sum(r["toxic"] for r in rows) and hit >= 0.85 * sum(r["predicted"] for r in rows)
 
 
+def drawn_votes(n, seed=2):
+    """Votes of independent voters with known rates, and the truth."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.2
+    rates = np.linspace(0.5, 0.95, toxicity.VOTERS)
+    v = np.ones((n, toxicity.VOTERS + 1), dtype=np.int64)
+    for k in range(toxicity.VOTERS):
+        v[:, k] = np.where(rng.random(n) < np.where(truth, rates[k], 0.04), 2, 1)
+    known = rng.random(n) < 0.4
+    v[known, -1] = np.where(truth[known], 2, 0)
+    return v, truth, known
+
+
+def test_label_model_learns_accuracies_and_overrules_wrong_labels():
+    v, truth, known = drawn_votes(6000)
+    wrong = np.flatnonzero(known)[:60]
+    v[wrong, -1] = 2 - v[wrong, -1]
+    codes, n = np.unique([toxicity.code_of(x) for x in v.tolist()], return_counts=True)
+    m = toxicity.LabelModel(toxicity.votes_of(codes), n)
+    post = m.posterior(v)
+    assert abs(m.prior - truth.mean()) < 0.02 and ((post > 0.5) == truth).mean() > 0.99
+    # where the voters agree against the gold label, the posterior is theirs
+    assert ((post[wrong] > 0.5) == truth[wrong]).mean() > 0.9
+    right = 1 - len(wrong) / known.sum()
+    assert abs(np.exp(m.gold[0][0]) - right) < 0.02 and m.accuracies()[-1] < 0.99
+    rates = np.linspace(0.5, 0.95, toxicity.VOTERS)
+    said = truth[:, None] & (v[:, :-1] == 2)
+    want = said.sum(axis=0) / (v[:, :-1] == 2).sum(axis=0)
+    assert np.abs(m.accuracies()[:-1] - want).max() < 0.03 and rates[0] < rates[-1]
+
+
+def test_label_model_is_the_product_of_its_tables():
+    """The chance of every pattern against plain products, and a likelihood that EM never lowers."""
+    v, _, _ = drawn_votes(300, 5)
+    v[:, 3] = v[:, 2]  # two voters that copy each other
+    m = toxicity.LabelModel(v, np.ones(len(v)))
+    assert m.parent[3] == 2 or m.parent[2] == 3
+    odds, total = m._scores(v)
+    for row, o, t in list(zip(v.tolist(), odds, total, strict=True))[:40]:
+        chance = []
+        for c in (0, 1):
+            p = m.prior if c else 1 - m.prior
+            for k, parent in enumerate(m.parent):
+                p *= np.exp(m.tables[k][c][row[k]] if parent < 0 else m.tables[k][c][row[parent]][row[k]])
+            chance.append(p * np.exp(m.gold[c][row[-1]]))
+        assert abs(np.log(sum(chance)) - t) < 1e-9 and abs(np.log(chance[1] / chance[0]) - o) < 1e-9
+    late = m.likelihoods[6:]
+    assert all(b >= a - 0.5 for a, b in zip(late, late[1:]))  # the added cases cost a little
+
+
 # --- personal data -----------------------------------------------------------------------------------------------
 
 
