@@ -41,10 +41,13 @@ def _printed(h1: str = "h1", h2: str = "h2") -> Column:
 
 
 def _collisions(forms: DataFrame) -> DataFrame:
-    """``(h1, h2, form, number)`` for the buckets of ``forms`` (h1, h2, form) that hold different forms, numbered from 1."""
-    apart = forms.groupBy("h1", "h2").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least <> most")
-    inside = forms.join(apart.select("h1", "h2"), ["h1", "h2"]).distinct()
-    return inside.withColumn("number", F.row_number().over(W.partitionBy("h1", "h2").orderBy("form")))
+    """``(h1, h2, form, number)`` for the buckets of ``forms`` (h1, h2, form) that hold different forms, numbered from 1.
+
+    Equal forms become one where they are, before any of them moves, so a hot bucket is as small as its forms are few.
+    """
+    unlike = materialize(forms.distinct(), "fingerprints-forms")
+    apart = unlike.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    return unlike.join(apart, ["h1", "h2"]).withColumn("number", F.row_number().over(W.partitionBy("h1", "h2").orderBy("form")))
 
 
 def _repeated(hashed: DataFrame) -> DataFrame:

@@ -19,10 +19,10 @@ from mapwright.storage import materialize
 from .words import inner_id, outer_id
 
 EDITS = 2
-#: Shorter lines are compared for equality only.
+#: Two edits change too much of a shorter line for it to be called the same: such lines are compared for equality only.
 MIN_CHARS = 12
-#: So many keys or lines are broadcast at most; with more, they meet in a shuffle join.
-BROADCAST_ROWS = 1_000_000
+#: So many keys or lines, of under 200 bytes each, are broadcast at most; with more, they meet in a shuffle join.
+BROADCAST_ROWS = 100_000
 
 #: Letters whose counts are compared before a pair is verified: one edit changes them by two in all at most.
 _LETTERS = "etanoirshldu"
@@ -47,22 +47,20 @@ def _probes(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def _keys(edits: int) -> Column:
-    """The line's probes as an array of (key, filed); the unshifted ones at its own length are also its entries."""
-    parts, out = edits + 1, []
-    for less, seg, shift in _probes(edits):
-        size, rest = f"((n - {less}) div {parts})", f"((n - {less}) % {parts})"
-        start = f"({seg} * {size} + greatest(0, {seg} - ({parts} - {rest})) + {shift})"
-        long = f"({size} + if({seg} >= {parts} - {rest}, 1, 0))"
-        fits = f"{start} >= 0 and {start} + {long} <= n and {size} > 0"
-        key = f"xxhash64({seg}, n - {less}, substring(line, int({start} + 1), int({long})))"
-        out.append(f"named_struct('key', if({fits}, {key}, null), 'filed', {1 if (less, shift) == (0, 0) else 0})")
-    return F.expr(f"array({', '.join(out)})")
-
-
 def _keyed(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    long = lines.withColumn("n", F.char_length("line").cast("long")).where(F.col("n") >= max(min_chars, edits + 1))
-    return long.select("h1", "h2", F.explode(_keys(edits)).alias("k")).select("h1", "h2", "k.key", "k.filed").where("key is not null")
+    """``h1, h2, key, filed``: the lines' probes; the unshifted ones at their own length are also their entries.
+
+    Each line meets the short list of probes first, so that one small expression makes all keys.
+    """
+    parts = edits + 1
+    probes = ", ".join(f"named_struct('less', {less}, 'seg', {seg}, 'shift', {shift})" for less, seg, shift in _probes(edits))
+    long = lines.select("h1", "h2", "line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, parts))
+    probed = long.select("h1", "h2", "line", "n", F.inline(F.expr(f"array({probes})")))
+    sized = probed.withColumn("size", F.expr(f"int((n - less) div {parts})")).withColumn("rest", F.expr(f"int((n - less) % {parts})"))
+    placed = sized.withColumn("start", F.expr(f"seg * size + greatest(0, seg - ({parts} - rest)) + shift")).withColumn("long", F.expr(f"size + if(seg >= {parts} - rest, 1, 0)"))
+    fits = placed.where("size > 0 and start >= 0 and start + long <= n")
+    key = F.xxhash64("seg", F.col("n") - F.col("less"), F.substring("line", F.col("start") + 1, F.col("long")))
+    return fits.select("h1", "h2", key.alias("key"), F.expr("if(less = 0 and shift = 0, 1, 0)").alias("filed"))
 
 
 def within(a: str, b: str, edits: int) -> Column:
