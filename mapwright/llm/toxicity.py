@@ -12,6 +12,8 @@ then set on labelled documents that the fit has not seen.
 
 from __future__ import annotations
 
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from .words import WordHashes, blocks, inner_id, mapped, mixed, outer_id, space_words, windows
 
 #: About so many labelled documents, and others, are fitted on at most.
-SAMPLE_ROWS, MORE_ROWS = 6_000, 3_000
+SAMPLE_ROWS, MORE_ROWS = 6_000, 2_000
 THRESHOLD = 0.3
 FOLDS = 3
 #: A feature is mined if its likelihood ratio statistic is over this; by chance it would be in about one of a million.
 MINED = 24.0
+#: A feature stands in so many of the documents fitted on, at least.
+LEAST = 3
 #: Features with log-odds over this are strong.
 STRONG = 3.0
 #: Mined features that stand in the same documents make a topic; so many, and how alike (as a cosine) they are at least.
@@ -66,16 +70,26 @@ class Coded:
     """Texts as pairs (document, feature) of numbers, each pair once."""
 
     def __init__(self, texts: list) -> None:
+        codes: dict[str, int] = {}
+        words = [np.array(sorted({codes.setdefault(c, len(codes)) for c in (t or "").lower().split()}), dtype=np.int32) for t in texts]
+        often = np.bincount(np.concatenate(words), minlength=len(codes)).tolist() if codes else []
+        # most features stand in one document or two; counts by a hash tell which can be dropped before they are numbered
+        counts = np.zeros(1 << 22, dtype=np.int64)
+        for c, n in zip(codes, often, strict=True):
+            for p in {p for w in words_of(c) for p in parts_of(w)}:
+                counts[zlib.crc32(p.encode()) & (1 << 22) - 1] += n
         numbers: dict[str, int] = {}
-        chunks: dict[str, np.ndarray] = {}
+        sizes, flat = np.zeros(len(codes), dtype=np.int64), array("i")
+        for k, c in enumerate(codes):
+            own = {numbers.setdefault(p, len(numbers)) for w in words_of(c) for p in parts_of(w) if counts[zlib.crc32(p.encode()) & (1 << 22) - 1] >= LEAST}
+            sizes[k] = len(own)
+            flat.extend(own)
+        of_words, starts = np.frombuffer(flat, dtype=np.int32), np.cumsum(sizes) - sizes
         owner, part = [], []
-        for k, text in enumerate(texts):
-            own = []
-            for c in set((text or "").lower().split()):
-                if c not in chunks:
-                    chunks[c] = np.array([numbers.setdefault(p, len(numbers)) for w in words_of(c) for p in parts_of(w)], dtype=np.int32)
-                own.append(chunks[c])
-            own = np.unique(np.concatenate(own)) if own else np.empty(0, dtype=np.int32)
+        for k, own in enumerate(words):
+            long = sizes[own]
+            at = np.repeat(starts[own] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            own = np.unique(of_words[at]) if len(at) else np.empty(0, dtype=np.int32)
             owner.append(np.full(len(own), k, dtype=np.int32))
             part.append(own)
         self.n, self.names = len(texts), list(numbers)
@@ -440,7 +454,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not (y == 0).any() or not (y == 1).any():
         return _level(y[y >= 0])
     own = Fit([r["words"] for r in rows], y, np.array([r["sketch"] for r in rows], dtype=np.int64).reshape(len(rows), len(_FLIPS)))
-    mined = own.mine(np.ones(len(rows), dtype=bool))
+    del rows
+    mined = own.mine(np.ones(len(y), dtype=bool))
     lexicon = own.lexicon(mined)
     votes = mapped(d, _vote_rows(spark.sparkContext.broadcast(lexicon)), "id long, code long").join(gold, "id", "left")
     # a lexicon has two votes, a pattern and the gold label three: of the possible patterns few occur
