@@ -545,11 +545,27 @@ def test_audit_finds_what_differs(spark):
     t = warc.tree(a)
     assert warc.audit(t, t).isEmpty()
     assert warc.root_of(t) == warc.root_of(warc.tree(warc.records(pages.repartition(5))))
-    bad = a.withColumn("record", F.when(F.col("id").isin(7, 1500), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
+    bad = a.withColumn("record", F.when(F.col("id").isin(7, 1500), F.concat("record", F.lit("!"))).otherwise(F.col("record"))).withColumn("digest", warc.digest_of("record"))
     found = {(r["archive"], r["position"]) for r in warc.audit(t, warc.tree(bad)).collect()}
     assert found == {(r["archive"], r["position"]) for r in a.where("id in (7, 1500)").collect()}
     assert warc.root_of(t) != warc.root_of(warc.tree(bad))
-    assert warc.audit(t, warc.tree(a.where("archive < 2"))).count() == a.where("archive >= 2").count()
+    less = a.where("archive < 2")
+    assert warc.audit(t, warc.tree(less)).count() == a.where("archive >= 2").count()
+    # replicas of different heights, built to one shape, are audited by descent
+    shape = warc.shape_of(a, less)
+    one, other = warc.tree(a, shape=shape), warc.tree(less, shape=shape)
+    assert one.agg(F.max("level")).first() == other.agg(F.max("level")).first() and warc.audit(one, other).count() == a.where("archive >= 2").count()
+
+
+def test_audit_of_ties_and_long_pages(spark):
+    rows = [(1, "u", "same")] * 3 + [(1, "u", "other"), (None, "u", "loose"), (None, "v", "loose"), (2, "u", "x" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    recs = warc.records(pages, date="2024-05-06T00:00:00Z").collect()
+    first = sorted((r["position"], r["start"], r["length"]) for r in recs if r["archive"] == 0)
+    assert [p for p, _, _ in first] == [0, 1, 2, 3, 4] and all(a[1] + a[2] == b[1] for a, b in zip(first, first[1:])) and first[-1][2] > 3_000_000
+    assert all(r["archive"] < -(10**15) for r in recs if r["id"] < 0) and all("WARC-Date: 2024-05-06" in r["record"] for r in recs)
+    got = warc.audit_pages(pages.union(spark.createDataFrame([(7, "u", "damaged")], pages.schema))).collect()
+    assert len(got) == 8 and [r["page_id"] for r in got if r["damaged"]] == [7]
 
 
 def test_archives_hold_the_records_bytes(spark, tmp_path):
