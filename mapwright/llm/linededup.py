@@ -21,8 +21,9 @@ from .words import inner_id, outer_id
 EDITS = 2
 #: Two edits change too much of a shorter line for it to be called the same: such lines are compared for equality only.
 MIN_CHARS = 12
-#: So many keys or lines, of under 200 bytes each, are broadcast at most; with more, they meet in a shuffle join.
-BROADCAST_ROWS = 100_000
+#: So many keys or lines, of under 250 bytes each in a hash table, are broadcast at most (125 MB); with more, they meet
+#: in a shuffle join, which moves the texts.
+BROADCAST_ROWS = 500_000
 
 #: Letters whose counts are compared before a pair is verified: one edit changes them by two in all at most.
 _LETTERS = "etanoirshldu"
