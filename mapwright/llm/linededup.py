@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from mapwright.storage import materialize
 
-from .words import inner_id, outer_id
+from .words import fresh, inner_id
 
 EDITS = 2
 #: Two edits change too much of a shorter line for it to be called the same: such lines are compared for equality only.
@@ -182,23 +182,26 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars:
     return materialize(per_row, "lines-gone")
 
 
-_REBUILT = "array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')"
+_REBUILT = "array_join(transform(array_except(sequence(0, size(split(`{text}`, '\n')) - 1), {gone}), i -> split(`{text}`, '\n')[i]), '\n')"
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with columns _gone, _n_near, _n_links and _lines where touched, and the rows left as they are."""
-    gone = _removed(docs, id_col, text_col, edits, min_chars).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"), F.col("n_near").alias("_near"), F.col("n_links").alias("_links"))
+def _joined(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of ``docs`` that are touched, with a column (its name comes last) of what to do (gone, n_near, n_links),
+    and the rows left as they are."""
+    pre = fresh(docs)
+    one, tag, marks = f"{pre}id", f"{pre}tag", f"{pre}marks"
+    gone = _removed(docs, id_col, text_col, edits, min_chars).select(F.col("id").alias(one), F.col("tag").alias(tag), F.struct("gone", "n_near", "n_links").alias(marks))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    on = (inner_id(id_col) == F.col("_id")) & (F.xxhash64(text) == F.col("_tag"))
-    ids = gone.select("_id", "_tag")
+    on = (inner_id(id_col) == F.col(one)) & (F.xxhash64(text) == F.col(tag))
+    ids = gone.select(one, tag)
     if ids.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return docs.join(gone, on, "left"), docs.limit(0)
+        return docs.join(gone, on, "left"), docs.limit(0), marks
     touched = docs.join(F.broadcast(ids), on, "left_semi").join(gone, on)
-    return touched, docs.join(F.broadcast(ids), on, "left_anti")
+    return touched, docs.join(F.broadcast(ids), on, "left_anti"), marks
 
 
-def _kept_text(text_col: str) -> Column:
-    return F.when(F.size("_gone") > 0, F.expr(_REBUILT.replace("lines", f"split(`{text_col}`, '\n')").replace("gone", "_gone"))).otherwise(F.col(text_col))
+def _kept_text(text_col: str, marks: str) -> Column:
+    return F.when(F.size(F.col(marks)["gone"]) > 0, F.expr(_REBUILT.format(text=text_col, gone=f"{marks}.gone"))).otherwise(F.col(text_col))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -210,8 +213,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty ones among them, stays as it is; one that loses all becomes empty. Rows with equal id and text are treated
     alike; a null id counts as the smallest. An empty table gives an empty table.
     """
-    touched, same = _joined(docs, id_col, text_col, edits, min_chars)
-    out = touched.withColumn(text_col, _kept_text(text_col)).select(docs.columns)
+    touched, same, marks = _joined(docs, id_col, text_col, edits, min_chars)
+    out = touched.withColumn(text_col, _kept_text(text_col, marks)).select(docs.columns)
     if chars_col:
         out = out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
     return out.union(same.select(docs.columns))
@@ -224,11 +227,12 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines, and the digest of the text that :func:`dedup_lines` leaves (a null text as empty).
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    touched, same = _joined(d, "doc_id", "text", edits, min_chars)
+    touched, same, marks = _joined(d, "doc_id", "text", edits, min_chars)
+    mark = F.col(marks)
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")).cast("long")
     def digest(text: Column) -> Column:
         return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("kept_sha256")
     zero = F.lit(0).cast("long")
-    changed = touched.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("_gone").cast("long"), zero).alias("n_removed"), F.coalesce("_near", zero).alias("n_near"), F.coalesce("_links", zero).alias("n_links"), digest(_kept_text("text")))
+    changed = touched.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size(mark["gone"]).cast("long"), zero).alias("n_removed"), F.coalesce(mark["n_near"], zero).alias("n_near"), F.coalesce(mark["n_links"], zero).alias("n_links"), digest(_kept_text("text", marks)))
     rest = same.select("doc_id", n_lines.alias("n_lines"), zero.alias("n_removed"), zero.alias("n_near"), zero.alias("n_links"), digest(F.col("text")))
     return changed.union(rest)

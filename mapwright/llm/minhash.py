@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from mapwright.storage import materialize
 
 from .graph import components
-from .words import NULL_ID, Block, WordHashes, blocks, inner_id, keyed_texts, mapped, mixed, outer_id, space_words, text_print, windows, without
+from .words import NULL_ID, Block, WordHashes, blocks, fresh, inner_id, keyed_texts, mapped, mixed, outer_id, space_words, text_print, windows, without
 
 SHINGLE = 5
 PERCENT = 75
@@ -282,22 +282,22 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     the least id stays, then with the least digest of its text. Of rows equal in id and text one stays.
     """
     if docs.select(inner_id(id_col).alias("id")).groupBy("id").count().where("count > 1").isEmpty():
-        gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone"))
+        gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(f"{fresh(docs)}gone"))
         gone = materialize(gone, "minhash-gone")
-        return docs.join(_small(gone), inner_id(id_col) == F.col("_gone"), "left_anti")
+        return docs.join(_small(gone), inner_id(id_col) == F.col(gone.columns[0]), "left_anti")
     rows = keyed_texts(docs, id_col, text_col, "minhash-rows")
     comp = near_duplicates(rows, id_col="key", **options).select(F.col("doc_id").alias("key"), "component_id")
     placed = materialize(rows.select("key", "own", "print").join(comp, "key"), "minhash-placed")
     stays = placed.groupBy("component_id").agg(F.min(F.struct("own", "print")).alias("first")).select("first.*")
     gone = materialize(placed.select("own", "print").join(stays, ["own", "print"], "left_anti"), "minhash-gone")
     left = without(docs, _small(gone), id_col, text_col)
-    key = [inner_id(id_col).alias("_own"), text_print(text_col).alias("_print")]
+    key = [inner_id(id_col).alias(f"{fresh(docs)}own"), text_print(text_col).alias(f"{fresh(docs)}print")]
     if left.groupBy(*key).count().where("count > 1").isEmpty():
         return left
     # partial sums of equal rows meet, not the rows themselves
     plain = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
-    one = left.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_row"))
-    return one.select("_row.*")
+    one = left.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(f"{fresh(docs)}row"))
+    return one.select(f"{fresh(docs)}row.*")
 
 
 def _small(ids: DataFrame) -> DataFrame:

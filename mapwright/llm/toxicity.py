@@ -103,6 +103,8 @@ class Coded:
         n = np.bincount(self.part, weights=share[self.owner], minlength=len(self.names))
         k = np.bincount(self.part, weights=(share * y)[self.owner], minlength=len(self.names))
         n1, total = float((share * y).sum()), float(share.sum())
+        if not 0 < n1 < total:
+            return np.zeros(len(self.names))
         base, rate = n1 / total, np.clip(k / np.maximum(n, 1), 1e-12, 1 - 1e-12)
         g = 2 * (k * np.log(rate / base) + (n - k) * np.log((1 - rate) / (1 - base)))
         odds = np.log((k + 0.5) / (n1 + 1)) - np.log((n - k + 0.5) / (total - n1 + 1))

@@ -63,9 +63,18 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFr
     return materialize(rows.groupBy("own", "print").agg(F.first("text").alias("text")).withColumn("key", F.monotonically_increasing_id()), tag)
 
 
+def fresh(docs: DataFrame) -> str:
+    """A beginning of names that no column of ``docs`` has."""
+    out = "_"
+    while any(c.lower().startswith(out) for c in docs.columns):
+        out += "_"
+    return out
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose id and text are not in ``gone`` (own, print)."""
-    return docs.join(gone.toDF("_own", "_print"), (inner_id(id_col) == F.col("_own")) & (text_print(text_col) == F.col("_print")), "left_anti")
+    own, print_ = f"{fresh(docs)}own", f"{fresh(docs)}print"
+    return docs.join(gone.toDF(own, print_), (inner_id(id_col) == F.col(own)) & (text_print(text_col) == F.col(print_)), "left_anti")
 
 
 def space_words(text: str | None, lower: bool = False) -> list[bytes]:

@@ -608,3 +608,71 @@ def test_warc_edge_cases(spark):
     assert warc.audit_pages(none).count() == 0
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "", "x")], "page_id long, url string, html string, record string")
     assert warc.audit_pages(odd).count() == 3
+
+
+def test_values_of_nulls_ties_and_very_long_texts(spark):
+    """A text of 60,000 words and its copy, null and empty texts, a repeated row: what each operator says of them."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in ("na", "ro", "ti", "mel", "sta") for b in ("den", "ver", "lio", "pan", "kus", "mi")]
+    long = "\n".join(" ".join(f"{rng.choice(vocabulary)}{rng.randrange(500)}" for _ in range(12)) for _ in range(5000))
+    shown = " ".join(long.split()[-40:-15])
+    rows = [(5, long), (3, long), (3, long), (None, None), (1, ""), (2, "short words here now and then")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, shown)], "item_id long, text string")
+
+    def of(df):
+        out: dict = {}
+        for r in df.collect():
+            out.setdefault(r["doc_id"], []).append(r)
+        return out
+
+    q = of(quality.score_quality(docs))
+    assert q[None][0]["poor"] == q[1][0]["poor"] == 1.0 and not q[1][0]["kept"] and q[3][0] == q[3][1] and q[3][0]["poor"] == q[5][0]["poor"] and q[5][0]["kept"]
+    li = of(linededup.line_report(docs))
+    assert [li[k][0]["n_lines"] for k in (None, 1, 2, 3, 5)] == [0, 0, 1, 5000, 5000] and li[5][0]["n_removed"] == 5000 and li[3][0] == li[3][1]
+    de = of(decontam.decontaminate(docs, bench))
+    assert all((r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (60000, 25, 1, False) for k in (3, 5) for r in de[k]) and de[None][0]["n_words"] == 0
+    fp = of(fingerprint.fingerprints(docs))
+    assert fp[None][0]["fingerprint"] == fp[1][0]["fingerprint"] != fp[3][0]["fingerprint"] == fp[3][1]["fingerprint"] == fp[5][0]["fingerprint"]
+    pi = of(pii.surrogates(spark.createDataFrame([*rows, (9, long + " call +1 (212) 555-0187")], docs.schema), key="k"))
+    assert pi[None][0]["text"] is None and pi[1][0]["text"] == "" and pi[5][0]["text"] == long and pi[9][0]["n_entities"] == 1 and pi[9][0]["text"].startswith(long + " call +1 (") and "555-0187" not in pi[9][0]["text"]
+    tx = of(toxicity.score_toxicity(docs, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int")))
+    assert tx[3][0]["score"] == tx[3][1]["score"] == tx[5][0]["score"] and tx[None][0]["score"] == tx[1][0]["score"]
+    pa_ = of(packing.pack(docs))
+    assert [(r["length"], r["doc_tokens"]) for r in pa_[None]] == [(1, 1)] and sum(r["length"] for r in pa_[5]) == pa_[5][0]["doc_tokens"] > 60000
+    assert sorted(r["start"] for r in pa_[3]) == sorted(2 * [r["start"] for r in pa_[5]])
+    su = of(substring.remove_repeats(docs))
+    assert su[5][0]["n_removed"] == 60000 and [r["n_removed"] for r in su[3]] == [0, 0] and su[None][0]["n_words"] == 0
+    mi = of(minhash.near_duplicates(docs))
+    assert [mi[k][0]["component_id"] for k in (3, 5, 1, 2)] == [3, 3, 1, 2] and mi[1][0]["n_shingles"] == 0 and mi[5][0]["kept"] is False and len(mi[3]) == 1
+
+
+def test_quality_scores_are_those_of_plain_counts(spark):
+    """The scorer's input counted by plain Python, text by text, under the fitted weights."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, got = quality.fit(docs), {r["doc_id"]: r["poor"] for r in quality.score_quality(docs).collect()}
+    for r in docs.collect():
+        raw = r["text"].encode()
+        ws, n = raw.split(), len(raw.split())
+        if not n:
+            assert got[r["doc_id"]] == 1.0
+            continue
+        symbols = sum(c in b"#$%&*<>=@^_`{|}~\\/+[]" for c in raw)
+        upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw) + (sum(c >= 128 for c in raw) + 1) // 2
+        grams = [tuple(ws[k : k + 5]) for k in range(n - 4)]
+        m = [
+            sum(w[-1:] in b"#$%&*" for w in ws) / n if symbols > 0.01 * len(raw) else 0.0, symbols / len(raw), upper / max(1, upper + lower), raw.count(b"!") / n,
+            1 - len(set(grams)) / len(grams) if grams else 0.0, max(ws.count(w) for w in set(ws)) / n, raw.count(b"|") / n, sum(a == b for a, b in zip(ws, ws[1:])) / (n - 1) if n > 1 else 0.0,
+        ]
+        z = model.weights[-1] + sum(model.weights[quality._place(f"step {j} {min(9, int(10 * x))}")] for j, x in enumerate(m))
+        for w in ws:
+            shape = re.sub(rb"(.)\1+", rb"\1", bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in w), flags=re.S)[:24]
+            z += model.weights[place_of_shape(shape)] / n
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 2e-5
+
+
+def place_of_shape(shape):
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b"shape " + shape) % quality.DIMENSIONS
