@@ -14,7 +14,7 @@ from mapwright.functions.keys import url_key
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, merge, resolve, views
 from mapwright.sources.store import MergeLock, Snapshots
-from mapwright.storage import materialize
+from mapwright.storage import discard, materialize
 
 GRAPH = "struct<entities:array<struct<name:string,kind:string,domain:string,description:string>>,relationships:array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>>"
 ARTICLES = f"key string, source_url string, title string, raw_html string, cleaned_text string, extracted_graph {GRAPH}, scraped_at string, extracted_at string, graph_merged_at string, company_name string"
@@ -126,6 +126,7 @@ def merge_companies(store: Snapshots, companies: list[str], run_ts: str, setting
     for name, rows in (("articles_merged", pending), ("entities", entities), ("relationships", relationships)):
         for r in rows.groupBy("company_name").count().collect():  # a row for each company merged
             counts.setdefault(r["company_name"], {})[name] = r["count"]
+    discard(pending, named, edges, entities, relationships)
     return {c: {n: counts.get(c, {}).get(n, 0) for n in ("articles_merged", "entities", "relationships")} for c in companies}
 
 

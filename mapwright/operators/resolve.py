@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from mapwright.functions.keys import normalized
 from mapwright.functions.similarity import long_score, method_text, sorted_words
 from mapwright.functions.vocab import is_generic
-from mapwright.storage import materialize
+from mapwright.storage import discard, materialize
 
 THRESHOLD = 92.0
 MIN_FUZZY = 5
@@ -113,7 +113,9 @@ def _leaders(rows: DataFrame) -> DataFrame:
         state = met.groupBy(*key).agg(F.max("leader").alias("led"), F.count_if(F.col("leader").isNull()).alias("waiting"))
         new = materialize(state.where("led or waiting = 0").select(*key, (~F.coalesce("led", F.lit(False))).alias("leader")), "resolve-decided")
         decided = decided.union(new)
-        links = materialize(met.where("leader is null").select(*key, "other").join(new.select(*key), key, "left_anti"), "resolve-links")
+        left = materialize(met.where("leader is null").select(*key, "other").join(new.select(*key), key, "left_anti"), "resolve-links")
+        discard(links)
+        links = left
     return decided
 
 
