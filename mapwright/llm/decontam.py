@@ -3,7 +3,7 @@
 A passage counts when ``window`` consecutive words of a benchmark item occur in a document (an item of fewer words
 counts as a whole). Fingerprints: of the k-grams in every window, the one with the least hash. Two equal windows pick
 the same k-gram, so joining the fingerprints of documents and items finds every shared window; each hit is then
-extended to the windows around it, and only windows that occur in an item as they stand are kept.
+extended to the windows around it, and only windows that occur in an item, by 128 bits of hash, are kept.
 
 The items' fingerprints are broadcast while their number is under a checked bound; beyond it, documents and items
 meet in a shuffle join on the fingerprint, and only the windows around the survivors travel on.
@@ -32,11 +32,20 @@ BROADCAST_WINDOWS = 1_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
 
 
+#: Makes a second, independent hash of a window.
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+
+
 def _keyed(values: np.ndarray, length: int) -> np.ndarray:
     """Hashes of windows of different lengths never meet."""
     return mixed(values ^ np.uint64(length * 0x1000193))
 
 
+def _check(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The second hash of the windows of these words: with the first, windows are compared by 128 bits."""
+    return windows(mixed(hashes ^ _SECOND), size)
+
+
 def _picks(grams: np.ndarray, size: int) -> np.ndarray:
     """Which k-grams are the least of some ``size`` consecutive ones; all equal least ones are kept."""
     least = sliding_min(grams, size)
@@ -60,9 +69,10 @@ def _item_rows(window: int, gram: int):
                 prints = np.zeros(len(at), dtype=np.uint64)
                 if size == window and len(at):
                     prints = sliding_min(windows(b.hashes, gram), window - gram + 1)[at]
+                second = _check(b.hashes, size)[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(prints.view(np.int64)), pa.array([b.ids[k] for k in own[at]], pa.string())],
-                    names=["key", "size", "print", "item"],
+                    [pa.array(keys.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(prints.view(np.int64)), pa.array([b.ids[k] for k in own[at]], pa.string())],
+                    names=["key", "second", "size", "print", "item"],
                 )
 
     return run
@@ -72,9 +82,9 @@ class _Known:
     """Broadcast windows of the items: sorted keys with their items, fingerprints, and the lengths under ``window``."""
 
     def __init__(self, rows: list, window: int) -> None:
-        by_key: dict[int, set] = {}
+        by_key: dict[tuple[int, int], set] = {}
         for r in rows:
-            by_key.setdefault(r["key"], set()).add(r["item"])
+            by_key.setdefault((r["key"], r["second"]), set()).add(r["item"])
         self.items = {k: sorted(v) for k, v in by_key.items()}
         self.prints = np.unique(np.array([r["print"] for r in rows if r["size"] == window], dtype=np.int64).view(np.uint64))
         self.short = {n: np.unique(np.array([r["key"] for r in rows if r["size"] == n], dtype=np.int64).view(np.uint64)) for n in sorted({r["size"] for r in rows} - {window})}
@@ -128,8 +138,9 @@ def _found(b: Block, have: _Known, window: int, gram: int) -> dict[int, list]:
     own = b.owner()
 
     def note(starts: np.ndarray, keys: np.ndarray, size: int) -> None:
-        for s, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True):
-            if names := have.items.get(key):
+        second = _check(b.hashes, size)[starts]
+        for s, *key in zip(starts.tolist(), keys.view(np.int64).tolist(), second.view(np.int64).tolist(), strict=True):
+            if names := have.items.get(tuple(key)):
                 k = int(own[s])
                 found.setdefault(k, []).append((s - int(b.starts[k]), size, names))
 
@@ -139,7 +150,8 @@ def _found(b: Block, have: _Known, window: int, gram: int) -> dict[int, list]:
     for size, keys in have.short.items():
         all_keys = _keyed(windows(b.hashes, size), size)
         at = np.flatnonzero(_among(all_keys, keys) & b.whole(size))
-        note(at, all_keys[at], size)
+        if len(at):
+            note(at, all_keys[at], size)
     return found
 
 
@@ -190,7 +202,7 @@ def _doc_prints(window: int, gram: int, short: list[int]):
 
 
 def _near_windows(window: int, gram: int):
-    """(key, id) for the windows around the fingerprints that a text shares with some item."""
+    """(key, second, id) for the windows around the fingerprints that a text shares with some item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -198,14 +210,16 @@ def _near_windows(window: int, gram: int):
             for one, text, shared in zip(rows["id"], rows["text"], rows["shared"], strict=True):
                 b = Block([one], [text], [letter_words(text)], cache)
                 starts = _candidates(b, window, gram, np.sort(np.array(shared, dtype=np.int64).view(np.uint64)))
-                keys = np.unique(_keyed(windows(b.hashes, window)[starts], window)) if len(starts) else np.empty(0, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([one] * len(keys), pa.int64())], names=["key", "id"])
+                keys = np.empty((0, 2), dtype=np.uint64)
+                if len(starts):
+                    keys = np.unique(np.stack([_keyed(windows(b.hashes, window)[starts], window), _check(b.hashes, window)[starts]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array([one] * len(keys), pa.int64())], names=["key", "second", "id"])
 
     return run
 
 
 def _by_join(window: int):
-    """A row for each text, given the windows (``hits``: size, key, items) that its id shares with items."""
+    """A row for each text, given the windows (``hits``: size, key, second, items) that its id shares with items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -215,8 +229,9 @@ def _by_join(window: int):
             for k, hits in enumerate(rows["hits"]):
                 lo, n = int(b.starts[k]), int(b.counts[k])
                 for size in {h["size"] for h in hits or ()}:
-                    names = {h["key"]: h["items"] for h in hits if h["size"] == size}
-                    keys = _keyed(windows(b.hashes[lo : lo + n], size), size).view(np.int64).tolist()
+                    names = {(h["key"], h["second"]): h["items"] for h in hits if h["size"] == size}
+                    own = b.hashes[lo : lo + n]
+                    keys = zip(_keyed(windows(own, size), size).view(np.int64).tolist(), _check(own, size).view(np.int64).tolist(), strict=True)
                     found.setdefault(k, []).extend((s, size, names[key]) for s, key in enumerate(keys) if key in names)
             yield _marked(b, found)
 
@@ -246,7 +261,7 @@ def _item_windows(bench: DataFrame, id_col: str, text_col: str, window: int, gra
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     items = bench.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    known = mapped(items, _item_rows(window, gram), "key long, size int, print long, item string").distinct()
+    known = mapped(items, _item_rows(window, gram), "key long, second long, size int, print long, item string").distinct()
     head = known.limit(bound + 1).collect() if bound > 0 else []
     small = bound > 0 and len(head) <= bound
     return known, bench.sparkSession.sparkContext.broadcast(_Known(head, window)) if small else None
@@ -257,11 +272,13 @@ def _joined(d: DataFrame, known: DataFrame, window: int, gram: int) -> DataFrame
     prints = materialize(mapped(d, _doc_prints(window, gram, short), "k long, id long"), "decontam-prints")
     of_items = known.select(F.when(F.col("size") == window, F.col("print")).otherwise(F.col("key")).alias("k"), (F.col("size") < window).alias("whole")).distinct()
     shared = materialize(prints.join(of_items, "k"), "decontam-shared")
-    near = d.join(shared.where("not whole").groupBy("id").agg(F.collect_set("k").alias("shared")), "id").mapInArrow(_near_windows(window, gram), "key long, id long")
-    hits = near.union(shared.where("whole").select(F.col("k").alias("key"), "id")).distinct()
-    per_key = known.groupBy("key", "size").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    per_doc = hits.join(per_key, "key").groupBy("id").agg(F.collect_list(F.struct("key", "size", "items")).alias("hits"))
-    return d.join(per_doc, "id", "left").mapInArrow(_by_join(window), RESULT.replace("doc_id", "id"))
+    near = mapped(d.join(shared.where("not whole").groupBy("id").agg(F.collect_set("k").alias("shared")), "id"), _near_windows(window, gram), "key long, second long, id long")
+    per_key = known.groupBy("key", "second", "size").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    long = near.distinct().join(per_key, ["key", "second"])
+    short_ones = shared.where("whole").select(F.col("k").alias("key"), "id").distinct().join(per_key, "key")
+    hits = long.unionByName(short_ones).distinct()
+    per_doc = hits.groupBy("id").agg(F.collect_list(F.struct("key", "second", "size", "items")).alias("hits"))
+    return mapped(d.join(per_doc, "id", "left"), _by_join(window), RESULT.replace("doc_id", "id"))
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

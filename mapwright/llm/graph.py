@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapwright.storage import materialize
+from mapwright.storage import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,10 +19,12 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        hooked = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("m"))
+        hooked = labels.select("id", "component").join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("m"))
         # a label's own label: roots keep theirs
         jumped = hooked.join(labels.select(F.col("id").alias("m"), F.col("component").alias("up")), "m", "left")
         new = materialize(jumped.select("id", "old", F.least("m", F.coalesce("up", "m")).alias("component")), "labels")
         if new.where("old <> component").isEmpty():
+            discard(both, labels)
             return new.select("id", "component")
-        labels = new.select("id", "component")
+        discard(labels)
+        labels = new

@@ -182,7 +182,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars:
     return materialize(per_row, "lines-gone")
 
 
-_REBUILT = "array_join(transform(array_except(sequence(0, size(split(`{text}`, '\n')) - 1), {gone}), i -> split(`{text}`, '\n')[i]), '\n')"
+# the text is split once, and bound to a name by a lambda over a one-element array
+_REBUILT = "get(transform(array(split(`{text}`, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), {gone}), i -> l[i]), '\n')), 0)"
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame, str]:

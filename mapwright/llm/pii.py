@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapwright.storage import materialize
+from mapwright.storage import discard, materialize
 
 from .words import blocks, inner_id, mapped, outer_id
 
@@ -318,7 +318,8 @@ def _exceptions(distinct: DataFrame, key: str) -> DataFrame:
         if bad.isEmpty():
             return tried.where("attempt > 0").select("kind", "canon", "attempt")
         again = mapped(bad.select("kind", "canon", (F.col("attempt") + 1).cast("int").alias("attempt")), _tried(key), shape)
-        tried = materialize(tried.join(bad, ["kind", "canon"], "left_anti").select(columns).unionByName(again), "pii-tried")
+        before, tried = tried, materialize(tried.join(bad, ["kind", "canon"], "left_anti").select(columns).unionByName(again), "pii-tried")
+        discard(before, bad)
 
 
 def _replaced(key: str, shared):

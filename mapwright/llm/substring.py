@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mapwright.storage import materialize
+from mapwright.storage import discard, materialize
 
 from .words import Block, WordHashes, blocks, inner_id, mapped, mixed, outer_id, sliding_min, space_words, windows
 
@@ -155,6 +155,7 @@ def _repeated(d: DataFrame, window: int) -> DataFrame:
     steps = lengths(window)
     last = len(steps) - 1
     rows = mapped(d, _anchor_rows(window), "id long, flags long, " + ", ".join(f"h{j} long" for j in range(len(steps))))
+    below: list[DataFrame] = []
     for j, words in enumerate(steps):
         goes, counts, known = (F.expr(f"shiftright(flags, {3 * j + bit}) & 1") for bit in range(3))
         # rows beyond the first of a task are dealt out by themselves: their key's group need not see them
@@ -163,9 +164,13 @@ def _repeated(d: DataFrame, window: int) -> DataFrame:
         rows = again.select("id", "flags", *(f"h{i}" for i in range(min(j + 1, last), last + 1)))
         if j < last:
             rows = materialize(rows, f"repeats-{words}-words")
+            discard(*below)
+            below = [rows]
             if rows.isEmpty():  # no candidates survive
                 break
-    return materialize(rows.groupBy("id").agg(F.collect_set(f"h{last}").alias("repeated")), "repeats-anchors")
+    out = materialize(rows.groupBy("id").agg(F.collect_set(f"h{last}").alias("repeated")), "repeats-anchors")
+    discard(*below)
+    return out
 
 
 def _tags(texts: list[str]) -> np.ndarray:
