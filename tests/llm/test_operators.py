@@ -576,6 +576,31 @@ def test_archives_hold_the_records_bytes(spark, tmp_path):
     assert got.decode() == "".join(r["record"] for r in recs.orderBy("start").collect())
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    """Of pairs alike by 0.75 to 0.80 the odd sketches may rule out hardly any; the bands let them all meet."""
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(600):
+        n = int(rng.integers(20, 400))
+        both = int(np.ceil(n * rng.uniform(0.75, 0.80)))
+        rest = n - both
+        left = int(rng.integers(0, rest + 1))
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        pairs.append((x[: both + left], np.concatenate([x[:both], x[both + left :]])))
+    assert all(100 * np.intersect1d(a, b).size >= 75 * np.union1d(a, b).size for a, b in pairs)
+    samples = minhash.BANDS * minhash.ROWS
+    for count, size, seed in ((samples, minhash.SKETCH_WORDS, 7), (minhash.LONG_SAMPLES, minhash.LONG_WORDS, 11)):
+        flips, times = minhash._hash_functions(count, seed)
+        most = minhash._most_bits(size * 64, minhash.PERCENT, count)
+        least = [minhash._least([s[k] for s in pairs], flips, times) for k in (0, 1)]
+        odd = [minhash._odd_bits(x, flips, size) for x in least]
+        apart = np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum(axis=1)
+        assert (apart <= most).mean() >= 0.998
+        if count == samples:
+            same = (least[0] == least[1]).reshape(-1, minhash.ROWS, minhash.BANDS)
+            assert same.all(axis=1).any(axis=1).all()
+
+
 # --- edge cases of all -------------------------------------------------------------------------------------------
 
 RUNS = {
