@@ -10,6 +10,8 @@ from mapwright.functions.vocab import canonical_relation, kept_phrase
 from mapwright.storage import materialize, read_table
 
 RUN_TS = "2030-01-01T00:00:00+00:00"
+#: Orders from here on belong to the second of two runs.
+SECOND_RUN = "1998-04-25"
 
 PHRASES = ("calls", "Writes To", "reads-from", "uses for distributed tracing", "replaced by", "pushes schema to", "userland thing", "composes", "hosts migrated route handlers from", "sends requests to", "frobnicates", "part of", "Publishes")
 

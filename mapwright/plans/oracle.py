@@ -188,4 +188,12 @@ ORACLE_SQL: dict[str, str] = {
       select article_id, ok as "valid", case when ok then n end n_entities, case when ok then case when article_id % 19 = 0 then n else services end end n_services,
         case when ok then case when article_id % 13 = 0 then 0 else r end end n_relationships
       from checked""",
+    "q51_incremental_edges": f"""with {SQL_EDGES}, {_fold("keyed")}, {_close("keyed")}
+      select company_name, "key", source, target, relation, relation_phrase, as_of, invalid_at, article_ids from closed""",
+    "q52_incremental_entities": f"""with {_ENTITIES}, other as (select distinct company_name, "key", raw_name from resolved where raw_name <> "name"),
+      al as (select company_name, "key", string_agg(raw_name, ';' order by raw_name) aliases from other group by all)
+      select e.*, coalesce(aliases, '') aliases from entities e left join al using (company_name, "key")""",
+    "q53_stream_names": f"""with m as (select p_type company_name, case when p_partkey % 2 = 0 then upper(p_name) else p_name end raw_name, p_partkey::bigint article_id from part),
+      r as (select *, row_number() over w r, first_value(raw_name) over w "name" from (select *, {sql_norm("raw_name")} norm from m) window w as (partition by company_name, norm order by article_id, raw_name))
+      select company_name, article_id, raw_name, "name", case when r > 1 then 'exact' end as "method" from r""",
 }

@@ -12,7 +12,8 @@ from mapwright.functions.similarity import score, sorted_words
 from mapwright.functions.vocab import canonical_relation, humanized, is_generic, kept_phrase, label, matched_relation
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, jobs, merge, resolve, views
-from mapwright.storage import materialize, read_table
+from mapwright.storage import materialize, new_path, read_table
+from mapwright.streaming import incremental
 
 from . import adapters
 from .adapters import RUN_TS
@@ -359,3 +360,43 @@ def q50_reply_checks(spark, sf):
     parsed = extract.parse(ents.join(rels, "article_id").select("article_id", fenced.alias("reply")))
     services = F.size(F.filter("graph.entities", lambda x: x["kind"] == "service"))
     return parsed.select("article_id", "valid", *[F.when(F.col("valid"), n).cast("long").alias(name) for name, n in (("n_entities", F.size("graph.entities")), ("n_services", services), ("n_relationships", F.size("graph.relationships")))])
+
+
+def _runs(spark, sf):
+    """Order lines in two runs by date of order."""
+    rows = materialize(adapters.lines(spark, sf), "lines")
+    late = F.col("extracted_at") >= F.lit(adapters.SECOND_RUN).cast("timestamp")
+    return rows, rows.where(~late), rows.where(late)
+
+
+@query
+def q51_incremental_edges(spark, sf):
+    """Relationships after two runs, the second merged into what the first has stored."""
+    _, first, second = _runs(spark, sf)
+    early, late = materialize(adapters.edges_of(first), "edges"), materialize(adapters.edges_of(second), "edges")
+    stored = materialize(merge.close_windows(materialize(merge.fold_edges(early), "folded"), early, RUN_TS).drop("first_seq"), "stored")
+    r = merge.merge_relationships(stored, materialize(merge.fold_edges(late), "folded"), late, RUN_TS)
+    return r.select("company_name", "key", "source", "target", "relation", "relation_phrase", "as_of", "invalid_at", F.array_join(F.transform("source_article_ids", lambda x: x.cast("string")), ",").alias("article_ids"))
+
+
+@query
+def q52_incremental_entities(spark, sf):
+    """Entities and their aliases after two runs; the second run's names are resolved against the stored entities."""
+    rows, first, second = _runs(spark, sf)
+    named = materialize(resolve.resolve_exact(materialize(adapters.mentions_of(rows), "mentions")), "named")
+    late = F.col("extracted_at") >= F.lit(adapters.SECOND_RUN).cast("timestamp")
+    parts = [merge.fold_entities(m).join(merge.fold_aliases(m), ["company_name", "key"], "left") for m in (named.where(~late), named.where(late))]
+    e = merge.merge_entities(materialize(parts[0], "stored"), materialize(parts[1], "incoming"))
+    return e.select("company_name", "key", "name", "kind", "domain", "first_seen_article_id", "description", "n_mentions", F.array_join(F.transform("aliases", lambda x: x["name"]), ";").alias("aliases"))
+
+
+@query
+def q53_stream_names(spark, sf):
+    """Names as state of a stream: each mention with the first spelling of its name."""
+    source = new_path(spark, "stream-mentions")
+    m = read_table(spark, sf, "part").select(F.col("p_type").alias("company_name"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("raw_name"), F.col("p_partkey").cast("long").alias("article_id"))
+    m.write.parquet(source)
+    named = incremental.known_names_stream(spark.readStream.schema(m.schema).parquet(source))
+    out = new_path(spark, "stream-names")
+    named.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(named.schema).parquet(out)
