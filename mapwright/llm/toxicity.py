@@ -462,7 +462,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     votes = mapped(d, _vote_rows(spark.sparkContext.broadcast(lexicon)), "id long, code long").join(gold, "id", "left")
     # a lexicon has two votes, a pattern and the gold label three: of the possible patterns few occur
     whole = F.col("code") + F.coalesce(2 * F.col("y"), F.lit(1)) * 3**VOTERS
-    counts = votes.groupBy(whole.alias("code")).agg(F.count("*").alias("n")).orderBy("code").collect()
+    counts = votes.groupBy(whole.alias("code")).agg(F.count("*").alias("n")).collect()
+    counts.sort(key=lambda r: r["code"])
     codes = np.array([r["code"] for r in counts], dtype=np.int64)
     return finished(own, mined, lexicon, LabelModel(votes_of(codes), np.array([r["n"] for r in counts])))
 
