@@ -196,4 +196,9 @@ ORACLE_SQL: dict[str, str] = {
     "q53_stream_names": f"""with m as (select p_type company_name, case when p_partkey % 2 = 0 then upper(p_name) else p_name end raw_name, p_partkey::bigint article_id from part),
       r as (select *, row_number() over w r, first_value(raw_name) over w "name" from (select *, {sql_norm("raw_name")} norm from m) window w as (partition by company_name, norm order by article_id, raw_name))
       select company_name, article_id, raw_name, "name", case when r > 1 then 'exact' end as "method" from r""",
+    "q54_graph_json": f"""with {_GRAPH},
+      n as (select company_name, string_agg(to_json({{'id': id, 'label': "label", 'kind': kind, 'domain': "domain"}})::varchar, ',' order by "label", id, kind, "domain") js from nodes group by company_name),
+      numbered as (select *, row_number() over (partition by company_name order by "key", source, target, "label", relation) - 1 i from gedges),
+      e as (select company_name, string_agg(to_json({{'id': '__edge_' || i, 'source': source, 'target': target, 'label': "label", 'relation': relation}})::varchar, ',' order by i) js from numbered group by company_name)
+      select company_name, '{{"nodes":[' || n.js || '],"edges":[' || coalesce(e.js, '') || ']}}' as "graph" from n left join e using (company_name)""",
 }

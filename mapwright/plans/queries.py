@@ -400,3 +400,9 @@ def q53_stream_names(spark, sf):
     out = new_path(spark, "stream-names")
     named.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(named.schema).parquet(out)
+
+
+@query
+def q54_graph_json(spark, sf):
+    e, r = _graph(spark, sf)
+    return views.graph_json(views.nodes(e), views.edges(e, r))
