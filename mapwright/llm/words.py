@@ -7,6 +7,8 @@ than the bound is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,26 @@ _ODD = 0x9E3779B97F4A7C15
 _SHARED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the machine: workers are used again, and would hold the most they ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _thrifty(run):
+    def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return thrifty
+
+
 def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` in Arrow batches of a bounded size, unless the session has a bound of its own.
 
@@ -40,7 +62,7 @@ def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_thrifty(run), schema)
 
 
 def inner_id(name: str) -> Column:
