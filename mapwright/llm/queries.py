@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mapwright.storage import read_table
 
-from . import decontam, fingerprint, linededup, minhash, packing, pii, quality, substring, toxicity, warc
+from . import decontam, fingerprint, linededup, minhash, packing, pieces, pii, quality, substring, toxicity, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests."""
+    return pieces.piece_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_line_dedup, op3_pii_surrogates, op4_decontamination, op5_fingerprints, op6_toxicity, op7_packing, op8_warc_fixity, op9_substring_dedup, op10_near_duplicates)
+    for f in (op1_quality_classifier, op2_line_dedup, op3_pii_surrogates, op4_decontamination, op5_fingerprints, op6_toxicity, op7_packing, op8_warc_fixity, op9_substring_dedup, op10_near_duplicates, op13_sentencepiece)
 } | {"pipeline": corpus_pipeline.run}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
