@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mapwright.storage import read_table
 
-from . import decontam, divergence, fingerprint, linededup, minhash, packing, pieces, pii, quality, substring, toxicity, warc
+from . import conversations, decontam, divergence, fingerprint, linededup, minhash, packing, pieces, pii, quality, substring, toxicity, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after known damage, its cheapest repair and what that gives."""
+    table = read_table(spark, sf_dir, "conversations")
+    return conversations.repair_report(table, conversations.damage(table))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     return pieces.piece_report(read_table(spark, sf_dir, "documents"))
@@ -79,7 +85,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_line_dedup, op3_pii_surrogates, op4_decontamination, op5_fingerprints, op6_toxicity, op7_packing, op8_warc_fixity, op9_substring_dedup, op10_near_duplicates, op11_source_divergence, op13_sentencepiece)
+    for f in (op1_quality_classifier, op2_line_dedup, op3_pii_surrogates, op4_decontamination, op5_fingerprints, op6_toxicity, op7_packing, op8_warc_fixity, op9_substring_dedup, op10_near_duplicates, op11_source_divergence, op12_conversation_repair, op13_sentencepiece)
 } | {"pipeline": corpus_pipeline.run}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,4 +142,4 @@ select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(c, d.doc_id) compon
 from d left join n using (doc_id) left join comp using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_warc_fixity": warc.ORACLE_SQL, "op9_substring_dedup": OP9_SQL, "op10_near_duplicates": OP10_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_warc_fixity": warc.ORACLE_SQL, "op9_substring_dedup": OP9_SQL, "op10_near_duplicates": OP10_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_conversation_repair": conversations.ORACLE_SQL}
