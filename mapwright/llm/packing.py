@@ -36,8 +36,8 @@ TRIPLE_GRID, QUAD_GRID, SWEEPS = 64, 16, 12
 class WordIds(dict):
     """The ids of a word as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space, so a text's ids are those of its words in order. Plain words below U+0250 are
-    split into letters and one closing full stop or comma here and go to the BPE model directly; all others go through
+    The tokenizer splits at white space, so a text's ids are those of its words in order. Words that are letters below
+    U+0250 once lowered are split into letters and one closing full stop or comma here and go to the BPE model directly; all others go through
     the whole tokenizer. Both caches are emptied when full.
     """
 
@@ -68,9 +68,9 @@ class WordIds(dict):
             self.clear()
         text = word.decode("utf-8")
         end = text[-1]
-        stem = text[:-1] if end in ".," else text
-        if stem.isalpha() and max(stem) < "ɐ" and "İ" not in stem:
-            ids = self._part(stem.lower()) + (self._part(end) if end in ".," else b"")
+        stem = (text[:-1] if end in ".," else text).lower()
+        if stem.isalpha() and max(stem) < "ɐ":  # after lower-casing, which may lead beyond
+            ids = self._part(stem) + (self._part(end) if end in ".," else b"")
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids

@@ -322,6 +322,24 @@ def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
+def test_ids_of_every_letter_and_of_mixed_words():
+    """Letters whose lower case lies beyond the short way (as Ə, Ɓ, Ⱥ), letters that it leads into, and words of both."""
+    import sys
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    ids, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    letters = [chr(k) for k in range(sys.maxunicode + 1) if chr(k).isalpha() and (k < 0x3000 or 0xFB00 <= k < 0x10000 or k % 97 == 0)]
+    near = [c for c in letters if ord(c) < 0x300 or min(map(ord, c.lower())) < 0x300] + list("İıſKÅẞ")
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice(near if rng.random() < 0.8 else letters) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", ",", "'s", "́", "5"]) for _ in range(4000)]
+    words_ = ["Əsas", "Ə", *letters, *(f"a{c}." for c in letters), *mixed]
+    for word, want in zip(words_, whole.encode_batch(words_, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids.of(word), dtype=np.uint32).tolist() == want.ids, word
+
+
 def test_packing_is_an_exact_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
