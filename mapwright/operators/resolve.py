@@ -28,23 +28,32 @@ BLOCK = 2000
 
 
 def known_names(mentions: DataFrame) -> DataFrame:
-    """``company_name, norm, known_name, seq``: the first spelling of each normalised name that is not generic.
+    """``company_name, norm, known_name, seq``: the first spelling of each normalised name.
 
-    mentions: company_name, raw_name, article_id, extracted_at, item.
+    mentions: company_name, raw_name, article_id, extracted_at, item. Generic names are known like all others: they only
+    never ask to be matched themselves.
     """
-    m = mentions.withColumn("norm", normalized(F.col("raw_name"))).where((F.col("norm") != "") & ~is_generic(F.col("raw_name")))
+    m = mentions.withColumn("norm", normalized(F.col("raw_name"))).where(F.col("norm") != "")
     order = F.struct("extracted_at", "article_id", "item")
     return m.groupBy("company_name", "norm").agg(F.min_by("raw_name", order).alias("known_name"), F.min(F.struct("extracted_at", "article_id")).alias("seq"))
 
 
-def resolve_exact(mentions: DataFrame) -> DataFrame:
-    """Mentions with ``name`` and ``method``: ``exact`` where an earlier article has the name, else null (new)."""
+def resolve_exact(mentions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Mentions with ``name`` and ``method``: ``exact`` where an earlier article has the name, else null (new).
+
+    ``stored`` (company_name, name): entities of earlier runs, known before the first article.
+    """
+    key = ["company_name", "norm"]
     m = mentions.withColumn("norm", normalized(F.col("raw_name"))).withColumn("generic", is_generic(F.col("raw_name")))
     known = known_names(mentions)
-    hit = ~F.col("generic") & (F.col("seq") < F.struct("extracted_at", "article_id"))
-    joined = m.join(known, ["company_name", "norm"], "left")
-    name = F.when(~F.col("generic") & F.col("known_name").isNotNull(), F.col("known_name")).otherwise(F.col("raw_name"))
-    return joined.select(*mentions.columns, name.alias("name"), F.when(hit, F.lit("exact")).alias("method"))
+    if stored is not None:
+        old = stored_names(stored.join(mentions.select("company_name").distinct(), "company_name", "left_semi"))
+        old = old.select(*key, "known_name", F.lit(None).cast(known.schema["seq"].dataType).alias("seq"))
+        known = known.join(old, key, "left_anti").unionByName(old)
+    joined = m.join(known, key, "left")
+    found = ~F.col("generic") & F.col("known_name").isNotNull()
+    hit = found & F.coalesce(F.col("seq") < F.struct("extracted_at", "article_id"), F.lit(True))
+    return joined.select(*mentions.columns, F.when(found, F.col("known_name")).otherwise(F.col("raw_name")).alias("name"), F.when(hit, F.lit("exact")).alias("method"))
 
 
 def _run_length(threshold: float) -> int:
@@ -90,23 +99,30 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, asked: DataFra
     return scored.where(F.col("score") >= threshold).select("company_name", "a", "b", "score")
 
 
-def _moment(mentions: DataFrame, of: str = "") -> Column:
+def moment(mentions: DataFrame, of: str = "") -> Column:
     """An article's place in the order of arrival as text; numbers are padded, so that their order is kept."""
     number = mentions.schema["article_id"].dataType.typeName() in ("byte", "short", "integer", "long")
     article = F.col(f"{of}article_id").cast("string")
     return F.concat_ws("|", F.date_format(f"{of}extracted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(article, 20, "0") if number else article)
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
+def _leaders(rows: DataFrame, followers: DataFrame | None = None) -> DataFrame:
     """``company_name, norm, leader``: which names stay names of their own, as no earlier leader is like them.
 
-    ``rows``: company_name, norm, seq, other, other_seq, both directions of each pair. In each round a name follows if
+    ``rows``: company_name, norm, seq, other, other_seq, both directions of each pair. ``followers`` (company_name, norm)
+    are decided beforehand. In each round a name follows if
     one of its earlier names leads, and leads if all of them are decided and none does. A round decides at least the
     earliest open name of each company; there are as many rounds as the longest run of names that wait for each other.
     """
     key = ["company_name", "norm"]
-    links = materialize(rows.where("other_seq < seq").select(*key, "other").distinct(), "resolve-links")
-    new = materialize(rows.select(*key).distinct().join(links.select(*key).distinct(), key, "left_anti").withColumn("leader", F.lit(True)), "resolve-decided")
+    links, every = rows.where("other_seq < seq").select(*key, "other").distinct(), rows.select(*key).distinct()
+    if followers is not None:
+        links, every = links.join(followers, key, "left_anti"), every.join(followers, key, "left_anti")
+    links = materialize(links, "resolve-links")
+    new = every.join(links.select(*key).distinct(), key, "left_anti").withColumn("leader", F.lit(True))
+    if followers is not None:
+        new = new.union(followers.select(*key).distinct().withColumn("leader", F.lit(False)))
+    new = materialize(new, "resolve-decided")
     decided = new
     while not links.isEmpty():
         met = links.join(new.select("company_name", F.col("norm").alias("other"), "leader"), ["company_name", "other"], "left")
@@ -120,9 +136,13 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
 
 def stored_names(entities: DataFrame) -> DataFrame:
-    """``company_name, norm, known_name`` of stored entities (company_name, name); of equal names the first counts."""
-    e = entities.select("company_name", "name", normalized(F.col("name")).alias("norm")).where("norm <> ''")
-    return e.groupBy("company_name", "norm").agg(F.min("name").alias("known_name"))
+    """``company_name, norm, known_name, known_at`` of stored entities (company_name, name); of equal names the first counts.
+
+    ``known_at`` is the stored moment where there is one, else before all others.
+    """
+    at = F.col("known_at") if "known_at" in entities.columns else F.lit("")
+    e = entities.select("company_name", "name", normalized(F.col("name")).alias("norm"), at.alias("known_at")).where("norm <> ''")
+    return e.groupBy("company_name", "norm").agg(F.min_by("name", F.struct("known_at", "name")).alias("known_name"), F.min("known_at").alias("known_at"))
 
 
 def resolve_known(names: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -132,7 +152,7 @@ def resolve_known(names: DataFrame, entities: DataFrame, threshold: float = THRE
     """
     asked = names.select("company_name", "raw_name").distinct()
     met = materialize(asked.withColumn("norm", normalized(F.col("raw_name"))).withColumn("generic", is_generic(F.col("raw_name"))), "resolve-asked")
-    known = materialize(stored_names(entities).join(asked.select("company_name").distinct(), "company_name", "left_semi"), "resolve-known")
+    known = materialize(stored_names(entities).drop("known_at").join(asked.select("company_name").distinct(), "company_name", "left_semi"), "resolve-known")
     every = known.select("company_name", "norm").union(met.where("norm <> '' and not generic").select("company_name", "norm")).distinct()
     open_ = met.where("norm <> '' and not generic").join(known, ["company_name", "norm"], "left_anti").select("company_name", "norm").distinct()
     pairs = similar_pairs(every, threshold, asked=open_).join(known.select("company_name", F.col("norm").alias("b"), "known_name"), ["company_name", "b"])
@@ -151,44 +171,53 @@ def resolve_known(names: DataFrame, entities: DataFrame, threshold: float = THRE
 def resolve(mentions: DataFrame, threshold: float = THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
     """Mentions with ``name`` and ``method`` (``exact``, ``fuzzy:<score>`` or null for new).
 
-    ``stored`` (company_name, name): entities of earlier runs, all of them known before the first article.
+    ``stored`` (company_name, name, optionally ``known_at`` as :func:`moment` gives it): entities of earlier runs, all of
+    them known before the first article.
 
     A name matches only names of earlier articles, never others of its own. Of several similar names the likest wins,
-    then the earliest, then the first by name. Generic names and names that normalise to nothing are always new.
+    then the earliest, then the first by name. Generic names and names that normalise to nothing are always new; generic
+    ones are known to later articles all the same, as are stored ones.
     """
     mentions = materialize(mentions, "resolve-mentions")
-    known = known_names(mentions).withColumn("at", _moment(mentions, "seq.")).select("company_name", "norm", "known_name", "at")
+    key = ["company_name", "norm"]
+    m = mentions.withColumns({"norm": normalized(F.col("raw_name")), "generic": is_generic(F.col("raw_name")), "here": moment(mentions)})
+    # a name is known from its first generic mention on at the latest, and from its first other one if it leads
+    seen = m.where("norm <> ''").groupBy(*key).agg(*(F.min(F.when(c, F.struct("here", "item", "raw_name"))).alias(n) for c, n in ((~F.col("generic"), "open"), (F.col("generic"), "fixed"))))
     if stored is not None:
-        old = stored_names(stored.join(mentions.select("company_name").distinct(), "company_name", "left_semi")).withColumn("at", F.lit(""))
-        known = known.join(old, ["company_name", "norm"], "left_anti").unionByName(old)
-    known = materialize(known, "resolve-known")
-    pairs = materialize(similar_pairs(known, threshold), "resolve-scored")
+        old = stored_names(stored.join(mentions.select("company_name").distinct(), "company_name", "left_semi"))
+        old = old.select(*key, F.lit(None).cast(seen.schema["open"].dataType).alias("open"), F.struct(F.col("known_at").alias("here"), F.lit(None).cast(seen.schema["fixed"].dataType["item"].dataType).alias("item"), F.col("known_name").alias("raw_name")).alias("fixed"))
+        seen = seen.join(old, key, "left_anti").unionByName(old)
+    seen = materialize(seen.withColumn("open", F.when(F.col("fixed").isNull() | (F.col("open.here") <= F.col("fixed.here")), F.col("open"))), "resolve-known")
+    pairs = materialize(similar_pairs(seen.select(*key), threshold), "resolve-scored")
     both = pairs.union(pairs.select("company_name", "b", "a", "score")).toDF("company_name", "norm", "other", "score")
-    at = known.select("company_name", "norm", "at", "known_name")
-    timed = materialize(both.join(at.drop("known_name"), ["company_name", "norm"]).join(at.select("company_name", F.col("norm").alias("other"), F.col("at").alias("other_at"), F.col("known_name").alias("other_name")), ["company_name", "other"]), "resolve-pairs")
-    rows = timed.select("company_name", "norm", F.col("at").alias("seq"), "other", F.col("other_at").alias("other_seq"))
-    led = _leaders(rows)
-    m = mentions.withColumn("norm", normalized(F.col("raw_name"))).withColumn("generic", is_generic(F.col("raw_name")))
-    m = m.withColumn("here", _moment(mentions))
-    m = m.join(at.select("company_name", "norm", F.col("at").alias("first_at"), "known_name"), ["company_name", "norm"], "left").join(led, ["company_name", "norm"], "left")
-    m = m.withColumn("leader", F.coalesce("leader", F.lit(True)))
-    # the best leader of an earlier article, for names that are no leaders or not yet known
-    leaders = led.where("leader").select("company_name", F.col("norm").alias("other"))
-    options = timed.join(leaders, ["company_name", "other"]).select("company_name", "norm", "other", "score", "other_at", "other_name")
-    asking = m.where(~F.col("generic") & (F.col("norm") != "") & ~(F.col("leader") & (F.col("first_at") < F.col("here")))).select("company_name", "norm", "here").distinct()
+    times = seen.select(*key, F.col("open.here").alias("open_at"), F.col("fixed.here").alias("fixed_at"))
+    timed = materialize(both.join(times, key).join(times.toDF("company_name", "other", "other_open", "other_fixed"), ["company_name", "other"]), "resolve-pairs")
+    asks = timed.where("open_at is not null")
+    led = _leaders(
+        asks.where("other_open is not null").select(*key, F.col("open_at").alias("seq"), "other", F.col("other_open").alias("other_seq")),
+        materialize(asks.where("other_fixed < open_at").select(*key).distinct(), "resolve-followers"),
+    )
+    leads = F.col("open").isNotNull() & F.coalesce("leader", F.lit(True))
+    by_generic = F.coalesce((F.col("fixed.here") == F.col("open.here")) & (F.col("fixed.item") < F.col("open.item")), F.lit(False))
+    known = seen.join(led, key, "left").select(*key, F.when(leads, F.col("open.here")).otherwise(F.col("fixed.here")).alias("known_at"), F.when(leads & ~by_generic, F.col("open.raw_name")).otherwise(F.col("fixed.raw_name")).alias("known_name"))
+    known = materialize(known.where("known_at is not null"), "resolve-leaders")
+    m = m.join(known, key, "left").withColumn("asks", ~F.col("generic") & (F.col("norm") != ""))
+    exact = F.col("asks") & F.coalesce(F.col("known_at") < F.col("here"), F.lit(False))
+    # the best leader of an earlier article, for names that are not known yet
+    options = timed.select(*key, "other", "score").join(known.toDF("company_name", "other", "other_at", "other_name"), ["company_name", "other"])
+    asking = m.where(F.col("asks") & ~exact).select(*key, "here").distinct()
     best = (
-        asking.join(options, ["company_name", "norm"])
+        asking.join(options, key)
         .where("other_at < here")
-        .groupBy("company_name", "norm", "here")
+        .groupBy(*key, "here")
         .agg(F.min_by(F.struct("other_name", "score"), F.struct((-F.col("score")).alias("s"), "other_at", "other")).alias("best"))
     )
-    out = m.join(best, ["company_name", "norm", "here"], "left")
-    exact = ~F.col("generic") & (F.col("norm") != "") & F.col("leader") & (F.col("first_at") < F.col("here"))
-    plain = F.when(F.col("generic") | (F.col("norm") == ""), F.col("raw_name")).otherwise(F.coalesce("known_name", "raw_name"))
+    out = m.join(best, [*key, "here"], "left")
+    likest = F.col("asks") & F.col("best").isNotNull()
     return out.select(
         *mentions.columns,
-        F.when(exact, F.col("known_name")).when(F.col("best").isNotNull(), F.col("best.other_name")).otherwise(plain).alias("name"),
-        F.when(exact, F.lit("exact")).when(F.col("best").isNotNull(), method_text(F.col("best.score"))).alias("method"),
+        F.when(exact, F.col("known_name")).when(likest, F.col("best.other_name")).when(F.col("asks"), F.coalesce("known_name", "raw_name")).otherwise(F.col("raw_name")).alias("name"),
+        F.when(exact, F.lit("exact")).when(likest, method_text(F.col("best.score"))).alias("method"),
     )
 
 
@@ -255,9 +284,3 @@ def long_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For ``mapInPandas``: scores of pairs (x, y) of any length."""
     for b in batches:
         yield b.assign(score=[long_score(x, y) for x, y in zip(b["x"], b["y"], strict=True)])
-
-
-def prioritized(deterministic: DataFrame, other: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Union of two mappings; where both have a key the first one wins."""
-    d, o = deterministic.select(*key, F.col(value).alias("_d")), other.select(*key, F.col(value).alias("_o"))
-    return d.join(o, key, "full_outer").select(*key, F.coalesce("_d", "_o").alias(value))

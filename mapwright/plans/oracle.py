@@ -193,9 +193,11 @@ ORACLE_SQL: dict[str, str] = {
     "q52_incremental_entities": f"""with {_ENTITIES}, other as (select distinct company_name, "key", raw_name from resolved where raw_name <> "name"),
       al as (select company_name, "key", string_agg(raw_name, ';' order by raw_name) aliases from other group by all)
       select e.*, coalesce(aliases, '') aliases from entities e left join al using (company_name, "key")""",
-    "q53_stream_names": f"""with m as (select p_type company_name, case when p_partkey % 2 = 0 then upper(p_name) else p_name end raw_name, p_partkey::bigint article_id from part),
-      r as (select *, row_number() over w r, first_value(raw_name) over w "name" from (select *, {sql_norm("raw_name")} norm from m) window w as (partition by company_name, norm order by article_id, raw_name))
-      select company_name, article_id, raw_name, "name", case when r > 1 then 'exact' end as "method" from r""",
+    "q53_stream_names": f"""with m as (select p_type company_name, p_partkey // 3 article_id, p_partkey::bigint item,
+        case when p_partkey % 2 = 0 then upper(p_name) when p_partkey % 7 = 0 then 'the new ' || split_part(p_name, ' ', 1) || ' service' when p_partkey % 11 = 0 then '..' else p_name end raw_name from part),
+      n as (select *, {sql_norm("raw_name")} norm, regexp_matches(trim(raw_name), '{_GENERIC}', 'i') generic from m),
+      r as (select *, first_value(raw_name) over w f, min(article_id) over w a from n window w as (partition by company_name, norm order by article_id, item, raw_name))
+      select company_name, article_id::bigint article_id, item, raw_name, case when generic or norm = '' then raw_name else f end "name", case when not generic and norm <> '' and a < article_id then 'exact' end as "method" from r""",
     "q54_graph_json": f"""with {_GRAPH},
       n as (select company_name, string_agg(to_json({{'id': id, 'label': "label", 'kind': kind, 'domain': "domain"}})::varchar, ',' order by "label", id, kind, "domain") js from nodes group by company_name),
       numbered as (select *, row_number() over (partition by company_name order by "key", source, target, "label", relation) - 1 i from gedges),

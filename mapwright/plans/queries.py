@@ -381,25 +381,51 @@ def q51_incremental_edges(spark, sf):
 
 @query
 def q52_incremental_entities(spark, sf):
-    """Entities and their aliases after two runs; the second run's names are resolved against the stored entities."""
-    rows, first, second = _runs(spark, sf)
-    named = materialize(resolve.resolve_exact(materialize(adapters.mentions_of(rows), "mentions")), "named")
-    late = F.col("extracted_at") >= F.lit(adapters.SECOND_RUN).cast("timestamp")
-    parts = [merge.fold_entities(m).join(merge.fold_aliases(m), ["company_name", "key"], "left") for m in (named.where(~late), named.where(late))]
-    e = merge.merge_entities(materialize(parts[0], "stored"), materialize(parts[1], "incoming"))
+    """Entities and their aliases after two runs; the second run's names are matched with the stored entities first."""
+    _, first, second = _runs(spark, sf)
+    early = materialize(resolve.resolve_exact(materialize(adapters.mentions_of(first), "mentions")), "named")
+    stored = materialize(merge.fold_entities(early).join(merge.fold_aliases(early), ["company_name", "key"], "left"), "stored")
+    late = materialize(resolve.resolve_exact(materialize(adapters.mentions_of(second), "mentions"), stored), "named")
+    e = merge.merge_entities(stored, materialize(merge.fold_entities(late).join(merge.fold_aliases(late), ["company_name", "key"], "left"), "incoming"))
     return e.select("company_name", "key", "name", "kind", "domain", "first_seen_article_id", "description", "n_mentions", F.array_join(F.transform("aliases", lambda x: x["name"]), ";").alias("aliases"))
 
 
+def _streamed(spark, source, schema, folder):
+    """The files at ``source`` as a stream of a session of its own, whose state lies in RocksDB."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own, own.readStream.schema(schema).parquet(source), f"{folder}/out", f"{folder}/state"
+
+
 @query
 def q53_stream_names(spark, sf):
-    """Names as state of a stream: each mention with the first spelling of its name."""
-    source = new_path(spark, "stream-mentions")
-    m = read_table(spark, sf, "part").select(F.col("p_type").alias("company_name"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("raw_name"), F.col("p_partkey").cast("long").alias("article_id"))
-    m.write.parquet(source)
-    named = incremental.known_names_stream(spark.readStream.schema(m.schema).parquet(source))
-    out = new_path(spark, "stream-names")
-    named.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(named.schema).parquet(out)
+    """Names as state of a stream: each mention with the first spelling of its name, by the rules of the exact tier.
+
+    Three parts to an article, so that some names meet their like in their own article; some are generic, some blank.
+    """
+    folder, key = new_path(spark, "stream-names"), F.col("p_partkey")
+    spelled = F.when(key % 2 == 0, F.upper("p_name")).when(key % 7 == 0, F.concat(F.lit("the new "), F.element_at(F.split("p_name", " "), 1), F.lit(" service"))).when(key % 11 == 0, "..").otherwise(F.col("p_name"))
+    m = read_table(spark, sf, "part").select(F.col("p_type").alias("company_name"), F.expr("p_partkey div 3").cast("long").alias("article_id"), key.cast("long").alias("item"), spelled.alias("raw_name"))
+    m.write.parquet(f"{folder}/in")
+    _, stream, out, state = _streamed(spark, f"{folder}/in", m.schema, folder)
+    incremental.known_names_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(incremental.NAMED).parquet(out)
+
+
+@query
+def q55_stream_resolve(spark, sf):
+    """All mentions as a stream of three batches in order of time, resolved by similarity against the names known so far."""
+    folder = new_path(spark, "stream-mentions")
+    m = _mentions(spark, sf)
+    bounds = m.select(F.percentile_approx("extracted_at", [0.33, 0.66]).alias("b")).first()["b"]
+    for k, where in enumerate((F.col("extracted_at") < bounds[0], (F.col("extracted_at") >= bounds[0]) & (F.col("extracted_at") < bounds[1]), F.col("extracted_at") >= bounds[1])):
+        m.where(where).write.parquet(f"{folder}/in/{k}")
+    handler = incremental.NamesByBatch(spark, f"{folder}/state")
+    for k in range(3):  # a file of a later moment arrives after those before it were handled
+        incremental.run_available(spark, f"{folder}/in/{k}", m.schema, f"{folder}/checkpoint/{k}", lambda batch, number, k=k: handler(batch, k))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in m.schema)
+    return handler.resolved(ddl).select("company_name", "article_id", "item", "raw_name", "name", "method")
 
 
 @query

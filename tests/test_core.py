@@ -108,6 +108,13 @@ def plain_resolve(rows, threshold=92):
         for i, (b, n) in enumerate(rows):
             if a != b:
                 continue
+            generic = bool(re.match(r"(the |a |an |this |that )?(new|old|legacy)\b.*\b(service|gateway)\b", n.strip(), re.IGNORECASE))
+            if generic or not norm(n):  # never asks, but is known to later articles
+                k += 1
+                out[i] = (n, None)
+                if norm(n):
+                    known.setdefault(norm(n), (n, f"{a:05d}"))
+                continue
             if norm(n) in pool:
                 out[i] = (pool[norm(n)][0], "exact")
                 continue
@@ -116,22 +123,61 @@ def plain_resolve(rows, threshold=92):
                 out[i] = (pool[best[0][2]][0], f"fuzzy:{round(-best[0][0])}")
                 continue
             k += 1
-            out[i] = (known.setdefault(norm(n), (n, f"{a:05d}"))[0], None) if norm(n) else (n, None)
+            out[i] = (known.setdefault(norm(n), (n, f"{a:05d}"))[0], None)
     return out
 
 
-def test_resolve_is_the_loop_over_articles(spark):
-    rng = random.Random(6)
-    base = ["User Service", "Payments Gateway", "Kafka Connect", "Kafka", "S3", "S4", "Title Search", "Service Registry Node"]
+def some_names(seed):
+    """(article, name): spellings, likenesses, generic names with and without a qualifier that counts, blanks, all within one article too."""
+    rng = random.Random(seed)
+    base = ["User Service", "Payments Gateway", "Kafka Connect", "Kafka", "S3", "S4", "Title Search", "Service Registry Node", "the new service", "The  New Service", "new services", "legacy gateway", "legacy gateways", "..", "", "the new gateway"]
     rows = []
-    for _ in range(90):
+    for _ in range(140):
         n = rng.choice(base)
         n = rng.choice([n, n.upper(), n.replace(" ", "-"), n + "s", "s" + n, n[::-1] if rng.random() < 0.2 else n])
         rows.append((rng.randint(1, 25), n))
-    rows = list(dict.fromkeys(rows))
-    got = {r["item"]: (r["name"], r["method"]) for r in resolve.resolve(names(spark, rows)).collect()}
+    return sorted(dict.fromkeys(rows), key=lambda r: r[0])
+
+
+def lowered(found):
+    return {i: (w[0].lower(), w[1]) for i, w in found.items()}
+
+
+@pytest.mark.parametrize("seed", [6, 7, 8])
+def test_resolve_is_the_loop_over_articles(spark, seed):
+    rows = some_names(seed)
     want = plain_resolve(rows)
-    assert {i: (w[0].lower(), w[1]) for i, w in got.items()} == {i: (w[0].lower(), w[1]) for i, w in want.items()}
+    assert {(w[1] or "new").partition(":")[0] for w in want.values()} == {"new", "exact", "fuzzy"}
+    got = {r["item"]: (r["name"], r["method"]) for r in resolve.resolve(names(spark, rows)).collect()}
+    assert lowered(got) == lowered(want)
+
+
+@pytest.mark.parametrize("seed", [6, 9])
+def test_runs_and_batches_end_where_one_run_does(spark, tmp_path, seed):
+    """Fed in parts, with what is known carried on as stored names, generic, blank and same-article names included."""
+    from mapwright.streaming.incremental import NamesByBatch, run_available
+
+    m = names(spark, some_names(seed)).cache()
+    want = {r["item"]: (r["name"], r["method"]) for r in resolve.resolve(m).collect()}
+    handler, source, ddl = NamesByBatch(spark, str(tmp_path / "state")), str(tmp_path / "in"), ", ".join(f"{n} {t}" for n, t in m.dtypes)
+    for lo, hi in ((0, 3), (3, 4), (4, 12), (12, 30)):
+        m.where((F.col("article_id") > lo) & (F.col("article_id") <= hi)).coalesce(1).write.mode("append").parquet(source)
+        run_available(spark, source, m.schema, str(tmp_path / "checkpoint"), handler)
+    assert lowered({r["item"]: (r["name"], r["method"]) for r in handler.resolved(ddl).collect()}) == lowered(want)
+    # a batch that is handed over again changes nothing
+    known = sorted(map(tuple, handler.names().collect()))
+    handler(m.where("article_id > 3 and article_id <= 4"), 1)
+    assert sorted(map(tuple, handler.names().collect())) == known
+    assert lowered({r["item"]: (r["name"], r["method"]) for r in handler.resolved(ddl).collect()}) == lowered(want)
+    assert handler.names().groupBy("company_name", F.lower("name")).count().where("count > 1").isEmpty()
+
+
+def test_generic_names_are_known_to_the_next_run(spark):
+    first, second = names(spark, [(1, "new service"), (1, "New Services")]), names(spark, [(2, "New Services"), (2, "new service")])
+    both = resolve.resolve(names(spark, [(1, "new service"), (2, "New Services")])).orderBy("item").collect()
+    assert [(r["name"], r["method"]) for r in both] == [("new service", None), ("new service", "fuzzy:96")]
+    stored = resolve.resolve(first).select("company_name", "name")
+    assert [(r["name"], r["method"]) for r in resolve.resolve(second, stored=stored).orderBy("item").collect()] == [("New Services", "exact"), ("new service", None)]
 
 
 def test_every_order_line_is_mentioned(spark):
@@ -365,11 +411,23 @@ def test_streaming_ingest_once(spark, tmp_path):
     run_available(spark, src, "id long, key string", str(tmp_path / "cp"), handle)
     assert out == [1, 2]
     names_in = str(tmp_path / "names")
-    spark.createDataFrame([("c", "Kafka", 1), ("c", "KAFKA", 2), ("c", "Zuul", 2)], "company_name string, raw_name string, article_id long").write.parquet(names_in)
-    stream = known_names_stream(spark.readStream.schema("company_name string, raw_name string, article_id long").parquet(names_in))
-    q = stream.writeStream.format("memory").queryName("named").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
-    q.awaitTermination()
-    assert {(r["raw_name"], r["name"], r["method"]) for r in spark.sql("select * from named").collect()} == {("Kafka", "Kafka", None), ("KAFKA", "Kafka", "exact"), ("Zuul", "Zuul", None)}
+    schema = "company_name string, raw_name string, article_id long, item long"
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("c", "Kafka", 1, 1), ("c", "kafka", 1, 2), ("c", "the new service", 1, 3), ("c", "..", 1, 4)]
+    more = [("c", "KAFKA", 2, 5), ("c", "Zuul", 2, 6), ("c", "zuul", 2, 7), ("c", "The New Service", 2, 8), ("c", "The  new service", 2, 9), ("c", "--", 2, 10), ("c", None, 2, 11)]
+    for part in (rows, more):  # state is kept from run to run
+        spark.createDataFrame(part, schema).write.mode("append").parquet(names_in)
+        stream = known_names_stream(own.readStream.schema(schema).parquet(names_in))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "named")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start().awaitTermination()
+    got = {r["item"]: (r["name"], r["method"]) for r in spark.read.parquet(str(tmp_path / "named")).collect()}
+    assert got == {
+        1: ("Kafka", None), 2: ("Kafka", None), 3: ("the new service", None), 4: ("..", None), 5: ("Kafka", "exact"), 6: ("Zuul", None), 7: ("Zuul", None),
+        8: ("The New Service", None), 9: ("the new service", "exact"), 10: ("--", None), 11: (None, None),
+    }
+    m = spark.createDataFrame(rows + more, schema).withColumn("extracted_at", F.to_timestamp(F.lit("2024-01-01")))
+    batch = {r["item"]: (r["name"], r["method"]) for r in resolve.resolve_exact(m).collect()}
+    assert batch == got
 
 
 def scraped(spark, store, pages, run_ts="2024-01-01T00:00:00"):
