@@ -13,6 +13,7 @@ from mapwright import config
 from mapwright.functions.keys import url_key
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, merge, resolve, views
+from mapwright.sources import sitemap
 from mapwright.sources.store import MergeLock, Snapshots
 from mapwright.storage import discard, materialize
 
@@ -183,6 +184,7 @@ def main(argv: list[str] | None = None) -> None:
     add = sub.add_parser("scrape")
     add.add_argument("--pages", required=True, help="Parquet with url and html")
     add.add_argument("--company", required=True)
+    add.add_argument("--sitemap", help="address of a sitemap or a page: only pages that it lists are stored")
     add.add_argument("--limit", type=int)
     for name in ("clean", "extract", "run-all"):
         part = sub.add_parser(name)
@@ -202,7 +204,10 @@ def main(argv: list[str] | None = None) -> None:
     locks = MergeLock(args.store.rstrip("/") + "/locks", settings.lock_ttl_s, spark=spark)
     store.create(TABLES)
     if args.command == "scrape":
-        print(scrape(store, spark.read.parquet(args.pages), args.company, args.run_ts, args.limit))
+        pages = spark.read.parquet(args.pages)
+        if args.sitemap:
+            pages = pages.join(sitemap.listed(spark, args.sitemap), "url", "left_semi")
+        print(scrape(store, pages, args.company, args.run_ts, args.limit))
     if args.command in ("clean", "run-all"):
         clean_stage(store, args.company, args.limit)
     if args.command in ("extract", "run-all"):

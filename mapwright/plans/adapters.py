@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,29 @@ lines as (
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
     join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey)"""
 
+def sitemap_files(spark: SparkSession, sf_dir: str, nested: bool = False) -> DataFrame:
+    """``path, content``: pages as sitemaps of ten URLs each, one in ten compressed, cut off, empty, or a page.
+
+    ``nested``: all are whole, and file n with n % 3 = 0 is an index of the files n + 1, n + 2 and n + 3.
+    """
+    n = F.expr("page_id div 10")
+    pages = read_table(spark, sf_dir, "pages").select(n.alias("n"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"))
+    tagged = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))
+    files = pages.groupBy("n").agg(F.array_join(F.sort_array(F.collect_list(tagged)), "").alias("body"))
+    xml = F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>"))
+    path = F.concat(F.lit("https://maps.example.com/"), F.col("n").cast("string"))
+    if nested:
+        index = F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap><loc>https://maps.example.com/"), (F.col("n") + k).cast("string"), F.lit("</loc></sitemap>")) for k in (1, 2, 3)], F.lit("</sitemapindex>"))
+        return files.select(path.alias("path"), F.when(F.col("n") % 3 == 0, index).otherwise(xml).cast("binary").alias("content"))
+    text = F.when(F.col("n") % 10 == 3, F.substring_index(xml, "</urlset>", 1)).when(F.col("n") % 10 == 5, F.concat(F.lit("<html>"), "body", F.lit("</html>"))).when(F.col("n") % 10 == 7, "").otherwise(xml)
+
+    def packed(batches):
+        for b in batches:
+            yield b.assign(content=[gzip.compress(c.encode(), mtime=0) if n % 10 == 8 else c.encode() for n, c in zip(b["n"], b["content"], strict=True)])[["path", "content"]]
+
+    return files.select("n", path.alias("path"), text.alias("content")).mapInPandas(packed, "path string, content binary")
+
+
 KINDS = {"ECONOMY": "service", "SMALL": "datastore", "MEDIUM": "queue", "PROMO": "library", "STANDARD": "model", "LARGE": "team"}
 
 

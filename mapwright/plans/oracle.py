@@ -92,6 +92,8 @@ moved as (
   from stored s join canon on relation = old)"""
 )
 
+_ARTICLE_URL = "regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) not in ('', '/') and not regexp_matches(url, '/tagged/|/tag/|/category/|/categories/|/author/|/about')"
+
 ORACLE_SQL: dict[str, str] = {
     "q01_url_key": f'with {SQL_ARTICLES} select page_id, "key" from articles',
     "q02_slug": f"select page_id, {sql_slug('url')} slug from pages",
@@ -105,6 +107,12 @@ ORACLE_SQL: dict[str, str] = {
       select p_partkey, raw, {sql_relation("raw")} relation from (select p_partkey, ({_PHRASES})[p_partkey % {len(PHRASES)} + 1] || case when p_partkey % 2 = 0 then ' ' || p_name else '' end raw from part))""",
     "q09_fallback_rate": f"""select relation, count(*) n, count(*) filter (raw in ('userland thing', 'frobnicates')) n_fallback from (
       select raw, {sql_relation("raw")} relation from (select ({_PHRASES})[(l_linenumber + l_suppkey) % {len(PHRASES)} + 1] raw from lineitem)) group by relation""",
+    "q10_sitemap_entries": f"""with p as (select page_id // 10 n, 'https://maps.example.com/' || (page_id // 10) path, url from pages)
+      select path, url, null reason from p where n % 10 not in (3, 5, 7) and {_ARTICLE_URL}
+      union all select distinct path, null, case n % 10 when 3 then 'broken XML' when 5 then 'an HTML page, not a sitemap' else 'empty' end from p where n % 10 in (3, 5, 7)""",
+    "q11_sitemap_crawl": """with recursive p as (select page_id // 10 n, url from pages),
+      r as (select 0::bigint n union select r.n + k from r, (select unnest([1, 2, 3]) k) where r.n % 3 = 0 and exists (select 1 from p where p.n = r.n))
+      select 'https://maps.example.com/' || n path, url from p semi join r using (n) where n % 3 <> 0""",
     "q12_stage_filter": "select case page_id % 4 when 0 then 'clean' else 'extract' end stage, page_id from pages where page_id % 4 in (0, 1)",
     "q13_summaries": f'with {SQL_ARTICLES} select "key", source_url, company_name, scraped_at, stage, case when state >= 2 then page_id % 7 + 1 end entity_count from articles',
     "q15_page": f"""with {SQL_ARTICLES}, en as (select *, row_number() over (order by scraped_at desc, "key") r, least(2, greatest(1, ceil(count(*) over () / 20.0))) p from articles where company_name = 'en')
@@ -115,7 +123,7 @@ ORACLE_SQL: dict[str, str] = {
     "q19_company_union": f"with {SQL_ARTICLES} select company_name from articles where company_name <> '' union select n_name from nation",
     "q20_recent_jobs": f"with {SQL_JOBS} select event_id, job_id, status, created_at from jobs order by created_at desc, job_id limit 25",
     "q21_article_urls": """select page_id, url from (select page_id, url || (['', '/tag/x', '', '/about-us', ''])[page_id % 5 + 1] url from pages)
-      where regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) not in ('', '/') and not regexp_matches(url, '/tagged/|/tag/|/category/|/categories/|/author/|/about')""",
+      where """ + _ARTICLE_URL,
     "q22_batch_dedup": f'with {SQL_ARTICLES} select "key", min(page_id) page_id from articles group by "key"',
     "q23_new_rows": f'with {SQL_ARTICLES} select "key", min(page_id) page_id from articles where "key" not in (select "key" from articles where page_id % 3 = 0) group by "key"',
     "q24_challenges": "select page_id, url from pages where page_id % 9 <> 0 and not regexp_matches(html, 'Attention Required! \\| Cloudflare|Just a moment\\.\\.\\.|cf-chl')",

@@ -12,6 +12,7 @@ from mapwright.functions.similarity import score, sorted_words
 from mapwright.functions.vocab import canonical_relation, humanized, is_generic, kept_phrase, label, matched_relation
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, jobs, merge, resolve, views
+from mapwright.sources import sitemap
 from mapwright.storage import materialize, new_path, read_table
 from mapwright.streaming import incremental
 
@@ -80,6 +81,22 @@ def q09_fallback_rate(spark, sf):
     return p.groupBy(canonical_relation(F.col("raw")).alias("relation")).agg(F.count("*").alias("n"), F.count_if(matched_relation(F.col("raw")).isNull()).alias("n_fallback"))
 
 
+@query
+def q10_sitemap_entries(spark, sf):
+    """Ten pages to a sitemap, some compressed, cut off, empty or a page in place of one: article URLs, and reasons."""
+    rows = adapters.sitemap_files(spark, sf)
+    found = sitemap.entries(rows)
+    urls = found.where((F.col("kind") == "url") & art.is_article_url(F.col("loc"))).select("path", F.col("loc").alias("url"), F.lit(None).cast("string").alias("reason"))
+    return urls.union(sitemap.quarantine(found).select("path", F.lit(None).cast("string"), F.substring_index("reason", ":", 1)))
+
+
+@query
+def q11_sitemap_crawl(spark, sf):
+    """Article URLs below the first index, whose every third file is an index of the next three files."""
+    found = sitemap.entries(adapters.sitemap_files(spark, sf, nested=True))
+    return sitemap.crawl(found, spark.range(1).select(F.lit("https://maps.example.com/0").alias("path"))).where("kind = 'url'").select("path", F.col("loc").alias("url"))
+
+
 @query
 def q12_stage_filter(spark, sf):
     a = adapters.articles(spark, sf)

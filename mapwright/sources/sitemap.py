@@ -1,76 +1,219 @@
-"""Sitemaps: the article URLs of ``urlset`` files, and the files a ``sitemapindex`` points to."""
+"""Sitemaps: the URLs of ``urlset`` files and the files that a ``sitemapindex`` points to.
+
+Files that Spark has read, from any store, are parsed where they lie (:func:`entries`); what cannot be read becomes a
+row with a reason, never an error of the run. :class:`SitemapSource` reads from addresses instead, as
+``spark.read.format("sitemap")``: the first file is looked at in planning, and each file that it points to is a partition.
+"""
 
 from __future__ import annotations
 
 import gzip
+import urllib.error
+import urllib.request
+import zlib
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from mapwright.operators.articles import is_article_url
-from mapwright.storage import materialize
-
-
-def xml_text(content: str) -> Column:
-    """The XML of a file, which may be gzip-compressed whatever its name."""
-
-    def text(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: (gzip.decompress(bytes(b)) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
-
-    return F.pandas_udf(text, StringType())(content)
-
-
-def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``path, xml`` of the files at ``path``."""
-    return spark.read.format("binaryFile").load(path).select("path", xml_text("content").alias("xml"))
-
+from mapwright.storage import discard, materialize
 
-def is_sitemap(xml: str = "xml"):
-    return F.coalesce(F.col(xml).rlike(r"<(\w+:)?(urlset|sitemapindex)[\s>]"), F.lit(False))
+#: A row for each location of a file, or one with the reason why there are none. kind: url, sitemap, or null.
+ENTRIES = "path string, kind string, loc string, lastmod string, reason string"
+_PARENTS = {"urlset": "url", "sitemapindex": "sitemap"}
 
 
-def locations(files: DataFrame, parent: str) -> DataFrame:
-    """``path, url``: the trimmed ``loc`` texts under ``parent`` elements (``url`` or ``sitemap``), whatever the namespace."""
-    body = F.regexp_replace("xml", r"(?s)<\?.*?\?>|<!DOCTYPE[^>]*>", "")
-    found = F.xpath(body, F.lit(f"//*[local-name()='{parent}']/*[local-name()='loc']/text()"))
-    return files.where(is_sitemap()).select("path", F.explode(found).alias("url")).select("path", F.trim(F.regexp_replace("url", r"^\s+|\s+$", "")).alias("url"))
+def parse(content: bytes | None) -> tuple[str | None, list[tuple[str, str | None]], str | None]:
+    """(kind, [(loc, lastmod)], reason) of one file, gzip-compressed or not, whatever its name and its namespace.
 
+    A file counts as a whole or not at all: a sitemap that breaks off gives a reason and no locations.
+    """
+    raw = bytes(content or b"")
+    if raw[:2] == b"\x1f\x8b":
+        try:
+            raw = gzip.decompress(raw)
+        except (OSError, EOFError, zlib.error) as e:
+            return None, [], f"broken gzip: {e}"
+    if not raw.strip():
+        return None, [], "empty"
+    head = raw[:1000].lower()
+    if b"<html" in head or b"<!doctype html" in head:
+        return None, [], "an HTML page, not a sitemap: a single article, or the wrong address"
+    kind, found, depth = None, [], 0
+    loc = lastmod = None
+    parser = ElementTree.XMLPullParser(["start", "end"])
+    try:
+        for at in range(0, len(raw), 1 << 20):
+            parser.feed(raw[at : at + (1 << 20)])
+            for event, e in parser.read_events():
+                name = e.tag.rpartition("}")[2]
+                if event == "start":
+                    depth += 1
+                    if depth == 1:
+                        kind = _PARENTS.get(name)
+                        if kind is None:
+                            return None, [], f"no urlset or sitemapindex but {name}"
+                    continue
+                depth -= 1
+                if depth == 2 and name == "loc":
+                    loc = loc or (e.text or "").strip()
+                elif depth == 2 and name == "lastmod":
+                    lastmod = (e.text or "").strip() or None
+                elif depth == 1:
+                    if name == kind and loc:
+                        found.append((loc, lastmod))
+                    loc = lastmod = None
+                    e.clear()
+        parser.close()
+    except (ElementTree.ParseError, ValueError, LookupError) as e:
+        return None, [], f"broken XML: {e}"
+    return kind, found, None
+
+
+def _rows(path: str, content: bytes | None) -> list[tuple]:
+    kind, found, reason = parse(content)
+    return [(path, None, None, None, reason)] if reason else [(path, kind, loc, lastmod, None) for loc, lastmod in found]
+
+
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, content`` of the files at ``path``, in any store."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """The rows of ENTRIES for ``files`` (path, content). A sitemap without locations gives no row; a null content is empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame(_rows(path, content), columns=["path", "kind", "loc", "lastmod", "reason"], dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, ENTRIES)
+
+
+def article_urls(found: DataFrame) -> DataFrame:
+    """``url``: the distinct locations of :func:`entries` that are articles."""
+    return found.where((F.col("kind") == "url") & is_article_url(F.col("loc"))).select(F.col("loc").alias("url")).distinct()
+
+
+def quarantine(found: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that could not be read as sitemaps."""
+    return found.where("reason is not null").select("path", "reason")
+
+
+def crawl(found: DataFrame, start: DataFrame, path_of: Callable[[Column], Column] = lambda loc: loc) -> DataFrame:
+    """The rows of :func:`entries` whose file can be reached from those of ``start`` (path), however deep.
+
+    ``path_of`` turns a location of an index into the path of the file that holds it. Each round is a join from the files
+    that the last one reached; a file counts once, so indexes that point to each other end.
+    """
+    found = materialize(found, "sitemap-entries")
+    links = found.where("kind = 'sitemap'").select("path", path_of(F.col("loc")).alias("to")).distinct()
+    new = materialize(start.select("path").distinct(), "sitemap-reached")
+    reached = new
+    while not new.isEmpty():
+        after = new.join(links, "path").select(F.col("to").alias("path")).distinct().join(reached, "path", "left_anti")
+        new = materialize(after, "sitemap-reached")
+        reached = reached.union(new)
+    return found.join(reached, "path", "left_semi")
+
+
+def resolve_urls(found: DataFrame, address: str, path_of: Callable[[Column], Column] = lambda loc: loc) -> DataFrame:
+    """``url`` of the articles that an address stands for: those of its sitemap, or itself where it is a page."""
+    start = found.sparkSession.range(1).select(path_of(F.lit(address)).alias("path"))
+    page = found.where(F.col("reason").startswith("an HTML page")).join(start, "path", "left_semi").select(F.lit(address).alias("url"))
+    return article_urls(crawl(found, start, path_of)).union(page.limit(1))
+
+
+def fetched(address: str, timeout: float = 30.0, attempts: int = 3, agent: str = "Mozilla/5.0 (compatible; mapwright)") -> tuple[bytes | None, str | None]:
+    """(content, reason) of an address, http(s) or a file that is mounted where this runs."""
+    if not address.startswith(("http://", "https://")):
+        try:
+            with open(address.removeprefix("file://"), "rb") as f:
+                return f.read(), None
+        except OSError as e:
+            return None, f"not readable: {e.strerror}"
+    reason = None
+    for _ in range(attempts):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(address, headers={"User-Agent": agent}), timeout=timeout) as answer:
+                return answer.read(), None
+        except urllib.error.HTTPError as e:
+            reason = f"HTTP {e.code}"
+            if e.code < 500:
+                break
+        except OSError as e:
+            reason = f"not reachable: {e}"
+    return None, reason
+
+
+class _Sitemap(InputPartition):
+    def __init__(self, address: str, seen: tuple[str, ...], content: bytes | None = None) -> None:
+        self.address, self.seen, self.content = address, seen, content
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, addresses: list[str], timeout: float) -> None:
+        self.addresses, self.timeout = addresses, timeout
+
+    def partitions(self) -> list[_Sitemap]:
+        """The first files are fetched here; an index of them becomes a partition for each file that it names."""
+        out, named = [], dict.fromkeys(self.addresses)
+        for address in named:
+            content, _ = fetched(address, self.timeout)
+            kind, found, _ = parse(content)
+            if kind == "sitemap":
+                out += [_Sitemap(loc, tuple(named)) for loc in dict.fromkeys(loc for loc, _ in found) if loc not in named]
+            else:
+                out.append(_Sitemap(address, tuple(named), content))
+        return out
+
+    def read(self, partition: _Sitemap) -> Iterator[tuple]:
+        """One file and, where it is an index itself, all below it."""
+        waiting, seen = [(partition.address, partition.content)], {*partition.seen, partition.address}
+        while waiting:
+            address, content = waiting.pop()
+            reason = None
+            if content is None:
+                content, reason = fetched(address, self.timeout)
+            for row in [(address, None, None, None, reason)] if reason else _rows(address, content):
+                if row[1] != "sitemap":
+                    yield row
+                elif row[2] not in seen:
+                    seen.add(row[2])
+                    waiting.append((row[2], None))
+
+
+class SitemapSource(DataSource):
+    """``spark.read.format("sitemap").load(address)``: the rows of ENTRIES below an address, indexes followed.
+
+    Register it with ``spark.dataSource.register(SitemapSource)``. Several addresses are parted by white space; option
+    ``timeout`` is in seconds. A file that is reached from two indexes of the first one may be read twice.
+    """
 
-def article_urls(files: DataFrame) -> DataFrame:
-    return locations(files, "url").where(is_article_url(F.col("url"))).select("url").distinct()
-
-
-def not_sitemaps(files: DataFrame) -> DataFrame:
-    """Files that are no sitemap, with the ``reason``; for the caller to handle, as a single article or as an error."""
-    page = F.coalesce(F.lower(F.substring("xml", 1, 1000)).rlike(r"<html[\s>]|<!doctype html"), F.lit(False))
-    reason = F.when(F.col("xml").rlike(r"^\s*$"), "empty").when(page, "an HTML page, not a sitemap: a single article, or the wrong address").otherwise("no urlset or sitemapindex, or broken XML")
-    return files.where(~is_sitemap()).withColumn("reason", reason)
-
+    @classmethod
+    def name(cls) -> str:
+        return "sitemap"
 
-def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", xml_text("content").alias("xml"))
+    def schema(self) -> str:
+        return ENTRIES
 
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        addresses = self.options.get("path", "").split()
+        if not addresses:
+            raise ValueError("load an address")
+        return _Reader(addresses, float(self.options.get("timeout", "30")))
 
-def crawl(spark: SparkSession, start: str, path_of) -> DataFrame:
-    """Article URLs of a sitemap and of all that its index points to, however deep; ``path_of`` gives the file of a URL.
 
-    Each level is one read; a file is read once, so an index that points to itself ends. What is no sitemap gives
-    nothing here (see :func:`not_sitemaps`).
-    """
-    seen, level, found = set(), [start], None
-    while level:
-        files = materialize(_files(spark, level), "sitemap-level")
-        seen |= set(level)
-        urls = article_urls(files)
-        found = urls if found is None else found.union(urls)
-        level = sorted({path_of(r["url"]) for r in locations(files, "sitemap").distinct().collect()} - seen)  # sitemap files, not pages
-    return found.distinct()
-
-
-def resolve_urls(spark: SparkSession, url: str, path_of) -> DataFrame:
-    """``url`` of the articles that an address stands for: those of its sitemap, or itself where it is a single page."""
-    if _files(spark, [path_of(url)]).where(is_sitemap()).isEmpty():
-        return spark.createDataFrame([(url,)], "url string")
-    return crawl(spark, path_of(url), path_of)
+def listed(spark: SparkSession, address: str) -> DataFrame:
+    """``url`` of the articles below an address, read with :class:`SitemapSource`; a page stands for itself."""
+    spark.dataSource.register(SitemapSource)
+    found = materialize(spark.read.format("sitemap").load(address), "sitemap-listed")
+    pages = found.where(F.col("reason").startswith("an HTML page") & F.col("path").isin(address.split())).select(F.col("path").alias("url"))
+    out = materialize(article_urls(found).union(pages).distinct(), "sitemap-urls")
+    discard(found)
+    return out

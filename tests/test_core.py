@@ -344,21 +344,74 @@ def test_reply_defaults_and_types(spark, reply, valid):
         assert r["graph"]["entities"][0][:3] == ("A", "service", "Other")
 
 
-def test_sitemaps(spark, tmp_path):
-    xml = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://x.com/a-b </loc></url><url><loc>https://x.com/tag/z</loc></url><url><loc>https://x.com/</loc></url></urlset>'
-    index = f'<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>{tmp_path}/one</loc></sitemap><sitemap><loc>{tmp_path}/index</loc></sitemap></sitemapindex>'
-    (tmp_path / "one").write_bytes(gzip.compress(xml.encode()))
-    (tmp_path / "index").write_text(index)
-    (tmp_path / "page").write_text("<html>no</html>")
-    assert [r["url"] for r in sitemap.crawl(spark, f"{tmp_path}/index", lambda u: u).collect()] == ["https://x.com/a-b"]
-    for k in range(9):  # indexes of indexes
-        to = f"{tmp_path}/deep{k + 1}" if k < 8 else f"{tmp_path}/one"
-        (tmp_path / f"deep{k}").write_text(index.replace(f"{tmp_path}/one", to))
-    assert [r["url"] for r in sitemap.crawl(spark, f"{tmp_path}/deep0", lambda u: u).collect()] == ["https://x.com/a-b"]
-    assert [r["url"] for r in sitemap.resolve_urls(spark, f"{tmp_path}/one", lambda u: u).collect()] == ["https://x.com/a-b"]
-    assert [r["url"] for r in sitemap.resolve_urls(spark, f"{tmp_path}/page", lambda u: u).collect()] == [f"{tmp_path}/page"]
-    assert "HTML" in sitemap.not_sitemaps(sitemap.read_xml(spark, f"{tmp_path}/page")).first()["reason"]
-    assert [r["path"][-4:] for r in sitemap.not_sitemaps(sitemap.read_xml(spark, str(tmp_path))).collect()] == ["page"]
+NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+URLS = f'<?xml version="1.0"?><urlset {NS}><url><loc> https://x.com/a-b </loc><lastmod>2024-01-02</lastmod></url><url><loc>https://x.com/tag/z</loc></url><url><loc>https://x.com/</loc></url><url><loc>https://x.com/c?a=1&amp;b=2</loc></url></urlset>'
+
+
+def index_of(*locs):
+    return f"<sitemapindex {NS}>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+
+
+BROKEN = {
+    "cut": (URLS[:-20].encode(), "broken XML"), "open": (b"<urlset><url><loc>x", "broken XML"), "gzip": (gzip.compress(URLS.encode())[:-12], "broken gzip"), "notgzip": (b"\x1f\x8bnonsense", "broken gzip"),
+    "page": (b"<!DOCTYPE html><HTML>no</HTML>", "an HTML page"), "none": (b"  \n", "empty"), "feed": (b"<rss><channel/></rss>", "no urlset"), "entity": (b"<urlset>&nope;</urlset>", "broken XML"), "code": (b'<?xml version="1.0" encoding="no-such"?><urlset/>', "broken XML"),
+}
+
+
+def test_sitemaps_as_files(spark, tmp_path):
+    """Broken files are rows with a reason; indexes are followed by joins, and those that point to each other end."""
+    p = str(tmp_path)
+    files = {"one": gzip.compress(URLS.encode()), "index": index_of(f"file:{p}/one", f"file:{p}/index", f"file:{p}/cut", f"file:{p}/missing").encode(), "other": b"<urlset><url><loc>https://y.com/not-reached</loc></url></urlset>", "bare": b"<urlset/>"}
+    files |= {f"deep{k}": index_of(f"file:{p}/deep{k + 1}" if k < 8 else f"file:{p}/index").encode() for k in range(9)} | {n: c for n, (c, _) in BROKEN.items()}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = sitemap.entries(sitemap.read_files(spark, p)).cache()
+    bad = {r["path"].rpartition("/")[2]: r["reason"] for r in sitemap.quarantine(found).collect()}
+    assert bad.keys() == BROKEN.keys() and all(bad[n].startswith(r) for n, (_, r) in BROKEN.items())
+    assert found.where("lastmod is not null").select("loc", "lastmod").collect() == [("https://x.com/a-b", "2024-01-02")]
+    start = spark.createDataFrame([(f"file:{p}/deep0",)], "path string")
+    reached = sitemap.crawl(found, start)
+    assert sorted(r["url"] for r in sitemap.article_urls(reached).collect()) == ["https://x.com/a-b", "https://x.com/c?a=1&b=2"]
+    assert [r["path"][-3:] for r in sitemap.quarantine(reached).collect()] == ["cut"]
+    by_name = lambda loc: F.regexp_replace(loc, "^https://blog[.]com", f"file:{p}")
+    assert [r["url"] for r in sitemap.resolve_urls(found, "https://blog.com/page", by_name).collect()] == ["https://blog.com/page"]
+    assert len(sitemap.resolve_urls(found, "https://blog.com/one", by_name).collect()) == 2
+    assert sitemap.entries(spark.createDataFrame([("a", None)], "path string, content binary")).first()["reason"] == "empty"
+    assert sitemap.entries(spark.createDataFrame([], "path string, content binary")).collect() == []
+
+
+def test_sitemaps_as_a_source(spark, tmp_path):
+    """Over HTTP: a partition for each file of the first index, nested indexes below, errors as rows."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            host = f"http://127.0.0.1:{self.server.server_port}"
+            served = {"/": index_of(f"{host}/one", f"{host}/nested", f"{host}/gone", f"{host}/", f"{host}/cut").encode(), "/one": gzip.compress(URLS.encode()), "/nested": index_of(f"{host}/two", f"{host}/nested").encode(), "/two": b"<urlset><url><loc>https://x.com/two</loc></url></urlset>", "/cut": BROKEN["cut"][0], "/page": BROKEN["page"][0]}
+            self.send_response(200 if self.path in served else 404)
+            self.end_headers()
+            self.wfile.write(served.get(self.path, b""))
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        host = f"http://127.0.0.1:{server.server_port}"
+        spark.dataSource.register(sitemap.SitemapSource)
+        rows = spark.read.format("sitemap").load(f"{host}/")
+        assert rows.rdd.getNumPartitions() == 4
+        found = rows.collect()
+        assert {r["loc"] for r in found if r["kind"]} == {"https://x.com/a-b", "https://x.com/tag/z", "https://x.com/", "https://x.com/c?a=1&b=2", "https://x.com/two"}
+        assert {r["path"].removeprefix(host): r["reason"].partition(":")[0] for r in found if r["reason"]} == {"/gone": "HTTP 404", "/cut": "broken XML"}
+        assert {r["url"] for r in sitemap.listed(spark, f"{host}/").collect()} == {"https://x.com/a-b", "https://x.com/c?a=1&b=2", "https://x.com/two"}
+        assert [r["url"] for r in sitemap.listed(spark, f"{host}/page").collect()] == [f"{host}/page"]
+        (tmp_path / "map").write_text(URLS)
+        assert sitemap.listed(spark, f"{tmp_path}/map {tmp_path}/none").count() == 2
+    finally:
+        server.shutdown()
 
 
 def test_jobs(spark):
