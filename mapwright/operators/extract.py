@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapwright.functions.json_repair import repaired
 from mapwright.functions.vocab import ENTITY_KINDS, RELATION_KINDS, canonical_relation, kept_phrase, matched_relation
 
 
@@ -109,15 +110,15 @@ def _text(item: str, name: str) -> str:
 
 
 def parse(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
-    """``replies`` with ``graph`` and ``valid``. Code fences and words around the object are dropped, and so are commas
-    before a closing bracket.
+    """``replies`` with ``graph`` and ``valid``. Code fences and words around the object are dropped; what is no JSON then
+    is repaired (:func:`mapwright.functions.json_repair.repair`), in Python for such replies only.
 
     A missing list counts as empty, a missing kind as ``service``, a missing domain as ``Other``. One item with a wrong
     type or an unknown kind makes the whole reply invalid.
     """
     bare = F.regexp_extract(F.col(reply_col), r"(?s)\{.*\}", 0)
-    value = F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_replace(bare, r",(\s*[}\]])", "$1")))
-    r = replies.withColumn("_v", value)
+    r = replies.withColumn("_v", F.try_parse_json(bare))
+    r = r.withColumn("_mended", repaired(F.when(F.col("_v").isNull(), F.col(reply_col)))).withColumn("_v", F.coalesce("_v", F.try_parse_json("_mended")))
     for name in ("entities", "relationships"):
         r = r.withColumn(f"_{name}", F.expr(f"try_variant_get(_v, '$.{name}', 'variant')"))
         r = r.withColumn(f"_{name}_ok", F.expr(f"coalesce({_kind(f'_{name}')}, 'ARRAY') = 'ARRAY'"))

@@ -211,4 +211,6 @@ ORACLE_SQL: dict[str, str] = {
       numbered as (select *, row_number() over (partition by company_name order by "key", source, target, "label", relation) - 1 i from gedges),
       e as (select company_name, string_agg(to_json({{'id': '__edge_' || i, 'source': source, 'target': target, 'label': "label", 'relation': relation}})::varchar, ',' order by i) js from numbered group by company_name)
       select company_name, '{{"nodes":[' || n.js || '],"edges":[' || coalesce(e.js, '') || ']}}' as "graph" from n left join e using (company_name)""",
+    "q56_repaired_replies": f"""with {SQL_MENTIONS}, r as (select *, row_number() over (partition by article_id order by item desc) back from mentions)
+      select article_id, true "valid", count(*) filter (back > 1 or article_id % 8 <> 2) n_entities, coalesce(string_agg(raw_name, '|' order by item) filter (back > 1 or article_id % 8 <> 2), '') "names" from r group by article_id""",
 }

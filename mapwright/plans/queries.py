@@ -449,3 +449,20 @@ def q55_stream_resolve(spark, sf):
 def q54_graph_json(spark, sf):
     e, r = _graph(spark, sf)
     return views.graph_json(views.nodes(e), views.edges(e, r))
+
+
+@query
+def q56_repaired_replies(spark, sf):
+    """Replies broken in eight ways by article: what is whole in them, and no item that they break off in."""
+    at = F.col("article_id") % 8
+    items = F.array_sort(F.collect_list(F.struct("item", F.struct(F.col("raw_name").alias("name"), "domain").alias("x"))))
+    whole = adapters.mentions(spark, sf).groupBy("article_id").agg(F.to_json(F.struct(items["x"].alias("entities"))).alias("r"))
+    r = F.col("r")
+    broken = (
+        F.when(at == 0, F.translate(r, '"', "'")).when(at == 1, F.rtrim(r, F.lit("]}"))).when(at == 2, F.substring(r, F.lit(1), F.length(r) - 6))
+        .when(at == 3, F.concat(F.lit("Here {it} is:\n```json\n"), r, F.lit("\n``` and {more")))
+        .when(at == 4, F.regexp_replace(r, '"(entities|name|domain)":', "$1: ")).when(at == 5, F.replace(r, F.lit("},{"), F.lit("}\n{")))
+        .when(at == 6, F.replace(r, F.lit("},"), F.lit(",}, // next\n"))).otherwise(F.replace(r, F.lit('","'), F.lit('" "')))
+    )
+    parsed = extract.parse(whole.select("article_id", broken.alias("reply")))
+    return parsed.select("article_id", "valid", F.size("graph.entities").cast("long").alias("n_entities"), F.array_join("graph.entities.name", "|").alias("names"))
