@@ -1,6 +1,9 @@
-"""Article text from HTML: boilerplate out, long code blocks as one line, white space in order.
+"""Article text from HTML: boilerplate out, the main block found, long code blocks as one line, white space in order.
 
-The article is the first ``article`` element, else ``main``, else ``body``. Readability scoring is not reproduced.
+The page becomes a tree of blocks. The article is the first ``article`` element, else ``main``; where there is neither it
+is the block that holds most of the text: every block is worth its words, less what is linked and a price for being a
+block, and from ``body`` the way goes down as long as one container below has most of that worth. Inside the article,
+blocks that are mainly links go. A page of which nothing would be left is taken whole.
 """
 
 from __future__ import annotations
@@ -20,26 +23,44 @@ BOILERPLATE_IDS = ("comment",)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY = {"p": frozenset("p div ul ol li table pre article main section h1 h2 h3 h4 h5 h6 blockquote aside nav header footer form".split()), "li": frozenset(["li"]), "td": frozenset(["td", "tr"]), "tr": frozenset(["tr"])}
+BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 html li main ol p pre section table tbody td tfoot th thead tr ul".split())
+#: Blocks that may be the article of a page that marks none.
+CONTAINERS = frozenset("body center div fieldset html main section table tbody td tr".split())
+#: Blocks that go when they are mainly links.
+PRUNED = frozenset("center dd details div dl dt ol p section table tbody td tr ul".split())
+#: Words that a block must hold to be worth anything; the part of a block's worth that leads down to one below; the part of linked words that is too much.
+BLOCK_PRICE, LEADS, LINKED = 6, 0.6, 0.5
+
+
+class Node:
+    """An element: its parts in order (texts and elements), and its words, linked ones and worth once it is closed."""
+
+    __slots__ = ("linked", "own", "own_linked", "parts", "tag", "words", "worth")
+
+    def __init__(self, tag: str) -> None:
+        self.tag, self.parts = tag, []
+        self.words = self.linked = self.own = self.own_linked = 0
+        self.worth = 0
 
 
 class _Reader(HTMLParser):
-    """Collects text with the path of open elements; boilerplate is skipped as it is met."""
+    """Builds the tree; boilerplate is left out as it is met, long code is replaced as it ends."""
 
     def __init__(self, threshold: int) -> None:
         super().__init__(convert_charrefs=True)
-        self.threshold, self.open = threshold, []
-        self.texts: dict[str, list[str]] = {"article": [], "main": [], "body": []}
-        self.seen: set[str] = set()
-        self.done: set[str] = set()
+        self.threshold, self.root = threshold, Node("html")
+        self.open: list[tuple[str, Node | None]] = []
+        self.first: dict[str, Node] = {}
         self.code: list[str] | None = None
         self.language = None
+        self.anchors = self.silent = 0
 
     def _boilerplate(self, tag: str, attrs: dict) -> bool:
         names, own = attrs.get("class") or "", attrs.get("id") or ""
         return tag in BOILERPLATE_TAGS or any(x in names for x in BOILERPLATE_CLASSES) or any(x in own for x in BOILERPLATE_IDS)
 
-    def _skipping(self) -> bool:
-        return any(skip for _, skip in self.open)
+    def _at(self) -> Node:
+        return self.open[-1][1] if self.open else self.root
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
@@ -47,55 +68,106 @@ class _Reader(HTMLParser):
         if tag in VOID:
             return
         a = dict(attrs)
-        self.open.append((tag, self._boilerplate(tag, a)))
-        if self._skipping():
+        if self.silent or tag in ("head", "title") or self._boilerplate(tag, a):
+            self.silent += 1
+            self.open.append((tag, None))
             return
+        node = Node(tag)
+        self._at().parts.append(node)
+        self.open.append((tag, node))
+        self.anchors += tag == "a"
         if tag == "pre" and self.code is None:
             self.code, self.language = [], None
         elif tag == "code" and self.code is not None and self.language is None:
             self.language = next((c.removeprefix("language-") for c in (a.get("class") or "").split() if c.startswith("language-")), None)
-        if tag in ("article", "main") and tag not in self.seen:
-            self.seen.add(tag)
+        if tag in ("article", "main"):
+            self.first.setdefault(tag, node)
 
     def handle_endtag(self, tag: str) -> None:
         at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
         if at is None:
             return
-        for name, _ in reversed(self.open[at:]):
-            inside = sum(t == name for t, _ in self.open)
-            if name == "pre" and inside == 1 and self.code is not None:
+        while len(self.open) > at:
+            name, node = self.open[-1]
+            if name == "pre" and self.code is not None and node is not None and sum(t == "pre" and n is not None for t, n in self.open) == 1:
                 code, self.code = "".join(self.code), None
                 lines = code.count("\n") + 1
                 if lines > self.threshold:
                     code = f"[code omitted: {lines} lines" + (f", language: {self.language}]" if self.language else "]")
                 self._add(code)
-            if name in self.seen and inside == 1:
-                self.done.add(name)
             self.open.pop()
+            if node is None:
+                self.silent -= 1
+                continue
+            self.anchors -= name == "a"
+            self._close(node, self._at())
+
+    def _close(self, node: Node, parent: Node) -> None:
+        """What is inside counts for the parent: inline text as its own, blocks as blocks."""
+        parent.words += node.words
+        parent.linked += node.linked
+        if node.tag in BLOCKS:
+            node.worth += max(0, node.own - 2 * node.own_linked - BLOCK_PRICE)
+        else:
+            parent.own += node.own
+            parent.own_linked += node.own_linked
+        parent.worth += node.worth
 
     def _add(self, text: str) -> None:
         text = text.strip()
-        if not text or self._skipping():
+        if not text:
             return
-        names = {t for t, _ in self.open}
-        for root in ("article", "main"):
-            if root in names and root not in self.done:
-                self.texts[root].append(text)
-        self.texts["body"].append(text)
+        node, n = self._at(), len(text.split())
+        node.parts.append(text)
+        linked = n if self.anchors else 0
+        node.words, node.own = node.words + n, node.own + n
+        node.linked, node.own_linked = node.linked + linked, node.own_linked + linked
 
     def handle_data(self, data: str) -> None:
-        if "title" in {t for t, _ in self.open} or "head" in {t for t, _ in self.open}:
+        if self.silent:
             return
         if self.code is not None:
             self.code.append(data)
         else:
             self._add(data)
 
-    def result(self) -> str:
+    def tree(self) -> Node:
         while self.open:
             self.handle_endtag(self.open[-1][0])
-        root = next((r for r in ("article", "main") if r in self.seen), "body")
-        return "\n".join(self.texts[root])
+        return self.root
+
+
+def _below(node: Node) -> Iterator[Node]:
+    """The nearest blocks under a node, through inline elements."""
+    waiting = [p for p in reversed(node.parts) if isinstance(p, Node)]
+    while waiting:
+        one = waiting.pop()
+        if one.tag in BLOCKS:
+            yield one
+        else:
+            waiting += [p for p in reversed(one.parts) if isinstance(p, Node)]
+
+
+def main_block(root: Node) -> Node:
+    """The container that holds most of the text that is worth reading."""
+    node = root
+    while True:
+        best = max((b for b in _below(node) if b.tag in CONTAINERS), key=lambda b: b.worth, default=None)
+        if best is None or best.worth <= 0 or best.worth < LEADS * node.worth:
+            return node
+        node = best
+
+
+def texts_of(root: Node, prune: bool = True) -> list[str]:
+    """The texts of a tree in order; with ``prune`` without blocks that are mainly links."""
+    out, waiting = [], [root]
+    while waiting:
+        one = waiting.pop()
+        if isinstance(one, str):
+            out.append(one)
+        elif not (prune and one is not root and one.tag in PRUNED and one.linked > LINKED * one.words):
+            waiting += reversed(one.parts)
+    return out
 
 
 def spaced(text: str) -> str:
@@ -109,7 +181,11 @@ def clean_html(html: str | None, threshold: int = 15) -> str | None:
     reader = _Reader(threshold)
     reader.feed(html)
     reader.close()
-    return spaced(reader.result())
+    root = reader.tree()
+    marked = reader.first.get("article") or reader.first.get("main")
+    article = marked or main_block(root)
+    texts = texts_of(article) or texts_of(article, prune=False) or texts_of(root, prune=False)
+    return spaced("\n".join(texts))
 
 
 def clean(pages: DataFrame, id_col: str, html_col: str, threshold: int = 15) -> DataFrame:

@@ -176,6 +176,10 @@ ORACLE_SQL: dict[str, str] = {
       select doc_id, len(regexp_extract_all(text, '\s*\S+|\s+'))::int n_tokens from documents)""",
     "q42_chunks": r"""select doc_id, chunk, chunk * 180 first_token, len(t[chunk * 180 + 1 : chunk * 180 + 200])::int n_tokens, length(array_to_string(t[chunk * 180 + 1 : chunk * 180 + 200], ''))::int n_chars from (
       select doc_id, t, unnest(range(0, case when len(t) <= 200 then 1 else 1 + ((len(t) - 200 + 179) // 180) end)) chunk from (select doc_id, regexp_extract_all(text, '\s*\S+|\s+') t from documents))""",
+    "q43_cleaned_pages": r"""with pieces as (
+        select page_id, list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>'), lambda x: regexp_replace(
+          replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) p from pages)
+      select page_id, regexp_replace(regexp_replace(array_to_string(list_filter(p, lambda x: x <> ''), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') "text" from pieces""",
     "q44_reachable": f"""with {SQL_EDGES}, e as (select distinct company_name, {sql_slug("source")} s, {sql_slug("target")} t from edges where relation in ('replaced_by', 'composes')),
       one as (select company_name, s "start", t id, 1 hops from e), two as (select distinct one.company_name, "start", t id, 2 hops from one join e on one.company_name = e.company_name and id = s),
       three as (select distinct two.company_name, "start", t id, 3 hops from two join e on two.company_name = e.company_name and id = s)

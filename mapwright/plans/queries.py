@@ -466,3 +466,16 @@ def q56_repaired_replies(spark, sf):
     )
     parsed = extract.parse(whole.select("article_id", broken.alias("reply")))
     return parsed.select("article_id", "valid", F.size("graph.entities").cast("long").alias("n_entities"), F.array_join("graph.entities.name", "|").alias("names"))
+
+
+@query
+def q57_main_content(spark, sf):
+    """Pages that mark neither article nor boilerplate: words found, words of the known article, and those in common."""
+    html = F.col("html")
+    for tag, other in (("article", "div"), ("nav", "div"), ("footer", "p")):
+        html = F.replace(F.replace(html, F.lit(f"<{tag}>"), F.lit(f"<{other}>")), F.lit(f"</{tag}>"), F.lit(f"</{other}>"))
+    pages = read_table(spark, sf, "pages")
+    found, known = (clean.clean(p, "page_id", "html") for p in (pages.select("page_id", html.alias("html")), pages))
+    counted = lambda d, n: d.select("page_id", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").groupBy("page_id", "word").agg(F.count("*").alias(n))
+    words = counted(found, "n_found").join(counted(known, "n_known"), ["page_id", "word"], "full_outer").fillna(0, ["n_found", "n_known"])
+    return words.groupBy("page_id").agg(F.sum("n_found").alias("n_found"), F.sum("n_known").alias("n_known"), F.sum(F.least("n_found", "n_known")).alias("n_common"))

@@ -317,6 +317,31 @@ def test_clean_html():
     assert clean.clean_html(None) is None and clean.clean_html("plain") == "plain"
 
 
+def test_main_block_of_pages_that_mark_none():
+    menu = "".join(f'<li><a href="/{k}">Section number {k}</a></li>' for k in range(12))
+    text = "".join(f"<p>Paragraph {k} says at some length what the service does, and why it was rebuilt.</p>" for k in range(6))
+    page = f'<html><head><title>T</title></head><body><ul>{menu}</ul><div><table><tr><td><div id="x"><h2>Head</h2>{text}<div><a href="/s">share this on every network now</a></div><p>See <a href="/b">the book</a> for more of it.</p><ul><li>one point here</li></ul></div><td><p>Short note at the side.</p></table></div><p>All rights reserved.</p></body></html>'
+    got = clean.clean_html(page)
+    assert got.startswith("Head\nParagraph 0") and got.endswith("one point here") and "the book" in got
+    assert not any(x in got for x in ("Section", "share", "rights", "Short note"))
+    marked = clean.clean_html(page.replace('<div id="x">', "<article>"))
+    assert marked.startswith("Head\nParagraph 0") and "share" not in marked
+    two = f"<body><div>{text}</div><div>{text}</div></body>"
+    assert clean.clean_html(two).count("Paragraph") == 12  # neither has most of it
+    assert clean.clean_html('<body><div><a href="/">only links here</a></div></body>') == "only links here"
+    assert clean.clean_html("<div>" * 3000 + "deep text stays readable" + "</div>" * 3000) == "deep text stays readable"
+    assert clean.clean_html("<main><p>a</main><article>b</article>") == "b" and clean.clean_html("") == ""
+
+
+def test_main_block_against_known_articles(spark):
+    from mapwright.plans.queries import QUERIES
+
+    rows = QUERIES["q57_main_content"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 250
+    assert sum(r["n_common"] / max(1, r["n_found"]) for r in rows) / 250 > 0.97 and sum(r["n_common"] / r["n_known"] for r in rows) / 250 > 0.99
+    assert sum(r["n_common"] for r in rows) / sum(r["n_found"] for r in rows) > 0.99
+
+
 def test_replies(spark):
     good = '{"entities":[{"name":"A","kind":"service"}],"relationships":[{"source":"A","target":"B","relation":"pushes things to"}]}'
     rows = [(1, good), (2, f"```json\n{good}\n```"), (3, "no"), (4, good.replace("service", "robot")), (5, '{"entities":{}}'), (6, None)]
