@@ -14,7 +14,7 @@ from mapwright.functions.keys import url_key
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, merge, resolve, views
 from mapwright.sources import sitemap
-from mapwright.sources.store import MergeLock, Snapshots
+from mapwright.sources.store import MergeInProgress, MergeLock, Snapshots
 from mapwright.storage import discard, materialize
 
 GRAPH = "struct<entities:array<struct<name:string,kind:string,domain:string,description:string>>,relationships:array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>>"
@@ -24,10 +24,6 @@ RELATIONSHIPS = "company_name string, key string, source_key string, target_key
 TABLES = {"articles": ARTICLES, "entities": ENTITIES, "relationships": RELATIONSHIPS}
 
 
-class MergeInProgress(Exception):
-    """Another merge of the company is running."""
-
-
 def _save(store: Snapshots, table: str, rows: DataFrame, company: str | None) -> None:
     """Replace a table, or what one company has in it."""
     if company is None:
@@ -95,14 +91,18 @@ def _statements(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m, e
 
 
-def merge_companies(store: Snapshots, companies: list[str], run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, dict[str, int]]:
+def merge_companies(store: Snapshots, companies: list[str], run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None, tokens: dict[str, int] | None = None) -> dict[str, dict[str, int]]:
     """Fold what is pending of these companies into their stored graph, in one job; by company the totals after it.
 
+    With the ``tokens`` of their locks, whoever's lock has expired can commit nothing once a successor has begun.
+
     Stored entities are known to every article, stored edges keep their windows, so a second run changes nothing. The
     articles are marked last: a run that was cut off is done again.
     """
     settings = settings or config.Settings()
     here = F.col("company_name").isin(companies)
+    for table in TABLES if tokens else ():
+        store.fence(table, tokens)
     articles = store.read("articles").where(here)
     pending = materialize(art.pending_merge(articles, settings.graph_article_limit), "merge-pending")
     stored_e, stored_r = store.read("entities").where(here), store.read("relationships").where(here)
@@ -120,9 +120,9 @@ def merge_companies(store: Snapshots, companies: list[str], run_ts: str, setting
     new = merge.fold_entities(named).join(merge.fold_aliases(named), ["company_name", "key"], "left")
     entities = materialize(merge.merge_entities(stored_e, new), "merge-entities")
     relationships = materialize(merge.merge_relationships(stored_r, merge.fold_edges(edges), edges, run_ts), "merge-relationships")
-    store.replace("entities", entities, companies)
-    store.replace("relationships", relationships, companies)
-    store.replace("articles", art.mark(articles, pending.select("key"), "graph_merged_at", run_ts), companies)
+    store.replace("entities", entities, companies, tokens)
+    store.replace("relationships", relationships, companies, tokens)
+    store.replace("articles", art.mark(articles, pending.select("key"), "graph_merged_at", run_ts), companies, tokens)
     counts = {}
     for name, rows in (("articles_merged", pending), ("entities", entities), ("relationships", relationships)):
         for r in rows.groupBy("company_name").count().collect():  # a row for each company merged
@@ -135,10 +135,11 @@ def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str, company: str, s
     """Merge one company, alone; without an extracted article of it there is an error."""
     if art.extracted(store.read("articles").where(F.col("company_name") == company)).isEmpty():
         raise RuntimeError(f"no extracted articles of {company}")
-    if not locks.acquire(company):
+    token = locks.acquire(company)
+    if not token:
         raise MergeInProgress(company)
     try:
-        return merge_companies(store, [company], run_ts, settings, resolvers)[company]
+        return merge_companies(store, [company], run_ts, settings, resolvers, {company: token})[company]
     finally:
         locks.release(company)
 
@@ -146,9 +147,9 @@ def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str, company: str, s
 def merge_pending(store: Snapshots, locks: MergeLock, run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, dict[str, int] | None]:
     """Merge every company with an article to merge, all in one job; None for those that somebody else is merging."""
     waiting = [r["company_name"] for r in art.pending_merge(store.read("articles")).select("company_name").distinct().where("company_name is not null").orderBy("company_name").collect()]
-    mine = [c for c in waiting if locks.acquire(c)]
+    mine = {c: token for c in waiting if (token := locks.acquire(c))}
     try:
-        done = merge_companies(store, mine, run_ts, settings, resolvers) if mine else {}
+        done = merge_companies(store, list(mine), run_ts, settings, resolvers, mine) if mine else {}
     finally:
         for c in mine:
             locks.release(c)

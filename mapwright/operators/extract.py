@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.functions.json_repair import repaired
-from mapwright.functions.vocab import ENTITY_KINDS, RELATION_KINDS, canonical_relation, kept_phrase, matched_relation
+from mapwright.functions.vocab import ENTITY_KINDS, RELATION_KINDS, canonical_relation, kept_phrase, matched_relation, strip
 
 
 class Extractor(Protocol):
@@ -179,7 +179,7 @@ def settle(mentions: DataFrame, candidates: DataFrame, resolvers: list[Resolver]
 
     ``mentions``: company_name, article_id, raw_name, kind, domain, description, name, method. ``candidates``:
     company_name, candidate. A pair of a reply counts if both its names are more than white space; its mention takes
-    the name, with the method ``llm``. Names that were not asked for, and broken replies, change nothing.
+    the name, with the method ``llm``; of two answers for a name the last counts. Names that were not asked for, and broken replies, change nothing.
     """
     key = ["company_name", "article_id"]
     asked = mentions.where("method is null").groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(F.col("raw_name").alias("name"), "kind", "domain", "description"))).alias("names"))
@@ -193,8 +193,9 @@ def settle(mentions: DataFrame, candidates: DataFrame, resolvers: list[Resolver]
 
     kinds = dict(mentions.dtypes)
     replies = requests.mapInPandas(run, f"company_name {kinds['company_name']}, article_id {kinds['article_id']}, reply string")
-    pairs = replies.select(*key, F.explode(F.from_json("reply", "resolved array<struct<article_name:string,canonical_name:string>>").resolved).alias("r"))
-    pairs = pairs.select(*key, F.trim("r.article_name").alias("_asked"), F.trim("r.canonical_name").alias("_to")).where("_asked <> '' and _to <> ''")
-    last = pairs.groupBy(*key, "_asked").agg(F.max("_to").alias("_to"))
+    answer = F.coalesce(F.when(F.try_parse_json("reply").isNotNull(), F.col("reply")), repaired(F.when(F.try_parse_json("reply").isNull(), F.col("reply"))))
+    pairs = replies.select(*key, F.posexplode(F.from_json(answer, "resolved array<struct<article_name:string,canonical_name:string>>").resolved).alias("_k", "r"))
+    pairs = pairs.select(*key, "_k", strip(F.col("r.article_name")).alias("_asked"), strip(F.col("r.canonical_name")).alias("_to")).where("_asked <> '' and _to <> ''")
+    last = pairs.groupBy(*key, "_asked").agg(F.max_by("_to", "_k").alias("_to"))
     hit = mentions.withColumn("_asked", F.when(F.col("method").isNull(), F.col("raw_name"))).join(last, [*key, "_asked"], "left")
     return hit.withColumn("name", F.coalesce("_to", "name")).withColumn("method", F.when(F.col("_to").isNotNull(), "llm").otherwise(F.col("method"))).select(mentions.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mapwright.functions.keys import entity_key, relationship_key
+from mapwright.functions.vocab import strip
 from mapwright.storage import dealt_by_range
 
 REPLACED_BY = "replaced_by"
@@ -162,13 +163,13 @@ def merge_counters(mentions: DataFrame, edges: DataFrame, stored: DataFrame | No
 
 def merge_chunks_entities(items: DataFrame) -> DataFrame:
     """First wins by the stripped, lower-cased name (article_id, chunk, item, name, kind, domain, description)."""
-    name = F.lower(F.trim("name"))
+    name = F.lower(strip(F.col("name")))
     return items.where(name != "").groupBy("article_id", name.alias("name_key")).agg(F.min_by(F.struct("name", "kind", "domain", "description", "chunk", "item"), F.struct("chunk", "item")).alias("f")).select("article_id", "name_key", "f.*")
 
 
 def merge_chunks_edges(items: DataFrame) -> DataFrame:
     """First wins by lower-cased ends and relation (article_id, chunk, item, source, target, relation, ...)."""
-    src, dst = F.lower(F.trim("source")), F.lower(F.trim("target"))
+    src, dst = F.lower(strip(F.col("source"))), F.lower(strip(F.col("target")))
     rows = items.where((src != "") & (dst != "")).withColumn("source_lc", src).withColumn("target_lc", dst)
     rest = [c for c in items.columns if c not in ("article_id", "relation")]
     return rows.groupBy("article_id", "source_lc", "target_lc", "relation").agg(F.min_by(F.struct(*rest), F.struct("chunk", "item")).alias("f")).select("article_id", "source_lc", "target_lc", "relation", "f.*")

@@ -467,6 +467,37 @@ def test_store_and_lock(spark, tmp_path):
     lock.release("c")
 
 
+@pytest.mark.parametrize("remote", [False, True])
+def test_an_expired_holder_can_neither_release_nor_commit(spark, tmp_path, remote):
+    from mapwright.sources.store import MergeInProgress
+
+    now = [0.0]
+    a, b, c = (MergeLock(str(tmp_path / "l"), 10, lambda: now[0], spark if remote else None) for _ in range(3))
+    s = Snapshots(spark, str(tmp_path / "s"))
+    s.write("t", spark.createDataFrame([(1, "c"), (2, "d")], "a long, company_name string"))
+    first = a.acquire("c")
+    s.fence("t", {"c": first})
+    assert first == 1 and b.acquire("c") == 0 and b.acquire("cc") == 1
+    now[0] = 11
+    second = b.acquire("c")
+    assert second == 2 and c.acquire("c") == 0
+    a.release("c")
+    assert c.acquire("c") == 0  # the lock of b still holds
+    s.fence("t", {"c": second})
+    rows = lambda k: spark.createDataFrame([(k, "c")], "a long, company_name string")
+    with pytest.raises(MergeInProgress):
+        s.replace("t", rows(7), ["c"], {"c": first})
+    s.replace("t", rows(8), ["c"], {"c": second})
+    assert sorted(r["a"] for r in s.read("t").collect()) == [2, 8]
+    s.write("t", s.read("t"))  # a new version of the whole table keeps the fences
+    with pytest.raises(MergeInProgress):
+        s.replace("t", rows(7), ["c"], {"c": first})
+    s.replace("t", rows(9), ["d"], {"d": 1})
+    b.release("c")
+    b.release("c")
+    assert c.acquire("c") == 3 and a.acquire("c") == 0
+
+
 def test_article_state(spark):
     rows = [("a", "c", "<p>", None, None, None), ("b", "c", None, "t", None, None), ("d", "c", None, "t", "2020", None)]
     a = spark.createDataFrame(rows, "key string, company_name string, raw_html string, cleaned_text string, extracted_at string, graph_merged_at string")
@@ -582,7 +613,7 @@ def test_models_settle_names_and_wordings(spark):
         asked = json.loads(request)
         assert asked["known"] == ["Kafka"]
         if len(asked["names"]) > 1:
-            return json.dumps({"resolved": [{"article_name": " the bus ", "canonical_name": "Kafka"}, {"article_name": "Zuul", "canonical_name": " "}, {"article_name": "Kafka", "canonical_name": "X"}]})
+            return json.dumps({"resolved": [{"article_name": "the bus", "canonical_name": "Zookeeper"}, {"article_name": " the bus\n", "canonical_name": "Kafka\t"}, {"article_name": "Zuul", "canonical_name": " "}, {"article_name": "Kafka", "canonical_name": "X"}]})
         return "sorry"
 
     got = {(r["article_id"], r["raw_name"]): (r["name"], r["method"]) for r in extract.settle(m, known, [lambda r: 1 / 0, model]).collect()}
