@@ -31,8 +31,6 @@ THRESHOLD = 0.3
 FOLDS = 3
 #: A feature is mined if its likelihood ratio statistic is over this; by chance it would be in about one of a million.
 MINED = 24.0
-#: A feature stands in so many of the documents fitted on, at least.
-LEAST = 3
 #: Features with log-odds over this are strong.
 STRONG = 3.0
 #: Mined features that stand in the same documents make a topic; so many, and how alike (as a cosine) they are at least.
@@ -66,22 +64,33 @@ def parts_of(word: str) -> list[str]:
     return out
 
 
+def support(base: float) -> int:
+    """In so many documents a feature must stand for its statistic to pass MINED, were all of them toxic.
+
+    Half the base rate is taken, as it differs somewhat from fold to fold.
+    """
+    return 1 if base <= 0 else int(MINED / (2 * np.log(2 / min(base, 0.5)))) + 1
+
+
 class Coded:
-    """Texts as pairs (document, feature) of numbers, each pair once."""
+    """Texts as pairs (document, feature) of numbers, each pair once.
 
-    def __init__(self, texts: list) -> None:
+    Seeds are always numbered; other features from ``least`` documents on, as rarer ones cannot be mined.
+    """
+
+    def __init__(self, texts: list, least: int = 1) -> None:
         codes: dict[str, int] = {}
         words = [np.array(sorted({codes.setdefault(c, len(codes)) for c in (t or "").lower().split()}), dtype=np.int32) for t in texts]
         often = np.bincount(np.concatenate(words), minlength=len(codes)).tolist() if codes else []
-        # most features stand in one document or two; counts by a hash tell which can be dropped before they are numbered
+        # most features stand in one document or two; counts by a hash, never too low, tell which can be dropped before they are numbered
         counts = np.zeros(1 << 22, dtype=np.int64)
         for c, n in zip(codes, often, strict=True):
             for p in {p for w in words_of(c) for p in parts_of(w)}:
                 counts[zlib.crc32(p.encode()) & (1 << 22) - 1] += n
-        numbers: dict[str, int] = {}
+        numbers = {"w" + w: k for k, w in enumerate(SEED)}
         sizes, flat = np.zeros(len(codes), dtype=np.int64), array("i")
         for k, c in enumerate(codes):
-            own = {numbers.setdefault(p, len(numbers)) for w in words_of(c) for p in parts_of(w) if counts[zlib.crc32(p.encode()) & (1 << 22) - 1] >= LEAST}
+            own = {numbers.setdefault(p, len(numbers)) for w in words_of(c) for p in parts_of(w) if p in numbers or counts[zlib.crc32(p.encode()) & (1 << 22) - 1] >= least}
             sizes[k] = len(own)
             flat.extend(own)
         of_words, starts = np.frombuffer(flat, dtype=np.int32), np.cumsum(sizes) - sizes
@@ -95,7 +104,7 @@ class Coded:
         self.n, self.names = len(texts), list(numbers)
         self.owner = np.concatenate(owner) if owner else np.empty(0, dtype=np.int32)
         self.part = np.concatenate(part) if part else np.empty(0, dtype=np.int32)
-        self.seeds = np.array([numbers["w" + w] for w in SEED if "w" + w in numbers], dtype=np.int64)
+        self.seeds = np.arange(len(SEED))
 
     def mine(self, y: np.ndarray, share: np.ndarray) -> np.ndarray:
         """By feature its log-odds, where it is far commoner in toxic documents than by chance; else 0. A document
@@ -353,7 +362,8 @@ class Fit:
 
     def __init__(self, texts: list, y: np.ndarray, sketches: np.ndarray) -> None:
         self.texts, self.y, self.has = texts, y, y >= 0
-        self.coded, self.share = Coded(texts), _shares(sketches)
+        self.share = _shares(sketches)
+        self.coded = Coded(texts, support(float((self.share * (y == 1)).sum() / max(1e-9, (self.share * self.has).sum()))))
         self.fold = sketches[:, 0] % FOLDS  # copies lie in one fold
 
     def mine(self, on: np.ndarray) -> np.ndarray:
@@ -477,15 +487,18 @@ def _score_rows(model):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: str = "true", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: str = "true", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, more_rows: int = MORE_ROWS) -> DataFrame:
     """One row per document: ``doc_id, score (0 to 1), predicted (0 or 1)``.
 
+    The label model counts the votes of all documents; features are mined from about ``sample_rows`` labelled ones, and
+    the linear classifier is trained on these and about ``more_rows`` others.
+
     Scores depend on the text alone, so repeated rows get equal ones; a null or empty text gets the score of a text
     without words. Labels with a null id or value are ignored; with several for one id, toxic wins. Without labels of
     both classes every score is the same. A null ``doc_id`` stays null. An empty table gives no row. Other columns are
     not looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn=learn, sample_rows=sample_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn=learn, sample_rows=sample_rows, more_rows=more_rows))
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = mapped(d, _score_rows(model), "id long, score double")
     return out.select(outer_id("id").alias("doc_id"), F.round("score", 9).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,6 +8,7 @@ from array import array
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from mapwright.llm import decontam, fingerprint, linededup, minhash, packing, pii, quality, substring, toxicity, warc
@@ -411,6 +412,47 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit >= 0.85 * sum(r["toxic"] for r in rows) and hit >= 0.85 * sum(r["predicted"] for r in rows)
 
 
+def test_seeds_vote_however_rare_they_are():
+    texts = [f"wort{k} {words(12)}" for k in range(50)] + ["du bist ein arschloch sagt er"] * 2
+    y = np.array([0.0] * 50 + [1.0] * 2)
+    own = toxicity.Fit(texts, y, np.arange(52 * 4, dtype=np.int64).reshape(52, 4))
+    lexicon = own.lexicon(own.mine(np.ones(52, dtype=bool)))
+    votes = lexicon.votes(texts[-1])
+    assert votes[0] == 2 and 0 not in votes and lexicon.votes(texts[0])[0] == 1
+    assert {"w" + w for w in toxicity.SEED} <= lexicon.odds.keys()
+
+
+@pytest.mark.parametrize("toxic", [3, 12, 60])
+def test_rare_features_that_are_left_out_could_not_be_mined(toxic):
+    rng = random.Random(toxic)
+
+    def rare():
+        return "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    pool = [rare() for _ in range(400)]
+    texts = [f"some words {rng.choice(pool)} {rng.choice(pool)}" for _ in range(300 - toxic)] + [f"some words bad{'abc'[k % 3]} worse{'abcdefghijk'[k % 11]} {rng.choice(pool)}" for k in range(toxic)]
+    y, share = np.array([0.0] * (300 - toxic) + [1.0] * toxic), np.ones(300)
+    least = toxicity.support(toxic / 300)
+    assert least > 1
+    whole, cut = toxicity.Coded(texts), toxicity.Coded(texts, least)
+    mined = [{c.names[k]: m for k, m in enumerate(c.mine(y, share)) if m} for c in (whole, cut)]
+    assert mined[0] == mined[1] and len(cut.names) < len(whole.names)
+
+
+def test_toxicity_scores_are_the_plain_sum_of_weights(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(["you", "idiot", "Scum!", "nice", "day", "the", "tree", "stupidly", "ok."]) for _ in range(rng.randrange(1, 14)))) for k in range(300)] + [(300, ""), (301, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(any(w in (t or "").lower() for w in ("idiot", "scum")))) for k, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, sample_rows=200, more_rows=50)
+    assert model.weights
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, labels, sample_rows=200, more_rows=50).collect()}
+    for k, t in rows:
+        found = {p for w in regex.findall(r"[\p{L}\p{M}']+", (t or "").lower()) for p in toxicity.parts_of(w)}
+        z = model.bias + sum(w for p, w in model.weights.items() if p in found)
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-6, t
+
+
 def drawn_votes(n, seed=2):
     """Votes of independent voters with known rates, and the truth."""
     rng = np.random.default_rng(seed)
