@@ -92,6 +92,46 @@ moved as (
   from stored s join canon on relation = old)"""
 )
 
+#: similar names scored once for each pair of sorted words; then articles one by one decide which names lead
+_RESOLVE = (
+    SQL_MENTIONS.replace("lines as", "recursive lines as", 1)
+    + rf""",
+m as materialized (select *, {sql_norm("raw_name")} norm from mentions),
+seen as materialized (
+  select company_name, norm, first(raw_name order by extracted_at, article_id, item) known_name, min((extracted_at, article_id)) first_at from m group by all),
+sorted as materialized (select norm, list_aggregate(list_sort(list_filter(string_split(norm, ' '), lambda w: w <> '')), 'string_agg', ' ') x from (select distinct norm from seen) where length(norm) >= 5),
+xs as (select distinct x from sorted),
+close as materialized (
+  select a.x, b.x y from xs a join xs b on length(a.x) <= length(b.x) and a.x <> b.x and 200 * length(a.x) >= 92 * (length(a.x) + length(b.x))
+    and levenshtein(a.x, b.x) <= 0.08 * (length(a.x) + length(b.x)) + 0.000001),
+masks as (
+  select x, y, (1::hugeint << length(x)) - 1 full_, list_transform(string_split(y, ''), lambda c:
+    list_sum(list_transform(range(1, length(x) + 1), lambda i: case when substring(x, i::int, 1) = c then (1::hugeint << (i - 1)::int) else 0::hugeint end))::hugeint) k from close),
+scores as materialized (
+  select x, y, 200.0 * (length(x) - bit_count(list_reduce(list_concat([full_], k), lambda st, k: ((st + (st & k)) | (st & (full_ - k))) & full_))) / (length(x) + length(y)) score from masks),
+near as materialized (
+  select a.norm, b.norm other, score from (select x, y, score from scores union all select y, x, score from scores union all select x, x, 100.0 from xs) p
+    join sorted a on a.x = p.x join sorted b on b.x = p.y where score >= 92 and a.norm <> b.norm),
+around as (select s.company_name, s.norm, s.first_at, list(n.other) others from seen s join near n using (norm) join seen o on o.company_name = s.company_name and o.norm = n.other group by all),
+steps as materialized (
+  select company_name, dense_rank() over (partition by company_name order by first_at) k, list((norm, others)) items from around group by company_name, first_at),
+go as (
+  select company_name, 1::bigint k, []::varchar[] led from (select distinct company_name from steps)
+  union all
+  select go.company_name, go.k + 1, list_concat(led, list_transform(list_filter(items, lambda i: not list_has_any(i[2], led)), lambda i: i[1])) from go join steps using (company_name, k)),
+leaders as materialized (select company_name, unnest(led) norm from (select company_name, arg_max(led, k) led from go group by company_name)
+  union all select company_name, norm from seen anti join around using (company_name, norm)),
+known as materialized (select seen.* from seen join leaders using (company_name, norm)),
+ask as (select distinct m.company_name, m.norm, (m.extracted_at, m.article_id) here from m left join known using (company_name, norm) where first_at is null or first_at >= (m.extracted_at, m.article_id)),
+best as (
+  select ask.company_name, ask.norm, here, first((k.known_name, score) order by score desc, k.first_at, k.norm) b
+  from ask join near using (norm) join known k on k.company_name = ask.company_name and k.norm = near.other where k.first_at < here group by all),
+resolved as (
+  select m.company_name, m.article_id, m.item, m.raw_name, case when known.first_at < (m.extracted_at, m.article_id) then known.known_name when b is not null then b[1] else coalesce(known.known_name, m.raw_name) end "name",
+    case when known.first_at < (m.extracted_at, m.article_id) then 'exact' when b is not null then 'fuzzy:' || round_even(b[2], 0)::int end as "method"
+  from m left join known using (company_name, norm) left join best on best.company_name = m.company_name and best.norm = m.norm and best.here = (m.extracted_at, m.article_id))"""
+)
+
 _ARTICLE_URL = "regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) not in ('', '/') and not regexp_matches(url, '/tagged/|/tag/|/category/|/categories/|/author/|/about')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,6 +191,8 @@ ORACLE_SQL: dict[str, str] = {
           list_sum(list_transform(range(1, length(x) + 1), lambda i: case when substring(x, i::int, 1) = c then (1::hugeint << (i - 1)::int) else 0::hugeint end))::hugeint)),
           lambda st, k: ((st + (st & k)) | (st & (full_ - k))) & full_) st from m)
       select a, b, round(case when x = y then 100.0 else 200.0 * (length(x) - bit_count(st)) / (length(x) + length(y)) end, 6)::double score from run""",
+    "q34_resolve": f'with {_RESOLVE} select * from resolved',
+    "q36_tier_counts": f"""with {_RESOLVE} select company_name, count(*) filter ("method" is null) n_new, count(*) filter ("method" = 'exact') n_exact, count(*) filter ("method" like 'fuzzy%') n_fuzzy from resolved group by company_name""",
     "q37_graph_nodes": f"with {_GRAPH} select * from nodes",
     "q38_graph_edges": f"with {_GRAPH} select * from gedges",
     "q39_graph_bundles": f"""with {_GRAPH},
@@ -215,6 +257,7 @@ ORACLE_SQL: dict[str, str] = {
       numbered as (select *, row_number() over (partition by company_name order by "key", source, target, "label", relation) - 1 i from gedges),
       e as (select company_name, string_agg(to_json({{'id': '__edge_' || i, 'source': source, 'target': target, 'label': "label", 'relation': relation}})::varchar, ',' order by i) js from numbered group by company_name)
       select company_name, '{{"nodes":[' || n.js || '],"edges":[' || coalesce(e.js, '') || ']}}' as "graph" from n left join e using (company_name)""",
+    "q55_stream_resolve": f'with {_RESOLVE} select * from resolved',
     "q56_repaired_replies": f"""with {SQL_MENTIONS}, r as (select *, row_number() over (partition by article_id order by item desc) back from mentions)
       select article_id, true "valid", count(*) filter (back > 1 or article_id % 8 <> 2) n_entities, coalesce(string_agg(raw_name, '|' order by item) filter (back > 1 or article_id % 8 <> 2), '') "names" from r group by article_id""",
 }
