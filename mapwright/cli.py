@@ -18,10 +18,17 @@ from mapwright.sources.store import MergeInProgress, MergeLock, Snapshots
 from mapwright.storage import discard, materialize
 
 GRAPH = "struct<entities:array<struct<name:string,kind:string,domain:string,description:string>>,relationships:array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>>"
-ARTICLES = f"key string, source_url string, title string, raw_html string, cleaned_text string, extracted_graph {GRAPH}, scraped_at string, extracted_at string, graph_merged_at string, company_name string"
+#: What is known of an article, in parts that are only added to: a stage writes what it has found, never the pages again.
+PARTS = {
+    "articles": "key string, source_url string, title string, raw_html string, scraped_at string, company_name string",
+    "texts": "key string, cleaned_text string, company_name string",
+    "graphs": f"key string, extracted_graph {GRAPH}, extracted_at string, company_name string",
+    "marks": "key string, graph_merged_at string, company_name string",
+}
 ENTITIES = "company_name string, key string, name string, kind string, domain string, first_seen_article_id string, description string, n_mentions long, aliases array<struct<name:string,method:string>>"
 RELATIONSHIPS = "company_name string, key string, source_key string, target_key string, source string, target string, relation string, relation_phrase string, as_of string, source_article_ids array<string>, invalid_at string"
-TABLES = {"articles": ARTICLES, "entities": ENTITIES, "relationships": RELATIONSHIPS}
+TABLES = {**PARTS, "entities": ENTITIES, "relationships": RELATIONSHIPS}
+KEY = ["company_name", "key"]
 
 
 def _save(store: Snapshots, table: str, rows: DataFrame, company: str | None) -> None:
@@ -36,22 +43,28 @@ def _of(rows: DataFrame, company: str | None) -> DataFrame:
     return rows if company is None else rows.where(F.col("company_name") == company)
 
 
+def articles(store: Snapshots, company: str | None = None) -> DataFrame:
+    """All parts of the articles side by side; the HTML of cleaned ones is hidden. Parts that are not asked for are not read."""
+    rows = _of(store.read("articles"), company)
+    for part in ("texts", "graphs", "marks"):
+        rows = rows.join(_of(store.read(part), company), KEY, "left")
+    return rows.withColumn("raw_html", F.when(F.col("cleaned_text").isNull(), F.col("raw_html")))
+
+
 def scrape(store: Snapshots, pages: DataFrame, company: str, run_ts: str, limit: int | None = None) -> int:
     """Store the pages (url, html) that are new; challenge pages are left out."""
     store.create(TABLES)
-    old = store.read("articles")
     good = pages.where(~art.is_challenge(F.col("html"))).withColumn("key", url_key(F.col("url")))
-    new = materialize(art.new_rows(good, old, ["url"], limit), "scrape-new")
-    columns = {"key": "key", "source_url": "url", "raw_html": "html"}
-    rows = new.select(*[(F.col(columns[c]) if c in columns else F.lit({"company_name": company, "scraped_at": run_ts}.get(c))).cast(old.schema[c].dataType).alias(c) for c in old.columns])
-    _save(store, "articles", _of(old, company).unionByName(rows), company)
+    new = materialize(art.new_rows(good, store.read("articles"), ["url"], limit), "scrape-new")
+    rows = new.select("key", F.col("url").alias("source_url"), F.lit(None).cast("string").alias("title"), F.col("html").alias("raw_html"), F.lit(run_ts).alias("scraped_at"), F.lit(company).alias("company_name"))
+    store.append_new("articles", rows, ["key"])
     return new.count()
 
 
 def clean_stage(store: Snapshots, company: str | None = None, limit: int | None = None) -> None:
-    old = _of(store.read("articles"), company)
-    done = materialize(clean.clean(art.pending(old, "clean", None, limit), "key", "raw_html").where("text is not null"), "clean-done")
-    _save(store, "articles", art.mark_cleaned(old, done), company)
+    waiting = art.pending(articles(store, company), "clean", None, limit).select(*KEY, "raw_html")
+    done = clean.clean(waiting.withColumn("id", F.struct(*KEY)), "id", "raw_html").where("text is not null")
+    store.append_new("texts", materialize(done.select("id.*", F.col("text").alias("cleaned_text")), "clean-done"), KEY)
 
 
 def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str | None = None, limit: int | None = None, settings: config.Settings | None = None, reviewers: list | None = None) -> int:
@@ -60,8 +73,8 @@ def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str
     Reviewers are asked for the wordings that the vocabulary does not know. Returns how many articles were extracted.
     """
     settings = settings or config.Settings()
-    old = _of(store.read("articles"), company)
-    chunks = chunk.chunk(art.pending(old, "extract", None, limit), "key", "cleaned_text", settings.chunk_size, settings.chunk_overlap)
+    waiting = materialize(art.pending(articles(store, company), "extract", None, limit).select(*KEY, "cleaned_text"), "extract-waiting")
+    chunks = chunk.chunk(waiting, "key", "cleaned_text", settings.chunk_size, settings.chunk_overlap)
     asked = materialize(extract.ask(chunks.select("key", "chunk", "text"), extractors, settings.attempts), "extract-replies")  # nobody is asked twice
     parsed = extract.parse(asked).withColumn("article_id", F.col("key"))
     whole = parsed.groupBy("key").agg(F.min("valid").alias("ok")).where("ok")
@@ -76,9 +89,9 @@ def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str
         F.coalesce(F.transform("r", lambda x: F.struct(*[x[c].alias(c) for c in ("source", "target", "relation", "relation_phrase", "as_of")])), F.array().cast("array<struct<source:string,target:string,relation:string,relation_phrase:string,as_of:string>>")).alias("relationships"),
     )
     done = whole.join(ents, whole.key == ents.article_id, "left").drop("article_id").join(rels, F.col("key") == rels.article_id, "left").select("key", graph.alias("_graph"))
-    done = materialize(done, "extract-done")
-    out = old.join(done, "key", "left").withColumn("extracted_at", F.when(F.col("_graph").isNotNull(), F.lit(run_ts)).otherwise(F.col("extracted_at"))).withColumn("extracted_graph", F.coalesce("_graph", "extracted_graph"))
-    _save(store, "articles", out.select(old.columns), company)
+    done = materialize(waiting.select(*KEY).join(done, "key"), "extract-done")
+    store.append_new("graphs", done.select(*KEY, F.col("_graph").alias("extracted_graph"), F.lit(run_ts).alias("extracted_at")), KEY)
+    discard(waiting)
     return done.count()
 
 
@@ -101,10 +114,10 @@ def merge_companies(store: Snapshots, companies: list[str], run_ts: str, setting
     """
     settings = settings or config.Settings()
     here = F.col("company_name").isin(companies)
-    for table in TABLES if tokens else ():
+    for table in ("entities", "relationships", "marks") if tokens else ():
         store.fence(table, tokens)
-    articles = store.read("articles").where(here)
-    pending = materialize(art.pending_merge(articles, settings.graph_article_limit), "merge-pending")
+    known = store.read("graphs").where(here).join(store.read("marks").where(here), KEY, "left")
+    pending = materialize(art.pending_merge(known, settings.graph_article_limit), "merge-pending")
     stored_e, stored_r = store.read("entities").where(here), store.read("relationships").where(here)
     mentions, edges = _statements(pending)
     named = materialize(resolve.resolve(mentions, settings.fuzzy_threshold, stored_e), "merge-named")
@@ -122,7 +135,7 @@ def merge_companies(store: Snapshots, companies: list[str], run_ts: str, setting
     relationships = materialize(merge.merge_relationships(stored_r, merge.fold_edges(edges), edges, run_ts), "merge-relationships")
     store.replace("entities", entities, companies, tokens)
     store.replace("relationships", relationships, companies, tokens)
-    store.replace("articles", art.mark(articles, pending.select("key"), "graph_merged_at", run_ts), companies, tokens)
+    store.append_new("marks", pending.select(*KEY, F.lit(run_ts).alias("graph_merged_at")), KEY, tokens)
     counts = {}
     for name, rows in (("articles_merged", pending), ("entities", entities), ("relationships", relationships)):
         for r in rows.groupBy("company_name").count().collect():  # a row for each company merged
@@ -133,7 +146,7 @@ def merge_companies(store: Snapshots, companies: list[str], run_ts: str, setting
 
 def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str, company: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, int]:
     """Merge one company, alone; without an extracted article of it there is an error."""
-    if art.extracted(store.read("articles").where(F.col("company_name") == company)).isEmpty():
+    if _of(store.read("graphs"), company).isEmpty():
         raise RuntimeError(f"no extracted articles of {company}")
     token = locks.acquire(company)
     if not token:
@@ -146,7 +159,7 @@ def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str, company: str, s
 
 def merge_pending(store: Snapshots, locks: MergeLock, run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, dict[str, int] | None]:
     """Merge every company with an article to merge, all in one job; None for those that somebody else is merging."""
-    waiting = [r["company_name"] for r in art.pending_merge(store.read("articles")).select("company_name").distinct().where("company_name is not null").orderBy("company_name").collect()]
+    waiting = [r["company_name"] for r in store.read("graphs").join(store.read("marks"), KEY, "left_anti").select("company_name").distinct().where("company_name is not null").orderBy("company_name").collect()]
     mine = {c: token for c in waiting if (token := locks.acquire(c))}
     try:
         done = merge_companies(store, list(mine), run_ts, settings, resolvers, mine) if mine else {}
@@ -159,7 +172,7 @@ def merge_pending(store: Snapshots, locks: MergeLock, run_ts: str, settings: con
 def reset_graph(store: Snapshots, company: str) -> None:
     """Forget a company's graph, so that the next merge builds it anew: the articles' marks go first, then its
     relationships, then its entities."""
-    store.replace("articles", art.reset_graph(store.read("articles").where(F.col("company_name") == company), company), [company])
+    store.delete_company("marks", company)
     store.delete_company("relationships", company)
     store.delete_company("entities", company)
 
@@ -196,6 +209,7 @@ def main(argv: list[str] | None = None) -> None:
             part.add_argument("--replies", help="Parquet with text and reply")
     sub.add_parser("merge-graph").add_argument("--company", required=True)
     sub.add_parser("merge-graph-pending")
+    sub.add_parser("maintain", help="join small folders and delete those that no version has named for a week")
     sub.add_parser("canonicalize-relations").add_argument("--company")
     for name in ("graph", "reset-graph"):
         sub.add_parser(name).add_argument("--company", required=True)
@@ -220,6 +234,9 @@ def main(argv: list[str] | None = None) -> None:
             print(_said(company, totals))
     if args.command == "canonicalize-relations":
         canonicalize_stage(store, args.company).show(truncate=False)
+    if args.command == "maintain":
+        for table in TABLES:
+            print(table, "compacted" if store.compact(table) else "as it was", store.vacuum(table), "folders deleted")
     if args.command == "reset-graph":
         reset_graph(store, args.company)
     if args.command == "graph":

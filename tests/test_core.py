@@ -574,12 +574,12 @@ def test_run_end_to_end(spark, tmp_path):
     assert "[queue] Kafka (Other)" in got and "Zuul --replaced_by--> Envoy" in got and "Envoy --writes_to--> Kafka" in got
     first = graph_rows(store)
     assert first["Zuul", "calls", "Kafka"] == ("2024-01-04T00:00:00", ("a",))
-    assert art.pending_merge(store.read("articles")).isEmpty()
+    assert art.pending_merge(cli.articles(store)).isEmpty()
     # a second run merges nothing and leaves history as it is
     assert cli.merge_stage(store, locks, "2024-02-01T00:00:00", "c") == {"articles_merged": 0, "entities": 3, "relationships": 3}
     assert graph_rows(store) == first
     cli.reset_graph(store, "c")
-    assert store.read("entities").isEmpty() and store.read("relationships").isEmpty() and art.pending_merge(store.read("articles")).count() == 2
+    assert store.read("entities").isEmpty() and store.read("relationships").isEmpty() and art.pending_merge(cli.articles(store)).count() == 2
 
 
 def test_incremental_merges_end_where_one_run_does(spark, tmp_path):
@@ -596,6 +596,8 @@ def test_incremental_merges_end_where_one_run_does(spark, tmp_path):
     while done := cli.merge_pending(stores[1], locks, "T", one):
         seen.append({c: t["articles_merged"] for c, t in done.items()})
     assert seen == [{"c": 1, "d": 1}, {"c": 1}, {"c": 1}, {"c": 1}]
+    # pages and texts were written once each, whatever was merged since
+    assert all(len(s._manifest(t)[1]["folders"]) == n for s in stores for t, n in (("articles", 3), ("texts", 2), ("graphs", 2)))
     for company in texts:
         assert graph_rows(stores[0], company) == graph_rows(stores[1], company)
     assert graph_rows(stores[0])["Zuul", "calls", "Kafka"] == ("T", ("a", "d")) and graph_rows(stores[0])["Zuul", "calls", "Envoy"] == (None, ("d",))
@@ -677,6 +679,19 @@ def test_versions_of_a_table(spark, tmp_path):
     assert sorted((r["a"], r["company_name"]) for r in s.read("t").collect()) == [(2, "2"), (3, None), (9, "1")] and seen.count() == 3
     s.replace("t", s.read("t").limit(0), ["1", "2"])
     assert [r["a"] for r in s.read("t").collect()] == [3]
+    # rows are added beside the others; what another writer has added meanwhile is not added again
+    s.append_new("t", spark.createDataFrame([(3, "x"), (4, "4"), (5, "5")], "a long, company_name string"), ["a"])
+    base = s._last("t")
+    other = Snapshots(spark, str(tmp_path / "s"))
+    other.append_new("t", spark.createDataFrame([(6, "1")], "a long, company_name string"), ["a"])
+    assert not s.append("t", spark.createDataFrame([(6, "1")], "a long, company_name string"), base)
+    s.append_new("t", spark.createDataFrame([(6, "1"), (7, "1")], "a long, company_name string"), ["a"])
+    assert sorted(r["a"] for r in s.read("t").collect()) == [3, 4, 5, 6, 7]
+    s.replace("t", spark.createDataFrame([(60, "1")], "a long, company_name string"), ["1"])
+    rows, before = sorted(map(tuple, s.read("t").collect()), key=str), s.read("t")
+    assert len(rows) == 4 and not s.compact("t", 50) and s.compact("t", 2) and len(s._manifest("t")[1]["folders"]) == 1
+    assert sorted(map(tuple, s.read("t").collect()), key=str) == rows and before.count() == 4
+    assert s.vacuum("t") == 0 and s.vacuum("t", 0) > 3 and sorted(map(tuple, s.read("t").collect()), key=str) == rows
     # of two writers that start from one version the later commits on top of the other's
     number, manifest = s._manifest("t")
     assert s._commit("t", number + 1, manifest) and not s._commit("t", number + 1, manifest)
