@@ -32,8 +32,9 @@ BANDS, ROWS = 36, 4
 SKETCH_WORDS = 8
 #: Samples and 64-bit words of the longer sketches, and the members of a block.
 LONG_SAMPLES, LONG_WORDS, BLOCK = 1536, 96, 1500
-#: How many standard deviations from what the threshold gives a sketch may lie.
-SLACK = 5
+#: How many standard deviations from what the threshold gives a sketch may lie: at 7 a pair at the threshold is ruled out
+#: with a chance of about 1e-12, far under that of meeting in no band.
+SLACK = 7
 BROADCAST_IDS = 1_000_000
 
 SIGNATURE = "id long, n long, set_a long, set_b long, bands array<long>, odd array<long>"
