@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from mapwright import config
 from mapwright.functions.keys import url_key
 from mapwright.operators import articles as art
-from mapwright.operators import backfill, chunk, clean, extract, merge, resolve, views
+from mapwright.operators import backfill, chunk, clean, extract, jobs, merge, resolve, views
 from mapwright.sources import sitemap
 from mapwright.sources.store import MergeInProgress, MergeLock, Snapshots
 from mapwright.storage import discard, materialize
@@ -67,15 +69,17 @@ def clean_stage(store: Snapshots, company: str | None = None, limit: int | None
     store.append_new("texts", materialize(done.select("id.*", F.col("text").alias("cleaned_text")), "clean-done"), KEY)
 
 
-def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str | None = None, limit: int | None = None, settings: config.Settings | None = None, reviewers: list | None = None) -> int:
+def extract_stage(store: Snapshots, extractors: list, run_ts: str, company: str | None = None, limit: int | None = None, settings: config.Settings | None = None, reviewers: list | None = None, recorded: DataFrame | None = None) -> int:
     """Chunk, ask, check and merge the replies; an article with a chunk that nobody answered stays unprocessed.
 
+    Chunks with a ``recorded`` (text, reply) answer are not asked for.
+
     Reviewers are asked for the wordings that the vocabulary does not know. Returns how many articles were extracted.
     """
     settings = settings or config.Settings()
     waiting = materialize(art.pending(articles(store, company), "extract", None, limit).select(*KEY, "cleaned_text"), "extract-waiting")
     chunks = chunk.chunk(waiting, "key", "cleaned_text", settings.chunk_size, settings.chunk_overlap)
-    asked = materialize(extract.ask(chunks.select("key", "chunk", "text"), extractors, settings.attempts), "extract-replies")  # nobody is asked twice
+    asked = materialize(extract.ask(chunks.select("key", "chunk", "text"), extractors, settings.attempts, recorded), "extract-replies")  # nobody is asked twice
     parsed = extract.parse(asked).withColumn("article_id", F.col("key"))
     whole = parsed.groupBy("key").agg(F.min("valid").alias("ok")).where("ok")
     e = merge.merge_chunks_entities(extract.entities_of(parsed, ["article_id", "chunk"]))
@@ -158,14 +162,17 @@ def merge_stage(store: Snapshots, locks: MergeLock, run_ts: str, company: str, s
 
 
 def merge_pending(store: Snapshots, locks: MergeLock, run_ts: str, settings: config.Settings | None = None, resolvers: list | None = None) -> dict[str, dict[str, int] | None]:
-    """Merge every company with an article to merge, all in one job; None for those that somebody else is merging."""
+    """Merge every company with an article to merge, so many in one job; None for those that somebody else is merging."""
+    size = (settings or config.Settings()).merge_companies
     waiting = [r["company_name"] for r in store.read("graphs").join(store.read("marks"), KEY, "left_anti").select("company_name").distinct().where("company_name is not null").orderBy("company_name").collect()]
-    mine = {c: token for c in waiting if (token := locks.acquire(c))}
-    try:
-        done = merge_companies(store, list(mine), run_ts, settings, resolvers, mine) if mine else {}
-    finally:
-        for c in mine:
-            locks.release(c)
+    done: dict[str, dict[str, int]] = {}
+    for at in range(0, len(waiting), size):  # locks are held no longer than their part takes
+        mine = {c: token for c in waiting[at : at + size] if (token := locks.acquire(c))}
+        try:
+            done |= merge_companies(store, list(mine), run_ts, settings, resolvers, mine) if mine else {}
+        finally:
+            for c in mine:
+                locks.release(c)
     return {c: done.get(c) for c in waiting}
 
 
@@ -189,10 +196,64 @@ def lines(store: Snapshots, company: str) -> DataFrame:
     return views.listing(store.read("entities").where(here), store.read("relationships").where(here)).orderBy("part", "line")
 
 
-def main(argv: list[str] | None = None) -> None:
+class Job:
+    """A run's row in the table of jobs: a row is added for each state, the last one counts."""
+
+    SCHEMA = "job_id string, command string, company_name string, status string, created_at string, error string"
+
+    def __init__(self, store: Snapshots, command: str, company: str | None) -> None:
+        self.store, self.command, self.company, self.id = store, command, company, uuid.uuid4().hex
+
+    def say(self, status: str, error: str | None = None) -> None:
+        now = datetime.now(timezone.utc).isoformat()
+        row = self.store.spark.createDataFrame([(self.id, self.command, self.company, status, now, error)], self.SCHEMA)
+        while not self.store.append("jobs", row, self.store._last("jobs")):
+            pass
+
+    def __enter__(self) -> Job:
+        self.store.create({"jobs": self.SCHEMA})
+        self.say("pending")
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:  # noqa: ANN001
+        self.say("error" if kind else "done", f"{kind.__name__}: {error}"[:1000] if kind else None)
+
+
+def jobs_of(store: Snapshots) -> DataFrame:
+    """Every job in its last state."""
+    store.create({"jobs": Job.SCHEMA})
+    return jobs.latest(store.read("jobs"))
+
+
+def maintain(store: Snapshots, settings: config.Settings, interrupted: bool = False, age_s: float = 7 * 86400.0) -> dict[str, tuple[bool, int]]:
+    """Keep the newest jobs only, join small folders, delete what no version has named for so long; by table what was done.
+
+    ``interrupted``: jobs that have not ended are taken for dead, as after a restart.
+    """
+    kept = jobs_of(store)
+    kept = materialize(jobs.retain(jobs.recover(kept) if interrupted else kept, settings.jobs_kept), "jobs-kept")
+    store.write("jobs", kept)
+    return {t: (store.compact(t), store.vacuum(t, age_s)) for t in [*TABLES, "jobs"]}
+
+
+def models_of(name: str | None, settings: config.Settings, prompts: str | None = None) -> extract.Models:
+    """What ``module:factory`` gives for (settings, prompts); the variant of the settings must be one of the prompts'."""
+    templates = config.Prompts(prompts) if prompts else None
+    if templates:
+        templates.checked(settings.prompt_variant)
+    if not name:
+        return extract.Models()
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)(settings, templates)
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="mapwright", description=__doc__)
     parser.add_argument("--store", required=True)
     parser.add_argument("--settings", help="YAML file")
+    parser.add_argument("--secrets", help="folder with a file for each secret")
+    parser.add_argument("--models", help="module:factory of extractors, reviewers and resolvers, called with settings and prompts")
+    parser.add_argument("--prompts", help="folder of prompt templates")
     parser.add_argument("--run-ts", default=datetime.now(timezone.utc).isoformat(timespec="seconds"))
     sub = parser.add_subparsers(dest="command", required=True)
     add = sub.add_parser("scrape")
@@ -209,51 +270,65 @@ def main(argv: list[str] | None = None) -> None:
             part.add_argument("--replies", help="Parquet with text and reply")
     sub.add_parser("merge-graph").add_argument("--company", required=True)
     sub.add_parser("merge-graph-pending")
-    sub.add_parser("maintain", help="join small folders and delete those that no version has named for a week")
+    sub.add_parser("maintain", help="trim jobs, join small folders, delete those that no version has named for a week").add_argument("--interrupted", action="store_true", help="jobs that have not ended are dead")
+    sub.add_parser("jobs").add_argument("--limit", type=int, default=20)
     sub.add_parser("canonicalize-relations").add_argument("--company")
     for name in ("graph", "reset-graph"):
         sub.add_parser(name).add_argument("--company", required=True)
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("mapwright").getOrCreate()
-    store, settings = Snapshots(spark, args.store), config.load(env_file=".env", yaml_file=args.settings)
+    spark = spark or SparkSession.builder.appName("mapwright").getOrCreate()
+    store, settings = Snapshots(spark, args.store), config.load(env_file=".env", yaml_file=args.settings, secrets=args.secrets)
     locks = MergeLock(args.store.rstrip("/") + "/locks", settings.lock_ttl_s, spark=spark)
     store.create(TABLES)
+    company = getattr(args, "company", None)
+    if args.command == "graph":
+        for row in lines(store, company).toLocalIterator():
+            print(row["line"])
+    elif args.command == "jobs":
+        for r in jobs.recent(jobs_of(store), args.limit).collect():
+            print(r["created_at"], r["command"], r["company_name"] or "-", r["status"], r["error"] or "")
+    elif args.command == "maintain":
+        for table, (joined, gone) in maintain(store, settings, args.interrupted).items():
+            print(table, "compacted" if joined else "as it was", gone, "folders deleted")
+    elif args.command == "reset-graph":
+        reset_graph(store, company)
+    elif args.command == "canonicalize-relations":
+        canonicalize_stage(store, company).show(truncate=False)
+    else:
+        models = models_of(args.models, settings, args.prompts)
+        with Job(store, args.command, company) as job:
+            _run(job, args, store, locks, settings, models)
+
+
+def _run(job: Job, args: argparse.Namespace, store: Snapshots, locks: MergeLock, settings: config.Settings, models: extract.Models) -> None:
+    spark, company = store.spark, getattr(args, "company", None)
     if args.command == "scrape":
+        job.say("scraping")
         pages = spark.read.parquet(args.pages)
         if args.sitemap:
             pages = pages.join(sitemap.listed(spark, args.sitemap), "url", "left_semi")
-        print(scrape(store, pages, args.company, args.run_ts, args.limit))
+        print(scrape(store, pages, company, args.run_ts, args.limit))
     if args.command in ("clean", "run-all"):
-        clean_stage(store, args.company, args.limit)
+        job.say("cleaning")
+        clean_stage(store, company, args.limit)
     if args.command in ("extract", "run-all"):
-        print("extracted", extract_stage(store, extractors_of(spark, args.gazetteer, args.replies), args.run_ts, args.company, args.limit, settings))
+        job.say("extracting")
+        extractors = [*models.extractors, *([gazetteer(spark, args.gazetteer)] if args.gazetteer else [])]
+        if not extractors and not args.replies:
+            raise SystemExit("name models, a gazetteer or recorded replies: without them nothing can be found")
+        recorded = spark.read.parquet(args.replies).select("text", "reply") if args.replies else None
+        print("extracted", extract_stage(store, extractors, args.run_ts, company, args.limit, settings, list(models.reviewers), recorded))
     if args.command == "merge-graph":
-        print(_said(args.company, merge_stage(store, locks, args.run_ts, args.company, settings)))
+        job.say("merging")
+        print(_said(company, merge_stage(store, locks, args.run_ts, company, settings, list(models.resolvers))))
     if args.command in ("merge-graph-pending", "run-all"):
-        for company, totals in merge_pending(store, locks, args.run_ts, settings).items():
-            print(_said(company, totals))
-    if args.command == "canonicalize-relations":
-        canonicalize_stage(store, args.company).show(truncate=False)
-    if args.command == "maintain":
-        for table in TABLES:
-            print(table, "compacted" if store.compact(table) else "as it was", store.vacuum(table), "folders deleted")
-    if args.command == "reset-graph":
-        reset_graph(store, args.company)
-    if args.command == "graph":
-        for row in lines(store, args.company).toLocalIterator():
-            print(row["line"])
+        job.say("merging")
+        for name, totals in merge_pending(store, locks, args.run_ts, settings, list(models.resolvers)).items():
+            print(_said(name, totals))
 
 
-def extractors_of(spark: SparkSession, gazetteer: str | None, replies: str | None) -> list:
-    """The extractors that files describe: recorded replies first, then names to look for."""
-    found: list = []
-    if replies:
-        found.append(extract.Replay({r["text"]: r["reply"] for r in spark.read.parquet(replies).select("text", "reply").toLocalIterator()}, None))
-    if gazetteer:
-        found.append(extract.Gazetteer(json.loads("".join(r["value"] for r in spark.read.text(gazetteer, wholetext=True).collect()))))
-    if not found:
-        raise SystemExit("name a gazetteer or recorded replies: without them nothing can be found")
-    return found
+def gazetteer(spark: SparkSession, path: str) -> extract.Gazetteer:
+    return extract.Gazetteer(json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())))
 
 
 def _said(company: str, totals: dict[str, int] | None) -> str:

@@ -24,6 +24,7 @@ class Settings:
     fuzzy_threshold: float = 92.0
     candidate_names: int = 40
     graph_article_limit: int | None = None
+    merge_companies: int = 50
     lock_ttl_s: float = 3600.0
     jobs_kept: int = 1000
     prompt_variant: str = "default"

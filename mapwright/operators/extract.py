@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.functions.json_repair import repaired
@@ -55,18 +56,6 @@ class Gazetteer:
         return json.dumps({"entities": list(entities.values()), "relationships": relationships})
 
 
-class Replay:
-    """Answers with recorded replies, by text; a text without one gets ``default``, or is an error without a default."""
-
-    def __init__(self, replies: dict[str, str], default: str | None = '{"entities":[],"relationships":[]}') -> None:
-        self.replies, self.default = replies, default
-
-    def __call__(self, text: str) -> str:
-        if text not in self.replies and self.default is None:
-            raise KeyError("no reply recorded")
-        return self.replies.get(text, self.default)
-
-
 def _first_answer(models: list, request: str, attempts: int) -> str | None:
     for model in models:
         for _ in range(attempts):
@@ -77,18 +66,30 @@ def _first_answer(models: list, request: str, attempts: int) -> str | None:
     return None
 
 
-def ask(chunks: DataFrame, extractors: list[Extractor], attempts: int = 3) -> DataFrame:
-    """``chunks`` with ``reply``: extractors are asked in order, each so often while it fails; null if all fail."""
+@dataclass(frozen=True)
+class Models:
+    """What a run may ask, each kind in order of preference."""
+
+    extractors: tuple[Extractor, ...] = ()
+    reviewers: tuple[Reviewer, ...] = ()
+    resolvers: tuple[Resolver, ...] = ()
 
-    def one(text: str) -> str | None:
-        return _first_answer(extractors, text, attempts)
+
+def ask(chunks: DataFrame, extractors: list[Extractor], attempts: int = 3, recorded: DataFrame | None = None) -> DataFrame:
+    """``chunks`` with ``reply``: extractors are asked in order, each so often while it fails; null if all fail.
+
+    Texts with a ``recorded`` (text, reply) answer get that one and are not asked for; of several the least counts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(reply=b["text"].map(one))
+            yield b.assign(reply=[_first_answer(extractors, t, attempts) if r is None else r for t, r in zip(b["text"], b["reply"].astype(object).where(b["reply"].notna(), None), strict=True)])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes) + ", reply string"
-    return chunks.mapInPandas(run, schema)
+    if recorded is None:
+        known = chunks.withColumn("reply", F.lit(None).cast("string"))
+    else:
+        known = chunks.join(recorded.where("reply is not null").groupBy("text").agg(F.min("reply").alias("reply")), "text", "left").select(*chunks.columns, "reply")
+    return known.mapInPandas(run, known.schema) if extractors else known
 
 
 def _kind(of: str) -> str:
@@ -109,6 +110,12 @@ def _text(item: str, name: str) -> str:
     return f"try_variant_get({item}, '$.{name}', 'string')"
 
 
+def _mended(reply: str) -> Column:
+    """A reply as it is where it is JSON, else repaired."""
+    whole = F.try_parse_json(reply).isNotNull()
+    return F.coalesce(F.when(whole, F.col(reply)), repaired(F.when(~whole, F.col(reply))))
+
+
 def parse(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     """``replies`` with ``graph`` and ``valid``. Code fences and words around the object are dropped; what is no JSON then
     is repaired (:func:`mapwright.functions.json_repair.repair`), in Python for such replies only.
@@ -170,7 +177,7 @@ def review(edges: DataFrame, reviewers: list[Reviewer], attempts: int = 3, batch
                 yield pd.DataFrame({"reply": [_first_answer(reviewers, json.dumps(own), attempts)]})
 
     replies = phrases.mapInPandas(run, "reply string")
-    items = replies.select(F.explode(F.from_json("reply", "resolved array<struct<phrase:string,canonical:string>>").resolved).alias("r")).select("r.*")
+    items = replies.select(F.explode(F.from_json(_mended("reply"), "resolved array<struct<phrase:string,canonical:string>>").resolved).alias("r")).select("r.*")
     return apply_relation_reply(edges, items).withColumn("needs_review", F.lit(False))
 
 
@@ -193,8 +200,7 @@ def settle(mentions: DataFrame, candidates: DataFrame, resolvers: list[Resolver]
 
     kinds = dict(mentions.dtypes)
     replies = requests.mapInPandas(run, f"company_name {kinds['company_name']}, article_id {kinds['article_id']}, reply string")
-    answer = F.coalesce(F.when(F.try_parse_json("reply").isNotNull(), F.col("reply")), repaired(F.when(F.try_parse_json("reply").isNull(), F.col("reply"))))
-    pairs = replies.select(*key, F.posexplode(F.from_json(answer, "resolved array<struct<article_name:string,canonical_name:string>>").resolved).alias("_k", "r"))
+    pairs = replies.select(*key, F.posexplode(F.from_json(_mended("reply"), "resolved array<struct<article_name:string,canonical_name:string>>").resolved).alias("_k", "r"))
     pairs = pairs.select(*key, "_k", strip(F.col("r.article_name")).alias("_asked"), strip(F.col("r.canonical_name")).alias("_to")).where("_asked <> '' and _to <> ''")
     last = pairs.groupBy(*key, "_asked").agg(F.max_by("_to", "_k").alias("_to"))
     hit = mentions.withColumn("_asked", F.when(F.col("method").isNull(), F.col("raw_name"))).join(last, [*key, "_asked"], "left")

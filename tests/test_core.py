@@ -582,6 +582,48 @@ def test_run_end_to_end(spark, tmp_path):
     assert store.read("entities").isEmpty() and store.read("relationships").isEmpty() and art.pending_merge(cli.articles(store)).count() == 2
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    """Models, prompts, recorded replies and a sitemap by name; a row for every job's last state; upkeep."""
+    from mapwright import cli
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "p/extraction/default").mkdir(parents=True)
+    (tmp_path / "p/extraction/default/user.md").write_text("Find names in {content}")
+    (tmp_path / "s.yaml").write_text("attempts: 2\nmerge_companies: 1\njobs_kept: 4\n")
+    (tmp_path / "map.xml").write_text(f"<urlset {NS}><url><loc>https://x.com/a</loc></url><url><loc>https://x.com/b</loc></url></urlset>")
+    rows = [("https://x.com/a", "<article>Zuul zaps Kafka.</article>"), ("https://x.com/b", "<article>the new gateway calls Kafka.</article>"), ("https://x.com/c", "<article>not listed</article>")]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("recorded text", '{"entities":[{"name":"Envoy"}]}'), ("recorded text", None)], "text string, reply string").write.parquet(str(tmp_path / "replies"))
+    spark.createDataFrame([("https://y.com/r", "<article>recorded text</article>")], "url string, html string").write.parquet(str(tmp_path / "more"))
+    base = ["--store", str(tmp_path / "store"), "--settings", "s.yaml", "--run-ts", "2024-01-01T00:00:00"]
+    cli.main([*base, "scrape", "--pages", str(tmp_path / "pages"), "--company", "c", "--sitemap", str(tmp_path / "map.xml")], spark)
+    cli.main([*base, "scrape", "--pages", str(tmp_path / "more"), "--company", "d"], spark)
+    with pytest.raises(SystemExit):
+        cli.main([*base, "run-all"], spark)
+    cli.main([*base, "--models", "tests.some_models:broken", "extract"], spark)
+    assert capsys.readouterr().out.split() == ["2", "1", "extracted", "0"]
+    cli.main([*base, "--models", "tests.some_models:make", "--prompts", "p", "run-all", "--replies", str(tmp_path / "replies")], spark)
+    said = capsys.readouterr().out
+    assert "extracted 3" in said and "c: merged 2 articles (2 entities, 1 relationships)" in said and "d: merged 1 articles (1 entities, 0 relationships)" in said
+    store = Snapshots(spark, str(tmp_path / "store"))
+    # the reviewer's predicate, given in broken JSON, and the resolver's name
+    assert set(graph_rows(store)) == {("Zuul", "calls", "Kafka")}
+    with pytest.raises(RuntimeError):
+        cli.main([*base, "merge-graph", "--company", "nobody"], spark)
+    capsys.readouterr()
+    cli.main([*base, "jobs"], spark)
+    listed = [x.split(" ", 1)[1] for x in capsys.readouterr().out.splitlines()]
+    assert listed == ["merge-graph nobody error RuntimeError: no extracted articles of nobody", "run-all - done ", "extract - done ", "run-all - error SystemExit: name models, a gazetteer or recorded replies: without them nothing can be found", "scrape d done ", "scrape c done "]
+    states = [r["status"] for r in store.read("jobs").where("command = 'run-all'").orderBy("created_at").collect()]
+    assert states == ["pending", "cleaning", "extracting", "error", "pending", "cleaning", "extracting", "merging", "done"]
+    cli.Job(store, "extract", None).say("extracting")  # its process died
+    cli.main([*base, "maintain", "--interrupted"], spark)
+    left = [(r["command"], r["status"], r["error"]) for r in jobs.recent(cli.jobs_of(store), 9).collect()]
+    assert len(left) == 4 and left[0] == ("extract", "error", "interrupted")
+    with pytest.raises(ValueError):
+        cli.main([*base, "--models", "tests.some_models:make", "--prompts", "none", "extract"], spark)
+
+
 def test_incremental_merges_end_where_one_run_does(spark, tmp_path):
     from mapwright import cli, config
 
