@@ -193,7 +193,7 @@ def canonicalize_stage(store: Snapshots, company: str | None = None) -> DataFram
 
 def lines(store: Snapshots, company: str) -> DataFrame:
     here = F.col("company_name") == company
-    return views.listing(store.read("entities").where(here), store.read("relationships").where(here)).orderBy("part", "line")
+    return views.listing(store.read("entities").where(here), store.read("relationships").where(here)).orderBy("part", F.collate("line", "UNICODE"), "line")
 
 
 class Job:

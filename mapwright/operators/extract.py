@@ -56,14 +56,16 @@ class Gazetteer:
         return json.dumps({"entities": list(entities.values()), "relationships": relationships})
 
 
-def _first_answer(models: list, request: str, attempts: int) -> str | None:
+def _first_answer(models: list, request: str, attempts: int) -> tuple[str | None, str | None]:
+    """(reply, null), or (null, the last error) where every attempt of every model fails."""
+    error = None
     for model in models:
         for _ in range(attempts):
             try:
-                return model(request)
-            except Exception:  # noqa: BLE001  the next attempt or model takes over
-                continue
-    return None
+                return model(request), None
+            except Exception as e:  # noqa: BLE001  the next attempt or model takes over
+                error = f"{type(e).__name__}: {e}"[:1000]
+    return None, error
 
 
 @dataclass(frozen=True)
@@ -76,19 +78,23 @@ class Models:
 
 
 def ask(chunks: DataFrame, extractors: list[Extractor], attempts: int = 3, recorded: DataFrame | None = None) -> DataFrame:
-    """``chunks`` with ``reply``: extractors are asked in order, each so often while it fails; null if all fail.
+    """``chunks`` with ``reply`` and ``error``: extractors are asked in order, each so often while it fails; where all
+    fail the reply is null and the error is the last one.
 
     Texts with a ``recorded`` (text, reply) answer get that one and are not asked for; of several the least counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(reply=[_first_answer(extractors, t, attempts) if r is None else r for t, r in zip(b["text"], b["reply"].astype(object).where(b["reply"].notna(), None), strict=True)])
+            have = b["reply"].astype(object).where(b["reply"].notna(), None)
+            found = [_first_answer(extractors, t, attempts) if r is None else (r, None) for t, r in zip(b["text"], have, strict=True)]
+            yield b.assign(reply=[r for r, _ in found], error=[e for _, e in found])
 
     if recorded is None:
         known = chunks.withColumn("reply", F.lit(None).cast("string"))
     else:
         known = chunks.join(recorded.where("reply is not null").groupBy("text").agg(F.min("reply").alias("reply")), "text", "left").select(*chunks.columns, "reply")
+    known = known.withColumn("error", F.lit(None).cast("string"))
     return known.mapInPandas(run, known.schema) if extractors else known
 
 
@@ -174,7 +180,7 @@ def review(edges: DataFrame, reviewers: list[Reviewer], attempts: int = 3, batch
         for f in frames:
             for at in range(0, len(f), batch):
                 own = f["phrase"].iloc[at : at + batch].tolist()
-                yield pd.DataFrame({"reply": [_first_answer(reviewers, json.dumps(own), attempts)]})
+                yield pd.DataFrame({"reply": [_first_answer(reviewers, json.dumps(own), attempts)[0]]})
 
     replies = phrases.mapInPandas(run, "reply string")
     items = replies.select(F.explode(F.from_json(_mended("reply"), "resolved array<struct<phrase:string,canonical:string>>").resolved).alias("r")).select("r.*")
@@ -196,7 +202,7 @@ def settle(mentions: DataFrame, candidates: DataFrame, resolvers: list[Resolver]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[key].assign(reply=[_first_answer(resolvers, r, attempts) for r in f["request"]])
+            yield f[key].assign(reply=[_first_answer(resolvers, r, attempts)[0] for r in f["request"]])
 
     kinds = dict(mentions.dtypes)
     replies = requests.mapInPandas(run, f"company_name {kinds['company_name']}, article_id {kinds['article_id']}, reply string")

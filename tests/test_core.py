@@ -582,6 +582,50 @@ def test_run_end_to_end(spark, tmp_path):
     assert store.read("entities").isEmpty() and store.read("relationships").isEmpty() and art.pending_merge(cli.articles(store)).count() == 2
 
 
+def test_failures_of_models_are_kept_as_errors(spark):
+    def fail(text):
+        if "bad" in text:
+            raise ValueError("no answer to " + text)
+        return "ok"
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad one"), (3, "known")], "k int, text string")
+    recorded = spark.createDataFrame([("known", "r2"), ("known", "r1"), ("bad one", None)], "text string, reply string")
+    got = {r["k"]: (r["reply"], r["error"]) for r in extract.ask(rows, [lambda t: 1 / 0, fail], 2, recorded).collect()}
+    assert got == {1: ("ok", None), 2: (None, "ValueError: no answer to bad one"), 3: ("r1", None)}
+    assert {r["k"]: (r["reply"], r["error"]) for r in extract.ask(rows, [], 2, recorded).collect()} == {1: (None, None), 2: (None, None), 3: ("r1", None)}
+
+
+def test_listing_in_locale_order_and_single_articles(spark, tmp_path):
+    from mapwright import cli
+
+    store = Snapshots(spark, str(tmp_path / "s"))
+    names_ = ["zebra", "Éclair", "eagle", "egg", "Zoo", "ärger", "apple", "Apple"]
+    blank = [(None,) * 4 for _ in names_]
+    e = spark.createDataFrame([("c", n, n, "service", "Other", *b) for n, b in zip(names_, blank, strict=True)], "company_name string, key string, name string, kind string, domain string, first_seen_article_id string, description string, n_mentions long, aliases array<struct<name:string,method:string>>")
+    store.write("entities", e)
+    store.create({"relationships": cli.RELATIONSHIPS})
+    got = [r["line"].split()[1] for r in cli.lines(store, "c").collect()]
+    assert got == ["apple", "Apple", "ärger", "eagle", "Éclair", "egg", "zebra", "Zoo"]
+    a = spark.createDataFrame([("k", "c"), ("k2", "c"), ("k", None)], "key string, company_name string")
+    assert art.for_company(a, "c", "k").count() == 1 and art.for_company(a, "d", "k").count() == 0
+    df = spark.createDataFrame([("<b>'\"&",)], "x string")
+    assert df.select(views.as_attribute(F.struct("x")).alias("a")).first()["a"] == "{&quot;x&quot;:&quot;&lt;b&gt;&#x27;\\&quot;&amp;&quot;}"
+
+
+def test_reach_in_cycles(spark):
+    edges = [("c", a, b) for a, b in (("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d"), ("d", "d"))] + [("e", "a", "b")]
+    got = {(r["company_name"], r["start"], r["id"]): r["hops"] for r in views.reachable(spark.createDataFrame(edges, "company_name string, source string, target string"), 4).collect()}
+    want = {}
+    for company in ("c", "e"):
+        for start in {a for c, a, _ in edges if c == company}:
+            now = {start}
+            for n in range(1, 5):
+                now = {b for c, a, b in edges if c == company and a in now}
+                for x in now:
+                    want.setdefault((company, start, x), n)
+    assert got == want
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     """Models, prompts, recorded replies and a sitemap by name; a row for every job's last state; upkeep."""
     from mapwright import cli
