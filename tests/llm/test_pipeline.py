@@ -1,6 +1,7 @@
 """Every stage of the pipeline against the plain results of the operators' tests, on its own input."""
 
 import corpus_pipeline
+from mapwright.llm import quality
 from tests.llm.test_operators import plain_components, plain_hits, plain_lines
 
 
@@ -14,8 +15,10 @@ def test_stages_on_their_own_inputs(spark):
         assert inputs[-1].columns == docs.columns
     rows = [{r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()} for d in inputs]
     assert names == ["quality", "line_dedup", "near_duplicates", "decontamination", "packing"]
-    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
-    assert good & set(rows[0]) <= set(rows[1])
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good, poor = ({r["doc_id"] for r in labels.where(f"quality = {k}").collect()} & set(rows[0]) for k in (1, 0))
+    assert good <= set(rows[1]) and len(poor) > 5 and len(poor - set(rows[1])) >= 0.9 * len(poor)
+    assert set(rows[1]) == {r["doc_id"] for r in quality.score_quality(docs).where("kept").collect()}
     assert rows[2] == plain_lines(list(rows[1].items()))
     assert set(rows[3]) == {i for i, (_, c) in plain_components(list(rows[2].items())).items() if i == c}
     hits = {i: plain_hits(t, items) for i, t in rows[3].items()}
