@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .adapters import PHRASES, RUN_TS, SQL_ARTICLES, SQL_EDGES, SQL_JOBS, SQL_LINES, SQL_MENTIONS, sql_norm, sql_relation, sql_slug
+from .adapters import PHRASES, RUN_TS, SECOND_RUN, SQL_ARTICLES, SQL_EDGES, SQL_JOBS, SQL_LINES, SQL_MENTIONS, sql_norm, sql_relation, sql_slug
 
 _PHRASES = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 _GENERIC = r"^(the |a |an |this |that )?(new|old|legacy|current|existing|updated|original|previous)\b.*\b(service|microservice|api|system|gateway|layer|app|application|component|database|db|pipeline|engine|cluster|worker|endpoint|module|tool)\b"
@@ -260,4 +260,32 @@ ORACLE_SQL: dict[str, str] = {
     "q55_stream_resolve": f'with {_RESOLVE} select * from resolved',
     "q56_repaired_replies": f"""with {SQL_MENTIONS}, r as (select *, row_number() over (partition by article_id order by item desc) back from mentions)
       select article_id, true "valid", count(*) filter (back > 1 or article_id % 8 <> 2) n_entities, coalesce(string_agg(raw_name, '|' order by item) filter (back > 1 or article_id % 8 <> 2), '') "names" from r group by article_id""",
+    "q58_article_marks": f"""with {SQL_ARTICLES},
+      a as (select *, state = 0 and min(page_id) filter (state = 0) over (partition by "key") = page_id and page_id % 3 = 0 own from articles),
+      b as (select *, bool_or(own) over (partition by "key") c, bool_or(state = 2 and page_id % 5 = 0) over (partition by "key") m from a),
+      d as (select *, case when c then 'text of ' || "key" end cleaned, case when m then '{RUN_TS}' when state = 3 then scraped_at end graph_merged_at from b)
+      select page_id, state = 0 and not c has_html, cleaned, graph_merged_at,
+        case when graph_merged_at is not null then 'merged' when state >= 2 then 'extracted' when state = 1 or c then 'cleaned' else 'scraped' end stage from d""",
+    "q59_method_texts": """select l_orderkey, l_linenumber, ((l_quantity * 2 + l_linenumber) / 2)::double score, 'fuzzy:' || round_even((l_quantity * 2 + l_linenumber) / 2, 0)::int as "method",
+      strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') short from lineitem""",
+    "q60_attributes": r"""select page_id, replace(replace(replace(replace(replace(to_json({'url': url, 'title': regexp_extract(html, '(?s)<title>(.*?)</title>', 1)})::varchar,
+      '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') as "attribute" from pages""",
+    "q61_reviewed_relations": f"""with {SQL_LINES}, w as (select distinct raw_relation r, {sql_relation("raw_relation")} rel from lines)
+      select article_id, line item, case r when 'frobnicates' then 'calls' else rel end relation, case when trim(r) <> rel then trim(r) end relation_phrase, false needs_review from lines join w on raw_relation = r""",
+    "q62_settled_names": f"""with {_RESOLVED} select company_name, article_id, item, raw_name, case when "method" is null then trim(lower(company_name || ' ' || raw_name)) else "name" end "name",
+      coalesce("method", 'llm') as "method" from resolved""",
+    "q63_code_blocks": r"""with d as (select doc_id, coalesce("text", '') t, length(coalesce("text", '')) - length(replace(coalesce("text", ''), chr(10), '')) + 1 n from documents),
+      c as (select *, 'Before' || chr(10) || case when n > 15 then '[code omitted: ' || n || ' lines, language: sql]' || chr(10) else case when regexp_replace(t, '^\s+|\s+$', '', 'g') = '' then '' else regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) end end || 'after' x from d)
+      select doc_id, md5(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) digest, n > 15 omitted from c""",
+    "q64_resolve_known": f"""with {_RESOLVE},
+      fixed as (select company_name, norm, min(raw_name) filter (r = 1) known_name from (
+        select *, row_number() over (partition by company_name, norm order by extracted_at, article_id, item) r from m where extracted_at < timestamp '{SECOND_RUN}') group by all),
+      late as (select distinct company_name, raw_name, norm from m where extracted_at >= timestamp '{SECOND_RUN}'),
+      liked as (select a.company_name, a.norm, first((f.known_name, score) order by score desc, f.norm) b
+        from (select distinct company_name, norm from late) a join near using (norm) join fixed f on f.company_name = a.company_name and f.norm = near.other group by all)
+      select l.company_name, l.raw_name, coalesce(f.known_name, b[1]) "name", case when f.known_name is not null then 'exact' when b is not null then 'fuzzy:' || round_even(b[2], 0)::int end as "method"
+      from late l left join fixed f using (company_name, norm) left join liked using (company_name, norm)""",
+    "q65_limits": f"""with {SQL_ARTICLES}
+      select 'merge' part, page_id from (select *, row_number() over (partition by company_name order by scraped_at, "key") r from articles where state = 2) where r <= 3
+      union all select 'scrape', page_id from (select min(page_id) page_id from articles where "key" not in (select "key" from articles where page_id % 3 = 0) group by "key" order by 1 limit 50)""",
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapwright.config import short_time
 from mapwright.functions.keys import entity_key, normalized, relationship_key, slug, url_key
-from mapwright.functions.similarity import score, sorted_words
+from mapwright.functions.similarity import method_text, score, sorted_words
 from mapwright.functions.vocab import canonical_relation, humanized, is_generic, kept_phrase, label, matched_relation
 from mapwright.operators import articles as art
 from mapwright.operators import backfill, chunk, clean, extract, jobs, merge, resolve, views
@@ -479,3 +481,78 @@ def q57_main_content(spark, sf):
     counted = lambda d, n: d.select("page_id", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").groupBy("page_id", "word").agg(F.count("*").alias(n))
     words = counted(found, "n_found").join(counted(known, "n_known"), ["page_id", "word"], "full_outer").fillna(0, ["n_found", "n_known"])
     return words.groupBy("page_id").agg(F.sum("n_found").alias("n_found"), F.sum("n_known").alias("n_known"), F.sum(F.least("n_found", "n_known")).alias("n_common"))
+
+
+@query
+def q58_article_marks(spark, sf):
+    """Articles after the pages of every third were cleaned, and those of every fifth, once extracted, merged."""
+    a = adapters.articles(spark, sf)
+    cleaned = art.mark_cleaned(a, art.first_by_key(art.pending(a, "clean"), ["page_id"]).where("page_id % 3 = 0").select("key", F.concat(F.lit("text of "), "key").alias("text")))
+    merged = art.mark(cleaned, art.pending_merge(cleaned).where("page_id % 5 = 0").select("key"), "graph_merged_at", RUN_TS)
+    return merged.select("page_id", F.col("raw_html").isNotNull().alias("has_html"), F.when(F.col("cleaned_text").startswith("text of "), F.col("cleaned_text")).alias("cleaned"), "graph_merged_at", art.stage().alias("stage"))
+
+
+@query
+def q59_method_texts(spark, sf):
+    """How a match by score is named, ties to even; times cut to the second."""
+    e = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") * 2 + F.col("l_linenumber")) / 2).cast("double").alias("score"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".125+00:00")).alias("at"))
+    return e.select("l_orderkey", "l_linenumber", "score", method_text(F.col("score")).alias("method"), short_time(F.col("at")).alias("short"))
+
+
+@query
+def q60_attributes(spark, sf):
+    """URLs and titles as JSON inside an HTML attribute."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return read_table(spark, sf, "pages").select("page_id", views.as_attribute(F.struct("url", title.alias("title"))).alias("attribute"))
+
+
+def _review(phrases: str) -> str:
+    known = {"frobnicates": "calls", "userland thing": "no such predicate", "hosts migrated route handlers from": "routes_to"}
+    return json.dumps({"resolved": [{"phrase": p, "canonical": known[p]} for p in json.loads(phrases) if p in known]})
+
+
+@query
+def q61_reviewed_relations(spark, sf):
+    """Wordings that the vocabulary does not know, shown once to a reviewer; what it does not know keeps the fallback."""
+    rows = adapters.lines(spark, sf).select("article_id", F.col("line").alias("item"), F.col("raw_relation").alias("relation"), F.lit(None).cast("string").alias("relation_phrase"))
+    raw = F.col("relation")
+    edges = rows.select("article_id", "item", canonical_relation(raw).alias("relation"), kept_phrase(raw, F.col("relation_phrase")).alias("relation_phrase"), matched_relation(raw).isNull().alias("needs_review"))
+    return extract.review(materialize(edges, "under-review"), [_review])
+
+
+@query
+def q62_settled_names(spark, sf):
+    """Names that no rule resolved, after a model was asked for each article; what a rule has found stays."""
+    def model(request: str) -> str:
+        asked = json.loads(request)
+        return json.dumps({"resolved": [{"article_name": n["name"], "canonical_name": f"{asked['company_name']} {n['name']}".lower()} for n in asked["names"]]})
+
+    named = _resolved(spark, sf)
+    none = spark.createDataFrame([], "company_name string, candidate string")
+    return extract.settle(materialize(named, "named"), none, [model]).select("company_name", "article_id", "item", "raw_name", "name", "method")
+
+
+@query
+def q63_code_blocks(spark, sf):
+    """Documents as code in pages: blocks over the bound become one line, others stay, white space in order."""
+    text = F.col("text")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    html = F.concat(F.lit('<body><nav>x</nav><article><p>Before</p><pre><code class="language-sql">'), text, F.lit("</code></pre> after</article></body>"))
+    return clean.clean(read_table(spark, sf, "documents").select("doc_id", html.alias("html")), "doc_id", "html").select("doc_id", F.md5("text").alias("digest"), F.col("text").contains("[code omitted").alias("omitted"))
+
+
+@query
+def q64_resolve_known(spark, sf):
+    """The second run's names against the first run's entities, as a fixed table."""
+    _, first, second = _runs(spark, sf)
+    known = resolve.known_names(adapters.mentions_of(first)).select("company_name", F.col("known_name").alias("name"))
+    return resolve.resolve_known(adapters.mentions_of(second).select("company_name", "raw_name"), materialize(known, "known"))
+
+
+@query
+def q65_limits(spark, sf):
+    """Of each company the first three articles to merge, and the first fifty new pages."""
+    a = adapters.articles(spark, sf)
+    merge_ = art.pending_merge(a, 3).select(F.lit("merge").alias("part"), "page_id")
+    return merge_.union(art.new_rows(a, a.where("page_id % 3 = 0"), ["page_id"], 50).select(F.lit("scrape"), "page_id"))
