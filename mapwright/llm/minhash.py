@@ -36,6 +36,8 @@ LONG_SAMPLES, LONG_WORDS, BLOCK = 1536, 96, 1500
 #: with a chance of about 1e-12, far under that of meeting in no band.
 SLACK = 7
 BROADCAST_IDS = 1_000_000
+#: A bucket's members are joined with its row in so many parts.
+SALTS = 32
 
 SIGNATURE = "id long, n long, set_a long, set_b long, bands array<long>, odd array<long>"
 
@@ -250,7 +252,9 @@ def _block_pairs(sets: DataFrame, reps: DataFrame, met: DataFrame, comp: DataFra
     ids = materialize(now.select("id").distinct(), "minhash-open-ids")
     sketches = materialize(mapped(_only(sets, ids), _long_sketches(), "id long, sketch binary"), "minhash-long")
     counts = now.groupBy("bucket").agg(F.expr(f"int(ceil(count(*) / {BLOCK}.0))").alias("parts"))
-    rows = now.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # a hot bucket's members are dealt to many tasks, each with its own copy of the bucket's one row
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = now.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(counts, ["bucket", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a block goes to its meetings with every block of the bucket, itself included
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", "id", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
