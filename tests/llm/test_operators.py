@@ -656,8 +656,8 @@ def test_sketches_keep_pairs_at_the_threshold(monkeypatch):
         odd = [minhash._odd_bits(x, flips, size) for x in least]
         apart = np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum(axis=1)
         assert (apart <= most).all()
-        monkeypatch.setattr(minhash, "SLACK", 5)
-        assert (apart > minhash._most_bits(size * 64, minhash.PERCENT, count)).mean() < 0.002
+        monkeypatch.setattr(minhash, "SLACK", 4.2)  # none comes near the bound
+        assert (apart <= minhash._most_bits(size * 64, minhash.PERCENT, count)).all()
         monkeypatch.undo()
         if count == samples:
             same = (least[0] == least[1]).reshape(-1, minhash.ROWS, minhash.BANDS)
