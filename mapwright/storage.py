@@ -17,12 +17,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` where set; else a local folder (local master) or the warehouse."""
+    """The shared folder: ``spark.checkpoint.dir``; a local session without it has a folder of its own, a cluster an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_mapwright"
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-mapwright-")

@@ -783,3 +783,16 @@ def test_versions_of_a_table(spark, tmp_path):
     assert s._commit("t", number + 1, manifest) and not s._commit("t", number + 1, manifest)
 
 
+def test_tables_on_a_cluster_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from mapwright.storage import shared_dir
+
+    def session(master, place=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: place if name == "spark.checkpoint.dir" else default), sparkContext=SimpleNamespace(master=master, applicationId="app-x"))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://x/shared/")) == "hdfs://x/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    assert shared_dir(session("local[4]")).startswith("file:") and shared_dir(session("local")) == shared_dir(session("local[2]"))
