@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage works on all that the one before kept, read back from Parquet."""
+"""A corpus pipeline: each stage works on all that the one before kept, read back from Parquet.
+
+Stages take nulls in any column, texts of any length, repeated rows, and extra columns of any name, which they hand on;
+an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from mapwright.storage import materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps: null, empty and blank texts go, repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated lines."""
+    """All documents, without repeated lines: of equal ones the first by id stays, a null id first; null texts stay null."""
     return linededup.dedup_lines(docs, chars_col="n_chars")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each component of near duplicates."""
+    """One document, the least id, of each component of near duplicates; rows that share an id are told apart by text."""
     return minhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates; null and empty texts, and all texts without items, are clean."""
     return decontam.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of tokens."""
+    """Pieces of the documents and their places in sequences of tokens; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 

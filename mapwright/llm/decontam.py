@@ -245,7 +245,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
 
     A null or empty text has no words and is never contaminated; a null or empty item has no window; null ids of
     items are ignored. Repeated rows each get their row. An empty ``bench`` marks nothing, an empty ``docs`` gives no
-    row. Other columns are not looked at. A null ``doc_id`` stays null.
+    row. Other columns are not looked at. A null ``doc_id`` stays null. A text of any length is read whole, in the
+    memory of one block; items that hold the same window all count, so there is no tie to break.
     """
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known, value = _item_windows(bench, item_id_col, item_text_col, window, gram, broadcast_windows)

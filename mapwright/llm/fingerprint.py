@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, fingerprint``, one row per row of ``docs``.
 
     A null text counts as empty; texts equal in canonical form have equal fingerprints, others never. A null
-    ``doc_id`` stays null; rows that share one have a row each. An empty table gives no row. Other columns are not
-    looked at.
+    ``doc_id`` stays null; rows that share one have a row each. A text of any length is one value of a column. An empty
+    table gives no row. Other columns are not looked at.
     """
     d = docs.select(inner_id(id_col).alias("id"), canonical(F.col(text_col)).alias("form"))
     hashed = d.select("id", *_hashes(F.col("form")), "form")

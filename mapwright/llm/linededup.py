@@ -212,7 +212,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     place of a line within ``edits`` edits; whether that one stays does not matter. Blank lines stay and are never
     compared; lines under ``min_chars`` characters go only as exact copies. A text none of whose lines goes, null and
     empty ones among them, stays as it is; one that loses all becomes empty. Rows with equal id and text are treated
-    alike; a null id counts as the smallest. An empty table gives an empty table.
+    alike; a null id counts as the smallest. A text of any length is split whole, a line of any length compared whole.
+    An empty table gives an empty table.
     """
     touched, same, marks = _joined(docs, id_col, text_col, edits, min_chars)
     out = touched.withColumn(text_col, _kept_text(text_col, marks)).select(docs.columns)

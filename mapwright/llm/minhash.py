@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Words are runs of characters other than U+0020 and U+0009 to U+000D, after A-Z became a-z. A text under
     ``shingle`` words has its whole sequence as its one shingle; a null or empty text has none, is linked with nothing
     and stays. Rows that share a ``doc_id`` are one document with one result row; the least of their texts counts.
-    A null ``doc_id`` counts as less than any other. An empty table gives no row. Other columns are not looked at.
+    A null ``doc_id`` counts as less than any other. A text of any length is read whole, in the memory of one block, and
+    its distinct shingles are one value of a column. An empty table gives no row. Other columns are not looked at.
     """
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if not d.groupBy("id").count().where("count > 1").isEmpty():

@@ -198,7 +198,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     ids; a document is cut only where it is longer than that. Ids are the tokenizer's, with ``end_id`` at the end.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each; a null ``doc_id`` stays
-    null. An empty table gives no row. Other columns are not looked at. ``tokenizer_path`` is a file that every
+    null. A text of any length is read whole, in the memory of one block. Pieces of one length are told apart by task
+    and place in it, so which of them fills which place is not fixed. An empty table gives no row. Other columns are
+    not looked at. ``tokenizer_path`` is a file that every
     executor can read; without it, ``tokenizer`` names a file of the installed public tokenizers.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

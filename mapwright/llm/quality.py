@@ -235,7 +235,8 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row per document: ``doc_id, poor (chance of being poor, 0 to 1), kept``.
 
     A null or empty text, or one of white space, is poor (1.0). Each row is judged by its own text, so repeated rows
-    get equal scores. A null ``doc_id`` stays null. An empty table gives no row. Other columns are not looked at.
+    get equal scores; a chance equal to ``threshold`` is poor. A null ``doc_id`` stays null. A text of any length is read
+    whole, in the memory of one block. An empty table gives no row. Other columns are not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, sample_rows=sample_rows))
     d = docs.select(inner_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

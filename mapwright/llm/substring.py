@@ -270,7 +270,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Words are runs of characters other than U+0020 and U+0009 to U+000D. A null or empty text has no words. Rows that
     share a ``doc_id`` do not count as earlier than each other. A null ``doc_id`` counts as smaller than any other.
-    Texts under ``window`` words keep all. An empty table gives no row. Other columns are not looked at.
+    Texts under ``window`` words keep all; one of any length is read whole, in the memory of one block. An empty table
+    gives no row. Other columns are not looked at.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")

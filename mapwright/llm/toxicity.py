@@ -495,7 +495,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     Scores depend on the text alone, so repeated rows get equal ones; a null or empty text gets the score of a text
     without words. Labels with a null id or value are ignored; with several for one id, toxic wins. Without labels of
-    both classes every score is the same. A null ``doc_id`` stays null. An empty table gives no row. Other columns are
+    both classes every score is the same; a score equal to ``threshold`` is toxic. A null ``doc_id`` stays null. A text of
+    any length is read whole, in the memory of one block. An empty table gives no row. Other columns are
     not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn=learn, sample_rows=sample_rows, more_rows=more_rows))
