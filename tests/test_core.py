@@ -310,6 +310,11 @@ def test_chunks_overlap(spark):
         chunk.chunk(d, "id", "t", 50, 50).collect()
 
 
+def test_open_references_stay_text():
+    page = "<article><h1>a &amp; b&amp</h1><p>x &copy; &copy y &notit; &lt;b&gt; &#65; & &amp;amp;</p></article>"
+    assert clean.clean_html(page) == "a & b&amp\nx © &copy y &notit; <b> A & &amp;"
+
+
 def test_clean_html():
     html = '<html><body><nav>menu</nav><article><h1>T</h1><p>One <b>two</b><p>three<div class="sidebar">ads</div><pre><code class="language-yaml">' + "a: 1\n" * 20 + "</code></pre><pre>x = 1</pre></article><footer>f</footer></body></html>"
     text = clean.clean_html(html)
