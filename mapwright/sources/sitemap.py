@@ -105,20 +105,50 @@ def quarantine(found: DataFrame) -> DataFrame:
     return found.where("reason is not null").select("path", "reason")
 
 
+def _heads(only: DataFrame) -> DataFrame:
+    """``path, head`` of files (path, up) that one index names: the first file above that is none of these, null on a ring.
+
+    Pointers are doubled: each round goes on from where the last one ended, by as many steps again.
+    """
+    at, steps, n = only.select("path", F.col("up").alias("head")), 1, only.count()
+    while True:
+        above = at.select(F.col("path").alias("head"), F.col("head").alias("next"))
+        after = materialize(at.join(above, "head", "left").select("path", "head", "next"), "sitemap-heads")
+        if steps >= n or after.where("next is not null").isEmpty():
+            return after.select("path", F.when(F.col("next").isNull(), F.col("head")).alias("head"))
+        at, steps = after.select("path", F.coalesce("next", "head").alias("head")), 2 * steps
+
+
 def crawl(found: DataFrame, start: DataFrame, path_of: Callable[[Column], Column] = lambda loc: loc) -> DataFrame:
     """The rows of :func:`entries` whose file can be reached from those of ``start`` (path), however deep.
 
-    ``path_of`` turns a location of an index into the path of the file that holds it. Each round is a join from the files
-    that the last one reached; a file counts once, so indexes that point to each other end.
+    ``path_of`` turns a location of an index into the path of the file that holds it. A file that only one index names is
+    reached if that index is, so it is folded into the first file above that several name, and so again until every file
+    is named by several; a chain of any length is folded in as many rounds as its length has binary digits. What is left
+    is followed by a join from the files that the last one reached; a file counts once, so indexes that point to each
+    other end.
     """
-    found = materialize(found, "sitemap-entries")
-    links = found.where("kind = 'sitemap'").select("path", path_of(F.col("loc")).alias("to")).distinct()
-    new = materialize(start.select("path").distinct(), "sitemap-reached")
-    reached = new
+    found, start = materialize(found, "sitemap-entries"), materialize(start.select("path").distinct(), "sitemap-start")
+    links = found.where("kind = 'sitemap'").select("path", path_of(F.col("loc")).alias("to")).where("path <> to").distinct()
+    links, folded = materialize(links, "sitemap-links"), []
+    while True:
+        only = links.groupBy(F.col("to").alias("path")).agg(F.min("path").alias("up"), F.count("*").alias("n")).where("n = 1").drop("n")
+        only = materialize(only.join(start, "path", "left_anti"), "sitemap-only")
+        if only.isEmpty():
+            break
+        heads = materialize(_heads(only), "sitemap-folded")
+        folded.append(heads)
+        # a file below a ring is not reached at all, so what it names is not reached through it
+        kept = links.join(only.select(F.col("path").alias("to")), "to", "left_anti").join(heads.withColumn("inner", F.lit(True)), "path", "left")
+        kept = kept.where("inner is null or head is not null").select(F.coalesce("head", "path").alias("path"), "to")
+        links = materialize(kept.where("path <> to").distinct(), "sitemap-links")
+    new = reached = start
     while not new.isEmpty():
         after = new.join(links, "path").select(F.col("to").alias("path")).distinct().join(reached, "path", "left_anti")
         new = materialize(after, "sitemap-reached")
         reached = reached.union(new)
+    for heads in reversed(folded):
+        reached = reached.union(heads.join(reached.withColumnRenamed("path", "head"), "head", "left_semi").select("path"))
     return found.join(reached, "path", "left_semi")
 
 

@@ -410,6 +410,26 @@ def test_sitemaps_as_files(spark, tmp_path):
     assert sitemap.entries(spark.createDataFrame([], "path string, content binary")).collect() == []
 
 
+def test_deep_chains_of_sitemaps_are_folded(spark, monkeypatch):
+    """Long chains take few rounds; rings, twofold names and what lies below unreached files are told apart."""
+    links = [(f"c{k}", f"c{k + 1}") for k in range(200)] + [(f"d{k}", x) for k in range(20) for x in (f"l{k}", f"r{k}")] + [(f"{s}{k}", f"d{k + 1}") for k in range(20) for s in "lr"]
+    links += [("c200", "d0"), ("ring1", "ring2"), ("ring2", "ring1"), ("ring2", "below"), ("below", "c7"), ("a", "b"), ("d20", "b"), ("b", "b"), ("b", "c0"), ("lost", "hidden")]
+    rows = [(p, "sitemap", loc, None, None) for p, loc in links] + [(p, "url", f"https://x.com/{p}", None, None) for p in ("c150", "l9", "d20", "b", "below", "hidden", "a", "ring1", "c0")]
+    written, plain = [], sitemap.materialize
+    monkeypatch.setattr(sitemap, "materialize", lambda df, tag: written.append(tag) or plain(df, tag))
+    found = spark.createDataFrame(rows, sitemap.ENTRIES)
+    for first, few in (("c0", 60), ("ring1", 60)):
+        want, new = {first}, [first]
+        while new:
+            at = new.pop()
+            new += [t for p, t in links if p == at and t not in want]
+            want.update(t for p, t in links if p == at)
+        written.clear()
+        got = sitemap.crawl(found, spark.createDataFrame([(first,)], "path string"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[0] in want), key=str)
+        assert len(written) < few
+
+
 def test_sitemaps_as_a_source(spark, tmp_path):
     """Over HTTP: a partition for each file of the first index, nested indexes below, errors as rows."""
     import threading
