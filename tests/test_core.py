@@ -1,6 +1,7 @@
 """The reference's behaviours on small tables."""
 
 import gzip
+import json
 import random
 
 import pytest
@@ -310,6 +311,21 @@ def test_chunks_overlap(spark):
         chunk.chunk(d, "id", "t", 50, 50).collect()
 
 
+def test_graph_json_is_joined_part_by_part(spark):
+    """A company's nodes and edges lie in several parts; their order and the edges' numbers go on from part to part."""
+    n = [(c, f"n{k}", f"L{k % 7}", "service", None if k % 5 == 0 else f'D"{k}') for c, size in (("a", 200), ("b", 3)) for k in range(size)]
+    e = [("a", f"k{k % 40:02d}", f"n{k}", "n1", None if k % 9 == 0 else "x", "calls") for k in range(300)]
+    nodes, edges = spark.createDataFrame(n, "company_name string, id string, label string, kind string, domain string"), spark.createDataFrame(e, "company_name string, key string, source string, target string, label string, relation string")
+    assert views._numbered(edges, ["key", "source"], "test").groupBy("_part").count().count() > 1
+    got = {r["company_name"]: json.loads(r["graph"]) for r in views.graph_json(nodes, edges).collect()}
+    first = lambda v: (v is not None, v or "")
+    for c in "ab":
+        rows = sorted((r for r in n if r[0] == c), key=lambda r: (r[2], r[1], r[3], first(r[4])))
+        assert got[c]["nodes"] == [{k: v for k, v in zip(("id", "label", "kind", "domain"), r[1:], strict=True) if v is not None} for r in rows]
+        rows = sorted((r for r in e if r[0] == c), key=lambda r: (r[1], r[2], r[3], first(r[4]), r[5]))
+        assert got[c]["edges"] == [{k: v for k, v in zip(("id", "source", "target", "label", "relation"), (f"__edge_{i}", *r[2:]), strict=True) if v is not None} for i, r in enumerate(rows)]
+
+
 def test_open_references_stay_text():
     page = "<article><h1>a &amp; b&amp</h1><p>x &copy; &copy y &notit; &lt;b&gt; &#65; & &amp;amp;</p></article>"
     assert clean.clean_html(page) == "a & b&amp\nx © &copy y &notit; <b> A & &amp;"
@@ -821,3 +837,22 @@ def test_tables_on_a_cluster_need_a_shared_folder():
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared_dir(session(master))
     assert shared_dir(session("local[4]")).startswith("file:") and shared_dir(session("local")) == shared_dir(session("local[2]"))
+
+
+def test_dense_short_names_meet_by_common_subsequences(spark, monkeypatch):
+    """All pairs of a dense group of short names without shared runs of letters; long names still go by these."""
+    rng = random.Random(5)
+    short = {f"supplier 000000{k:03d}" for k in range(0, 400, 3)} | {"".join(rng.choice("abc 12") for _ in range(rng.randint(5, 24))).strip() for _ in range(150)}
+    short |= {w[:k] + w[k + 1 :] for w in sorted(short)[:60] for k in (3, 9)} | {w + "s" for w in sorted(short)[:40]}
+    long = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(30, 60))) for _ in range(20)}
+    long |= {w[:k] + w[k + 1 :] for w in long for k in (5, 20)}
+    words = lambda n: " ".join(sorted(w for w in n.split(" ") if w))
+    for names, by_runs in ((short, False), (short | long, True)):
+        names = sorted({" ".join(n.split()) for n in names})
+        if not by_runs:
+            monkeypatch.setattr(resolve, "_near_by_runs", lambda *a: pytest.fail("runs of letters"))
+        else:
+            monkeypatch.undo()
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if min(len(a), len(b)) >= 5 and similarity.long_score(words(a), words(b)) >= 92}
+        got = [(r["a"], r["b"]) for r in resolve.similar_pairs(spark.createDataFrame([("c", n) for n in names], "company_name string, norm string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
