@@ -856,3 +856,19 @@ def test_dense_short_names_meet_by_common_subsequences(spark, monkeypatch):
         want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if min(len(a), len(b)) >= 5 and similarity.long_score(words(a), words(b)) >= 92}
         got = [(r["a"], r["b"]) for r in resolve.similar_pairs(spark.createDataFrame([("c", n) for n in names], "company_name string, norm string")).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_folds_by_spelling_and_without_articles(spark):
+    """Entities folded from distinct spellings equal those of single mentions; edges folded without articles the others' rest."""
+    rng = random.Random(2)
+    names = ["User Svc", "user-svc", "USER/SVC", "the new service", "The New Service", "..", "", "Kafka", "kafka "]
+    rows = [("c" if k % 3 else "Co. D", rng.choice(names), rng.choice([None, "service", "queue"]), f"D{k % 4}", rng.choice([None, "", f"text {k}"]), k // 4, 9 - k // 40, k) for k in range(300)]
+    m = spark.createDataFrame(rows, "company_name string, raw_name string, kind string, domain string, description string, article_id long, extracted_at int, item long")
+    want = merge.fold_entities(resolve.resolve_exact(m))
+    assert sorted(map(tuple, merge.spelled_entities(merge.fold_spellings(m)).select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    e = m.select("company_name", F.col("raw_name").alias("source"), F.lit("Kafka").alias("target"), F.coalesce("kind", F.lit("calls")).alias("relation"), F.col("description").alias("relation_phrase"), F.lit("2020").alias("as_of"), "article_id", "extracted_at", "item")
+    whole = merge.fold_edges(e)
+    assert sorted(map(str, merge.fold_edges(e, articles=False).collect())) == sorted(map(str, whole.drop("source_article_ids").collect()))
+    key = relationship_key(F.col("company_name"), F.col("source"), F.col("relation"), F.col("target"))
+    ids = {r["key"]: r["ids"] for r in e.groupBy("company_name", key.alias("key")).agg(F.expr("array_distinct(transform(array_sort(collect_list(struct(extracted_at, article_id, item))), x -> x.article_id)) ids")).collect()}
+    assert {r["key"]: r["source_article_ids"] for r in whole.collect()} == ids
