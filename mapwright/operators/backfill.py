@@ -37,11 +37,12 @@ def canonicalize(edges: DataFrame) -> DataFrame:
 def counters(edges: DataFrame) -> DataFrame:
     """By company: edges examined, rewritten, and rewritten onto a key that is taken."""
     r = rewritten(edges)
-    old = edges.select("company_name", F.col("key").alias("new_key"), F.lit(True).alias("taken"))
-    r = r.join(old, ["company_name", "new_key"], "left")
-    # of several that meet in a new key, all but the first find it written
-    from pyspark.sql import Window as W
-
-    later = F.row_number().over(W.partitionBy("company_name", "new_key").orderBy("changed", "key")) > 1
-    hit = F.col("changed") & ((F.col("taken").isNotNull() & (F.col("new_key") != F.col("key"))) | later)
-    return r.withColumn("hit", hit).groupBy("company_name").agg(F.count("*").alias("examined"), F.count_if("changed").alias("rewritten"), F.count_if("hit").alias("collapsed"))
+    # one pass: an edge stands under its new key and, to say that this is taken, under its old one
+    own = F.struct("new_key", F.lit(1).alias("n"), "changed", "key", (F.col("new_key").eqNullSafe(F.col("key")) & F.col("company_name").isNotNull()).alias("taken"))
+    old = F.struct(F.col("key").alias("new_key"), F.lit(0).alias("n"), F.lit(False).alias("changed"), F.lit(None).cast("string").alias("key"), F.col("company_name").isNotNull().alias("taken"))
+    rows = r.select("company_name", F.explode(F.when(F.col("new_key").eqNullSafe(F.col("key")), F.array(own)).otherwise(F.array(own, old))).alias("e")).select("company_name", "e.*")
+    met = rows.groupBy("company_name", "new_key").agg(F.sum("n").alias("n"), F.count_if("changed").alias("changed"), F.max("taken").alias("taken"), F.min(F.when(F.col("changed"), F.col("key"))).alias("first"))
+    # of several that meet in a new key, all but the first find it written; the first does if it was another's
+    first = ((F.col("n") > F.col("changed")) | (F.col("taken") & (F.col("first") != F.col("new_key")))).cast("int")
+    hits = F.when(F.col("changed") > 0, F.col("changed") - 1 + first).otherwise(0)
+    return met.groupBy("company_name").agg(F.sum("n").alias("examined"), F.sum("changed").alias("rewritten"), F.sum(hits).alias("collapsed"))
