@@ -209,5 +209,7 @@ def settle(mentions: DataFrame, candidates: DataFrame, resolvers: list[Resolver]
     pairs = replies.select(*key, F.posexplode(F.from_json(_mended("reply"), "resolved array<struct<article_name:string,canonical_name:string>>").resolved).alias("_k", "r"))
     pairs = pairs.select(*key, "_k", strip(F.col("r.article_name")).alias("_asked"), strip(F.col("r.canonical_name")).alias("_to")).where("_asked <> '' and _to <> ''")
     last = pairs.groupBy(*key, "_asked").agg(F.max_by("_to", "_k").alias("_to"))
-    hit = mentions.withColumn("_asked", F.when(F.col("method").isNull(), F.col("raw_name"))).join(last, [*key, "_asked"], "left")
-    return hit.withColumn("name", F.coalesce("_to", "name")).withColumn("method", F.when(F.col("_to").isNotNull(), "llm").otherwise(F.col("method"))).select(mentions.columns)
+    # what a rule has resolved stays where it is; only the others meet the answers
+    hit = mentions.where("method is null").withColumn("_asked", F.col("raw_name")).join(last, [*key, "_asked"], "left")
+    hit = hit.withColumn("name", F.coalesce("_to", "name")).withColumn("method", F.when(F.col("_to").isNotNull(), "llm").otherwise(F.col("method")))
+    return hit.select(mentions.columns).unionByName(mentions.where("method is not null"))
