@@ -27,8 +27,9 @@ from .words import blocks, mapped
 TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words, and lower-cased parts of words, whose ids a task keeps at a time.
-CACHE_WORDS, CACHE_PARTS = 600_000, 400_000
+#: Words, and lower-cased parts of words, whose ids a task keeps at a time: some 40 and 15 MB. Nearly every word of a text is
+#: a new one, so that more of them save no time, and what they leave in a worker's memory stays for the stages after.
+CACHE_WORDS, CACHE_PARTS = 200_000, 100_000
 #: Lengths on which combinations of three and of four are built.
 TRIPLE_GRID, QUAD_GRID, SWEEPS = 64, 16, 12
 

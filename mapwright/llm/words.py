@@ -26,7 +26,7 @@ NULL_ID = -(1 << 63)
 #: Texts are handled in blocks of about so many bytes and at most so many rows.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 2_000
 #: An Arrow batch holds about so many bytes (see :func:`mapped`).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: A task keeps at most so many words' hashes at a time.
 CACHE_WORDS = 60_000
 

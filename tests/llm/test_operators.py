@@ -341,6 +341,24 @@ def test_ids_of_every_letter_and_of_mixed_words():
         assert np.frombuffer(ids.of(word), dtype=np.uint32).tolist() == want.ids, word
 
 
+def test_a_packing_task_keeps_little_for_words_that_are_all_new(tmp_path):
+    """The pipeline's executors stand near their bound: what a task keeps at a time is small, however many words it meets."""
+    import sys
+
+    class Stub:
+        def tokenize(self, word):
+            return [type("T", (), {"id": k}) for k in (1, 2, 3)]
+
+    ids, most = packing.WordIds.__new__(packing.WordIds), 0
+    ids.model, ids.parts, ids.whole_letters = Stub(), {}, {}
+    for k in range(450_000):
+        word = b"".join(bytes([97 + int(d)]) for d in str(k)) + b"."
+        assert len(ids[word]) == 24 and len(ids) <= packing.CACHE_WORDS and len(ids.parts) <= packing.CACHE_PARTS
+        if k % 10_000 == 0:
+            most = max(most, sys.getsizeof(ids) + sys.getsizeof(ids.parts) + 100 * (len(ids) + len(ids.parts)))
+    assert most < 64 << 20
+
+
 def test_packing_is_an_exact_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
