@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mapwright.functions.keys import normalized
 from mapwright.functions.vocab import is_generic
 from mapwright.operators import resolve
-from mapwright.storage import discard, materialize
 
 NAMED = "company_name string, article_id long, item long, raw_name string, name string, method string"
 
@@ -89,10 +88,10 @@ class NamesByBatch:
         return self._read("mentions", f"{schema}, name string, method string")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        named = materialize(resolve.resolve(batch, self.threshold, self.names(number)), "stream-named")
-        named.write.mode("overwrite").parquet(f"{self.folder}/mentions/batch={number}")
+        named, place = resolve.resolve(batch, self.threshold, self.names(number)), f"{self.folder}/mentions/batch={number}"
+        named.write.mode("overwrite").parquet(place)
+        named = self.spark.read.schema(named.schema).parquet(place)
         keyed = named.withColumns({"norm": normalized(F.col("name")), "at": resolve.moment(named)}).where("method is null and norm <> ''")
         new = keyed.groupBy("company_name", "norm").agg(F.min_by("name", F.struct("at", "item")).alias("name"), F.min("at").alias("known_at"))
         old = self.names(number).select("company_name", normalized(F.col("name")).alias("norm"))
         new.join(old, ["company_name", "norm"], "left_anti").drop("norm").write.mode("overwrite").partitionBy("company_name").parquet(f"{self.folder}/names/batch={number}")
-        discard(named)
