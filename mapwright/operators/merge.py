@@ -41,19 +41,27 @@ def fold_entities(mentions: DataFrame) -> DataFrame:
     )
 
 
-def fold_spellings(mentions: DataFrame) -> DataFrame:
+def fold_spellings(mentions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Each distinct spelling folded: company_name, raw_name, norm, ``known_name`` (the first spelling of the same norm), ``name`` by
-    the exact tier, ``first`` mention, first ``described`` one, ``n`` mentions.
+    the exact tier, ``first`` mention, first ``described`` one, ``n`` mentions, and the ``method`` of its latest mention.
 
-    A mention's exact name depends on its spelling only, so mentions need no join of their own.
+    A mention's exact name depends on its spelling only, so mentions need no join of their own. ``stored`` (company_name,
+    name): entities of earlier runs, known before the first article.
     """
     seen = ("extracted_at", "article_id", "item")
     described = F.min(F.when(F.col("description") != "", F.struct(*seen, "description")))
-    spelled = mentions.groupBy("company_name", "raw_name").agg(F.min(F.struct(*seen, "kind", "domain")).alias("first"), described.alias("described"), F.count("*").alias("n"))
+    spelled = mentions.groupBy("company_name", "raw_name").agg(F.min(F.struct(*seen, "kind", "domain")).alias("first"), described.alias("described"), F.count("*").alias("n"), F.max(F.struct(*seen[:2])).alias("latest"))
     spelled = materialize(spelled.withColumn("norm", normalized(F.col("raw_name"))), "spelled")
-    known = spelled.where("norm <> ''").groupBy("company_name", "norm").agg(F.min(F.struct(*[f"first.{c}" for c in seen], "raw_name"))["raw_name"].alias("known_name"))
+    known = spelled.where("norm <> ''").groupBy("company_name", "norm").agg(F.min(F.struct(*[f"first.{c}" for c in seen], "raw_name")).alias("f"))
+    known = known.select("company_name", "norm", F.col("f.raw_name").alias("known_name"), F.struct(*[F.col(f"f.{c}").alias(c) for c in seen[:2]]).alias("known_at"))
+    if stored is not None:
+        # a stored name is known before all mentions
+        old = stored.select("company_name", normalized(F.col("name")).alias("norm"), "name").where("norm <> ''").groupBy("company_name", "norm").agg(F.min("name").alias("old_name"))
+        known = known.join(old, ["company_name", "norm"], "left").select("company_name", "norm", F.coalesce("old_name", "known_name").alias("known_name"), F.when(F.col("old_name").isNull(), F.col("known_at")).alias("known_at"))
     exact = ~is_generic(F.col("raw_name")) & F.col("known_name").isNotNull()
-    return spelled.join(known, ["company_name", "norm"], "left").withColumn("name", F.when(exact, F.col("known_name")).otherwise(F.col("raw_name")))
+    method = F.when(exact & F.coalesce(F.col("known_at") < F.col("latest"), F.lit(True)), F.lit("exact")).alias("method")
+    found = spelled.join(known, ["company_name", "norm"], "left")
+    return found.select(*[c for c in spelled.columns if c != "latest"], "known_name", F.when(exact, F.col("known_name")).otherwise(F.col("raw_name")).alias("name"), method)
 
 
 def exact_entities(mentions: DataFrame) -> DataFrame:
@@ -79,6 +87,12 @@ def spelled_entities(spellings: DataFrame) -> DataFrame:
     return folded.select("company_name", "key", "f.name", "f.first.kind", "f.first.domain", F.col("f.first.article_id").alias("first_seen_article_id"), "d.description", "n_mentions")
 
 
+def spelled_aliases(spellings: DataFrame) -> DataFrame:
+    """What :func:`fold_aliases` makes of exactly resolved mentions, from :func:`fold_spellings`."""
+    other = spellings.where(F.col("raw_name") != F.col("name")).withColumn("key", entity_key(F.col("company_name"), F.col("name")))
+    return other.groupBy("company_name", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("raw_name").alias("name"), "method"))).alias("aliases"))
+
+
 def fold_aliases(mentions: DataFrame) -> DataFrame:
     """``company_name, key, aliases``: other spellings of an entity with the latest method, in order of name.
 
@@ -94,27 +108,29 @@ def keyed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("key", relationship_key(company, F.col("source"), F.col("relation"), F.col("target"))).withColumn("source_key", entity_key(company, F.col("source"))).withColumn("target_key", entity_key(company, F.col("target")))
 
 
-def fold_edges(edges: DataFrame, articles: bool = True, tasks: int | None = None, by_id: bool = False) -> DataFrame:
+def fold_edges(edges: DataFrame, articles: bool = True, tasks: int | None = None, by_id: bool = False, by_ends: bool = False) -> DataFrame:
     """Relationships from stated edges (company_name, source, target, relation, relation_phrase, as_of, article_id, extracted_at, item).
 
     The last statement of a key gives its fields; the articles are listed in order of first appearance, unless nobody asks
     for ``articles``. Slugs hold no two hyphens in a row, so that those of the ends and of the relation stand for the keys;
     these are put together at the end. Statements are dealt as they are to ``tasks`` tasks (the session's number without),
     by a hash of their slugs, which are made again where they arrive: nearly every key is stated once, so that folding
-    beforehand would only widen the rows. ``by_id``: the ends are :func:`name_id` of names.
+    beforehand would only widen the rows. ``by_id``: the ends are :func:`name_id` of names. ``by_ends``: statements are dealt by
+    their company and ends alone, whose hash stays as ``_ends``, so that grouping by it and more needs no other shuffle.
     """
     seen, fields = ("extracted_at", "article_id", "item"), [c for c in ("source", "target", "relation", "relation_phrase", "as_of") if c in edges.columns]
     end = lambda c: F.when(F.col(c).startswith("\0"), F.lit("x")).otherwise(F.col(c)) if by_id else slug(F.col(c))
     slugs = [end("source"), slug(F.col("relation")), end("target")]
     of = ["_h", "company_name", *[c.alias(n) for c, n in zip(slugs, ("_s", "_r", "_t"), strict=True)]]
-    rows = edges.select("company_name", *seen, *fields, F.hash("company_name", *slugs).alias("_h"))
+    rows = edges.select("company_name", *seen, *fields, F.hash("company_name", *(slugs[::2] if by_ends else slugs)).alias("_h"))
     rows = rows.repartition(tasks, "_h") if tasks else rows.repartition("_h")
     key = lambda *c: F.concat_ws("--", slug(F.col("company_name")), *c)
     stated = F.array_sort(F.collect_list(F.struct(*seen))) if articles else F.array(F.min(F.struct(*seen)))
     folded = rows.groupBy(*of).agg(F.max(F.struct(*seen, *fields)).alias("last"), stated.alias("stated"))
     ids = [F.array_distinct("stated.article_id").alias("source_article_ids")] if articles else []
     first = F.struct(*[F.col("stated")[0][c].alias(c) for c in ("extracted_at", "article_id")]).alias("first_seq")
-    return folded.select("company_name", key("_s", "_r", "_t").alias("key"), key("_s").alias("source_key"), key("_t").alias("target_key"), *[f"last.{c}" for c in fields], *ids, first)
+    ends = [F.col("_h").alias("_ends")] if by_ends else []
+    return folded.select("company_name", key("_s", "_r", "_t").alias("key"), key("_s").alias("source_key"), key("_t").alias("target_key"), *[f"last.{c}" for c in fields], *ids, first, *ends)
 
 
 def close_windows(folded: DataFrame, edges: DataFrame, run_ts: str, tasks: int | None = None) -> DataFrame:
