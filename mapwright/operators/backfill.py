@@ -22,14 +22,16 @@ def canonicalize(edges: DataFrame) -> DataFrame:
     """The table after the rewrite: one edge for each key.
 
     Edges are handled in order of their old key; of those that meet in a key the last rewritten one gives the fields,
-    the articles are joined in order, and an edge rewritten onto a key of its own is open again.
+    the articles are joined in order, and an edge rewritten onto a key of its own is open again. A rewrite changes no end,
+    so edges that :func:`merge.fold_edges` has dealt by their ends (``_ends``) are grouped where they are.
     """
     r = rewritten(edges)
     order = F.struct(F.col("changed").cast("int").alias("c"), F.col("key").alias("k"))
     last = F.max_by(F.struct("source", "target", F.col("new_relation").alias("relation"), F.col("phrase").alias("relation_phrase"), "as_of"), order)
     ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("changed").cast("int").alias("c"), F.col("key").alias("k"), "source_article_ids"))), lambda x: x["source_article_ids"])))
     kept = F.max(F.when(F.col("new_key") == F.col("key"), F.col("invalid_at")))
-    grouped = r.groupBy("company_name", F.col("new_key").alias("key")).agg(last.alias("l"), ids.alias("source_article_ids"), kept.alias("invalid_at"))
+    dealt = ["_ends"] if "_ends" in edges.columns else []
+    grouped = r.groupBy(*dealt, "company_name", F.col("new_key").alias("key")).agg(last.alias("l"), ids.alias("source_article_ids"), kept.alias("invalid_at"))
     company = F.col("company_name")
     return grouped.select("company_name", "key", entity_key(company, F.col("l.source")).alias("source_key"), entity_key(company, F.col("l.target")).alias("target_key"), "l.*", "source_article_ids", "invalid_at")
 
