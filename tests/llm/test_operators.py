@@ -359,6 +359,69 @@ def test_a_packing_task_keeps_little_for_words_that_are_all_new(tmp_path):
     assert most < 64 << 20
 
 
+def packed_ids(ids, texts):
+    return [np.frombuffer(x, dtype=np.uint32).tolist() for x in ids.of_all(texts)]
+
+
+def test_ids_of_whole_blocks_of_texts(monkeypatch):
+    """Contractions, digits, control signs, other white space, long runs, letters of all ways, special tokens, in texts of any length."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    ids, whole = packing.TextIds(path), Tokenizer.from_file(path)
+    assert ids.known
+    rng = random.Random(11)
+    bits = ["'", "'s", "'street", "'LL", "'re", "'Ve", "'d", "''s", "\"'s", "'t's", "don't", "x'", "12'3", "<", "a<|b", "<|endoftext|>", "<|ENDOFTEXT|>", "\x00", "\x00\x00", "\x1c", "\x7f"]
+    bits += [" ", "  ", "\n", "\t", "\x0b\x0c\r", "\x85", "\xa0", "7", "2024", "²", "ª", "×", "Straße", "ÉCOLE", "ǅ", "İ", "ſ", "K", "e\u0301", "A\u030a", "H\u0331", "ɐ", "Ⱥ", "Привет", "日本", "’", "👍", "..,", "—", "and", "The", "of."]
+    bits += ["=" * k for k in (8, 9, 16, 17, 64, 65, 400)] + ["ab" * k for k in (3, 4, 8, 9, 16, 32, 33, 150)] + ["é" * k for k in (3, 4, 8, 9, 32, 33, 70)]
+    texts = [None, "", " ", "'", "a", "'s", *bits]
+    texts += ["".join(rng.choice(bits[:21] + bits[21:30] * 3) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    texts += [rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(1500)]
+    texts += ["".join(rng.choice("abeinorst' .,É1") for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    want = [x.ids for x in whole.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert packed_ids(ids, texts) == want
+    assert [packed_ids(ids, [x])[0] for x in texts[:400]] == want[:400] and packed_ids(ids, []) == []
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 50)  # longer texts are cut at white space
+    assert packed_ids(ids, texts) == want
+    monkeypatch.setattr(ids, "known", False)
+    assert packed_ids(ids, texts[:300]) == want[:300]
+
+
+def test_equal_hashes_of_unlike_parts_stay_apart():
+    y = 3 * pow(0x9E3779B97F4A7C15, -1, 1 << 64) % (1 << 64)
+    x = y ^ (y >> 29) ^ (y >> 58)  # (x, 0, 2) and (0, 0, 1) are mixed alike
+    low, high, lengths = np.array([0, x, 9, 0, x, 9], dtype=np.uint64), np.array([0, 0, 1, 0, 0, 0], dtype=np.uint64), np.array([1, 2, 9, 1, 2, 2])
+    firsts, which = packing.distinct(low, high, lengths)
+    there = firsts[which]
+    assert len(firsts) == 4 and all((c[there] == c).all() for c in (low, high, lengths))
+    plain = packing.distinct(low[2:4], high[2:4], lengths[2:4])
+    assert len(plain[0]) == 2 and sorted(plain[0][plain[1]]) == [0, 1]
+
+
+def test_new_words_cost_a_packing_task_little():
+    """The check's budget of CPU: texts whose words are mostly new take well under the time of words that are split one by one."""
+    import time
+
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    rng = random.Random(5)
+    syllables = ["th", "an", "er", "ing", "sh", "ea", "tion", "on", "le", "wh", "st", "in"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 6))) for _ in range(500)) for _ in range(200)]
+    blocks_, words_ = packing.TextIds(path), packing.WordIds(path)
+    blocks_.of_all(texts[:1])
+    times = []
+    for run in (lambda: blocks_.of_all(texts), lambda: [words_.of(x) for x in texts]):
+        began = time.process_time()
+        got = run()
+        times.append((time.process_time() - began, got))
+    assert blocks_._words is None  # the library was not asked
+    blocks_.of_all([f"{x} — “Привет” {x}" for x in texts])
+    assert len(blocks_.words) == 2  # nor for the words beside others in the same text
+    assert times[0][1] == times[1][1] and times[0][0] < 0.6 * times[1][0]
+
+
 def test_packing_is_an_exact_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
