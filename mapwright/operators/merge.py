@@ -133,19 +133,13 @@ def fold_edges(edges: DataFrame, articles: bool = True, tasks: int | None = None
     stated = F.array_sort(F.collect_list(when_own(first))) if articles else F.array(F.min(when_own(first)))
     aggregates = [F.max(when_own(last)).alias("last"), stated.alias("stated")]
     if closed_by is not None:
-        aggregates.append(F.collect_list(F.when(is_close, F.struct(*seen, _closed_at(closed_by).alias("at")))).alias("closes"))
+        aggregates.append(F.collect_list(F.when(is_close, F.struct(F.struct(*seen[:2]).alias("first_seq"), "item", _closed_at(closed_by).alias("at")))).alias("closes"))
     folded = rows.groupBy(*of).agg(*aggregates)
     ids = [F.array_distinct("stated.article_id").alias("source_article_ids")] if articles else []
     first = F.struct(*[F.col("stated")[0][c].alias(c) for c in ("extracted_at", "article_id")]).alias("first_seq")
     ends = [F.col("_h").alias("_ends")] if by_ends else []
     if closed_by is not None:
-        # a row for the edge itself, unless only copies of its closings are here, and one for each closing
-        itself = F.when(F.col("last").isNotNull(), F.array(F.struct(first, F.lit(0).alias("close"), F.lit(None).cast(edges.schema["item"].dataType).alias("item"), F.lit(None).cast("string").alias("at"))))
-        closings = F.transform("closes", lambda c: F.struct(F.struct(c["extracted_at"].alias("extracted_at"), c["article_id"].alias("article_id")).alias("first_seq"), F.lit(1).alias("close"), c["item"].alias("item"), c["at"].alias("at")))
-        none = F.array().cast(f"array<struct<first_seq:struct<extracted_at:{edges.schema['extracted_at'].dataType.simpleString()},article_id:{edges.schema['article_id'].dataType.simpleString()}>,close:int,item:{edges.schema['item'].dataType.simpleString()},at:string>>")
-        folded = folded.withColumn("e", F.explode(F.concat(F.coalesce(itself, none), closings)))
-        folded = folded.select("_h", "company_name", "_s", "_r", "_t", *[F.when(F.col("e.close") == 0, F.col(c)).alias(c) for c in ("last", "stated")], "e")
-        folded = folded.withColumn("_at", _closing_so_far(["_h", "company_name", "_s"], "e.first_seq", "e.close", "e.item", "e.at")).where("e.close = 0")
+        folded = _closed_in_place(folded, ["_h", "company_name", "_s"], ["_r", "_t", "last", "stated"], F.col("last").isNotNull(), first)
         ends = [F.when(F.col("last.relation") != REPLACED_BY, F.col("_at")).alias("invalid_at")]
     return folded.select("company_name", key("_s", "_r", "_t").alias("key"), key("_s").alias("source_key"), key("_t").alias("target_key"), *[f"last.{c}" for c in fields], *ids, first, *ends)
 
@@ -179,6 +173,17 @@ def _closing_so_far(of: list[str], seq: str, close: str, item: str, at: str) ->
     return F.last(at, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
 
 
+def _closed_in_place(grouped: DataFrame, of: list[str], columns: list[str], exists: Column, first_seq: Column) -> DataFrame:
+    """Edges, grouped in the tasks that have their source's ``closes`` (first_seq, item, at) too, with ``_at``, what closes them: each
+    becomes a row for itself, if it ``exists`` and is not only copies of closings, and a row for each of its closings."""
+    closings = F.transform("closes", lambda c: F.struct(F.lit(1).alias("close"), c["first_seq"].alias("first_seq"), c["item"].alias("item"), c["at"].alias("at")))
+    item = grouped.schema["closes"].dataType.elementType["item"].dataType
+    itself = F.array(F.struct(F.lit(0).alias("close"), first_seq.alias("first_seq"), F.lit(None).cast(item).alias("item"), F.lit(None).cast("string").alias("at")))
+    rows = grouped.withColumn("e", F.explode(F.when(exists, F.concat(itself, closings)).otherwise(closings)))
+    rows = rows.select(*of, *[F.when(F.col("e.close") == 0, F.col(c)).alias(c) for c in columns], "e")
+    return rows.withColumn("_at", _closing_so_far(of, "e.first_seq", "e.close", "e.item", "e.at")).where("e.close = 0").drop("e")
+
+
 def close_windows(folded: DataFrame, edges: DataFrame, run_ts: str, tasks: int | None = None) -> DataFrame:
     """``folded`` with ``invalid_at``: a ``replaced_by`` closes the open edges that leave its source.
 
@@ -220,19 +225,25 @@ def merge_relationships(stored: DataFrame, incoming: DataFrame, edges: DataFrame
     The later statement's fields win, articles are appended once. A ``replaced_by`` of this run closes what is open;
     what was closed before stays as it was.
     """
-    fields = ("source", "target", "relation", "relation_phrase", "as_of")
-    s, i = stored.alias("s"), incoming.alias("i")
-    both = s.join(i, ["company_name", "key", "source_key", "target_key"], "full_outer")
-    is_new, is_old = F.col("i.source_article_ids").isNotNull(), F.col("s.source_article_ids").isNotNull()
+    fields, key = ("source", "target", "relation", "relation_phrase", "as_of"), ["company_name", "source_key", "target_key", "key"]
+    closes = edges.where((F.col("relation") == REPLACED_BY) & F.col("company_name").isNotNull())
+    closes = closes.select("company_name", entity_key(F.col("company_name"), F.col("source")).alias("source_key"), F.struct(F.struct("extracted_at", "article_id").alias("first_seq"), "item", _closed_at(run_ts).alias("at")).alias("c"))
+    # stored, incoming and closing rows meet in one deal by source; rows without a company meet no others
+    rows = stored.select(*key, F.struct(*fields, "source_article_ids", "invalid_at").alias("s"), F.lit(0).alias("_side"))
+    rows = rows.unionByName(incoming.select(*key, F.struct(*fields, "source_article_ids", "first_seq").alias("i"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    rows = rows.unionByName(closes, allowMissingColumns=True).withColumn("_side", F.when(F.col("company_name").isNull(), F.col("_side")))
+    rows = _in_parts(rows, edges.select("company_name", entity_key(F.col("company_name"), F.col("source")).alias("_of")), F.col("source_key"), F.hash("key"), F.col("c").isNotNull())
+    dealt = rows.repartition(tasks, "_h") if tasks else rows.repartition("_h")
+    both = dealt.groupBy("_h", *key, "_side").agg(F.max("s").alias("s"), F.max("i").alias("i"), F.collect_list("c").alias("closes"))
+    is_new, is_old = F.col("i").isNotNull(), F.col("s").isNotNull()
+    # a stored edge is older than any statement of this run
+    before = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema["first_seq"].dataType.fields])
+    r = _closed_in_place(both, ["_h", *key[:2]], [*key[2:], "s", "i"], is_new | is_old, F.when(is_old, before).otherwise(F.col("i.first_seq")))
     last = [F.when(is_new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in fields]
     none = F.array().cast(incoming.schema["source_article_ids"].dataType)
     ids = F.array_distinct(F.concat(F.coalesce("s.source_article_ids", none), F.coalesce("i.source_article_ids", none))).alias("source_article_ids")
-    # a stored edge is older than any statement of this run
-    before = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema["first_seq"].dataType.fields])
-    seq = F.when(is_old, before).otherwise(F.col("i.first_seq")).alias("first_seq")
-    rows = both.select("company_name", "key", "source_key", "target_key", *last, ids, seq, F.col("s.invalid_at").alias("was_invalid_at"))
-    closed = close_windows(rows, edges, run_ts, tasks)
-    return closed.withColumn("invalid_at", F.coalesce("was_invalid_at", "invalid_at")).drop("was_invalid_at", "first_seq")
+    closed = r.select("company_name", "key", "source_key", "target_key", *last, ids, F.col("s.invalid_at").alias("was"), "_at")
+    return closed.withColumn("invalid_at", F.coalesce("was", F.when(F.col("relation") != REPLACED_BY, F.col("_at")))).drop("was", "_at")
 
 
 def upsert_edges(stored: DataFrame, items: DataFrame) -> DataFrame:
