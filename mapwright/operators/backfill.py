@@ -11,11 +11,13 @@ from mapwright.functions.vocab import canonical_relation
 
 def rewritten(edges: DataFrame) -> DataFrame:
     """Edges with ``new_relation``, ``new_key`` and ``changed``, from their original wording where there is one."""
-    original = F.coalesce(F.nullif("relation_phrase", F.lit("")), F.coalesce("relation", F.lit("")))
-    new = canonical_relation(original)
-    changed = new != F.coalesce("relation", F.lit(""))
+    # each is a column before it is used: the vocabulary and the slugs cost more than all else, and are asked once for an edge
+    edges = edges.withColumn("_original", F.coalesce(F.nullif("relation_phrase", F.lit("")), F.coalesce("relation", F.lit(""))))
+    edges = edges.withColumn("_new", canonical_relation(F.col("_original"))).withColumn("changed", F.col("_new") != F.coalesce("relation", F.lit("")))
+    new, changed = F.col("_new"), F.col("changed")
     key = relationship_key(F.col("company_name"), F.col("source"), new, F.col("target"))
-    return edges.withColumn("new_relation", F.when(changed, new).otherwise(F.col("relation"))).withColumn("new_key", F.when(changed, key).otherwise(F.col("key"))).withColumn("changed", changed).withColumn("phrase", F.when(changed, original).otherwise(F.col("relation_phrase")))
+    named = edges.withColumns({"new_relation": F.when(changed, new).otherwise(F.col("relation")), "new_key": F.when(changed, key).otherwise(F.col("key")), "phrase": F.when(changed, F.col("_original")).otherwise(F.col("relation_phrase"))})
+    return named.drop("_original", "_new")
 
 
 def canonicalize(edges: DataFrame) -> DataFrame:
